@@ -24,12 +24,17 @@ from pyspark.sql import functions as F
 from cataloom.sources.shared import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker keeps; the cache is emptied when full, so memory is bounded.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps in each of two generations, so memory is bounded.
+CACHED_WORDS = 500_000
+MARKS = rb"!\"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"
 
 
 class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) by whitespace-free chunk; asks the tokenizer once per distinct chunk."""
+    """Ids (little-endian unsigned 32-bit) by whitespace-free chunk; asks the tokenizer once per distinct word.
+
+    The tokenizer lower-cases, and splits letters from marks; so a chunk has the ids of its lower-case form, and one that
+    ends in marks behind a letter has those of its two parts. When full, the words in use since the last time are kept.
+    """
 
     def __init__(self, path: str):
         import os
@@ -39,12 +44,37 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
-        out = self[chunk] = np.asarray(ids, "<u4").tobytes()
+        out = self.older.get(chunk)
+        if out is None:
+            low = chunk.lower()
+            body = low.rstrip(MARKS)
+            if body and len(body) < len(low) and body.decode("utf-8")[-1].isalpha():
+                out = self[body] + self[low[len(body) :]]
+            elif low != chunk:
+                out = self[low]
+            else:
+                out = np.asarray(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = out
         return out
 
+    def trim(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
+_caches: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's cache, kept from task to task."""
+    if path not in _caches:
+        _caches[path] = WordIds(path)
+    return _caches[path]
+
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32.
@@ -55,7 +85,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordIds(tokenizer_path)
+        cache = word_ids(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -64,8 +94,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
+                cache.trim()
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
