@@ -32,7 +32,7 @@ ALPHA = 0.05
 DELTA = 0.05
 GOOD_WEIGHT = 2.0
 WINDOW = 8
-BANDS = (100, 500, 2000)
+BANDS = (200, 1000)
 GRID = 200
 SYMBOL_SET = np.zeros(256, np.uint8)
 SYMBOL_SET[[ord(c) for c in "#*$%&|<>"]] = 1

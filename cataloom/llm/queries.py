@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import fingerprint, html_extract, langid, packing, quality, sharding
+from cataloom.llm import fingerprint, html_extract, langid, ngram_join, packing, quality, sharding
 from cataloom.sources.tables import table
 
 
@@ -23,6 +23,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "v_slot", "map_version")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: 5-word shingles, Jaccard similarity of 0.75 or more."""
+    return ngram_join.classes(table(spark, sf_dir, "documents"), words=5, percent=75).select("doc_id", "n_shingles", "component_id", "set_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, with cutoffs certified on the labels."""
     out = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -51,6 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
     "op6_order_min_hash": op6_order_min_hash,
     "op7_tag_path_text": op7_tag_path_text,
