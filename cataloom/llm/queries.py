@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import fingerprint, html_extract, langid, ngram_join, packing, quality, sharding
+from cataloom.llm import fingerprint, html_extract, langid, ngram_join, packing, quality, sharding, suffix_dedup
 from cataloom.sources.tables import table
 
 
@@ -44,6 +44,11 @@ def op7_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_column_wise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of repeated 100-byte strings from all documents."""
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_order_min_hash": op6_order_min_hash,
     "op7_tag_path_text": op7_tag_path_text,
+    "op8_column_wise_suffix_dedup": op8_column_wise_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
