@@ -6,9 +6,10 @@
    task), so that passages which many documents share don't bring unrelated ones together.
 3. Similar sets are put into groups: each set is compared with one leader, the smallest set of the prefix shingle posting
    that most of its shingles name; linked sets and leaders form groups (components of these stars).
-4. The token-group matrix holds, for each group that is still a candidate for a set outside it, the union of its shingles.
-   A set's overlap with the union bounds its overlap with every member; only groups that reach the bound are opened, and
-   their members that share a prefix shingle are compared exactly.
+4. The token-group matrix holds for each group the union of its members' prefix shingles and the range of their sizes. What
+   a set shares with a group's union, plus the shingles behind the prefixes, bounds its overlap with every member; only
+   groups that reach the least overlap that the sizes allow are opened, and their members pass the same bound one by one
+   before they are compared exactly.
 5. Components over all links.
 
 A group of thousands of near copies therefore costs one comparison per member, not one per pair, yet every link between
@@ -47,7 +48,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         windows = K.window_hash(hashes, words)
         for a, b in zip(first[:-1], first[1:]):
             if b - a >= words:
-                yield np.unique(windows[a : b - words + 1])
+                yield K.distinct(windows[a : b - words + 1])
             elif b > a:
                 yield K.mix(K.window_hash(hashes[a:b], int(b - a)) + K.U(b - a))
             else:
@@ -66,18 +67,34 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_id of every document (set_id null without shingles)."""
+PROFILE = "doc_id long, n_shingles long, set_id long, token long, n long"
+
+
+def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, set_id of every document (set_id null without shingles); and rows (token, n) without n_shingles.
+
+    The latter are the prefix shingles that a batch of a task has had at least three times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            n, ids = [], []
+            n, ids, parts = [], [], []
             for tokens in shingle_sets(batch.column("text"), words):
                 n.append(len(tokens))
-                ids.append(set_id(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "set_id"])
+                name = set_id(tokens) if len(tokens) else None
+                ids.append(name)
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    parts.append(tokens[: prefix_length(len(tokens), percent)])
+            token, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            token, count = token[count >= 3].view(np.int64), count[count >= 3].astype(np.int64)
+            rows, more = batch.num_rows, len(token)
+            none = lambda k: pa.nulls(k, pa.int64())
+            columns = [[batch.column("doc_id"), none(more)], [pa.array(n, pa.int64()), none(more)], [pa.array(ids, pa.int64()), none(more)], [none(rows), pa.array(token)], [none(rows), pa.array(count)]]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], ["doc_id", "n_shingles", "set_id", "token", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -92,21 +109,9 @@ def _new_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tu
         yield out
 
 
-def frequent_shingles(docs: DataFrame, words: int, percent: int, size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``size`` shingles that stand in many prefixes, and their counts.
-
-    Each batch of a task reports those it has had at least three times; the sums are a lower bound. Only the order of
-    shingles depends on them, never the result.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _new_sets(batches, words):
-            parts = [t[: prefix_length(len(t), percent)] for _, t in sets]
-            token, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            token, n = token[n >= 3], n[n >= 3]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
-
-    top = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size).toPandas()
+def frequent_shingles(counted: DataFrame, size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``size`` shingles that stand in many prefixes, with lower bounds of their counts. Only the order of shingles depends on them, never the result."""
+    top = counted.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size).toPandas()
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], top["n"].to_numpy(np.int64)[order]
@@ -169,22 +174,35 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _explode_tokens(sets: DataFrame, key: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("tokens")]
-            sizes = [len(p) for p in parts]
-            names = batch.column(key).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], [key, "token"])
+def least_overlap(n: str, m: str, percent: int):
+    """Prefix shingles that sets of sizes n and m share at least if they are linked.
+
+    Linked sets have ceil(percent (n + m) / (100 + percent)) shingles in common. Those outside the common prefix come, in
+    the global order, behind the end of one of the prefixes, where ceil(percent n / 100) - 1 shingles are left.
+    """
+    both = F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(100 + percent) - F.lit(1e-9))
+    behind = F.greatest(F.ceil(F.lit(percent) * F.col(n) / F.lit(100) - F.lit(1e-9)), F.ceil(F.lit(percent) * F.col(m) / F.lit(100) - F.lit(1e-9))) - 1
+    return F.greatest(both - behind, F.lit(1))
+
 
-    return sets.select(key, "tokens").mapInArrow(run, f"{key} long, token long")
+def _sizes_fit(n: str, m: str, percent: int):
+    return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
+
+
+def promising(pairs: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and common prefix shingles allow a link. postings: token, set_id, n."""
+    left = postings.select(F.col("set_id").alias("a"), "token", F.col("n").alias("na"))
+    right = postings.select(F.col("set_id").alias("b"), "token", F.col("n").alias("nb"))
+    shared = pairs.join(left, "a").join(right, ["b", "token"]).where(_sizes_fit("na", "nb", percent))
+    return shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_overlap("na", "nb", percent)).select("a", "b")
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id (the smallest doc_id that links reach) of every document."""
-    own = materialize(profiles(docs, words), "shingle-profiles")
+    profiled = materialize(profiles(docs, words, percent), "shingle-profiles")
+    own = profiled.where("n_shingles is not null").select("doc_id", "n_shingles", "set_id")
     # Postings of prefix shingles that two sets or more have, with the posting's leader.
-    frequent = frequent_shingles(docs, words, percent)
+    frequent = frequent_shingles(profiled)
     place = Window.partitionBy("token", "salt")
     postings = prefixes(docs, words, percent, frequent).withColumn("_least", F.min("set_id").over(place)).withColumn("_most", F.max("set_id").over(place))
     # A frequent shingle may have its second set under another salt; salts of it start at 1.
@@ -196,13 +214,15 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     best = named.groupBy("set_id").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     heads = postings.where("leader = set_id").groupBy("token").agg(F.min("set_id").alias("least"), F.collect_set("set_id").alias("heads")).where("size(heads) > 1")
     across = heads.select("least", F.explode("heads").alias("set_id")).where("least != set_id").groupBy("set_id").agg(F.min("least").alias("leader"))
-    stars = materialize(best.unionByName(across).select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
-    wanted = postings.select("set_id").distinct()
-    sets = materialize(set_tokens(docs, words, wanted), "set-tokens")
-    near = materialize(linked(stars, sets, percent), "star-links")
+    named_pairs = best.unionByName(across).select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = materialize(promising(named_pairs, postings, percent), "stars")
+    near = materialize(linked(stars, set_tokens(docs, words, _ends(stars)), percent), "star-links")
     groups = materialize(components(near), "groups")
-    rest = _between_groups(postings, sets, groups, percent)
-    final = components(near.unionByName(rest)) if rest is not None else groups
+    opened = _between_groups(postings, groups, percent)
+    if opened.isEmpty():
+        final = groups
+    else:
+        final = components(near.unionByName(linked(opened, set_tokens(docs, words, _ends(opened)), percent)))
     least = own.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     joined = least.join(final.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     reps = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -210,30 +230,28 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     return own.join(by_set, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _between_groups(postings: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame | None:
-    """Links between sets of different groups, through the token-group matrix; None if no candidate is left."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+
+
+def _between_groups(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different groups that may be linked, through the token-group matrix."""
     at = postings.join(groups.select(F.col("node").alias("set_id"), F.col("component").alias("grp")), "set_id", "left").withColumn("grp", F.coalesce("grp", "set_id"))
     at = materialize(at.select("token", "set_id", "n", "grp"), "grouped-postings")
-    cells = at.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
-    mixed = cells.groupBy("token").count().where("count > 1").select("token")
-    cells = cells.join(mixed, "token")
-    sizes = at.select("grp", "set_id").distinct().groupBy("grp").agg(F.count("*").alias("size"))
-    # The sets of the smaller group ask the larger one.
-    asked = at.join(mixed, "token", "left_semi").join(sizes, "grp").select("token", "set_id", "n", F.struct("size", "grp").alias("mine"))
-    other = cells.join(sizes, "grp").select("token", "grp", "least", "most", F.struct("size", "grp").alias("theirs"))
-    fits = (F.col("mine") < F.col("theirs")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
-    queries = materialize(asked.join(other, "token").where(fits).select("set_id", "grp", "n").distinct(), "group-queries")
-    if queries.isEmpty():
-        return None
-    # Matrix: a cell for each shingle of a candidate group. A member's overlap with a set is at most the union's.
-    members = at.select("grp", "set_id").distinct()
-    involved = members.join(queries.select("grp").distinct(), "grp", "left_semi")
-    matrix = _explode_tokens(sets.join(involved, "set_id"), "grp").distinct()
-    asking = _explode_tokens(sets.join(queries.select("set_id").distinct(), "set_id", "left_semi"), "set_id")
-    cells_hit = queries.select("set_id", "grp").join(asking, "set_id").join(matrix, ["grp", "token"], "left_semi")
-    open_groups = cells_hit.groupBy("set_id", "grp").count().join(queries, ["set_id", "grp"]).where(100 * F.col("count") >= percent * F.col("n")).select(F.col("set_id").alias("a"), F.col("n").alias("na"), "grp")
-    # Open them: members that share a prefix shingle and have a fitting size.
-    mine = open_groups.join(at.select(F.col("set_id").alias("a"), "token"), "a")
+    matrix = at.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    mixed = matrix.groupBy("token").count().where("count > 1").select("token")
+    extent = at.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.approx_count_distinct("set_id").alias("size"))
+    # The sets of the smaller group ask the larger one; a group's sizes are cut to those that fit the set's.
+    rank = F.struct("size", "grp")
+    asked = at.join(mixed, "token", "left_semi").join(extent, "grp").select("token", "set_id", "n", rank.alias("mine"))
+    other = matrix.join(mixed, "token", "left_semi").join(extent, "grp").select("token", "grp", "low", "high", "least", "most", rank.alias("theirs"))
+    fits = (F.col("mine") < F.col("theirs")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
+    met = asked.join(other, "token").where(fits).groupBy("set_id", "grp", "n", "least", "most").agg(F.count("*").alias("shared"))
+    met = met.withColumn("least", F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100).cast("int"))).withColumn("most", F.least("most", F.floor(F.lit(100) * F.col("n") / percent).cast("int")))
+    # The bound is concave in the member's size on either side of n, so its least value stands at an end.
+    bound = F.least(least_overlap("n", "least", percent), least_overlap("n", "most", percent))
+    open_groups = materialize(met.where(F.col("shared") >= bound).select(F.col("set_id").alias("a"), "grp"), "open-groups")
+    mine = open_groups.join(at.select(F.col("set_id").alias("a"), "token", F.col("n").alias("na")), "a")
     theirs = at.select("token", "grp", F.col("set_id").alias("b"), F.col("n").alias("nb"))
-    pairs = mine.join(theirs, ["token", "grp"]).where((100 * F.col("nb") >= percent * F.col("na")) & (100 * F.col("na") >= percent * F.col("nb"))).select("a", "b").distinct()
-    return materialize(linked(pairs, sets, percent), "group-links")
+    shared = mine.join(theirs, ["token", "grp"]).where(_sizes_fit("na", "nb", percent)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    return materialize(shared.where(F.col("shared") >= least_overlap("na", "nb", percent)).select("a", "b"), "opened")
