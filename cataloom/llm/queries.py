@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import fingerprint, html_extract, langid, ngram_join, packing, quality, sharding, suffix_dedup
+from cataloom.llm import bpe, fingerprint, html_extract, langid, ngram_join, packing, quality, sharding, suffix_dedup
 from cataloom.sources.tables import table
 
 
@@ -17,6 +17,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to ids and decoded again."""
+    import public_tokenizers
+
+    ranks = bpe.load(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    out = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    n = F.when(F.col("ids_text") == "", 0).otherwise(F.length("ids_text") - F.length(F.translate("ids_text", ",", "")) + 1)
+    return out.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids_text"), ranks), 256).alias("decoded_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards, near equal in bytes."""
     out = sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
@@ -60,6 +70,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op3_sharding": op3_sharding,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
