@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cataloom.jobs import graph_jobs, schema_jobs
+from cataloom.jobs import graph_jobs, schema_jobs, text_jobs
 
-_MODULES = (graph_jobs, schema_jobs)
+_MODULES = (graph_jobs, schema_jobs, text_jobs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
