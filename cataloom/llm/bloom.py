@@ -14,6 +14,8 @@ from cataloom.llm import kernels as K
 
 #: 1 MB.
 BITS = 1 << 23
+#: Words of a packed row.
+CHUNK = 1024
 
 
 def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,11 +37,35 @@ def build(keys: DataFrame, bits: int = BITS) -> np.ndarray:
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["at", "word"])
 
-    # One row per 64 bits at most.
-    words = keys.mapInArrow(fill, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
-    return out.view(np.uint8)
+    def pack(batches):
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, word = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for chunk in np.unique(at // CHUNK):
+                mine = at // CHUNK == chunk
+                held.setdefault(int(chunk), np.zeros(CHUNK, np.int64))[at[mine] % CHUNK] |= word[mine]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([w.tobytes() for w in held.values()], pa.binary())], ["chunk", "words"])
+
+    words = keys.mapInArrow(fill, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    # A few rows of 8 KB come back, as many as the filter has room for.
+    packed = words.repartition(8, F.floor(F.col("at") / CHUNK)).mapInArrow(pack, "chunk long, words binary").collect()
+    out = np.zeros(max(bits // 64, CHUNK), np.int64)
+    for chunk, content in packed:
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] |= np.frombuffer(content, np.int64)
+    return out[: bits // 64].view(np.uint8)
+
+
+def hits(bitmap, key: str):
+    """Column: may the filter (a broadcast variable) hold the key? Only the key goes to Python."""
+    import pandas as pd
+
+    def check(keys: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bitmap.value, keys.to_numpy(np.int64)))
+
+    check.__annotations__ = {"keys": pd.Series, "return": pd.Series}
+    return F.pandas_udf(check, "boolean")(key)
 
 
 def may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:

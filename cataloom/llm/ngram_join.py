@@ -4,8 +4,8 @@
 2. Of each set only a prefix under one global order of shingles is looked at: two sets of the wanted similarity share a
    shingle in their prefixes. Shingles found often come last in the order (a list of fixed size, found by counting in each
    task), so that passages which many documents share don't bring unrelated ones together.
-3. Similar sets are put into groups: each set is compared with one leader, the smallest set of the prefix shingle posting
-   that most of its shingles name; linked sets and leaders form groups (components of these stars).
+3. Similar sets are put into groups: a prefix shingle's leader is the most central set that has it, and each set is compared
+   with the few leaders that most of its shingles name; linked sets and leaders form groups (components of these stars).
 4. The token-group matrix holds for each group the union of its members' prefix shingles and the range of their sizes. What
    a set shares with a group's union, plus the shingles behind the prefixes, bounds its overlap with every member; only
    groups that reach the least overlap that the sizes allow are opened, and their members pass the same bound one by one
@@ -38,6 +38,8 @@ from cataloom.sources.shared import materialize
 FREQUENT = 50_000
 #: Sub-postings of a frequent shingle.
 SALTS = 64
+#: Leaders that a set is compared with to find its group.
+LEADERS = 3
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -204,17 +206,17 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     # Postings of prefix shingles that two sets or more have, with the posting's leader.
     frequent = frequent_shingles(profiled)
     place = Window.partitionBy("token", "salt")
-    postings = prefixes(docs, words, percent, frequent).withColumn("_least", F.min("set_id").over(place)).withColumn("_most", F.max("set_id").over(place))
+    postings = prefixes(docs, words, percent, frequent).withColumn("_least", F.min("set_id").over(place)).withColumn("_most", F.max("set_id").over(place)).withColumn("df", F.count("*").over(place))
     # A frequent shingle may have its second set under another salt; salts of it start at 1.
     postings = postings.where((F.col("_least") != F.col("_most")) | (F.col("salt") != 0))
-    postings = materialize(postings.select("token", "salt", "set_id", "n", F.col("_least").alias("leader")), "postings")
-
-    # Groups: each set with the leader named by most of its shingles; the leaders of a frequent shingle's salts with their own leader.
-    named = postings.where("leader != set_id").groupBy("set_id", "leader").count()
-    best = named.groupBy("set_id").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-    heads = postings.where("leader = set_id").groupBy("token").agg(F.min("set_id").alias("least"), F.collect_set("set_id").alias("heads")).where("size(heads) > 1")
-    across = heads.select("least", F.explode("heads").alias("set_id")).where("least != set_id").groupBy("set_id").agg(F.min("least").alias("leader"))
-    named_pairs = best.unionByName(across).select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct()
+    postings = materialize(postings.select("token", "set_id", "n", F.when(F.col("salt") != 0, F.col("df") * SALTS).otherwise(F.col("df")).alias("df")), "postings")
+
+    # Groups: the leader of a shingle is the most central set that has it, the one whose prefix is shared most.
+    central = postings.groupBy("set_id").agg((F.sum("df") / F.max("n")).alias("central"))
+    leaders = postings.join(central, "set_id").groupBy("token").agg(F.max(F.struct("central", "set_id")).alias("x")).select("token", F.col("x.set_id").alias("leader"))
+    named = postings.join(leaders, "token").where("leader != set_id").groupBy("set_id", "leader").count()
+    best = named.withColumn("_r", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("count"), "leader"))).where(F.col("_r") <= LEADERS)
+    named_pairs = best.select(F.col("set_id").alias("a"), F.col("leader").alias("b"))
     stars = materialize(promising(named_pairs, postings, percent), "stars")
     near = materialize(linked(stars, set_tokens(docs, words, _ends(stars)), percent), "star-links")
     groups = materialize(components(near), "groups")
@@ -230,6 +232,16 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     return own.join(by_set, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` without those that a document of smaller id represents: one of each class of near duplicates stays, as do all without shingles."""
+    found = classes(docs, words, percent)
+    gone = materialize(found.where("component_id != doc_id").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "near-copies")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(gone))
+    flagged = docs.withColumn("_hit", F.col("doc_id").isNotNull() & bloom.hits(shared, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
+    kept = flagged.where("_hit").join(gone, "doc_id", "left_anti")
+    return flagged.where(~F.col("_hit")).select(docs.columns).unionByName(kept.select(docs.columns))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import bpe, fingerprint, html_extract, langid, ngram_join, packing, quality, sharding, suffix_dedup
+from cataloom.llm import bpe, fingerprint, html_extract, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
 from cataloom.sources.tables import table
 
 
@@ -27,6 +27,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids_text"), ranks), 256).alias("decoded_sha256"))
 
 
+def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat, exactly or nearly, an earlier one."""
+    out = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards, near equal in bytes."""
     out = sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
@@ -71,6 +77,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,

@@ -297,8 +297,40 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return met.where("lo < 0").unionByName(built).select("doc", F.col("pos").alias("start"), F.col("ph").alias("end"))
 
 
-def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; ``with_text``: kept (binary) too."""
+def gone_bytes(n: int, found: pa.Scalar) -> np.ndarray:
+    """Which of a text's n bytes the ranges of repeated starts cover."""
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, found.values.field("start").to_numpy(), 1)
+    np.add.at(change, found.values.field("end").to_numpy() + LENGTH, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def shortened(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of their texts; a character that loses a byte goes as a whole. Documents that lose nothing stay as they are."""
+    ranges = materialize(repeated_ranges(docs), "repeated")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(ranges.select("doc").distinct()))
+    flagged = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))).withColumn("_hit", bloom.hits(shared, "_doc"))
+    by_doc = ranges.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = []
+            for text, found in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+                if found.is_valid and text.is_valid:
+                    raw = np.frombuffer(text.as_buffer(), np.uint8)
+                    texts.append(raw[~gone_bytes(len(raw), found)].tobytes().decode("utf-8", "ignore"))
+                else:
+                    texts.append(text.as_py())
+            columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    hit = flagged.where("_hit").join(by_doc, "_doc", "left").select(*docs.columns, "_ranges").mapInArrow(cut, docs.schema)
+    return flagged.where(~F.col("_hit")).select(docs.columns).unionByName(hit)
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     ranges = materialize(repeated_ranges(docs), "repeated")
     by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     shared = docs.sparkSession.sparkContext.broadcast(bloom.build(ranges.select("doc").distinct()))
@@ -310,11 +342,11 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
             doc = batch.column("doc").to_numpy(zero_copy_only=False)
             hit = bloom.may_hold(shared.value, doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("null_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array([x if h or with_text else None for x, h in zip(raw, hit)], pa.binary())],
+                [batch.column("doc"), batch.column("null_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array([x if h else None for x, h in zip(raw, hit)], pa.binary())],
                 [x.split()[0] for x in own.split(", ")],
             )
 
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,18 +355,14 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 doc, n, sha = None if null_id.as_py() else doc.as_py(), n.as_py(), sha.as_py()
                 raw = raw.as_py() if raw.is_valid else b""
                 if not found.is_valid:
-                    out.append((doc, n, 0, 0, sha, raw)[: 5 + with_text])
+                    out.append((doc, n, 0, 0, sha))
                     continue
-                change = np.zeros(n + 1, np.int32)
-                x = found.values
-                np.add.at(change, x.field("start").to_numpy(), 1)
-                np.add.at(change, x.field("end").to_numpy() + LENGTH, -1)
-                gone = np.cumsum(change[:-1]) > 0
+                gone = gone_bytes(n, found)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((doc, n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept)[: 5 + with_text])
-            cols = list(zip(*out)) if out else [[]] * (5 + with_text)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                out.append((doc, n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in result.split(", ")])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.col("doc_id").isNull().alias("null_id"), "text")
