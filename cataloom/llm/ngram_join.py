@@ -72,10 +72,10 @@ def prefix_length(n: int, percent: int) -> int:
 PROFILE = "doc_id long, n_shingles long, set_id long, token long, n long"
 
 
-def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def profiles(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set_id of every document (set_id null without shingles); and rows (token, n) without n_shingles.
 
-    The latter are the prefix shingles that a batch of a task has had at least three times.
+    The latter are the shingles that a batch of a task has had at least three times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ids.append(name)
                 if name is not None and name not in seen:
                     seen.add(name)
-                    parts.append(tokens[: prefix_length(len(tokens), percent)])
+                    parts.append(tokens)
             token, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             token, count = token[count >= 3].view(np.int64), count[count >= 3].astype(np.int64)
             rows, more = batch.num_rows, len(token)
@@ -112,7 +112,7 @@ def _new_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tu
 
 
 def frequent_shingles(counted: DataFrame, size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``size`` shingles that stand in many prefixes, with lower bounds of their counts. Only the order of shingles depends on them, never the result."""
+    """At most ``size`` shingles that many sets have, with lower bounds of their counts. Only the order of shingles depends on them, never the result."""
     top = counted.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size).toPandas()
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -201,18 +201,19 @@ def promising(pairs: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id (the smallest doc_id that links reach) of every document."""
-    profiled = materialize(profiles(docs, words, percent), "shingle-profiles")
+    profiled = materialize(profiles(docs, words), "shingle-profiles")
     own = profiled.where("n_shingles is not null").select("doc_id", "n_shingles", "set_id")
     # Postings of prefix shingles that two sets or more have, with the posting's leader.
     frequent = frequent_shingles(profiled)
     place = Window.partitionBy("token", "salt")
-    postings = prefixes(docs, words, percent, frequent).withColumn("_least", F.min("set_id").over(place)).withColumn("_most", F.max("set_id").over(place)).withColumn("df", F.count("*").over(place))
+    postings = prefixes(docs, words, percent, frequent).withColumn("_least", F.min("set_id").over(place)).withColumn("_most", F.max("set_id").over(place))
     # A frequent shingle may have its second set under another salt; salts of it start at 1.
     postings = postings.where((F.col("_least") != F.col("_most")) | (F.col("salt") != 0))
-    postings = materialize(postings.select("token", "set_id", "n", F.when(F.col("salt") != 0, F.col("df") * SALTS).otherwise(F.col("df")).alias("df")), "postings")
+    postings = materialize(postings.select("token", "set_id", "n").distinct(), "postings")
 
     # Groups: the leader of a shingle is the most central set that has it, the one whose prefix is shared most.
-    central = postings.groupBy("set_id").agg((F.sum("df") / F.max("n")).alias("central"))
+    df = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    central = postings.join(df, "token").groupBy("set_id").agg((F.sum("df") / F.max("n")).alias("central"))
     leaders = postings.join(central, "set_id").groupBy("token").agg(F.max(F.struct("central", "set_id")).alias("x")).select("token", F.col("x.set_id").alias("leader"))
     named = postings.join(leaders, "token").where("leader != set_id").groupBy("set_id", "leader").count()
     best = named.withColumn("_r", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("count"), "leader"))).where(F.col("_r") <= LEADERS)
