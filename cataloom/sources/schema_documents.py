@@ -13,7 +13,7 @@ SHAPE = "imports array<struct<corpusPath:string,moniker:string>>, definitions ar
 
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     """(path, json) of all files below a folder; paths are relative to it."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder)
     return files.select(F.regexp_replace("_metadata.file_path", "^.*?" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"), F.col("value").alias("json"))
 
 
