@@ -205,11 +205,12 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     own = profiled.where("n_shingles is not null").select("doc_id", "n_shingles", "set_id")
     # Postings of prefix shingles that two sets or more have, with the posting's leader.
     frequent = frequent_shingles(profiled)
-    place = Window.partitionBy("token", "salt")
-    postings = prefixes(docs, words, percent, frequent).withColumn("_least", F.min("set_id").over(place)).withColumn("_most", F.max("set_id").over(place))
-    # A frequent shingle may have its second set under another salt; salts of it start at 1.
-    postings = postings.where((F.col("_least") != F.col("_most")) | (F.col("salt") != 0))
-    postings = materialize(postings.select("token", "set_id", "n").distinct(), "postings")
+    # Of a posting only sets stay that have one of fitting size in it; a frequent shingle may have it under another salt (they start at 1).
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = Window.partitionBy("token", "salt").orderBy("n", "set_id")
+    dealt = prefixes(docs, words, percent, frequent).repartition(parts, "token", "salt").distinct().withColumn("_less", F.lag("n").over(place)).withColumn("_more", F.lead("n").over(place))
+    postings = dealt.where((F.col("salt") != 0) | (100 * F.col("_less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("_more")))
+    postings = materialize(postings.select("token", "set_id", "n"), "postings")
 
     # Groups: the leader of a shingle is the most central set that has it, the one whose prefix is shared most.
     df = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -236,11 +237,11 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
 def representatives(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` without those that a document of smaller id represents: one of each class of near duplicates stays, as do all without shingles."""
     found = classes(docs, words, percent)
-    gone = materialize(found.where("component_id != doc_id").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "near-copies")
+    gone = materialize(found.where("component_id != doc_id").select("doc_id").distinct(), "near-copies")
     shared = docs.sparkSession.sparkContext.broadcast(bloom.build(gone))
-    flagged = docs.withColumn("_hit", F.col("doc_id").isNotNull() & bloom.hits(shared, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
-    kept = flagged.where("_hit").join(gone, "doc_id", "left_anti")
-    return flagged.where(~F.col("_hit")).select(docs.columns).unionByName(kept.select(docs.columns))
+    flagged = docs.withColumn("__hit", F.col("doc_id").isNotNull() & bloom.hits(shared, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
+    kept = flagged.where("__hit").join(gone, "doc_id", "left_anti")
+    return flagged.where(~F.col("__hit")).select(docs.columns).unionByName(kept.select(docs.columns))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -251,20 +252,23 @@ def _between_groups(postings: DataFrame, groups: DataFrame, percent: int) -> Dat
     """Pairs (a, b) of sets of different groups that may be linked, through the token-group matrix."""
     at = postings.join(groups.select(F.col("node").alias("set_id"), F.col("component").alias("grp")), "set_id", "left").withColumn("grp", F.coalesce("grp", "set_id"))
     at = materialize(at.select("token", "set_id", "n", "grp"), "grouped-postings")
-    matrix = at.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = at.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
     mixed = matrix.groupBy("token").count().where("count > 1").select("token")
     extent = at.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.approx_count_distinct("set_id").alias("size"))
     # The sets of the smaller group ask the larger one; a group's sizes are cut to those that fit the set's.
     rank = F.struct("size", "grp")
     asked = at.join(mixed, "token", "left_semi").join(extent, "grp").select("token", "set_id", "n", rank.alias("mine"))
-    other = matrix.join(mixed, "token", "left_semi").join(extent, "grp").select("token", "grp", "low", "high", "least", "most", rank.alias("theirs"))
+    other = matrix.join(mixed, "token", "left_semi").join(extent, "grp").select("token", "grp", "low", "high", "members", "least", "most", rank.alias("theirs"))
     fits = (F.col("mine") < F.col("theirs")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
-    met = asked.join(other, "token").where(fits).groupBy("set_id", "grp", "n", "least", "most").agg(F.count("*").alias("shared"))
+    met = asked.join(other, "token").where(fits).select("set_id", "grp", "n", "least", "most", "token", "members")
     met = met.withColumn("least", F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100).cast("int"))).withColumn("most", F.least("most", F.floor(F.lit(100) * F.col("n") / percent).cast("int")))
-    # The bound is concave in the member's size on either side of n, so its least value stands at an end.
-    bound = F.least(least_overlap("n", "least", percent), least_overlap("n", "most", percent))
-    open_groups = materialize(met.where(F.col("shared") >= bound).select(F.col("set_id").alias("a"), "grp"), "open-groups")
-    mine = open_groups.join(at.select(F.col("set_id").alias("a"), "token", F.col("n").alias("na")), "a")
+    # The bound falls away from n on either side, so its least value stands at an end.
+    cell = Window.partitionBy("set_id", "grp")
+    met = met.withColumn("bound", F.least(least_overlap("n", "least", percent), least_overlap("n", "most", percent)))
+    met = met.withColumn("shared", F.count("*").over(cell)).withColumn("place", F.row_number().over(cell.orderBy("members", "token")))
+    # A member with enough of the shared shingles has one of those that are left when all but bound - 1 are taken, the rarest ones.
+    probes = met.where((F.col("shared") >= F.col("bound")) & (F.col("place") <= F.col("shared") - F.col("bound") + 1))
+    probes = materialize(probes.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "grp", "token"), "open-groups")
     theirs = at.select("token", "grp", F.col("set_id").alias("b"), F.col("n").alias("nb"))
-    shared = mine.join(theirs, ["token", "grp"]).where(_sizes_fit("na", "nb", percent)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return materialize(shared.where(F.col("shared") >= least_overlap("na", "nb", percent)).select("a", "b"), "opened")
+    pairs = probes.join(theirs, ["token", "grp"]).where(_sizes_fit("na", "nb", percent)).select("a", "b").distinct()
+    return materialize(promising(pairs, postings, percent), "opened")
