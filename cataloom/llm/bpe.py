@@ -199,7 +199,7 @@ def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FRE
     top = counts.where((F.col("count") > 1) & (F.octet_length("word") <= LONG) & ~F.contains("word", F.lit(MARK))).orderBy(F.desc("count"), "word").limit(size)
     spread = top.select("word").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = spread.select("word", F.xxhash64("word").alias("hash"), _let(ranks.constants(), lambda c: word_ids(F.col("word"), c, False)).alias("ids")).toPandas()
-    slots = 1 << max(10, (2 * len(found)).bit_length())
+    slots = 1 << max(10, (11 * len(found) // 10).bit_length())
     tables = [[""] * slots for _ in range(4)]
     held: dict[tuple[int, int], tuple] = {}
     for item in zip(found["word"], found["ids"], found["hash"]):
