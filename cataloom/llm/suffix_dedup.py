@@ -309,8 +309,8 @@ def shortened(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes taken out of their texts; a character that loses a byte goes as a whole. Documents that lose nothing stay as they are."""
     ranges = materialize(repeated_ranges(docs), "repeated")
     shared = docs.sparkSession.sparkContext.broadcast(bloom.build(ranges.select("doc").distinct()))
-    flagged = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))).withColumn("_hit", bloom.hits(shared, "_doc"))
-    by_doc = ranges.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
+    flagged = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))).withColumn("__hit", bloom.hits(shared, "__doc"))
+    by_doc = ranges.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end")).alias("__ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,8 +325,8 @@ def shortened(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    hit = flagged.where("_hit").join(by_doc, "_doc", "left").select(*docs.columns, "_ranges").mapInArrow(cut, docs.schema)
-    return flagged.where(~F.col("_hit")).select(docs.columns).unionByName(hit)
+    hit = flagged.where("__hit").join(by_doc, "__doc", "left").select(*docs.columns, "__ranges").mapInArrow(cut, docs.schema)
+    return flagged.where(~F.col("__hit")).select(docs.columns).unionByName(hit)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
