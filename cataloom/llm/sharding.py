@@ -72,7 +72,7 @@ def rebalanced(current: pd.DataFrame, shards: int) -> pd.DataFrame:
 
 def store_map(spark: SparkSession, slot_map: pd.DataFrame, path: str) -> None:
     """Append a version to the stored maps."""
-    spark.createDataFrame(slot_map, MAP_SCHEMA).write.mode("append").partitionBy("version").parquet(path)
+    spark.createDataFrame(slot_map[[x.split()[0] for x in MAP_SCHEMA.split(", ")]], MAP_SCHEMA).write.mode("append").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     maps = spark.read.schema(MAP_SCHEMA).parquet(path)
     if version is None:
         version = maps.agg(F.max("version")).first()[0]
-    return maps.where(F.col("version") == version)
+    return maps.where(F.col("version") == version).select(*(x.split()[0] for x in MAP_SCHEMA.split(", ")))
 
 
 def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
