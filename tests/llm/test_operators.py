@@ -365,5 +365,13 @@ def test_plan_is_best_fit_over_counts():
             assert fill[sequence + i] == offset
             fill[sequence + i] += length
     assert seen == Counter({k: v for k, v in histogram.items() if v}) and max(fill.values()) <= 100
-    least = max(sum(k * v for k, v in histogram.items()) / 100, sum(v for k, v in histogram.items() if k > 50))
-    assert len(fill) <= least * 1.02 + 1
+    # As many sequences as best fit decreasing opens when it takes pieces one by one.
+    rooms = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            fits = [(room, i) for i, room in enumerate(rooms) if room >= length]
+            if fits:
+                rooms[min(fits)[1]] -= length
+            else:
+                rooms.append(100 - length)
+    assert len(fill) == len(rooms)
