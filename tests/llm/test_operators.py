@@ -375,3 +375,9 @@ def test_plan_is_best_fit_over_counts():
             else:
                 rooms.append(100 - length)
     assert len(fill) == len(rooms)
+
+
+def test_short_lines_go_only_as_exact_copies_and_digits_and_marks_count(spark):
+    lines = ["Short line", "Short line", "short line", "私は猫です。", "私は猫です。", "", " ", "", "---", "---", "12 34 56 78 90", "98 76 54 32 10", "12  34 56 78 90", "for i in a [ i ] + = 1", "for i in a [ i ] + = 1"]
+    found = line_dedup.deduplicated(spark.createDataFrame([(1, "\n".join(lines[:7])), (2, "\n".join(lines[7:]))], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == {1: "Short line\nshort line\n私は猫です。\n\n ", 2: "\n---\n12 34 56 78 90\n98 76 54 32 10\nfor i in a [ i ] + = 1"}
