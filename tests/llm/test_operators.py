@@ -381,3 +381,19 @@ def test_short_lines_go_only_as_exact_copies_and_digits_and_marks_count(spark):
     lines = ["Short line", "Short line", "short line", "私は猫です。", "私は猫です。", "", " ", "", "---", "---", "12 34 56 78 90", "98 76 54 32 10", "12  34 56 78 90", "for i in a [ i ] + = 1", "for i in a [ i ] + = 1"]
     found = line_dedup.deduplicated(spark.createDataFrame([(1, "\n".join(lines[:7])), (2, "\n".join(lines[7:]))], "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in found} == {1: "Short line\nshort line\n私は猫です。\n\n ", 2: "\n---\n12 34 56 78 90\n98 76 54 32 10\nfor i in a [ i ] + = 1"}
+
+
+def test_fuzzy_lines_of_every_length_are_found(spark):
+    rng, rows = np.random.default_rng(8), []
+    for n in (6, 8, 12, 16, 24, 40, 80):
+        for k in range(20):
+            words = prose(1000 * n + k, n).split()
+            at = int(rng.integers(n))
+            other = list(words)
+            other[at] = "k" * len(words[at])
+            if 5 * len(words[at]) <= len(" ".join(words)):  # then the edit similarity is 0.8 or more
+                rows.append((2 * len(rows), n, " ".join(words), " ".join(other)))
+    docs = spark.createDataFrame([x for i, _, a, b in rows for x in ((i, a), (i + 1, b))], "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.deduplicated(docs).where("n_lines_removed = 1").collect()}
+    total, found = Counter(n for _, n, _, _ in rows), Counter(n for i, n, _, _ in rows if i + 1 in gone)
+    assert all(i % 2 for i in gone) and all(found[n] >= 0.9 * total[n] for n in total), (found, total)
