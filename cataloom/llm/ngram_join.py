@@ -187,6 +187,16 @@ def least_overlap(n: str, m: str, percent: int):
     return F.greatest(both - behind, F.lit(1))
 
 
+def least_overlap_between(n: str, low: str, high: str, percent: int):
+    """A bound that :func:`least_overlap` of n and any size from low to high reaches.
+
+    Without its ceilings it rises up to n and falls after, so its least value stands at an end. The ceilings make it
+    uneven, but never bring it down to the value without them: it is above, so at least the next whole number.
+    """
+    smooth = lambda m: F.lit(percent / (100 + percent)) * (F.col(n) + F.col(m)) - F.lit(percent / 100) * F.greatest(n, m)
+    return F.greatest(F.floor(F.least(smooth(low), smooth(high)) - F.lit(1e-9)) + 1, F.lit(1))
+
+
 def _sizes_fit(n: str, m: str, percent: int):
     return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
 
@@ -262,9 +272,8 @@ def _between_groups(postings: DataFrame, groups: DataFrame, percent: int) -> Dat
     fits = (F.col("mine") < F.col("theirs")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
     met = asked.join(other, "token").where(fits).select("set_id", "grp", "n", "least", "most", "token", "members")
     met = met.withColumn("least", F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100).cast("int"))).withColumn("most", F.least("most", F.floor(F.lit(100) * F.col("n") / percent).cast("int")))
-    # The bound falls away from n on either side, so its least value stands at an end.
     cell = Window.partitionBy("set_id", "grp")
-    met = met.withColumn("bound", F.least(least_overlap("n", "least", percent), least_overlap("n", "most", percent)))
+    met = met.withColumn("bound", least_overlap_between("n", "least", "most", percent))
     met = met.withColumn("shared", F.count("*").over(cell)).withColumn("place", F.row_number().over(cell.orderBy("members", "token")))
     # A member with enough of the shared shingles has one of those that are left when all but bound - 1 are taken, the rarest ones.
     probes = met.where((F.col("shared") >= F.col("bound")) & (F.col("place") <= F.col("shared") - F.col("bound") + 1))

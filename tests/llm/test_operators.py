@@ -397,3 +397,21 @@ def test_fuzzy_lines_of_every_length_are_found(spark):
     gone = {r.doc_id for r in line_dedup.deduplicated(docs).where("n_lines_removed = 1").collect()}
     total, found = Counter(n for _, n, _, _ in rows), Counter(n for i, n, _, _ in rows if i + 1 in gone)
     assert all(i % 2 for i in gone) and all(found[n] >= 0.9 * total[n] for n in total), (found, total)
+
+
+def test_ngram_group_bound_holds_for_every_size(spark):
+    for percent in (75, 80):
+        n, m = spark.range(1, 181).select(F.col("id").alias("n")), spark.range(1, 242).select(F.col("id").alias("m"))
+        pairs = n.join(m, ngram_join._sizes_fit("n", "m", percent)).select("n", "m", ngram_join.least_overlap("n", "m", percent).alias("x"))
+        own = {(r.n, r.m): r.x for r in pairs.collect()}
+        ends = n.join(m.withColumnRenamed("m", "low"), ngram_join._sizes_fit("n", "low", percent)).join(m.withColumnRenamed("m", "high"), ngram_join._sizes_fit("n", "high", percent) & (F.col("low") <= F.col("high")))
+        for r in ends.where("n > 90 or n < 30").where("n % 3 = 1").select("*", ngram_join.least_overlap_between("n", "low", "high", percent).alias("x")).collect():
+            assert 1 <= r.x <= min(own[r.n, k] for k in range(r.low, r.high + 1))
+
+
+def test_ngram_link_into_a_group_of_uneven_bounds(spark):
+    # 10 common prefix shingles are enough for sizes 100 and 103, but 11 are needed at both ends of the group's sizes.
+    rows = [(t, 1, 100) for t in range(10)] + [(t, 2, 103) for t in range(10)] + [(t, s, n) for t in (50, 51) for s, n in ((2, 103), (3, 100), (4, 104))]
+    postings = spark.createDataFrame(rows, "token long, set_id long, n int")
+    groups = spark.createDataFrame([(2, 2), (3, 2), (4, 2)], "node long, component long")
+    assert {(r.a, r.b) for r in ngram_join._between_groups(postings, groups, 75).collect()} == {(1, 2)}
