@@ -33,8 +33,9 @@ BITS = 6
 SYMBOLS = 1 << BITS
 #: Bound of the training sample, per language, in documents.
 SAMPLE_DOCS = 600
-#: Most languages that a model may hold (their table has 64 MB each).
-MAX_LANGUAGES = 8
+#: Languages whose tables a worker keeps at once (64 MB each), and bytes of text that it scores together if there are more.
+KEPT_TABLES = 8
+RUN_BYTES = 32 << 20
 #: Documents with a lower score are rejected.
 LEAST_SCORE = 0.5
 
@@ -44,18 +45,13 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """lang, text of a bounded sample of labelled documents that aren't held out; empty texts don't count."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(is_held_out(), F.lit(True)))
-    # One row per language; the most frequent ones are kept.
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return labelled.select("lang", "text").limit(0)
-    chosen = F.lit(False)
-    for row in sizes:
-        share = min(1.0, sample_docs / row["count"])
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    return labelled.where(chosen).select("lang", "text")
+def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """lang, text of a bounded sample, in each language, of labelled documents that aren't held out; empty texts don't count."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(is_held_out(), F.lit(True))).select("doc_id", "lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    share = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("size"))
+    chosen = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 20)) < F.floor(share * F.lit(1 << 20))
+    return labelled.join(F.broadcast(sizes), "lang").where(chosen).select("lang", "text")
 
 
 def byte_counts(sample: DataFrame) -> pd.DataFrame:
@@ -148,6 +144,36 @@ class Model:
         return _tables[self.key]
 
 
+    def sums(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """[text, language] bits of the texts of each part that aren't empty; more than KEPT_TABLES languages come one after the other."""
+
+        def bits(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+            starts = offsets[:-1][offsets[1:] > offsets[:-1]]
+            return np.add.reduceat(table[codes(data, offsets, self.classes)], starts, axis=0, dtype=np.float64)
+
+        if len(self.languages) <= KEPT_TABLES:
+            return [bits(self.table(), *part) for part in parts]
+        out = [[] for _ in parts]
+        for code, n in self.counts:
+            table = code_lengths(code, n)
+            for columns, part in zip(out, parts):
+                columns.append(bits(table, *part))
+        return [np.column_stack(columns) for columns in out]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of at least so many bytes."""
+    run, size = [], 0
+    for batch in batches:
+        run.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from the labelled documents that aren't held out."""
     sample = training_sample(docs, sample_docs)
@@ -173,30 +199,26 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         languages = np.array([*model.languages, "und"], object)
-        for batch in batches:
-            n = batch.num_rows
-            best, sure, bits = np.full(n, len(languages) - 1), np.zeros(n), np.zeros(n)
-            if len(languages) > 1:
-                table = model.table()
-                for at, to, data, offsets in K.slices(batch.column("text")):
-                    code = codes(data, offsets, model.classes)
-                    full = np.flatnonzero(offsets[1:] > offsets[:-1])
-                    if not len(full):
-                        continue
-                    sums = np.add.reduceat(table[code], offsets[:-1][full], axis=0, dtype=np.float64)
-                    size = (offsets[1:] - offsets[:-1])[full]
-                    winner = sums.argmin(1)
-                    low = sums[np.arange(len(full)), winner]
-                    scale = np.minimum(size, 64) / size
-                    share = 1 / np.exp2(np.maximum((low[:, None] - sums) * scale[:, None], -1000)).sum(1)
-                    for i, row in enumerate(full):
-                        span = data[offsets[row] : offsets[row + 1]]
-                        if _has_letter(span, span.tobytes() if len(span) < 4096 else b"") or (len(span) >= 4096 and _has_letter(span, span.tobytes())):
-                            best[at + row], sure[at + row], bits[at + row] = winner[i], share[i], low[i] / size[i]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(languages[best], pa.string()), pa.array(sure), pa.array(bits)],
-                [*keep, "lang_pred", "score", "bits_per_byte"],
-            )
+        for run in _runs(batches, RUN_BYTES if len(model.languages) > KEPT_TABLES else 0):
+            parts = [(b, at, data, offsets) for b, batch in enumerate(run) for at, _, data, offsets in K.slices(batch.column("text")) if len(data)] if model.languages else []
+            found = [(np.full(x.num_rows, len(languages) - 1), np.zeros(x.num_rows), np.zeros(x.num_rows)) for x in run]
+            for (b, at, data, offsets), sums in zip(parts, model.sums([x[2:] for x in parts])):
+                best, sure, bits = found[b]
+                full = np.flatnonzero(offsets[1:] > offsets[:-1])
+                size = (offsets[1:] - offsets[:-1])[full]
+                winner = sums.argmin(1)
+                low = sums[np.arange(len(full)), winner]
+                scale = np.minimum(size, 64) / size
+                share = 1 / np.exp2(np.maximum((low[:, None] - sums) * scale[:, None], -1000)).sum(1)
+                for i, row in enumerate(full):
+                    span = data[offsets[row] : offsets[row + 1]]
+                    if _has_letter(span, span.tobytes() if len(span) < 4096 else b"") or (len(span) >= 4096 and _has_letter(span, span.tobytes())):
+                        best[at + row], sure[at + row], bits[at + row] = winner[i], share[i], low[i] / size[i]
+            for batch, (best, sure, bits) in zip(run, found):
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in keep), pa.array(languages[best], pa.string()), pa.array(sure), pa.array(bits)],
+                    [*keep, "lang_pred", "score", "bits_per_byte"],
+                )
 
     whole = docs.select(*keep, *(() if "text" in keep else ("text",)))
     schema = T.StructType([*(whole.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])

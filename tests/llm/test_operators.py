@@ -415,3 +415,11 @@ def test_ngram_link_into_a_group_of_uneven_bounds(spark):
     postings = spark.createDataFrame(rows, "token long, set_id long, n int")
     groups = spark.createDataFrame([(2, 2), (3, 2), (4, 2)], "node long, component long")
     assert {(r.a, r.b) for r in ngram_join._between_groups(postings, groups, 75).collect()} == {(1, 2)}
+
+
+def test_language_id_learns_every_language(spark):
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzab", "cegi", "dfhj", "klqz", "muxy"]
+    rows = [(100 * k + i, " ".join("".join(np.random.default_rng(100 * k + i).choice(list(x), (12, 5))[j]) for j in range(12)), f"l{k:02d}") for k, x in enumerate(letters) for i in range(12 - k // 2)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert len(out) == len(rows) and all(r.lang_pred == want[r.doc_id] and 0 < r.score <= 1 for r in out)
