@@ -2,9 +2,10 @@
 
 A page is cut into blocks of text, each with its root-to-leaf path of tags (with classes). Per path the text length per
 block and the punctuation per block are added up; both are smoothed along the order of blocks in the page, fused by
-multiplication, and paths at or above a share of the page's fused mean are content paths. The element that holds most of
-the content paths' text is the article, and all its blocks belong to the text, short ones too, save those under elements
-that are never content by their tag, role or class (menus, forms, notices, adverts, comments, ...).
+multiplication, and paths at or above a share of the page's fused mean are content paths. The outermost
+article or main element with most of the content paths' text, or else the deepest element with all of it, is the article. All its
+blocks belong to the text, short ones too, and so do blocks of content paths elsewhere, save those under elements that are
+never content by their tag or role, or by a whole class or id if they don't hold most of the text (menus, comments, ...).
 
 Defined results: an empty or null page has an empty text; an unclosed or cut page is read as far as it goes; a tag cut off
 by the end of the page is dropped; unknown tags are inline; repeated pages get one row each; extra columns are ignored.
@@ -34,7 +35,7 @@ BLOCK = HEADINGS | frozenset(
 #: Never content, with all they hold.
 SKIPPED = frozenset("head title nav footer aside form button select option textarea input label fieldset noscript iframe object svg canvas menu dialog audio video template search".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of a class or id that mark an element as never content.
+#: Whole classes or ids that mark an element as no content, unless it holds most of the page's text.
 SKIPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "side rail widget footer masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
@@ -53,14 +54,13 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-WORDS = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
 
 class Element:
     """An open or closed element of the page."""
 
-    __slots__ = ("tag", "parent", "path", "skipped", "depth", "marks")
+    __slots__ = ("tag", "parent", "path", "never", "marked", "skipped", "depth", "marks")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -68,13 +68,14 @@ class Element:
         self.marks = found.get("class", "").lower()
         self.path = (parent.path if parent else "") + "/" + tag + ("." + self.marks if self.marks else "")
         self.depth = parent.depth + 1 if parent else 0
-        names = set(WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found.get("class", "") + " " + found.get("id", "")).lower()))
+        names = set((found.get("class", "") + " " + found.get("id", "")).lower().split())
         inside_article = parent is not None and any(x.tag in ("article", "main") for x in parent.line())
-        self.skipped = bool(
-            parent and parent.skipped or tag in SKIPPED or (tag == "header" and not inside_article)
+        self.never = bool(
+            parent and parent.never or tag in SKIPPED or (tag == "header" and not inside_article)
             or found.get("role", "").lower() in SKIPPED_ROLES or "hidden" in found or re.search(r"\shidden(\s|$)", attributes)
-            or (tag not in ("html", "body", "main") and names & SKIPPED_WORDS)
         )
+        self.marked = tag not in ("html", "body", "main") and bool(names & SKIPPED_WORDS)
+        self.skipped = self.never or self.marked or bool(parent and parent.skipped)
 
     def line(self) -> Iterator[Element]:
         at: Element | None = self
@@ -164,9 +165,20 @@ def content_paths(found: list[tuple[Element, str]]) -> dict[str, float]:
     return {p: v for p, v in fused.items() if v >= THRESHOLD * mean}
 
 
+def unmarked(found: list[tuple[Element, str]]) -> list[tuple[Element, str]]:
+    """The blocks that aren't skipped; a class or id alone skips no element that holds most of the text."""
+    found = [(e, t) for e, t in found if not e.never]
+    held: dict[Element, int] = defaultdict(int)
+    for element, text in found:
+        for up in element.line():
+            held[up] += len(text)
+    total = sum(len(t) for _, t in found)
+    return [(e, t) for e, t in found if not any(up.marked and 2 * held[up] <= total for up in e.line())]
+
+
 def main_text(page: str) -> str:
     """The article's blocks, joined by newlines."""
-    found = [(e, t) for e, t in blocks(page) if not e.skipped]
+    found = unmarked(blocks(page))
     if not found:
         return ""
     chosen = content_paths(found)
@@ -176,10 +188,9 @@ def main_text(page: str) -> str:
             for up in element.line():
                 weight[up] += len(text)
     total = max(weight.values(), default=0)
-    # The deepest element with most of the content; an article or main element that has it comes first.
-    holders = [e for e, w in weight.items() if w >= 0.6 * total]
-    marked = [e for e in holders if e.tag in ("article", "main")]
-    article = max(marked or holders, key=lambda e: e.depth)
+    # The outermost article or main element with most of the content, or else the deepest element with all of it.
+    marked = [e for e, w in weight.items() if w >= 0.6 * total and e.tag in ("article", "main")]
+    article = min(marked, key=lambda e: e.depth) if marked else max((e for e, w in weight.items() if w >= total), key=lambda e: e.depth)
     if article.tag in HEADINGS or article.tag == "p":
         article = article.parent or article
     # A heading beside the holder belongs to it when nothing else is there.
@@ -188,7 +199,9 @@ def main_text(page: str) -> str:
         if not beside or any(e.tag not in HEADINGS for e in beside):
             break
         article = article.parent
-    return "\n".join(t for e, t in found if article in e.line())
+    # Of a whole page only the parts with content belong to it.
+    parts = {e for e in weight if e.parent is article} if article.tag in ("", "html", "body") else set()
+    return "\n".join(t for e, t in found if e.path in chosen or e is article or (not parts or not parts.isdisjoint(e.line())) and article in e.line())
 
 
 def extract(pages: DataFrame) -> DataFrame:

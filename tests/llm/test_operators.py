@@ -423,3 +423,11 @@ def test_language_id_learns_every_language(spark):
     out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     want = {i: lang for i, _, lang in rows}
     assert len(out) == len(rows) and all(r.lang_pred == want[r.doc_id] and 0 < r.score <= 1 for r in out)
+
+
+def test_html_keeps_every_part_of_the_article():
+    s = "A long sentence, with commas, and more of it. "
+    one, two = (s * 13).strip(), (s * 7).strip()
+    for page in (f"<body><div><p>{one}</p></div><div><p>{two}</p></div></body>", f"<main><article><p>{one}</p></article><section><p>{two}</p></section></main>", f"<div class='has-sidebar nav-open'><p>{one}</p><p>{two}</p></div>", f"<article class='post has-comments'><p>{one}</p><p>{two}</p></article>", f"<div class='widget'><p>{one}</p><p>{two}</p></div>"):
+        assert html_extract.main_text(page) == one + "\n" + two
+    assert html_extract.main_text(f"<body><div><p>{one}</p></div><div class='sidebar'><p>{two}</p></div></body>") == one
