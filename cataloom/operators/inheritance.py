@@ -6,6 +6,8 @@ parent_id.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from cataloom.sources.shared import materialize
 PLACEHOLDER = "id"
 
 
-def chains(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
+def chains(nodes: DataFrame) -> DataFrame:
     """entity_id, ancestor_id, depth: each entity (depth 0) and its ancestors; a repeated one ends its chain.
 
     One join a level; only entities whose chain goes on take part in the next one.
@@ -23,7 +25,7 @@ def chains(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
     parents = nodes.select(F.col("entity_id").alias("child"), "parent_id")
     level = nodes.select("entity_id", F.col("entity_id").alias("ancestor_id"), F.lit(0).alias("depth"), F.array("entity_id").alias("path"))
     out = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):  # path ends every cycle
         step = level.join(parents, F.col("ancestor_id") == F.col("child")).where(F.col("parent_id").isNotNull() & ~F.array_contains("path", F.col("parent_id")))
         level = materialize(step.select("entity_id", F.col("parent_id").alias("ancestor_id"), F.lit(depth).alias("depth"), F.concat("path", F.array("parent_id")).alias("path")), "chain")
         if level.isEmpty():

@@ -19,7 +19,7 @@ ROOT = "CdmEntity"
 FLAT = "doc string, owner_kind string, owner string, ord array<int>, kind string, name string, data_type string, description string, fk_name string, fk_targets array<string>, is_fk boolean, group_path array<string>"
 
 
-def closure(roots: DataFrame, imports: DataFrame, max_depth: int = 32) -> DataFrame:
+def closure(roots: DataFrame, imports: DataFrame) -> DataFrame:
     """root, doc, rank: the documents visible from each root through unaliased imports, depth first in the order of declaration.
 
     The first visit of a depth-first walk is the smallest path of import ordinals, so each round extends paths by one
@@ -28,7 +28,7 @@ def closure(roots: DataFrame, imports: DataFrame, max_depth: int = 32) -> DataFr
     plain = imports.where("moniker is null").select(F.col("doc").alias("at"), "ord", F.col("target_doc").alias("next")).where("at != next")
     start = roots.select(F.col("doc").alias("root")).distinct().select("root", F.col("root").alias("doc"), F.array().cast("array<int>").alias("path"), F.array("root").alias("seen"))
     best = frontier = materialize(start, "closure")
-    for _ in range(max_depth):
+    while True:  # seen ends every cycle
         step = frontier.join(plain, F.col("doc") == F.col("at")).where(~F.array_contains("seen", F.col("next")))
         step = step.select("root", F.col("next").alias("doc"), F.concat("path", F.array("ord")).alias("path"), F.concat("seen", F.array("next")).alias("seen"))
         frontier = materialize(step, "closure-step")
@@ -130,7 +130,7 @@ def flattened(entities: DataFrame, groups: DataFrame) -> DataFrame:
     return both.mapInArrow(run, FLAT)
 
 
-def expanded(flat: DataFrame, closures: DataFrame, imports: DataFrame, groups: DataFrame, max_depth: int = 16) -> DataFrame:
+def expanded(flat: DataFrame, closures: DataFrame, imports: DataFrame, groups: DataFrame) -> DataFrame:
     """Attributes of entities with named groups put in, transitively; a group that is met again on its own path is skipped.
 
     Each group's members are joined in where it is referred to; the ordinal paths keep the order of declaration.
@@ -142,7 +142,7 @@ def expanded(flat: DataFrame, closures: DataFrame, imports: DataFrame, groups: D
     own = flat.where("owner_kind = 'entity'").withColumn("home", F.col("doc")).withColumn("seen", F.array().cast("array<string>"))
     done = own.where("kind = 'attribute'").select(*columns)
     open_ = own.where("kind = 'group'").select("doc", "owner", "ord", "home", "seen", "group_path", F.col("name").alias("wanted"))
-    for _ in range(max_depth):
+    while True:  # seen ends every cycle
         hit = open_.join(found.withColumnRenamed("doc", "home"), ["home", "wanted"]).withColumn("id", F.concat("found_doc", F.lit("#"), "found_name")).where(~F.array_contains("seen", F.col("id")))
         inside = hit.join(members, ["found_doc", "found_name"]).select(
             "doc", "owner", F.concat("ord", "m_ord").alias("ord"), F.col("found_doc").alias("home"), F.concat("seen", F.array("id")).alias("seen"), F.concat("group_path", F.array("found_name"), "m_path").alias("group_path"),

@@ -118,3 +118,11 @@ def test_merge_and_seed_rule(spark):
     found = {r.target: (r.chosen_id, r.resolved_by) for r in R.chosen_targets(wanted, seeds).collect()}
     assert found == {"Party": ("seed#Party", "seed_layer"), "m/Party": ("lib#Party", "import_order"), "Two": (None, None)}
     assert [tuple(r) for r in R.deviations(R.chosen_targets(wanted, seeds)).collect()] == [("Party", 1)]
+
+
+def test_deep_chains_and_imports_are_followed_to_their_end(spark):
+    nodes = spark.createDataFrame([(f"e{i:02d}", f"e{i + 1:02d}" if i < 35 else None) for i in range(36)], "entity_id string, parent_id string")
+    assert H.chains(nodes).where("entity_id = 'e00'").count() == 36
+    imports = spark.createDataFrame([(f"d{i:02d}", 0, f"d{i + 1:02d}", None) for i in range(35)], "doc string, ord int, target_doc string, moniker string")
+    found = N.closure(spark.createDataFrame([("d00",)], "doc string"), imports).collect()
+    assert sorted((r["rank"], r.doc) for r in found) == [(i, f"d{i:02d}") for i in range(36)]
