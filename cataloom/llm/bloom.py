@@ -57,6 +57,15 @@ def build(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     return out[: bits // 64].view(np.uint8)
 
 
+def sized(keys: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+    """A filter with some 12 bits a key, 1 to 16 MB: right for up to ten million keys. Beyond that it passes more and more, and the join behind it deals rows by key."""
+    bits = BITS
+    wanted = 12 * keys.count()
+    while bits < min(wanted, most_bits):
+        bits *= 2
+    return build(keys, bits)
+
+
 def hits(bitmap, key: str):
     """Column: may the filter (a broadcast variable) hold the key? Only the key goes to Python."""
     import pandas as pd
