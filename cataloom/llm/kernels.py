@@ -48,6 +48,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, build):
+    """A large table that a worker keeps for its next tasks; a worker holds one at a time, the newest."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
+def drop_resident() -> None:
+    """Free what :func:`resident` keeps, before work that needs the memory."""
+    _resident.clear()
+
+
 def slices(column: pa.Array, max_bytes: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows of about ``max_bytes``; a longer text is a run of its own. Null counts as empty."""
     column = column.cast(pa.large_string())

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from cataloom.llm import bpe, components, fingerprint, html_extract, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
+from cataloom.llm import bpe, components, edits, fingerprint, html_extract, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, token string, gone string, n_lines string, lang_pred string"
 PROSE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from a tall old tree near the river bank"
@@ -89,17 +89,45 @@ def test_bpe_white_space_and_contractions(spark, ranks):
     assert {r.doc_id: r.ids_text for r in out.collect()} == {i: ",".join(map(str, own.encode_ordinary(t))) for i, t in enumerate(hard)}
 
 
-def test_line_dedup(spark, docs, none, texts):
-    rows = {r.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
-    first, gone = {}, defaultdict(set)
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def plain(line):
+    return " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), line).split(" "))
+
+
+def brute_lines(texts):
+    """What is left of each text when every line with five words or more is compared with every other one (by the distance that a test below holds against a plain table)."""
+    union, place = Union(), {}
     for d in sorted(texts):
         for i, line in enumerate((texts[d] or "").split("\n")):
-            key = tuple(bytes(line_dedup.NORMAL[np.frombuffer(line.encode(), np.uint8)]).split())
-            if len(key) >= line_dedup.MIN_WORDS and first.setdefault(key, (d, i)) != (d, i):
-                gone[d].add(i)
-    for d, t in texts.items():
-        lines = (t or "").split("\n")
-        assert gone[d] <= set(range(len(lines))) and rows[d].n_lines_removed >= len(gone[d])
+            words = WORD.findall(re.sub(r"[!-/:-@\[-`{-~]", " ", line))
+            if len(words) >= line_dedup.MIN_WORDS:
+                place[d, i] = " ".join(WORD.findall(plain(line))), True
+            elif WORD.search(line):
+                place[d, i] = line, False
+    for p in place:
+        for q in place:
+            if p < q and place[p][1] == place[q][1]:
+                x, y = place[p][0], place[q][0]
+                most = max(len(x), len(y)) * (100 - line_dedup.PERCENT) // 100 if place[p][1] else 0
+                if x == y or abs(len(x) - len(y)) <= most and edits.distance(x, y) <= most:
+                    union.join(p, q)
+    lines = lambda t: enumerate((t or "").split("\n"))
+    return {d: "\n".join(line for i, line in lines(t) if union.find((d, i)) == (d, i)) for d, t in texts.items()}
+
+
+def test_line_dedup(spark, docs, none, texts):
+    rows = {r.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
+    want = brute_lines({d: t for d, t in texts.items() if len(t or "") < 3000})
+    for d, t in want.items():
+        assert (rows[d].text or "") == t, d
     assert rows[1].text == "" and rows[0].text == PROSE and rows[2].text is None and rows[12].text == "" and rows[0].gone == "g"
     assert rows[8].n_lines_removed >= 299
     assert line_dedup.deduplicated(none).count() == 0
@@ -107,29 +135,36 @@ def test_line_dedup(spark, docs, none, texts):
 
 def test_fuzzy_lines_are_exactly_the_near_ones(spark):
     base = prose(1, 60)
-    variants = [base, base.replace(base.split()[3], "zz", 1), base + " extra", prose(2, 60), base.upper() + ".", " ".join(base.split()[:30])]
+    variants = [base, base.replace(base.split()[3], "zz", 1), base + " extra", prose(2, 60), base.upper() + ".", " ".join(base.split()[:30]), "one two three four five", "one two three four fife", "one two three five"]
     docs = spark.createDataFrame(list(enumerate(variants)), "doc_id long, text string")
-    found = {(r.line_id, r.simhash) for r in line_dedup.occurrences(docs).collect()}
-    hashes = {r.doc: (r.line_id, r.simhash & (2**64 - 1)) for r in line_dedup.occurrences(docs).collect()}
-
-    def edit(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    union = Union()
-    plain = [" ".join(bytes(line_dedup.NORMAL[np.frombuffer(v.encode(), np.uint8)]).decode().split()) for v in variants]
-    for a in range(len(variants)):
-        for b in range(a):
-            near = bin(hashes[a][1] ^ hashes[b][1]).count("1") <= line_dedup.DISTANCE
-            size = max(len(plain[a]), len(plain[b]))
-            if hashes[a][0] == hashes[b][0] or near and edit(plain[a], plain[b]) <= size * (100 - line_dedup.PERCENT) // 100:
-                union.join(a, b)
-    kept = {r.doc_id for r in line_dedup.deduplicated(docs).where("n_lines_removed = 0").collect()}
-    assert kept == {d for d in range(len(variants)) if union.find(d) == d} and len(found) == 5
+    found = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    assert found == brute_lines(dict(enumerate(variants)))
+
+
+def test_lines_with_a_hot_block_meet_in_pairs_of_blocks(spark, monkeypatch):
+    passage, rows = prose(31, 40), []
+    for k in range(40):
+        own = prose(500 + k, 30)
+        rows += [passage + " " + own, passage + " " + own.replace(own.split()[5], "qq", 1)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6)
+    plain_way = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    monkeypatch.setattr(line_dedup, "HOT", 6)
+    hot_way = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    hottest = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    assert plain_way == brute_lines(dict(enumerate(rows))) == hot_way == hottest
+
+
+def test_edit_scripts_are_never_shorter_than_the_distance():
+    rng = np.random.default_rng(4)
+    for k in range(60):
+        x = prose(k, int(rng.integers(5, 90))).split()
+        y = [w for w in x if rng.random() > 0.08]
+        for at in rng.integers(0, max(len(y), 1), 3):
+            y.insert(int(at), prose(900 + int(at), 1))
+        x, y = " ".join(x), " ".join(y)
+        exact = levenshtein(x, y)
+        assert edits.distance(x, y) == exact <= edits.script(x, y, 10**6) <= exact + 8
 
 
 def test_sharding(spark, docs, none, texts, tmp_path):
