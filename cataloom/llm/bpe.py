@@ -1,33 +1,92 @@
-"""Byte-level BPE encoding and decoding with Spark's own functions.
+"""Byte-level BPE: Spark's higher-order functions fold ranked merges over the bytes of distinct words.
 
 A text is split by the tokenizer's pattern. A word's bytes become their ids, and a fold joins, again and again, the
 neighbouring pair of lowest rank (the leftmost of equal ones). The rank map is a pair of literal arrays: each token of
 the vocabulary is joined last from exactly one pair of tokens, so that (left id, right id) -> id has one entry per token,
 placed in one of two slots that the key names. Looking up a pair costs two array reads, without any hash map.
 
-Distinct words are counted over all documents. The most frequent ones (a list of fixed size, so it may be a literal as
-well) are folded once; a document takes their ids from the list and folds only its rare words. So nothing but counts is
+Distinct words are counted over all documents. Those above a count, which a histogram of the counts sets so that there are
+``FREQUENT`` of them at most, are folded once, and every worker gets their ids as sorted arrays. A document takes the ids of
+its words from there; its other distinct words go to the fold with it, and come back into its gaps. So nothing but counts is
 shuffled. A word over ``LONG`` bytes is folded with all occurrences of the best pair joined in one round, which gives the
 same ids where every token ranks behind its parts (checked when the ranks are loaded; else it is folded like the others).
+Decoding puts the tokens' binary pieces one after the other.
 
-Defined results: a null or empty text has no tokens; repeated rows get one row each; extra columns are kept.
+Frequent words are known by 64-bit hashes; two different words of a corpus with a billion of them share one with a
+probability of about 1 in 40,000.
+
+Defined results: a null or empty text has no tokens; repeated rows get one row each; extra columns are kept (``ids`` is
+replaced); an id outside the vocabulary decodes to nothing; a pattern that splits off less than the whole text is refused.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space as the tokenizer's library has it; Java's \s is narrower.
+from cataloom.llm import kernels as K
+from cataloom.sources.shared import materialize
+
+#: White space as the tokenizer's library has it; Java's and Python's \s are others.
 WHITE = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: What stands for letters, numbers and white space inside a class.
+JAVA = {"L": r"\p{L}", "N": r"\p{N}", "s": WHITE}
+ASCII = {"L": "A-Za-z", "N": "0-9", "s": r"\t-\r "}
+
+
+def translated(pattern: str, classes: dict[str, str]) -> str:
+    """The tokenizer's pattern with letters, numbers and white space spelled out for another library."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        step = 2 if pattern[at] == "\\" else 1
+        part = pattern[at : at + step]
+        if part == r"\p":
+            step = pattern.index("}", at) + 1 - at
+            part = pattern[at : at + step]
+        name = {r"\p{L}": "L", r"\p{N}": "N", r"\s": "s", r"\S": "S"}.get(part)
+        if part.startswith(r"\p") and name is None or part[0] == "\\" and part[1].isalnum() and name is None or name == "S" and inside:
+            raise ValueError(f"{part} of the pattern isn't known here")
+        if name:
+            part = classes[name] if inside else f"[^{classes['s']}]" if name == "S" else f"[{classes[name]}]"
+        elif part == "[":
+            inside = True
+        elif part == "]":
+            inside = False
+        out.append(part)
+        at += step
+    return "".join(out)
 
 
 def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern for Java: white space spelled out."""
-    return pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)", rf"[{WHITE}]+(?![^{WHITE}])").replace(r"|\s+", rf"|[{WHITE}]+")
+    return translated(pattern, JAVA)
+
+
+@cache
+def splitters(pattern: str) -> tuple[Callable, Callable, Callable]:
+    """findall of the pattern for texts of ASCII, of the basic plane, and of any characters."""
+    import regex
+
+    spans: dict[str, list[str]] = {"L": [], "N": []}
+    for kind, found in spans.items():
+        start = None
+        for point in range(0x10000 + 1):
+            if point < 0x10000 and unicodedata.category(chr(point))[0] == kind:
+                start = point if start is None else start
+            elif start is not None:
+                found.append(f"\\u{start:04x}-\\u{point - 1:04x}")
+                start = None
+    plane = {"L": "".join(spans["L"]), "N": "".join(spans["N"]), "s": WHITE}
+    return re.compile(translated(pattern, ASCII)).findall, re.compile(translated(pattern, plane)).findall, regex.compile(translated(pattern, JAVA)).findall
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -96,10 +155,10 @@ def _pair_rank(left: Column, right: Column, tables: Column) -> Column:
     return F.when(F.shiftright(one, 16) == key, one.bitwiseAND(F.lit(65535))).when(F.shiftright(two, 16) == key, two.bitwiseAND(F.lit(65535)))
 
 
-#: Words in the list of frequent ones, and the most bytes of such a word.
-FREQUENT = 200_000
+#: Most words in the list of frequent ones, most bytes of such a word, and the count from which on counts are alike.
+FREQUENT = 1_000_000
 LONG = 64
-MARK = "\x01"
+COUNTED = 100_000
 
 
 def _let(value: Column, body) -> Column:
@@ -182,10 +241,10 @@ def fold_long(ids: Column, tables: Column) -> Column:
 
 
 def word_ids(word: Column, constants: Column, monotone: bool) -> Column:
-    """Ids of a word, as text joined by commas."""
+    """Ids of a word."""
     ids = _byte_ids(word, constants)
-    short = F.array_join(fold(ids, constants["tables"]), ",")
-    return F.when(F.octet_length(word) > LONG, F.array_join(fold_long(ids, constants["tables"]), ",")).otherwise(short) if monotone else short
+    short = fold(ids, constants["tables"])
+    return F.when(F.octet_length(word) > LONG, fold_long(ids, constants["tables"])).otherwise(short) if monotone else short
 
 
 def words(text: Column, pattern: str) -> Column:
@@ -193,46 +252,155 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT) -> tuple[list[str], list[str], list[str], list[str]]:
-    """Two tables of (word, ids) by slot: at most ``size`` words of at most LONG bytes, folded once."""
-    counts = texts.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").count()
-    top = counts.where((F.col("count") > 1) & (F.octet_length("word") <= LONG) & ~F.contains("word", F.lit(MARK))).orderBy(F.desc("count"), "word").limit(size)
-    spread = top.select("word").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = spread.select("word", F.xxhash64("word").alias("hash"), _let(ranks.constants(), lambda c: word_ids(F.col("word"), c, False)).alias("ids")).toPandas()
-    slots = 1 << max(10, (11 * len(found) // 10).bit_length())
-    tables = [[""] * slots for _ in range(4)]
-    held: dict[tuple[int, int], tuple] = {}
-    for item in zip(found["word"], found["ids"], found["hash"]):
-        side, moved = 0, item
-        for _ in range(500):
-            at = (moved[2] if side == 0 else (moved[2] >> 32)) & (slots - 1)
-            before = held.get((side, at))
-            held[side, at] = moved
-            if before is None:
-                break
-            moved, side = before, 1 - side
-        # A word that finds no place is folded where it stands.
-    for (side, at), (word, ids, _) in held.items():
-        tables[2 * side][at], tables[2 * side + 1][at] = word, ids
-    return tuple(tables)
-
-
-def encoded(docs: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT) -> DataFrame:
-    """``docs`` with ids_text, the ids of the whole text joined by commas."""
-    tables = frequent_words(docs.select("text"), ranks, pattern, size)
-    known = F.struct(*(F.split(F.lit(MARK.join(t)), MARK).alias(name) for t, name in zip(tables, ("w0", "i0", "w1", "i1"))))
-    slots = len(tables[0])
-
-    def ids_of(word: Column, known: Column, constants: Column) -> Column:
-        one = F.xxhash64(word).bitwiseAND(F.lit(slots - 1)).cast("int")
-        two = F.shiftright(F.xxhash64(word), 32).bitwiseAND(F.lit(slots - 1)).cast("int")
-        return F.when(F.get(known["w0"], one) == word, F.get(known["i0"], one)).when(F.get(known["w1"], two) == word, F.get(known["i1"], two)).otherwise(word_ids(word, constants, ranks.monotone))
-
-    bound = _let(F.struct(known.alias("known"), ranks.constants().alias("constants")), lambda z: F.array_join(F.transform(words(F.coalesce("text", F.lit("")), pattern), lambda w: ids_of(w, z["known"], z["constants"])), ","))
-    return docs.withColumn("ids_text", bound)
-
-
-def decoded(ids_text: Column, ranks: Ranks) -> Column:
-    """Bytes of ids joined by commas: the tokens' bytes one after the other."""
-    tokens = F.split(F.lit(",".join(t.hex() for t in ranks.tokens)), ",")
-    return _let(tokens, lambda t: F.unhex(F.array_join(F.transform(F.split(ids_text, ","), lambda i: F.coalesce(F.get(t, i.try_cast("int")), F.lit(""))), "")))
+@dataclass(frozen=True)
+class Known:
+    """Ids of frequent words: sorted hashes, where the ids of each begin, and the ids."""
+
+    hashes: np.ndarray
+    begins: np.ndarray
+    ids: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, is it there) of each hash."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+
+def known_words(words_: pa.Array, ids: pa.ListArray) -> Known:
+    raw = words_.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    hashes = K.span_hash(K.prefix_hash(data, fold_case=False), offsets[:-1], offsets[1:])
+    order = np.argsort(hashes)
+    size = ids.value_lengths().to_numpy()
+    begins = np.concatenate([[0], np.cumsum(size[order])])
+    flat, own = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
+    return Known(hashes[order], begins, flat[np.arange(begins[-1]) + np.repeat(own[order] - begins[:-1], size[order])].astype(np.int32))
+
+
+def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT) -> Known:
+    """The ids of at most ``size`` words, those found most often; each is folded once."""
+    counts = texts.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = materialize(counts.where((F.col("n") > 1) & (F.octet_length("word") <= LONG)), "words")
+    histogram = counts.groupBy(F.least("n", F.lit(COUNTED)).alias("n")).agg(F.count("*").alias("words")).collect()
+    least, taken = COUNTED + 1, 0
+    for row in sorted(histogram, key=lambda r: -r["n"]):
+        taken += row["words"]
+        if taken > size:
+            break
+        least = row["n"]
+    spread = counts.where(F.col("n") >= least).select("word").repartition(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    folded = _let(ranks.constants(), lambda c: F.transform(word_ids(F.col("word"), c, False), lambda i: i.cast("int")))
+    found = materialize(spread.select("word", folded.alias("ids")), "folded-words").toArrow().combine_chunks()
+    whole = lambda c: found.column(c).combine_chunks() if found.num_rows else pa.array([], found.schema.field(c).type)
+    return known_words(whole("word"), whole("ids"))
+
+
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Packed ids of rows that end where told."""
+    offsets = np.concatenate([[0], ends]) * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat, np.int32))])
+
+
+def looked_up(texts: pa.Array, known: Known, pattern: str) -> tuple[pa.Array, pa.Array]:
+    """Packed ids of each text with -1, -2, ... for its words that aren't known, and those words; each distinct one once."""
+    plain, plane, any_ = splitters(pattern)
+    packed, rare = [], []
+    for _, _, data, offsets in K.slices(texts, 1 << 20):
+        raw, rows = data.tobytes(), len(offsets) - 1
+        high = np.zeros(rows, np.uint8)
+        full = np.flatnonzero(offsets[1:] > offsets[:-1])
+        if len(full):
+            high[full] = np.maximum.reduceat(data, offsets[:-1][full])
+        sizes, many = [], np.zeros(rows, np.int64)
+        for row in full:
+            text = raw[offsets[row] : offsets[row + 1]].decode("utf-8")
+            found = (plain if high[row] < 128 else plane if high[row] < 240 else any_)(text)
+            many[row] = len(found)
+            sizes += map(len, found)
+        # Matches are counted in characters and follow each other without a gap.
+        letters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        char_ends = np.cumsum(np.array(sizes, np.int64))
+        if (char_ends[-1] if len(sizes) else 0) != len(letters) - 1:
+            raise ValueError("the pattern doesn't split off the whole text")
+        ends = letters[char_ends]
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        place, there = known.find(K.span_hash(K.prefix_hash(data, fold_case=False), starts, ends))
+        first = known.begins[place] if len(known.hashes) else place
+        count = np.where(there, known.begins[place + 1] - first, 1) if len(known.hashes) else np.ones(len(ends), np.int64)
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        at = np.arange(total) + np.repeat(first - (upto - count), count)
+        flat = known.ids[np.minimum(at, len(known.ids) - 1)] if len(known.ids) else np.zeros(total, np.int32)
+        last_word = np.cumsum(many)
+        lost = np.flatnonzero(~there)
+        own: list[dict[bytes, int]] = [{} for _ in range(rows)]
+        owner = np.searchsorted(last_word, lost, "right")
+        holes = np.empty(len(lost), np.int32)
+        for k, (i, j, row) in enumerate(zip(starts[lost].tolist(), ends[lost].tolist(), owner.tolist())):
+            holes[k] = -1 - own[row].setdefault(raw[i:j], len(own[row]))
+        flat = flat.copy()
+        flat[(upto - count)[lost]] = holes
+        packed.append(_lists(flat, np.concatenate([[0], upto])[last_word]))
+        rare += [[x.decode("utf-8") for x in d] for d in own]
+    return pa.concat_arrays(packed) if packed else pa.array([], pa.large_binary()), pa.array(rare, pa.list_(pa.string()))
+
+
+def filled(packed: pa.Array, rare: pa.ListArray) -> pa.ListArray:
+    """The ids of texts, with those of the words that weren't known put in."""
+    packed = packed.cast(pa.large_binary())
+    bounds = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, packed.offset * 8) // 4
+    flat = np.frombuffer(packed.buffers()[2] or b"", np.int32)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    holes = np.flatnonzero(flat < 0)
+    count = np.ones(len(flat), np.int64)
+    inner = rare.flatten()
+    words_before = np.concatenate([[0], np.cumsum(rare.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    size = inner.value_lengths().to_numpy(zero_copy_only=False)
+    begins = np.concatenate([[0], np.cumsum(size)])
+    word = words_before[np.searchsorted(bounds, holes, "right") - 1] - 1 - flat[holes]
+    count[holes] = size[word]
+    upto = np.concatenate([[0], np.cumsum(count)])
+    first = np.arange(len(flat))
+    both = np.concatenate([flat, inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+    first[holes] = len(flat) + begins[word]
+    out = both[np.arange(upto[-1]) + np.repeat(first - upto[:-1], count)]
+    return pa.ListArray.from_arrays(pa.array(upto[bounds].astype(np.int32)), pa.array(out, pa.int32()))
+
+
+def encoded(docs: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (all, unless told) with ids, the ids of the whole text."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs.select("text"), ranks, pattern, size))
+    columns = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text"))
+    row = rows.schema["row"].dataType.simpleString()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, rare = looked_up(batch.column("text"), known.value, pattern)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), packed.cast(pa.binary()), rare], ["row", "packed", "rare"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), filled(batch.column("packed"), batch.column("rare"))], ["row", "ids"])
+
+    open_ = rows.mapInArrow(look_up, f"row {row}, packed binary, rare array<string>")
+    folded = _let(ranks.constants(), lambda c: F.transform("rare", lambda w: F.transform(word_ids(w, c, ranks.monotone), lambda i: i.cast("int"))))
+    none = F.array().cast("array<array<int>>")
+    whole = open_.select("row", "packed", F.when(F.size("rare") > 0, folded).otherwise(none).alias("rare")).mapInArrow(fill, f"row {row}, ids array<int>")
+    return whole.select(*(F.col("row")[c].alias(c) for c in columns), "ids")
+
+
+def decoded(ids: Column, ranks: Ranks) -> Column:
+    """Bytes of ids: the tokens' binary pieces one after the other."""
+    pieces = [*ranks.tokens, b""]
+    outside = len(ranks.tokens)
+
+    def join(rows: pd.Series) -> pd.Series:
+        inside = (np.where((x < 0) | (x > outside), outside, x).tolist() if x is not None else [] for x in rows)
+        return pd.Series([b"".join(map(pieces.__getitem__, x)) for x in inside], index=rows.index, dtype=object)
+
+    join.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    return F.pandas_udf(join, "binary")(ids)

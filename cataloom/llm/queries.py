@@ -22,9 +22,9 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.load(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    out = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    n = F.when(F.col("ids_text") == "", 0).otherwise(F.length("ids_text") - F.length(F.translate("ids_text", ",", "")) + 1)
-    return out.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids_text"), ranks), 256).alias("decoded_sha256"))
+    out = bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=("doc_id",))
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
