@@ -1,10 +1,9 @@
 """Order MinHash fingerprints of documents.
 
-Each k-mer of a text (k code points), numbered by its occurrence, has a random place on a ring. For each of ``SLOTS``
-evenly spaced points the ``TUPLE`` next k-mers on the ring are the minimal ones under that point's order; they are put
-back into their order in the text and hashed as a tuple. Two texts share a slot when the minimal k-mers are the same *and*
-stand in the same order, so that moved passages count as edits, which plain MinHash can't see. One hash and one sort per
-text serve all slots.
+Each k-mer of a text (k code points) is numbered by its occurrence. Each of ``SLOTS`` slots has an order of its own, by a
+hash of the numbered k-mer; its ``TUPLE`` least ones are put back into their order in the text and hashed as a tuple. Two
+texts share a slot when the minimal k-mers are the same *and* stand in the same order, so that moved passages count as
+edits, which plain MinHash can't see.
 
 The likeness of two fingerprints estimates the share of k-mers in common: the share p of equal slots is about J**TUPLE
 for Jaccard similarity J of the numbered k-mers, and 2J / (1 + J) is returned.
@@ -32,9 +31,13 @@ TUPLE = 2
 SLOTS = 64
 #: Bits of a word that hold a place in the text; a hash has the others.
 PLACE_BITS = K.U(24)
-POINTS = np.arange(SLOTS, dtype=np.uint64) << (K.U(58) - PLACE_BITS)
+#: Factor of each slot's hash, and k-mers that are ordered at once.
+FACTORS = np.random.Generator(np.random.PCG64(612)).integers(1, 1 << 63, SLOTS, dtype=np.uint64)[:, None] * K.U(2) + K.U(1)
+AT_ONCE = 1024
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 FIRST = -(1 << 63)
+#: Documents of a range at most, about.
+RANGE_ROWS = 20_000
 
 
 def sketch(text: str) -> np.ndarray:
@@ -51,27 +54,45 @@ def sketch(text: str) -> np.ndarray:
     np.not_equal(gram[1:], gram[:-1], out=new[1:])
     index = np.arange(m)
     occurrence = (index - np.maximum.accumulate(np.where(new, index, 0))).astype(np.uint64)
+    numbered = np.empty(m, np.uint64)
     with np.errstate(over="ignore"):
-        ring, at_text = _sorted(K.mix(gram * K.BASE + occurrence), place)
-        chosen = (np.searchsorted(ring, POINTS)[:, None] + np.arange(min(TUPLE, m))) % m
-        in_order = ring[np.take_along_axis(chosen, np.argsort(at_text[chosen], axis=1), 1)]
+        numbered[place.astype(np.int64)] = K.mix(gram * K.BASE + occurrence)
+        chosen = np.sort(least_of(numbered, min(TUPLE, m)), axis=1)
         out = np.full(SLOTS, 0x51ED270B, np.uint64)
-        for j in range(in_order.shape[1]):
-            out = K.mix(out * K.BASE + in_order[:, j])
+        for j in range(chosen.shape[1]):
+            out = K.mix(out * K.BASE + numbered[chosen[:, j]])
     return out.astype(np.uint32)
 
 
-def _sorted(hashes: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def least_of(numbered: np.ndarray, size: int) -> np.ndarray:
+    """[slot, i] places of the least k-mers in each slot's order."""
+    slots = np.arange(SLOTS)
+    best, at = np.empty((SLOTS, 0), np.uint64), np.empty((SLOTS, 0), np.int64)
+    for begin in range(0, len(numbered), AT_ONCE):
+        order = FACTORS * numbered[begin : begin + AT_ONCE]
+        own, places = [best], [at]
+        for _ in range(min(size, order.shape[1])):
+            least = order.argmin(1)
+            own.append(order[slots, least][:, None])
+            places.append(least[:, None] + begin)
+            order[slots, least] = K.U(K.MASK)
+        best, at = np.concatenate(own, axis=1), np.concatenate(places, axis=1)
+        if best.shape[1] > size:
+            keep = np.argsort(best, axis=1)[:, :size]
+            best, at = np.take_along_axis(best, keep, 1), np.take_along_axis(at, keep, 1)
+    return at
+
+
+def _sorted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The upper ``64 - PLACE_BITS`` bits of hashes in order, and the places they stand at; hash and place share a word while they fit."""
     n = len(hashes)
     if n <= 1 << int(PLACE_BITS):
         low = (K.U(1) << PLACE_BITS) - K.U(1)
-        key = np.sort((hashes & ~low) | (np.arange(n, dtype=np.uint64) if places is None else places))
+        key = np.sort((hashes & ~low) | np.arange(n, dtype=np.uint64))
         return key >> PLACE_BITS, key & low
     upper = hashes >> PLACE_BITS
-    places = np.arange(n, dtype=np.uint64) if places is None else places
-    order = np.lexsort((places, upper))
-    return upper[order], places[order]
+    order = np.argsort(upper, kind="stable")
+    return upper[order], order
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -100,7 +121,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     (that of the first range to the end of the last). So no window spans the table, and a text moves once.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // RANGE_ROWS)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     edges = _edges(keyed, parts)
     part = F.size(F.filter(F.lit(edges).cast("array<long>") if edges else F.array().cast("array<long>"), lambda x: x <= F.col("_key")))
@@ -110,7 +131,8 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     to_part = spark.createDataFrame(moved, "_to int, _head long")
     copies = rows.join(F.broadcast(to_part), F.col("_key") == F.col("_head")).select(F.col("_to").alias("_part"), F.lit(1).alias("_kind"), "_key", "doc_id", "text")
     both = rows.select("_part", F.lit(0).alias("_kind"), "_key", "doc_id", "text").unionByName(copies)
-    return both.repartition(max(1, len(heads)), "_part").sortWithinPartitions("_part", "_kind", "_key", "text")
+    # Each range is a partition of its own: by its number, not by a hash of it.
+    return both.repartitionById(max(1, len(edges) + 1), F.col("_part")).sortWithinPartitions("_part", "_kind", "_key", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ Per language a context tree of bounded order counts which byte follows which con
 context that has seen it; each escape on the way down costs its escape probability (method C) and the bytes seen at
 the longer context are excluded. A text's exact code length under each language's frozen tree decides.
 
-Bytes are first mapped to ``SYMBOLS`` classes: the most frequent ones of the training sample one by one (A-Z as a-z),
-all others together. With that alphabet the trees, blended down to their roots, are a table of code lengths that is
-indexed by the last ``ORDER`` + 1 classes, so that scoring is one table lookup per byte.
+A byte is coded in two steps: its class, of ``SYMBOLS``, in its context, and then the byte within its class by its share
+there. The most frequent bytes of the training sample have a class each (A-Z with a-z), all others share one. So the trees,
+blended down to their roots, are a table of code lengths that is indexed by the last ``ORDER`` + 1 classes, and scoring is two
+table lookups per byte. Lengths are kept in steps of 1 / ``UNIT`` bit.
 
 Training reads a bounded sample: at most about ``SAMPLE_DOCS`` documents of a language, chosen by a hash of doc_id.
 Everything that is predicted is read whole.
@@ -17,6 +18,7 @@ alphabetically first language; without any training document all are ``und``; ex
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ BITS = 6
 SYMBOLS = 1 << BITS
 #: Bound of the training sample, per language, in documents.
 SAMPLE_DOCS = 600
-#: Languages whose tables a worker keeps at once (64 MB each), and bytes of text that it scores together if there are more.
-KEPT_TABLES = 8
+#: Steps of a bit in which code lengths are kept.
+UNIT = 1024
+#: Languages whose tables a worker keeps at once (32 MB each), and bytes of text that it scores together if there are more.
+KEPT_TABLES = 4
 RUN_BYTES = 32 << 20
 #: Documents with a lower score are rejected.
 LEAST_SCORE = 0.5
@@ -55,27 +59,48 @@ def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
 
 
 def byte_counts(sample: DataFrame) -> pd.DataFrame:
-    """How often each byte occurs in the sample: 256 rows at most."""
+    """lang, byte, n: how often each byte occurs in the sample; 256 rows a language at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for _, _, data, _ in K.slices(batch.column("text")):
-                total += np.bincount(K.LOWER[data], minlength=256)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["byte", "n"])
+            for lang, part in _by_language(batch):
+                for _, _, data, _ in K.slices(part):
+                    total[lang] = total.get(lang, 0) + np.bincount(data, minlength=256)
+        for lang, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "byte", "n"])
 
-    return sample.select("text").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).toPandas()
+    return sample.mapInArrow(count, "lang string, byte int, n long").groupBy("lang", "byte").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
+    langs = batch.column("lang").to_pandas().to_numpy()
+    for lang in np.unique(langs.astype(str)):
+        yield lang, batch.column("text").filter(pa.array(langs == lang))
 
 
 def symbol_classes(counts: pd.DataFrame) -> np.ndarray:
     """Class of each byte; class 0 holds the rare ones."""
-    top = counts.sort_values(["n", "byte"], ascending=[False, True])["byte"].to_numpy()[: SYMBOLS - 1]
+    total = np.zeros(256, np.int64)
+    np.add.at(total, K.LOWER[counts["byte"].to_numpy(np.int64)], counts["n"].to_numpy(np.int64))
+    top = np.lexsort((np.arange(256), -total))[: min(SYMBOLS - 1, int((total > 0).sum()))]
     classes = np.zeros(256, np.uint8)
     classes[top] = np.arange(1, len(top) + 1)
     return classes[K.LOWER]
 
 
+def byte_lengths(counts: pd.DataFrame, classes: np.ndarray, languages: list[str]) -> np.ndarray:
+    """[byte, language] length of a byte within its class, in steps: its share of the class's bytes, half a count more each."""
+    out = np.zeros((256, len(languages)), np.int64)
+    for j, lang in enumerate(languages):
+        own = counts[counts["lang"] == lang]
+        n = np.full(256, 0.5)
+        n[own["byte"].to_numpy(np.int64)] += own["n"].to_numpy()
+        out[:, j] = np.round(-UNIT * np.log2(n / np.bincount(classes, weights=n, minlength=SYMBOLS)[classes]))
+    return out
+
+
 def codes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, order: int = ORDER) -> np.ndarray:
     """For each byte, the classes of it and of the ``order`` bytes before it in its text (class 0 before the start)."""
     symbol = classes[data].astype(np.int32)
@@ -94,9 +119,7 @@ def context_counts(sample: DataFrame, classes: np.ndarray) -> pd.DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column("lang").to_pandas().to_numpy()
-            for lang in np.unique(langs.astype(str)):
-                part = batch.column("text").filter(pa.array(langs == lang))
+            for lang, part in _by_language(batch):
                 found = [codes(d, o, classes) for _, _, d, o in K.slices(part)]
                 code, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(n, pa.int64())], ["lang", "code", "n"])
@@ -104,60 +127,71 @@ def context_counts(sample: DataFrame, classes: np.ndarray) -> pd.DataFrame:
     return sample.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
 
 
-def code_lengths(code: np.ndarray, n: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Bits for every (context, symbol), flat, from the counts of one language: PPM with escape C and exclusion."""
-    below = np.full((1, SYMBOLS), 1.0 / SYMBOLS)
-    for k in range(order + 1):
-        counts = np.bincount(code & ((1 << (BITS * (k + 1))) - 1), weights=n, minlength=1 << (BITS * (k + 1))).astype(np.float32).reshape(-1, SYMBOLS)
-        shorter = np.tile(below, (len(counts) // len(below), 1)).astype(np.float32)
-        seen = counts > 0
-        total, kinds = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-        unseen = np.where(seen, 0, shorter)
-        rest = unseen.sum(1, keepdims=True)
-        full = kinds == SYMBOLS
-        escape = np.where(full, 0, kinds / np.maximum(total + kinds, 1)).astype(np.float32)
-        escape = np.where(total == 0, 1, escape)
-        below = np.where(seen, counts / np.maximum(total, 1) * (1 - escape), escape * unseen / np.maximum(rest, 1e-30)).astype(np.float32)
-    return -np.log2(np.maximum(below, 1e-30)).ravel().astype(np.float32)
+def _blended(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """[context, symbol] probabilities from counts and those of the contexts that are one symbol shorter: escape C and exclusion."""
+    seen = counts > 0
+    total, kinds = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+    unseen = np.where(seen, 0, shorter)
+    escape = np.where(total == 0, 1, np.where(kinds == SYMBOLS, 0, kinds / np.maximum(total + kinds, 1)))
+    return np.where(seen, counts / np.maximum(total, 1) * (1 - escape), escape * unseen / np.maximum(unseen.sum(1, keepdims=True), 1e-30))
 
 
-_tables: dict[str, np.ndarray] = {}
+def code_lengths(code: np.ndarray, n: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Steps of 1 / UNIT bit for every (context, symbol), flat, from the counts of one language (code ascending)."""
+    below = np.full((1, SYMBOLS), 1.0 / SYMBOLS)
+    for k in range(order):
+        counts = np.bincount(code & ((1 << (BITS * (k + 1))) - 1), weights=n, minlength=1 << (BITS * (k + 1))).reshape(-1, SYMBOLS)
+        below = _blended(counts, np.tile(below, (len(counts) // len(below), 1)))
+    # The longest contexts come in parts, by their first symbol.
+    out, part = np.empty(1 << (BITS * (order + 1)), np.uint16), below.size
+    cuts = np.searchsorted(code, np.arange(0, len(out) + 1, part))
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        whole = _blended(np.bincount(code[a:b] - i * part, weights=n[a:b], minlength=part).reshape(-1, SYMBOLS), below) if b > a else below
+        out[i * part : (i + 1) * part] = np.minimum(np.round(-UNIT * np.log2(np.maximum(whole, 1e-30))), 65535).ravel()
+    return out
 
 
 class Model:
     """Frozen statistics: a few MB of counts, which each worker turns into its table once."""
 
-    def __init__(self, classes: np.ndarray, counts: pd.DataFrame):
+    def __init__(self, classes: np.ndarray, counts: pd.DataFrame, bytes_: pd.DataFrame):
         self.classes = classes
         self.languages = sorted(counts["lang"].unique())
         self.counts = [(g["code"].to_numpy(np.int32), g["n"].to_numpy(np.float64)) for _, g in counts.sort_values(["lang", "code"]).groupby("lang")]
-        self.key = str(abs(hash((tuple(self.languages), classes.tobytes(), *(c.tobytes() + n.tobytes() for c, n in self.counts)))))
+        self.within = byte_lengths(bytes_, classes, self.languages)
+        self.key = uuid.uuid4().hex
 
     def table(self) -> np.ndarray:
-        """[code, language] bits; kept for the tasks that the same worker runs later."""
-        if self.key not in _tables:
-            _tables.clear()
-            out = np.empty((1 << (BITS * (ORDER + 1)), len(self.languages)), np.float32)
+        """[code, language] steps; kept for the tasks that the same worker runs next."""
+
+        def build() -> np.ndarray:
+            out = np.empty((1 << (BITS * (ORDER + 1)), len(self.languages)), np.uint16)
             for j, (code, n) in enumerate(self.counts):
                 out[:, j] = code_lengths(code, n)
-            _tables[self.key] = out
-        return _tables[self.key]
+            return out
 
+        return K.resident(self.key, build)
 
     def sums(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """[text, language] bits of the texts of each part that aren't empty; more than KEPT_TABLES languages come one after the other."""
 
-        def bits(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        def bits(table: np.ndarray, within: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             starts = offsets[:-1][offsets[1:] > offsets[:-1]]
-            return np.add.reduceat(table[codes(data, offsets, self.classes)], starts, axis=0, dtype=np.float64)
+            steps = np.add.reduceat(table[codes(data, offsets, self.classes)], starts, axis=0, dtype=np.int64)
+            inner = np.flatnonzero(within.any(axis=within.ndim - 1)[data] if within.ndim > 1 else within[data])
+            more = np.zeros((len(starts), *within.shape[1:]), np.int64)
+            if len(inner):
+                np.add.at(more, np.searchsorted(starts, inner, "right") - 1, within[data[inner]])
+            return (steps + more) / UNIT
 
         if len(self.languages) <= KEPT_TABLES:
-            return [bits(self.table(), *part) for part in parts]
+            return [bits(self.table(), self.within, *part) for part in parts]
+        K.drop_resident()
         out = [[] for _ in parts]
-        for code, n in self.counts:
+        for j, (code, n) in enumerate(self.counts):
             table = code_lengths(code, n)
             for columns, part in zip(out, parts):
-                columns.append(bits(table, *part))
+                columns.append(bits(table, self.within[:, j], *part))
         return [np.column_stack(columns) for columns in out]
 
 
@@ -177,8 +211,9 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[pa.Rec
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from the labelled documents that aren't held out."""
     sample = training_sample(docs, sample_docs)
-    classes = symbol_classes(byte_counts(sample))
-    return Model(classes, context_counts(sample, classes))
+    found = byte_counts(sample)
+    classes = symbol_classes(found)
+    return Model(classes, context_counts(sample, classes), found)
 
 
 def _has_letter(data: np.ndarray, raw: bytes) -> bool:
@@ -233,8 +268,6 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
 def accepted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The documents whose language is known with a score of LEAST_SCORE or more, with lang set to it. Columns named like the prediction's are kept as they are."""
-    safe = {c: f"__{c}" if c in ("lang_pred", "score", "bits_per_byte") else c for c in docs.columns}
-    renamed = docs.select(*(F.col(c).alias(to) for c, to in safe.items()))
-    out = predict(renamed, fit(docs, sample_docs), tuple(renamed.columns))
-    known = out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred"))
-    return known.select(*(F.col(to).alias(c) for c, to in safe.items()))
+    out = predict(docs.select(F.struct("*").alias("row"), "text"), fit(docs, sample_docs), ("row",))
+    known = out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return known.select(*(F.col("lang_pred" if c == "lang" else f"row.{c}").alias(c) for c in docs.columns))

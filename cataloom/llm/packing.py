@@ -21,19 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cataloom.llm import kernels as K
 from cataloom.sources.shared import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker keeps in each of two generations, so memory is bounded.
 CACHED_WORDS = 500_000
 MARKS = rb"!\"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"
+#: Chunks on which the shortcuts of :class:`WordIds` are tried when a tokenizer is loaded.
+PROBES = ("Ab", "straße.", "ÉCOLE!?", "don't", "X1b\")", "İi,", "日本語。.", "it's...", "ΣΑΣ;", "ﬁN-")
+#: Rows of a plan that may be broadcast; it has no more than lengths x (salts + ranges).
+BROADCAST_ROWS = 2_000_000
 
 
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit) by whitespace-free chunk; asks the tokenizer once per distinct word.
 
-    The tokenizer lower-cases, and splits letters from marks; so a chunk has the ids of its lower-case form, and one that
-    ends in marks behind a letter has those of its two parts. When full, the words in use since the last time are kept.
+    Where the tokenizer lower-cases and splits letters from marks (tried on PROBES), a chunk has the ids of its lower-case
+    form, and one that ends in marks behind a letter has those of its two parts; but for the tokenizer's own special tokens,
+    which it finds as they are written. When full, the words in use since the last time are kept.
     """
 
     def __init__(self, path: str):
@@ -43,22 +49,38 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(len(x.split()) != 1 or x.split()[0] != x for x in self.specials):
+            raise ValueError("a special token with white space needs whole texts")
         self.older: dict[bytes, bytes] = {}
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        out = self.older.get(chunk)
-        if out is None:
-            low = chunk.lower()
-            body = low.rstrip(MARKS)
-            if body and len(body) < len(low) and body.decode("utf-8")[-1].isalpha():
-                out = self[body] + self[low[len(body) :]]
-            elif low != chunk:
-                out = self[low]
-            else:
-                out = np.asarray(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = out
-        return out
+        self.cuts = True
+        self.cuts = all(b"".join(map(self.asked, self.parts(x.encode()))) == self.asked(x.encode()) for x in PROBES)
+
+    def asked(self, chunk: bytes) -> bytes:
+        return np.asarray(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def parts(self, chunk: bytes) -> list[bytes]:
+        """What to ask for instead of a chunk."""
+        low = chunk.lower()
+        if not self.cuts or any(x in low for x in self.specials):
+            return [chunk]
+        body = low.rstrip(MARKS)
+        if body and len(body) < len(low) and body.decode("utf-8")[-1].isalpha():
+            return [body, low[len(body) :]]
+        return [low]
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Makes sure of the ids of some chunks; new words are asked for together."""
+        missing = [x for x in chunks if x not in self]
+        for x in missing:
+            if x in self.older:
+                self[x] = self.older[x]
+        cut = {x: self.parts(x) for x in missing if x not in self}
+        new = list({y for parts in cut.values() for y in parts if y not in self and y not in self.older})
+        for y, found in zip(new, self.tokenizer.encode_batch_fast([y.decode("utf-8") for y in new], add_special_tokens=False)):
+            self[y] = np.asarray(found.ids, "<u4").tobytes()
+        for x, parts in cut.items():
+            self[x] = b"".join(self[y] if y in self else self.older[y] for y in parts)
 
     def trim(self) -> None:
         if len(self) > CACHED_WORDS:
@@ -88,12 +110,16 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
         cache = word_ids(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                ids = b"".join(map(cache.__getitem__, raw.split())) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, last, data, offsets in K.slices(batch.column("text"), 1 << 20):
+                raw = data.tobytes()
+                texts = [raw[a:b].split() for a, b in zip(offsets[:-1], offsets[1:])]
+                cache.learn(set().union(*texts))
+                for doc_id, words in zip(doc_ids[first:last], texts):
+                    ids = b"".join(map(cache.__getitem__, words)) + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 cache.trim()
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -138,22 +164,39 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
+def placed(counts: pd.DataFrame, rows: list[tuple[int, int, int, int, int]]) -> pd.DataFrame:
+    """The plan for each (length, salt): rows (length, salt, first place in it, number, first sequence, offset).
+
+    counts: length, salt, n. Both the plan's ranges and the salts' ones divide the same line of ranks, so their common
+    parts are no more than both together, and a piece is compared with the few of its own length and salt.
+    """
+    counts = counts.sort_values(["length", "salt"]).reset_index(drop=True)
+    moves = pd.DataFrame(rows, columns=["length", "first", "number", "sequence", "offset"], dtype="int64").sort_values(["length", "first"])
+    own, base = (np.concatenate([[0], np.cumsum(x.to_numpy(np.int64))]) for x in (counts["n"], moves["number"]))
+    cuts = np.union1d(own, base)
+    start, number = cuts[:-1], np.diff(cuts)
+    of, move = np.searchsorted(own, start, "right") - 1, np.searchsorted(base, start, "right") - 1
+    salt, plan_ = counts.iloc[of], moves.iloc[move]
+    return pd.DataFrame({
+        "length": salt["length"].to_numpy(np.int64), "salt": salt["salt"].to_numpy(np.int64), "first": start - own[of], "number": number,
+        "sequence": plan_["sequence"].to_numpy(np.int64) + start - base[move], "offset": plan_["offset"].to_numpy(np.int64),
+    })
+
+
 def packed(pieces: DataFrame, capacity: int = 4096, salts: int = 256) -> DataFrame:
     """``pieces`` with sequence_id and offset. ``pieces`` is read twice: pass a written table."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     # At most capacity x salts rows, however large the corpus is.
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_salt"])
-    counts["base"] = counts.groupby("length")["n"].cumsum() - counts["n"]
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas()
     rows = plan({int(k): int(v) for k, v in counts.groupby("length")["n"].sum().items()}, capacity)
-    moves = pd.DataFrame(rows, columns=["length", "first_rank", "number", "first_sequence", "offset"], dtype="int64")
-    bases = spark.createDataFrame(counts[["length", "_salt", "base"]].astype("int64"), "length long, _salt long, base long")
-    moves_df = spark.createDataFrame(moves, "length long, first_rank long, number long, first_sequence long, offset long")
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    # A salted (length, salt) pair is a hash bucket: even when one length holds a third of all rows.
-    ranked = salted.withColumn("_in", F.row_number().over(order) - 1).join(F.broadcast(bases), ["length", "_salt"]).withColumn("_rank", F.col("base") + F.col("_in"))
-    placed = ranked.join(F.broadcast(moves_df), (ranked["length"] == moves_df["length"]) & (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("first_rank") + F.col("number")))
-    return placed.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("first_sequence") + F.col("_rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    places = placed(counts, rows)
+    own = spark.createDataFrame(places, "length long, salt long, first long, number long, sequence long, offset long")
+    # A (length, salt) pair is a hash bucket: even when one length holds a third of all rows.
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("number"))
+    joined = ranked.join(F.broadcast(own) if len(places) <= BROADCAST_ROWS else own, ["length", "salt"]).where(inside)
+    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

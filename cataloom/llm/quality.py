@@ -119,20 +119,32 @@ def step(rule: str) -> Column:
     return F.least(F.ceil(F.lit(float(GRID)) * F.col(top) / F.greatest(F.col(bottom), F.lit(1))), F.lit(GRID)).cast("int")
 
 
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    tiny, above, below = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    value = below
+    for m in range(1, 100_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            below, above = 1 / (1 + term * below or tiny), 1 + term / above or tiny
+            value *= below * above
+        if abs(below * above - 1) < 1e-15:
+            break
+    logs = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(logs) * value / a
+
+
 def upper_bound(k: int, n: int, error: float) -> float:
     """Clopper-Pearson: the largest rate under which at most k of n has probability ``error`` or more."""
     if n == 0 or k >= n:
         return 1.0
-
-    def cdf(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs) if top > -700 else 0.0
-
-    low, high = k / n, 1 - 1e-12
+    low, high = k / n, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if mid > 0 and cdf(mid) > error else (low, mid)
+        low, high = (mid, high) if beta_share(n - k, k + 1, 1 - mid) > error else (low, mid)
     return high
 
 

@@ -48,6 +48,7 @@ POSITION_BITS = 24
 PART = 1 << 22
 #: Pieces of a construction; an anchor's pieces always stay together.
 BATCH = 40_000
+PAD = 256
 FIRST = -(1 << 63)
 ROWS = "key long, ph long, doc long, pos long, lo short, hi short"
 REQUEST_BITS = 1 << 26
@@ -198,13 +199,14 @@ def repeated_starts(group: np.ndarray, same: np.ndarray, lo: np.ndarray, hi: np.
     """[piece, d]: the string that starts d bytes before the piece's anchor starts in an earlier piece of its group too.
 
     Pieces are ordered by group, document and position; ``same`` numbers places, so that a place given twice isn't earlier
-    than itself. ``columns`` [column, piece] holds the bytes, with the anchors in column SPAN - 1.
+    than itself. ``columns`` [column, piece] holds the bytes, with the anchors in column SPAN - 1, and PAD beside a piece, which
+    no byte equals: so whatever equals a string of a piece is one too.
     """
     m = len(group)
     out = np.zeros((m, SPAN), bool)
     order = np.arange(m)
     common = np.zeros(m + 1, np.int32)
-    base = group.astype(np.int64) << 8
+    base = group.astype(np.int64) << 9
     for column in range(COLUMNS - 1, -1, -1):
         key = base + columns[column][order]
         step = np.argsort(key, kind="stable")
@@ -239,7 +241,7 @@ def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, pos, lo, hi = (whole.column(i).to_numpy().astype(np.int64) for i in range(5))
         size = lo - hi + LENGTH
         text = b"".join(whole.column("bytes").to_pylist())
-        columns = np.zeros((COLUMNS, len(key)), np.uint8)
+        columns = np.full((COLUMNS, len(key)), PAD, np.uint16)
         row = np.repeat(np.arange(len(key)), size)
         begin = np.cumsum(size) - size
         place = np.arange(len(row)) - begin[row] + (SPAN - 1 - lo)[row]

@@ -256,6 +256,9 @@ def test_quality_bounds_are_exact():
         p = quality.upper_bound(k, n, error)
         tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert abs(tail - error) < 1e-6
+    p, q = quality.upper_bound(5000, 200_000, 0.005), quality.upper_bound(40_000, 10**6, 0.005)
+    normal = lambda k, n: k / n + 2.5758 * math.sqrt(k / n * (1 - k / n) / n)
+    assert abs(p - normal(5000, 200_000)) < 3e-5 and abs(q - normal(40_000, 10**6)) < 1e-5
     good, bad = np.zeros(11, int), np.zeros(11, int)
     good[0], bad[5], bad[10] = 1000, 50, 50
     assert quality.certified_cutoffs(good, bad, 0.02, 0.01) == 4
@@ -275,6 +278,26 @@ def test_fingerprints(spark, docs, none, texts):
     assert fingerprint.fingerprints(none).count() == 0
 
 
+def test_sketch_equals_the_definition():
+    for text in ("x", "short text", "abab" * 30, prose(6, 60), prose(7, 700), "é日😀" * 9):
+        k = min(fingerprint.KMER, len(text))
+        seen, numbered = Counter(), []
+        for i in range(len(text) - k + 1):
+            gram = text[i : i + k]
+            points = fingerprint.K.mix(np.array([ord(c) for c in gram], np.uint64))
+            h = int(fingerprint.K.window_hash(points, k)[0]) >> 24
+            numbered.append(int(fingerprint.K.mix(np.array([(h * int(fingerprint.K.BASE) + seen[gram]) % 2**64], np.uint64))[0]))
+            seen[gram] += 1
+        want = []
+        for factor in fingerprint.FACTORS[:, 0].tolist():
+            least = sorted(sorted(range(len(numbered)), key=lambda i: factor * numbered[i] % 2**64)[: fingerprint.TUPLE])
+            value = 0x51ED270B
+            for i in least:
+                value = int(fingerprint.K.mix(np.array([(value * int(fingerprint.K.BASE) + numbered[i]) % 2**64], np.uint64))[0])
+            want.append(value % 2**32)
+        assert fingerprint.sketch(text).tolist() == want
+
+
 def test_fingerprint_sees_order_and_edits():
     words = prose(4, 400).split()
     text, half = " ".join(words), " ".join(words[200:] + words[:200])
@@ -343,6 +366,13 @@ def test_suffix_dedup_around_edits(spark):
     assert found == {d: (int(g.sum()), hashlib.sha256(np.frombuffer(texts[d].encode(), np.uint8)[~g].tobytes()).hexdigest()) for d, g in want.items()}
 
 
+def test_suffix_dedup_with_zero_bytes(spark):
+    text = prose(41, 80)[:300]
+    texts = {0: text, 1: "\0" + text[:120] + "XYZ", 2: text[200:] + "\0" * 130, 3: "\0" * 105}
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == {d: (int(g.sum()), int(np.diff(np.concatenate([[0], g.astype(int)])).clip(0).sum())) for d, g in removed(texts).items()}
+
+
 def test_language_id(spark, docs, none):
     rows = langid.identify(docs).collect()
     assert len(rows) == len(TEXTS) + 3
@@ -360,10 +390,54 @@ def test_language_id_tells_held_out_languages(spark):
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.98
 
 
+def brute_code_length(train, text, classes):
+    """Bits of a text's bytes under escape C with exclusion, symbol by symbol, from the definition."""
+    order, seen = langid.ORDER, defaultdict(Counter)
+    padded = [0] * order + [int(classes[b]) for b in train]
+    for i in range(order, len(padded)):
+        for k in range(order + 1):
+            seen[tuple(padded[i - k : i])][padded[i]] += 1
+    raw = np.bincount(np.frombuffer(train, np.uint8), minlength=256) + 0.5
+    bits, padded = 0.0, [0] * order + [int(classes[b]) for b in text]
+    for i in range(order, len(padded)):
+        out, share = set(), 1.0
+        for k in range(order, -1, -1):
+            found = seen[tuple(padded[i - k : i])]
+            total, kinds = sum(found.values()), len(found)
+            own = {s: c for s, c in found.items() if s not in out}
+            if not total:
+                continue
+            escape = 0.0 if kinds == langid.SYMBOLS else kinds / (total + kinds)
+            # What longer contexts have seen is left out, and the rest shares its probability.
+            left = sum(own.values()) / total * (1 - escape) + (escape if kinds < langid.SYMBOLS else 0)
+            if padded[i] in own:
+                share *= own[padded[i]] / total * (1 - escape) / left
+                break
+            share *= escape / left
+            out |= set(found)
+        else:
+            share /= langid.SYMBOLS - len(out)
+        byte = text[i - order]
+        bits -= math.log2(share) + math.log2(raw[byte] / raw[classes == classes[byte]].sum())
+    return bits
+
+
+def test_scores_are_code_lengths_of_bytes(spark):
+    train, other = (PROSE + " " + prose(3, 30)).encode(), prose(4, 40).encode()
+    rows = [(1, train.decode(), "aa"), (2, other.decode(), "bb")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb"]
+    for text in (b"the lazy dog", "Über naïve FOX, 42!".encode(), prose(5, 20).encode()):
+        data = np.frombuffer(text, np.uint8)
+        own = model.sums([(data, np.array([0, len(data)]))])[0][0]
+        want = [brute_code_length(t, text, model.classes) for t in (train, other)]
+        assert np.allclose(own, want, atol=0.002 * len(text)), (text, own, want)
+
+
 def test_code_lengths_are_those_of_a_distribution():
     code, n = np.unique(langid.codes(np.frombuffer(PROSE.encode(), np.uint8), np.array([0, len(PROSE)]), (np.arange(256) % 64).astype(np.uint8)), return_counts=True)
-    bits = langid.code_lengths(code, n).reshape(-1, langid.SYMBOLS)
-    assert np.allclose((2.0**-bits).sum(1), 1, atol=1e-3)
+    bits = langid.code_lengths(code, n).reshape(-1, langid.SYMBOLS) / langid.UNIT
+    assert np.allclose((2.0**-bits).sum(1), 1, atol=1e-2)
 
 
 def test_packing(spark, docs, none, texts):
@@ -371,7 +445,6 @@ def test_packing(spark, docs, none, texts):
 
     path, capacity = public_tokenizers.path("word_bpe_49k.json"), 256
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     rows = packing.pack_documents(docs, path, capacity).collect()
     found = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     want = Counter()
@@ -393,6 +466,17 @@ def test_packing(spark, docs, none, texts):
     assert packing.pack_documents(none, path, capacity).count() == 0
 
 
+def test_packing_takes_special_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["<|endoftext|> z", "a<|endoftext|>b. <|ENDOFTEXT|> x<|startoftext|>.", "<|endoftext|", "É. ÉÉ<|EndOfText|>"]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    want = {i: np.asarray([*own.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def test_plan_is_best_fit_over_counts():
     rng = np.random.default_rng(1)
     histogram = {int(k): int(rng.integers(0, 50)) for k in range(1, 101)}
