@@ -29,13 +29,12 @@ def build(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     def fill(batches):
         import pyarrow as pa
 
-        seen = np.zeros(bits, bool)
         for batch in batches:
-            for at in _slots(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                seen[at] = True
-        words = np.packbits(seen, bitorder="little").view(np.int64)
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["at", "word"])
+            at = np.concatenate(_slots(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            at.sort()
+            first = np.flatnonzero(np.concatenate([[True], at[1:] >> 6 != at[:-1] >> 6])) if len(at) else at
+            word = np.bitwise_or.reduceat(K.U(1) << (at & 63).astype(np.uint64), first) if len(at) else at.astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(at[first] >> 6), pa.array(word.view(np.int64))], ["at", "word"])
 
     def pack(batches):
         import pyarrow as pa
@@ -57,8 +56,8 @@ def build(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     return out[: bits // 64].view(np.uint8)
 
 
-def sized(keys: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
-    """A filter with some 12 bits a key, 1 to 16 MB: right for up to ten million keys. Beyond that it passes more and more, and the join behind it deals rows by key."""
+def sized(keys: DataFrame, most_bits: int = 1 << 28) -> np.ndarray:
+    """A filter with some 12 bits a key, 1 to 32 MB: right for some twenty million keys. Beyond that it passes more and more, and the join behind it deals rows by key."""
     bits = BITS
     wanted = 12 * keys.count()
     while bits < min(wanted, most_bits):
