@@ -268,16 +268,13 @@ class Known:
         return at, self.hashes[at] == hashes
 
 
-def known_words(words_: pa.Array, ids: pa.ListArray) -> Known:
-    raw = words_.cast(pa.large_binary())
-    offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
-    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
-    hashes = K.span_hash(K.prefix_hash(data, fold_case=False), offsets[:-1], offsets[1:])
-    order = np.argsort(hashes)
-    size = ids.value_lengths().to_numpy()
-    begins = np.concatenate([[0], np.cumsum(size[order])])
-    flat, own = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
-    return Known(hashes[order], begins, flat[np.arange(begins[-1]) + np.repeat(own[order] - begins[:-1], size[order])].astype(np.int32))
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash, ids (packed) of rows (word, ids)."""
+    for batch in batches:
+        names = [K.span_hash(K.prefix_hash(data, fold_case=False), offsets[:-1], offsets[1:]) for _, _, data, offsets in K.slices(batch.column("word"))]
+        ids = batch.column("ids")
+        packed = _lists(ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*names, np.zeros(0, np.uint64)]).view(np.int64)), packed.cast(pa.binary())], ["hash", "ids"])
 
 
 def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT) -> Known:
@@ -293,9 +290,15 @@ def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FRE
         least = row["n"]
     spread = counts.where(F.col("n") >= least).select("word").repartition(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     folded = _let(ranks.constants(), lambda c: F.transform(word_ids(F.col("word"), c, False), lambda i: i.cast("int")))
-    found = materialize(spread.select("word", folded.alias("ids")), "folded-words").toArrow().combine_chunks()
-    whole = lambda c: found.column(c).combine_chunks() if found.num_rows else pa.array([], found.schema.field(c).type)
-    return known_words(whole("word"), whole("ids"))
+    found = materialize(spread.select("word", folded.alias("ids")).mapInArrow(hashed, "hash long, ids binary"), "folded-words").toArrow()
+    if not found.num_rows:
+        return Known(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    packed = found.column("ids").take(pa.array(order)).combine_chunks()
+    bounds = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, packed.offset * 4).astype(np.int64)
+    flat = np.frombuffer(packed.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.int32)
+    return Known(hashes[order], (bounds - bounds[0]) // 4, flat)
 
 
 def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
