@@ -377,7 +377,7 @@ def encoded(docs: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT, k
     """The ``keep`` columns of ``docs`` (all, unless told) with ids, the ids of the whole text."""
     known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs.select("text"), ranks, pattern, size))
     columns = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text"))
+    rows = K.small_batches(docs).select(F.struct(*columns).alias("row"), F.col("text").alias("text"))
     row = rows.schema["row"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,4 +162,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    return with_next(docs).mapInArrow(run, RESULT)
+    return with_next(K.small_batches(docs)).mapInArrow(run, RESULT)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -48,6 +49,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session that sends texts to Python in batches of BATCH_BYTES, so that memory doesn't grow with their lengths."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 _resident: dict[str, object] = {}
 
 

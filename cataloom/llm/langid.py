@@ -255,7 +255,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                     [*keep, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    whole = docs.select(*keep, *(() if "text" in keep else ("text",)))
+    whole = K.small_batches(docs).select(*keep, *(() if "text" in keep else ("text",)))
     schema = T.StructType([*(whole.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     return whole.mapInArrow(score, schema)
 

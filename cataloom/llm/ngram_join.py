@@ -96,7 +96,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             columns = [[batch.column("doc_id"), none(more)], [pa.array(n, pa.int64()), none(more)], [pa.array(ids, pa.int64()), none(more)], [none(rows), pa.array(token)], [none(rows), pa.array(count)]]
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], ["doc_id", "n_shingles", "set_id", "token", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
+    return K.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, np.ndarray]]]:

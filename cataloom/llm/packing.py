@@ -26,7 +26,9 @@ from cataloom.sources.shared import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker keeps in each of two generations, so memory is bounded.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
+#: Words that the tokenizer is asked for together.
+ASKED = 1000
 MARKS = rb"!\"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"
 #: Chunks on which the shortcuts of :class:`WordIds` are tried when a tokenizer is loaded.
 PROBES = ("Ab", "straße.", "ÉCOLE!?", "don't", "X1b\")", "İi,", "日本語。.", "it's...", "ΣΑΣ;", "ﬁN-")
@@ -77,8 +79,10 @@ class WordIds(dict):
                 self[x] = self.older[x]
         cut = {x: self.parts(x) for x in missing if x not in self}
         new = list({y for parts in cut.values() for y in parts if y not in self and y not in self.older})
-        for y, found in zip(new, self.tokenizer.encode_batch_fast([y.decode("utf-8") for y in new], add_special_tokens=False)):
-            self[y] = np.asarray(found.ids, "<u4").tobytes()
+        for at in range(0, len(new), ASKED):
+            asked = new[at : at + ASKED]
+            for y, found in zip(asked, self.tokenizer.encode_batch_fast([y.decode("utf-8") for y in asked], add_special_tokens=False)):
+                self[y] = np.asarray(found.ids, "<u4").tobytes()
         for x, parts in cut.items():
             self[x] = b"".join(self[y] if y in self else self.older[y] for y in parts)
 
@@ -125,7 +129,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return K.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

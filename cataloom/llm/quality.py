@@ -97,7 +97,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 found = text_counts(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), *(pa.array(found[k].astype(np.int64)) for k in names[1:])], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, COUNTS)
+    return K.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, COUNTS)
 
 
 def base_failed() -> Column:

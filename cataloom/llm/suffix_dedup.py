@@ -283,7 +283,7 @@ def place_key(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc, start, end: ranges of starts of repeated strings; they may overlap."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), "text")
+    texts = K.small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     firsts = texts.mapInArrow(_first_of_copies, ROWS).repartition(parts, "key").sortWithinPartitions("key", "ph", "doc", "pos")
     met = materialize(firsts.mapInArrow(_by_anchor, ROWS), "passages")
