@@ -29,7 +29,6 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,6 +158,8 @@ def _pair_rank(left: Column, right: Column, tables: Column) -> Column:
 FREQUENT = 1_000_000
 LONG = 64
 COUNTED = 100_000
+#: Separates the pieces of the vocabulary's literal: no character of a byte.
+PIECE_END = "\u2028"
 
 
 def _let(value: Column, body) -> Column:
@@ -397,13 +398,7 @@ def encoded(docs: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT, k
 
 
 def decoded(ids: Column, ranks: Ranks) -> Column:
-    """Bytes of ids: the tokens' binary pieces one after the other."""
-    pieces = [*ranks.tokens, b""]
-    outside = len(ranks.tokens)
-
-    def join(rows: pd.Series) -> pd.Series:
-        inside = (np.where((x < 0) | (x > outside), outside, x).tolist() if x is not None else [] for x in rows)
-        return pd.Series([b"".join(map(pieces.__getitem__, x)) for x in inside], index=rows.index, dtype=object)
-
-    join.__annotations__ = {"rows": pd.Series, "return": pd.Series}
-    return F.pandas_udf(join, "binary")(ids)
+    """Bytes of ids: the tokens' binary pieces one after the other. A byte stands for the character of its number while pieces are joined."""
+    pieces = F.split(F.lit(PIECE_END.join(t.decode("iso-8859-1") for t in ranks.tokens)), PIECE_END)
+    joined = _let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(p, i), F.lit(""))), ""))
+    return F.encode(joined, "iso-8859-1")
