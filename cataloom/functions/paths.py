@@ -24,7 +24,15 @@ def joined(folder: Column, path: Column) -> Column:
     return F.array_join(kept, "/")
 
 
+#: Two or three version numbers in front of the ending (``Name.1.5.cdm.json``): a snapshot of the unversioned document.
+VERSIONED = r"\.\d+\.\d+(\.\d+)?\.cdm\.json$"
+
+
+def is_live_document(path: Column) -> Column:
+    """Documents that take part in name resolution: no manifests, no versioned snapshots."""
+    return F.endswith(path, F.lit(".cdm.json")) & ~F.endswith(path, F.lit(".manifest.cdm.json")) & ~F.rlike(path, F.lit(VERSIONED))
+
+
 def is_entity_document(path: Column) -> Column:
-    """Unversioned entity documents: no manifests, no import hubs, no ``Name.1.5.cdm.json``."""
-    name = basename(path)
-    return F.endswith(name, F.lit(".cdm.json")) & ~F.startswith(name, F.lit("_")) & ~F.contains(name, F.lit(".manifest.")) & ~F.rlike(name, F.lit(r"\.\d+(\.\d+)*\.cdm\.json$"))
+    """Unversioned entity documents: live ones but for the hubs of imports."""
+    return is_live_document(path) & (basename(path) != "_allImports.cdm.json")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cataloom.operators import graph as G
 from cataloom.operators import inheritance as H
 from cataloom.sources import adapters as A
+from cataloom.sources.shared import written_once
 
 PREFIXES = (("orders", "sales"), ("customer", "sales"), ("supplier", "purchasing"), ("part", "purchasing"))
 
@@ -16,14 +17,14 @@ NODES = """nodes AS (
   UNION ALL SELECT 'customer#'||c_custkey, 'E'||c_custkey, 'customer', 'nation#'||c_nationkey FROM customer
   UNION ALL SELECT 'supplier#'||s_suppkey, 'E'||s_suppkey, 'supplier', 'nation#'||s_nationkey FROM supplier
   UNION ALL SELECT 'part#'||p_partkey, 'E'||p_partkey, 'part', NULL FROM part
-  UNION ALL SELECT 'nation#'||n_nationkey, 'E'||n_nationkey, 'nation', 'region#'||n_regionkey FROM nation
-  UNION ALL SELECT 'region#'||r_regionkey, 'E'||r_regionkey, 'region', NULL FROM region)"""
+  UNION ALL SELECT 'nation#'||n_nationkey, 'N'||n_nationkey, 'nation', 'region#'||n_regionkey FROM nation
+  UNION ALL SELECT 'region#'||r_regionkey, 'R'||r_regionkey, 'region', NULL FROM region)"""
 TARGETS = """low AS (SELECT l_orderkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1),
 urgent AS (SELECT o_orderkey, o_custkey, s FROM orders JOIN low ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'),
 targets AS (
-  SELECT 'nation#'||n_nationkey||'::regionkey' AS edge_id, 'nation#'||n_nationkey AS from_id, 'E'||n_nationkey AS from_name, 'region' AS attribute, 'region#'||n_regionkey AS to_id, 'E'||n_regionkey AS to_name, true AS is_audit, false AS is_polymorphic FROM nation
-  UNION ALL SELECT 'customer#'||c_custkey||'::nationkey', 'customer#'||c_custkey, 'E'||c_custkey, 'nation', 'nation#'||c_nationkey, 'E'||c_nationkey, true, false FROM customer
-  UNION ALL SELECT 'supplier#'||s_suppkey||'::nationkey', 'supplier#'||s_suppkey, 'E'||s_suppkey, 'nation', 'nation#'||s_nationkey, 'E'||s_nationkey, true, false FROM supplier
+  SELECT 'nation#'||n_nationkey||'::regionkey' AS edge_id, 'nation#'||n_nationkey AS from_id, 'N'||n_nationkey AS from_name, 'region' AS attribute, 'region#'||n_regionkey AS to_id, 'R'||n_regionkey AS to_name, true AS is_audit, false AS is_polymorphic FROM nation
+  UNION ALL SELECT 'customer#'||c_custkey||'::nationkey', 'customer#'||c_custkey, 'E'||c_custkey, 'nation', 'nation#'||c_nationkey, 'N'||c_nationkey, true, false FROM customer
+  UNION ALL SELECT 'supplier#'||s_suppkey||'::nationkey', 'supplier#'||s_suppkey, 'E'||s_suppkey, 'nation', 'nation#'||s_nationkey, 'N'||s_nationkey, true, false FROM supplier
   UNION ALL SELECT 'orders#'||o_orderkey||'::custkey', 'orders#'||o_orderkey, 'E'||o_orderkey, 'customer', 'customer#'||o_custkey, 'E'||o_custkey, false, false FROM orders
   UNION ALL SELECT DISTINCT 'orders#'||l_orderkey||'::partkey_'||l_partkey, 'orders#'||l_orderkey, 'E'||l_orderkey, 'part', 'part#'||l_partkey, 'E'||l_partkey, false, false FROM lineitem
   UNION ALL SELECT DISTINCT 'orders#'||l_orderkey||'::suppkey_'||l_suppkey, 'orders#'||l_orderkey, 'E'||l_orderkey, 'supplier', 'supplier#'||l_suppkey, 'E'||l_suppkey, false, false FROM lineitem
@@ -41,6 +42,8 @@ ATTRS = """attrs AS (
   UNION ALL SELECT 'customer#'||c_custkey, ord, name, data_type, CASE name WHEN 'nation' THEN 'nationkey' WHEN 'createdBy' THEN 'createdById' END, CASE name WHEN 'nation' THEN 'nation' WHEN 'createdBy' THEN 'user' END,
     CASE name WHEN 'name' THEN c_name WHEN 'nation' THEN 'Home of the customer, as told. May change.' WHEN 'createdBy' THEN 'Who made the record. Filled once.' END
     FROM customer, (VALUES (0,'key','integer'),(1,'name','string'),(2,'acctbal','decimal'),(3,'segment','string'),(4,'nation','entity'),(5,'createdBy','entity')) v(ord, name, data_type) WHERE ord < 5 OR c_mktsegment = 'BUILDING'
+  UNION ALL SELECT 'supplier#'||s_suppkey, ord, name, data_type, fk, CASE WHEN fk IS NOT NULL THEN 'user' END, NULL FROM supplier, (VALUES (0,'key','integer',NULL),(1,'maker','entity','createdById')) v(ord, name, data_type, fk)
+  UNION ALL SELECT 'part#'||p_partkey, ord, name, data_type, fk, CASE WHEN fk IS NOT NULL THEN 'user' END, NULL FROM part, (VALUES (0,'key','integer',NULL),(1,'owner','entity','ownerId')) v(ord, name, data_type, fk)
   UNION ALL SELECT 'nation#'||n_nationkey, ord, name, data_type, CASE name WHEN 'region' THEN 'regionkey' END, CASE name WHEN 'region' THEN 'region' END, CASE name WHEN 'name' THEN n_name END
     FROM nation, (VALUES (0,'key','integer'),(1,'name','string'),(2,'region','entity')) v(ord, name, data_type)
   UNION ALL SELECT 'region#'||r_regionkey, ord, name, data_type, CASE name WHEN 'createdBy' THEN 'createdById' END, CASE name WHEN 'createdBy' THEN 'user' END, CASE name WHEN 'regionname' THEN r_name ELSE 'Who made the record. Filled once.' END
@@ -53,8 +56,8 @@ RESOLVED = CHAIN + ", " + ATTRS + """, decl AS (
 resolved AS (
   SELECT entity_id, name, depth, ord, ancestor_id AS declared_in, data_type, fk_targets, CASE WHEN fk_name = 'id' AND before_fk <> 'id' THEN before_fk ELSE fk_name END AS fk_name,
     CASE WHEN fk_name = 'id' AND before_fk <> 'id' THEN coalesce(description, before_text) ELSE description END AS description,
-    CASE WHEN declared_in LIKE 'region#%' OR name IN ('regionname', 'createdBy') THEN 'standard' WHEN depth = 0 THEN 'own' ELSE 'inherited' END AS origin,
-    name IN ('regionname', 'createdBy') AND declared_in NOT LIKE 'region#%' AS inlined,
+    CASE WHEN declared_in LIKE 'region#%' OR name IN ('regionname', 'createdBy') OR coalesce(fk_name, '') = 'createdById' THEN 'standard' WHEN depth = 0 THEN 'own' ELSE 'inherited' END AS origin,
+    (name IN ('regionname', 'createdBy') OR coalesce(fk_name, '') = 'createdById') AND declared_in NOT LIKE 'region#%' AS inlined,
     row_number() OVER (PARTITION BY entity_id ORDER BY depth DESC, ord, name) AS pos
   FROM decl WHERE rn = 1)"""
 
@@ -64,13 +67,15 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All attributes of all entities; a region plays the standard entity of those below it."""
+    """All attributes of all entities, written once a session; a region plays the standard entity of those below it."""
+    return written_once(spark, sf_dir, "resolved-attributes", lambda: _resolved(spark, sf_dir))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     attrs, chain = A.attributes(spark, sf_dir), H.chains(A.nodes(spark, sf_dir))
     above = chain.where(F.startswith("ancestor_id", F.lit("region#"))).select("entity_id", "ancestor_id")
-    own = attrs.where(F.startswith("entity_id", F.lit("region#"))).select(F.col("entity_id").alias("ancestor_id"), "name", "fk_name")
-    seen = above.join(own, "ancestor_id")
-    standard = seen.select("entity_id", "name").unionByName(seen.where("fk_name is not null").select("entity_id", F.col("fk_name").alias("name"))).distinct()
-    return H.resolved(attrs, chain, standard, F.startswith("ancestor_id", F.lit("region#")))
+    own = attrs.where(F.startswith("entity_id", F.lit("region#"))).select(F.col("entity_id").alias("ancestor_id"), F.explode(F.array_compact(F.array("name", "fk_name"))).alias("name")).distinct()
+    return H.resolved(attrs, chain, above.join(own, "ancestor_id").select("entity_id", "name").distinct(), F.startswith("ancestor_id", F.lit("region#")))
 
 
 def fk_text(c: str = "fk_targets"):
@@ -196,7 +201,7 @@ def q11_collisions(spark, sf_dir):
 
 
 DETAILS = """details AS (SELECT name, string_agg(DISTINCT t, ',' ORDER BY t) AS targets, count(DISTINCT CASE WHEN depth = 0 THEN entity_id END) AS n_declared_by, count(DISTINCT CASE WHEN depth > 0 THEN entity_id END) AS n_inherited_by, min(fk_name) AS fk_name, count(DISTINCT t) > 1 AS is_polymorphic
-  FROM (SELECT name, entity_id, depth, fk_name, unnest(string_split(fk_targets, ',')) AS t FROM resolved WHERE origin <> 'standard' AND fk_name IS NOT NULL AND fk_name <> 'id' AND fk_targets IS NOT NULL) GROUP BY name)"""
+  FROM (SELECT name, entity_id, depth, fk_name, unnest(string_split(fk_targets, ',')) AS t FROM resolved WHERE origin <> 'standard' AND fk_name IS NOT NULL AND fk_name NOT IN ('id', 'ownerId') AND fk_targets IS NOT NULL) GROUP BY name)"""
 
 QUERIES = {f.__name__: f for f in (
     g1_layers, g2_display_names, g6_edges, g7_degrees, g8_summary, g9_find, q1_pair_relations, q2_party_names, q3_near_misses, q4_infrastructure_notes, q5_shortest_paths, q6_within_hops, q7_path_labels,

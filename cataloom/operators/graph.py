@@ -7,6 +7,7 @@ targets array<struct<entity_id, name>>, is_audit, is_polymorphic.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,35 +120,63 @@ def neighbours(targets: DataFrame) -> DataFrame:
     return there.unionByName(business.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "edge_id", "attribute"))
 
 
+def _widened(frontier: DataFrame, adjacency: DataFrame, seen: DataFrame) -> DataFrame:
+    """The nodes one hop further that a side hasn't seen: pair_id, at, edge_id, attribute, prev (its smallest way back)."""
+    way = F.struct("edge_id", F.col("at").alias("prev"), "attribute")
+    step = frontier.join(adjacency, F.col("at") == F.col("src")).groupBy("pair_id", F.col("dst").alias("next")).agg(F.min(way).alias("w"))
+    fresh = step.select("pair_id", F.col("next").alias("at"), "w.edge_id", "w.prev", "w.attribute")
+    return materialize(fresh.join(seen, ["pair_id", "at"], "left_anti"), "frontier")
+
+
 def shortest_paths(pairs: DataFrame, nodes: DataFrame, targets: DataFrame, max_hops: int = 4) -> DataFrame:
     """pair_id, hops, path array<struct<edge_id, attribute, from_id, to_id>>; hops null when there is none.
 
-    Per hop one join of the frontier with the adjacency; each reached node keeps its smallest path by edge ids, visited
-    nodes drop out, and so do pairs as soon as they are done.
+    Both ends search in turn, a hop at a time, so that neither goes further than half the way; a pair is done as soon as its
+    sides meet (at the smallest node, if at several). Each reached node keeps one way back, by the smallest edge and node, and
+    paths are put together at the end, a join a hop.
     """
     hop = "array<struct<edge_id:string,attribute:string,from_id:string,to_id:string>>"
     named = nodes.select("name", "entity_id")
-    goals = pairs.join(named, F.col("name_b") == F.col("name")).select("pair_id", F.col("entity_id").alias("goal"))
-    starts = pairs.join(named, F.col("name_a") == F.col("name")).select("pair_id", F.col("entity_id").alias("at")).join(goals.select("pair_id").distinct(), "pair_id", "left_semi")
-    frontier = materialize(starts.withColumn("path", F.array().cast(hop)), "frontier")
-    visited = frontier.select("pair_id", "at")
-    adjacency = neighbours(targets)
-    done = None
-    for _ in range(max_hops + 1):
-        hit = frontier.join(goals, (frontier["pair_id"] == goals["pair_id"]) & (F.col("at") == F.col("goal"))).select(frontier["pair_id"], "path")
-        hit = materialize(hit.groupBy("pair_id").agg(F.min(F.transform("path", lambda h: F.struct(h["edge_id"], h["from_id"], h["to_id"], h["attribute"]))).alias("k")), "paths")
-        done = hit if done is None else done.unionByName(hit)
-        if _ == max_hops:
-            break
-        rest = frontier.join(hit.select("pair_id"), "pair_id", "left_anti")
-        step = rest.join(adjacency, F.col("at") == F.col("src")).select("pair_id", F.col("dst").alias("next"), F.concat("path", F.array(F.struct("edge_id", "attribute", F.col("src").alias("from_id"), F.col("dst").alias("to_id")))).cast(hop).alias("path"))
-        best = step.groupBy("pair_id", F.col("next").alias("at")).agg(F.min_by("path", F.transform("path", lambda h: F.struct(h["edge_id"], h["from_id"]))).alias("path"))
-        frontier = materialize(best.join(visited, ["pair_id", "at"], "left_anti"), "frontier")
-        visited = visited.unionByName(frontier.select("pair_id", "at"))
-        if frontier.isEmpty():
+    ends = [pairs.join(named, F.col(c) == F.col("name")).select("pair_id", F.col("entity_id").alias("at")).distinct() for c in ("name_a", "name_b")]
+    none = F.lit(None).cast("string")
+    sides = []
+    for mine, other in (ends, ends[::-1]):
+        start = mine.join(other.select("pair_id").distinct(), "pair_id", "left_semi")
+        sides.append([materialize(start.select("pair_id", "at", none.alias("edge_id"), none.alias("prev"), none.alias("attribute")), "frontier")])
+    fronts = [side[0].select("pair_id", "at") for side in sides]
+    seen = list(fronts)
+    adjacency = materialize(neighbours(targets), "adjacency")
+    meetings: list[DataFrame] = []
+    for hops in range(max_hops + 1):
+        turn = (hops + 1) % 2
+        if hops:
+            wider = _widened(fronts[turn], adjacency, seen[turn])
+            sides[turn].append(wider)
+            fronts[turn] = wider.select("pair_id", "at")
+            seen[turn] = seen[turn].unionByName(fronts[turn])
+        # What a side has just reached and the other one has seen is in the other's latest hop: else they would have met before.
+        met = fronts[0].join(fronts[1], ["pair_id", "at"]).groupBy("pair_id").agg(F.min("at").alias("meet"))
+        meetings.append(materialize(met, "met"))
+        fronts = [front.join(meetings[-1].select("pair_id"), "pair_id", "left_anti") for front in fronts]
+        if hops and sides[turn][-1].isEmpty():
             break
-    unpacked = done.select("pair_id", F.transform("k", lambda h: F.struct(h["edge_id"].alias("edge_id"), h["attribute"].alias("attribute"), h["from_id"].alias("from_id"), h["to_id"].alias("to_id"))).alias("path"))
-    return pairs.select("pair_id").distinct().join(unpacked, "pair_id", "left").select("pair_id", F.when(F.col("path").isNotNull(), F.size("path")).cast("long").alias("hops"), "path")
+    found = [_path(met, k, sides).select("pair_id", F.lit(k).alias("hops"), F.col("path").cast(hop).alias("path")) for k, met in enumerate(meetings)]
+    whole = reduce(DataFrame.unionByName, found)
+    return pairs.select("pair_id").distinct().join(whole, "pair_id", "left").select("pair_id", F.col("hops").cast("long").alias("hops"), "path")
+
+
+def _path(met: DataFrame, hops: int, sides: list[list[DataFrame]]) -> DataFrame:
+    """pair_id, path of the pairs that have met after so many hops."""
+    rows = met.select("pair_id", "meet", F.array().cast("array<struct<edge_id:string,attribute:string,from_id:string,to_id:string>>").alias("path"))
+    for side, own in ((0, (hops + 1) // 2), (1, hops // 2)):
+        rows = rows.withColumn("at", F.col("meet"))
+        for k in range(own, 0, -1):
+            step = sides[side][k].select("pair_id", F.col("at").alias("_at"), "edge_id", "prev", "attribute")
+            rows = rows.join(step, (rows["pair_id"] == step["pair_id"]) & (F.col("at") == F.col("_at"))).drop(step["pair_id"])
+            ends = ("prev", "at") if side == 0 else ("at", "prev")
+            one = F.array(F.struct("edge_id", "attribute", F.col(ends[0]).alias("from_id"), F.col(ends[1]).alias("to_id")))
+            rows = rows.select("pair_id", "meet", (F.concat(one, "path") if side == 0 else F.concat("path", one)).alias("path"), F.col("prev").alias("at"))
+    return rows
 
 
 def within_hops(sources: DataFrame, targets: DataFrame, hops: int) -> DataFrame:

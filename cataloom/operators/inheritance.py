@@ -6,15 +6,29 @@ parent_id.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cataloom.operators.resolution import PLACEHOLDER
 from cataloom.sources.shared import materialize
 
-#: Name of a foreign key that stands for the one of an overridden declaration.
-PLACEHOLDER = "id"
+
+# Names of the foreign keys that every record has and that say nothing about the business.
+AUDIT_NAMES = (
+    "createdBy",
+    "modifiedBy",
+    "createdOnBehalfBy",
+    "modifiedOnBehalfBy",
+    "ownerId",
+    "owningUser",
+    "owningTeam",
+    "owningBusinessUnit",
+    "transactionCurrencyId",
+    "organizationId",
+)
 
 
 def chains(nodes: DataFrame) -> DataFrame:
@@ -48,7 +62,8 @@ def resolved(attributes: DataFrame, chain: DataFrame, standard: DataFrame | None
     or a non-standard ancestor declares itself. ``standard`` is (entity_id, name): the standard names that the leaf sees.
     """
     rows = chain.join(attributes.withColumnRenamed("entity_id", "ancestor_id"), "ancestor_id")
-    own = F.struct(F.col("depth"), F.col("ord"), F.col("ancestor_id"), F.col("data_type"), F.col("fk_name"), F.col("fk_targets"), F.col("description"))
+    rest = [c for c in attributes.columns if c not in ("entity_id", "name", "ord")]
+    own = F.struct("depth", "ord", "ancestor_id", *rest, F.col("fk_name").alias("told_fk"))
     # Ancestors first; of one level the later declaration wins.
     order = F.struct((-F.col("depth")).alias("up"), "ord", own.alias("d"))
     line = rows.groupBy("entity_id", "name").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["d"]).alias("line"))
@@ -62,9 +77,13 @@ def resolved(attributes: DataFrame, chain: DataFrame, standard: DataFrame | None
     out = line.select("entity_id", "name", last.alias("a")).select("entity_id", "name", "a.*")
     from_standard = standard_layer if standard_layer is not None else F.lit(False)
     if standard is not None:
-        out = out.join(standard.withColumn("_std", F.lit(True)), ["entity_id", "name"], "left").withColumn("_std", F.coalesce("_std", F.lit(False)))
+        # A standard name may be the attribute's, or the foreign key's as it is declared.
+        named = lambda c, flag: standard.select("entity_id", F.col("name").alias(c), F.lit(True).alias(flag)).distinct()
+        out = out.join(named("name", "_by_name"), ["entity_id", "name"], "left").join(named("told_fk", "_by_fk"), ["entity_id", "told_fk"], "left")
+        out = out.withColumn("_std", F.coalesce("_by_name", "_by_fk", F.lit(False))).drop("_by_name", "_by_fk")
     else:
         out = out.withColumn("_std", F.lit(False))
+    out = out.drop("told_fk")
     out = out.withColumn("origin", F.when(from_standard | F.col("_std"), "standard").when(F.col("depth") == 0, "own").otherwise("inherited"))
     out = out.withColumn("inlined", F.col("_std") & ~from_standard).drop("_std")
     position = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("depth"), "ord", "name"))
@@ -76,22 +95,40 @@ def canonical_fk_names(resolved_attributes: DataFrame) -> DataFrame:
     return resolved_attributes.select("entity_id", "name", F.when(F.col("fk_name") != PLACEHOLDER, F.col("fk_name")).alias("fk_name"))
 
 
+def type_label() -> Column:
+    """``reference to X/Y`` for a foreign key, else the data type."""
+    names = F.array_join(F.array_sort(F.transform("fk_targets", lambda t: t["entity"])), "/")
+    reference = F.when(F.size("fk_targets") > 0, F.concat(F.lit("reference to "), names)).otherwise(F.lit("reference"))
+    return F.when(F.col("fk_name").isNotNull(), reference).otherwise(F.coalesce("data_type", F.lit("unspecified")))
+
+
 def attribute_counts(resolved_attributes: DataFrame) -> DataFrame:
     """entity_id, own, inherited, standard, total."""
     kinds = ("own", "inherited", "standard")
     return resolved_attributes.groupBy("entity_id").agg(*(F.count_if(F.col("origin") == k).alias(k) for k in kinds), F.count("*").alias("total"))
 
 
-def attribute_details(resolved_attributes: DataFrame) -> DataFrame:
-    """Per FK attribute name over all entities: targets, who declares and who inherits it, FK name, polymorphic flag."""
-    fks = resolved_attributes.where((F.col("origin") != "standard") & F.col("fk_name").isNotNull() & (F.col("fk_name") != PLACEHOLDER) & (F.size("fk_targets") > 0))
-    flat = fks.select("name", "entity_id", "depth", "fk_name", F.explode("fk_targets").alias("t"))
+def business_keys(resolved_attributes: DataFrame, audit: Sequence[str] = AUDIT_NAMES) -> DataFrame:
+    """Resolved foreign keys that say something about the business: with targets and a real name, neither standard nor audit ones."""
+    named = F.col("fk_name").isNotNull() & (F.col("fk_name") != PLACEHOLDER) & ~F.col("fk_name").isin(*audit)
+    return resolved_attributes.where((F.col("origin") != "standard") & named & (F.size("fk_targets") > 0))
+
+
+def attribute_details(resolved_attributes: DataFrame, audit: Sequence[str] = AUDIT_NAMES) -> DataFrame:
+    """Per FK attribute name over all entities: targets, how many declare and how many inherit it, FK name, polymorphic flag."""
+    flat = business_keys(resolved_attributes, audit).select("name", "entity_id", "depth", "fk_name", F.explode("fk_targets").alias("t"))
     return flat.groupBy("name").agg(
         F.array_sort(F.collect_set("t.entity")).alias("targets"), F.count_distinct(F.when(F.col("depth") == 0, F.col("entity_id"))).alias("n_declared_by"),
         F.count_distinct(F.when(F.col("depth") > 0, F.col("entity_id"))).alias("n_inherited_by"), F.min("fk_name").alias("fk_name"),
     ).withColumn("is_polymorphic", F.size("targets") > 1)
 
 
+def attribute_holders(resolved_attributes: DataFrame, audit: Sequence[str] = AUDIT_NAMES) -> DataFrame:
+    """name, entity_id, held: who declares and who inherits each FK attribute, a row each, however many they are."""
+    held = F.when(F.col("depth") == 0, "declared").otherwise("inherited").alias("held")
+    return business_keys(resolved_attributes, audit).select("name", "entity_id", held).distinct()
+
+
 def attribute_tokens(details: DataFrame) -> DataFrame:
     """token, name: the plain name and the FK column name both lead to the attribute."""
     return details.select(F.col("name").alias("token"), "name").unionByName(details.select(F.col("fk_name").alias("token"), "name")).distinct()

@@ -10,34 +10,40 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.sources.shared import materialize
 
 ROOT = "CdmEntity"
-FLAT = "doc string, owner_kind string, owner string, ord array<int>, kind string, name string, data_type string, description string, fk_name string, fk_targets array<string>, is_fk boolean, group_path array<string>"
+#: Name of a foreign key that stands for the one of an overridden declaration.
+PLACEHOLDER = "id"
+TARGETS = "array<struct<entity:string,attribute:string>>"
+FLAT = (
+    "doc string, owner_kind string, owner string, ord array<int>, kind string, name string, data_type string, description string, fk_name string, "
+    f"fk_targets {TARGETS}, is_fk boolean, group_path array<string>"
+)
+NODES = f"document string, entity string, ord int, attribute string, fk_name string, targets {TARGETS}, skipped boolean"
+TARGET = pa.list_(pa.struct([("entity", pa.string()), ("attribute", pa.string())]))
+IDENTIFIER = "is.identifiedBy"
 
 
 def closure(roots: DataFrame, imports: DataFrame) -> DataFrame:
     """root, doc, rank: the documents visible from each root through unaliased imports, depth first in the order of declaration.
 
-    The first visit of a depth-first walk is the smallest path of import ordinals, so each round extends paths by one
-    ordinal and keeps the smallest path per (root, doc), until nothing improves.
+    The first visit of a depth-first walk is the smallest path of import ordinals. Each round goes on only from documents
+    whose smallest path got smaller, so that a round has one row per (root, doc) at most; a path round a cycle is longer than
+    the one it comes back to, so it is never smaller, and the rounds end.
     """
     plain = imports.where("moniker is null").select(F.col("doc").alias("at"), "ord", F.col("target_doc").alias("next")).where("at != next")
-    start = roots.select(F.col("doc").alias("root")).distinct().select("root", F.col("root").alias("doc"), F.array().cast("array<int>").alias("path"), F.array("root").alias("seen"))
-    best = frontier = materialize(start, "closure")
-    while True:  # seen ends every cycle
-        step = frontier.join(plain, F.col("doc") == F.col("at")).where(~F.array_contains("seen", F.col("next")))
-        step = step.select("root", F.col("next").alias("doc"), F.concat("path", F.array("ord")).alias("path"), F.concat("seen", F.array("next")).alias("seen"))
-        frontier = materialize(step, "closure-step")
+    best = frontier = materialize(roots.select(F.col("doc").alias("root")).distinct().select("root", F.col("root").alias("doc"), F.array().cast("array<int>").alias("path")), "closure")
+    while True:
+        step = frontier.join(plain, F.col("doc") == F.col("at")).groupBy("root", F.col("next").alias("doc")).agg(F.min(F.concat("path", F.array("ord"))).alias("path"))
+        known = best.select("root", "doc", F.col("path").alias("before"))
+        frontier = materialize(step.join(known, ["root", "doc"], "left").where(F.col("before").isNull() | (F.col("path") < F.col("before"))).drop("before"), "closure-step")
         if frontier.isEmpty():
             break
-        both = best.unionByName(frontier)
-        best = both.groupBy("root", "doc").agg(F.min(F.struct("path", "seen")).alias("x")).select("root", "doc", "x.*")
-    from pyspark.sql import Window
-
+        best = materialize(best.join(frontier.select("root", "doc"), ["root", "doc"], "left_anti").unionByName(frontier), "closure")
     return best.select("root", "doc", (F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1).cast("long").alias("rank"))
 
 
@@ -60,19 +66,43 @@ def resolve(requests: DataFrame, closures: DataFrame, imports: DataFrame, defini
     return wanted.join(first, ["doc", "wanted"], "left")
 
 
-def _targets(entity: object) -> list[str]:
-    """Names an entity node refers to: one, or those of an inline entity's attributes."""
-    if not isinstance(entity, dict):
-        return []
-    reference = entity.get("entityReference")
+def _identifier(entity: dict) -> str | None:
+    """The target's attribute that an entity node names as its identifier."""
+    for trait in entity.get("appliedTraits") or []:
+        if isinstance(trait, dict) and trait.get("traitReference") == IDENTIFIER:
+            named = [x for x in (trait.get("arguments") or [])[:1] if isinstance(x, str)]
+            if named:
+                return named[0].split("/")[-1]
+    return None
+
+
+def _targets(entity: object) -> set[tuple[str, str | None]]:
+    """(entity, attribute) an entity node refers to: one, or those of an inline entity's attributes."""
+    reference = entity.get("entityReference") if isinstance(entity, dict) else None
     if isinstance(reference, str):
-        return [reference]
-    out: list[str] = []
-    if isinstance(reference, dict):
-        for member in reference.get("hasAttributes") or []:
-            if isinstance(member, dict):
-                out += _targets(member.get("entity"))
-    return out
+        return {(reference, _identifier(entity))}
+    members = (reference.get("hasAttributes") or []) if isinstance(reference, dict) else []
+    return set().union(*(_targets(m.get("entity")) for m in members if isinstance(m, dict)), set())
+
+
+def _sorted_targets(entity: object) -> list[dict]:
+    return [{"entity": e, "attribute": a} for e, a in sorted(_targets(entity), key=lambda t: (t[0], t[1] or ""))]
+
+
+def _fk_nodes(items: list) -> Iterator[tuple[str | None, str | None, list[dict]]]:
+    """(attribute, fk_name, targets) of every node at any depth that refers to an entity by a key; a missing key name is the placeholder's."""
+    left = list(reversed(items))
+    while left:
+        node = left.pop()
+        if isinstance(node, dict):
+            entity, guidance = node.get("entity"), node.get("resolutionGuidance")
+            if isinstance(entity, dict) and "entityReference" in entity and isinstance(guidance, dict) and "entityByReference" in guidance:
+                key = (guidance["entityByReference"] or {}).get("foreignKeyAttribute") or {}
+                name = node.get("name")
+                yield name if isinstance(name, str) and name else None, key.get("name") or PLACEHOLDER, _sorted_targets(entity)
+            left.extend(reversed(list(node.values())))
+        elif isinstance(node, list):
+            left.extend(reversed(node))
 
 
 def _member(member: object, order: list[int], groups: list[str]) -> Iterator[tuple]:
@@ -103,18 +133,19 @@ def _member(member: object, order: list[int], groups: list[str]) -> Iterator[tup
     fk = None
     if is_fk:
         named = by_reference.get("foreignKeyAttribute")
-        fk = named.get("name") if isinstance(named, dict) and isinstance(named.get("name"), str) else "id"
-    if not isinstance(kind, str):
-        kind = "entity" if "entity" in member else None
+        fk = named.get("name") if isinstance(named, dict) and isinstance(named.get("name"), str) else PLACEHOLDER
+    if kind is None and isinstance(member.get("entity"), dict):
+        kind = "entity"
+    kind = kind if isinstance(kind, str) else None
     text = member.get("description")
-    yield order, "attribute", member["name"], kind, text if isinstance(text, str) else None, fk, sorted(set(_targets(member.get("entity")))) if is_fk else None, is_fk, groups
+    yield order, "attribute", member["name"], kind, text if isinstance(text, str) else None, fk, _sorted_targets(member["entity"]) if is_fk else None, is_fk, groups
 
 
 def flattened(entities: DataFrame, groups: DataFrame) -> DataFrame:
     """Ordered member rows of entities and named groups: attributes, and references to named groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.string()))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), TARGET, pa.bool_(), pa.list_(pa.string()))
         names = [x.split()[0] for x in FLAT.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
@@ -130,12 +161,30 @@ def flattened(entities: DataFrame, groups: DataFrame) -> DataFrame:
     return both.mapInArrow(run, FLAT)
 
 
+def fk_nodes(entities: DataFrame) -> DataFrame:
+    """document, entity, ord, attribute, fk_name, targets, skipped: every foreign key written anywhere in an entity's attributes, in order.
+
+    Skipped ones have no target, or neither a key's name nor one of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, names = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), TARGET, pa.bool_()), [x.split()[0] for x in NODES.split(", ")]
+        for batch in batches:
+            rows = []
+            for doc, owner, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for k, (attribute, fk, targets) in enumerate(_fk_nodes(json.loads(text).get("hasAttributes") or [])):
+                    rows.append((doc, owner, k, attribute, fk, targets, not targets or attribute is None and fk == PLACEHOLDER))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+
+    return entities.select("doc", "name", "json").mapInArrow(run, NODES)
+
+
 def expanded(flat: DataFrame, closures: DataFrame, imports: DataFrame, groups: DataFrame) -> DataFrame:
-    """Attributes of entities with named groups put in, transitively; a group that is met again on its own path is skipped.
+    """Attributes of entities (home: the document in which they are written) with named groups put in, transitively; a group that is met again on its own path is skipped.
 
     Each group's members are joined in where it is referred to; the ordinal paths keep the order of declaration.
     """
-    columns = ("doc", "owner", "ord", "name", "data_type", "description", "fk_name", "fk_targets", "is_fk", "group_path")
+    columns = ("doc", "owner", "ord", "home", "name", "data_type", "description", "fk_name", "fk_targets", "is_fk", "group_path")
     references = flat.where("kind = 'group'").select("doc", F.col("name").alias("wanted"))
     found = materialize(resolve(references, closures, imports, groups).where("found_doc is not null"), "group-names")
     members = flat.where("owner_kind = 'group'").select(F.col("doc").alias("found_doc"), F.col("owner").alias("found_name"), F.col("ord").alias("m_ord"), "kind", "name", "data_type", "description", "fk_name", "fk_targets", "is_fk", F.col("group_path").alias("m_path"))

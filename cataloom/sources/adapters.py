@@ -1,7 +1,8 @@
 """Catalog tables made from the star tables: nodes, edges and attributes of an entity graph, and batches of requests.
 
 Every order, customer, supplier, part, nation and region is an entity of the layer named after its table; foreign keys are
-edges. Names repeat across layers, as they do in real catalogs.
+edges. Names repeat across the layers of the business, as they do in real catalogs; nations and regions have names of their
+own, and nothing but audit links.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ def _id(layer: str, key: Column) -> Column:
     return F.concat(F.lit(layer + "#"), key.cast("string"))
 
 
-def _name(key: Column) -> Column:
-    return F.concat(F.lit("E"), key.cast("string"))
+def _name(key: Column, layer: str = "orders") -> Column:
+    return F.concat(F.lit({"nation": "N", "region": "R"}.get(layer, "E")), key.cast("string"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +32,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for layer, key in KEYS.items():
         parent = PARENTS.get(layer)
         one = table(spark, sf_dir, layer).select(
-            _id(layer, F.col(key)).alias("entity_id"), F.lit(layer).alias("document"), _name(F.col(key)).alias("name"), F.lit(layer).alias("layer"),
-            F.concat(_name(F.col(key)), F.lit(f" ({layer})")).alias("display_name"), (_id(parent[0], F.col(parent[1])) if parent else F.lit(None).cast("string")).alias("parent_id"),
+            _id(layer, F.col(key)).alias("entity_id"), F.lit(layer).alias("document"), _name(F.col(key), layer).alias("name"), F.lit(layer).alias("layer"),
+            F.concat(_name(F.col(key), layer), F.lit(f" ({layer})")).alias("display_name"), (_id(parent[0], F.col(parent[1])) if parent else F.lit(None).cast("string")).alias("parent_id"),
             F.concat(F.lit(layer + " "), F.col(key).cast("string")).alias("description"),
         )
         out = one if out is None else out.unionByName(one)
@@ -40,13 +41,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _target(layer: str, key: Column) -> Column:
-    return F.struct(_id(layer, key).alias("entity_id"), _name(key).alias("name"))
+    return F.struct(_id(layer, key).alias("entity_id"), _name(key, layer).alias("name"))
 
 
 def _edge(rows: DataFrame, layer: str, key: str, attribute: str, fk: Column, targets: Column, is_audit: bool) -> DataFrame:
     from_id = _id(layer, F.col(key))
     return rows.select(
-        F.concat(from_id, F.lit("::"), fk).alias("edge_id"), from_id.alias("from_id"), _name(F.col(key)).alias("from_name"), F.lit(attribute).alias("attribute"), fk.alias("fk_name"),
+        F.concat(from_id, F.lit("::"), fk).alias("edge_id"), from_id.alias("from_id"), _name(F.col(key), layer).alias("from_name"), F.lit(attribute).alias("attribute"), fk.alias("fk_name"),
         targets.alias("targets"), F.lit(is_audit).alias("is_audit"),
     )
 
@@ -91,6 +92,9 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("o_orderpriority") == "1-URGENT", attr(4, "nation", "entity", "id", ("nation", "customer")))]),
         own("customer", [(None, attr(0, "key", "integer")), (None, attr(1, "name", "string", description=F.col("c_name"))), (None, attr(2, "acctbal", "decimal")), (None, attr(3, "segment", "string")),
                          (None, attr(4, "nation", "entity", "nationkey", ("nation",), F.lit("Home of the customer, as told. May change."))), (F.col("c_mktsegment") == "BUILDING", created)]),
+        # A standard field by its foreign key alone, and an audit field that no standard entity gives.
+        own("supplier", [(None, attr(0, "key", "integer")), (None, attr(1, "maker", "entity", "createdById", ("user",)))]),
+        own("part", [(None, attr(0, "key", "integer")), (None, attr(1, "owner", "entity", "ownerId", ("user",)))]),
         own("nation", [(None, attr(0, "key", "integer")), (None, attr(1, "name", "string", description=F.col("n_name"))), (None, attr(2, "region", "entity", "regionkey", ("region",)))]),
         own("region", [(None, attr(0, "regionname", "string", description=F.col("r_name"))), (None, created)]),
     ]

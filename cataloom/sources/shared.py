@@ -10,17 +10,20 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a temporary one if the session names none."""
+    """The cluster's checkpoint folder, or a temporary one if a local session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), "cataloom-shared")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -35,3 +38,14 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def written_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the tables of a folder, which several queries of a session use: written by the first of them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        _written[key] = materialize(build(), name)
+    return _written[key]

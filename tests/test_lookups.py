@@ -1,5 +1,7 @@
 """Graph lookups, chunk text, routing, evaluation and throttling on small inputs."""
 
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -63,13 +65,35 @@ def test_relationship_text(spark, graph):
     assert "any can refer to C or D. Each B record" in told["rel:b::anyId"] and len(told) == 4
 
 
-def test_entity_text_fits_its_budget():
-    own = [(f"attribute{i}Name", "string", "Some long description of this. More") for i in range(60)]
-    e = {"display_name": "Big (x)", "layer": "x", "description": None, "chain": ["P (x)"], "own": own, "listed": own, "inherited": {"P (x)": [f"inheritedName{i}" for i in range(30)]}, "standard": ["createdById"], "related": ["B"]}
-    text = C.fitted(e)
-    assert len(C._PIECES.findall(text)) <= C.BUDGET and "Own attributes (60)" in text
-    small = own[:2]
-    assert "(string): Some long description of this." in C.fitted(e | {"own": small, "listed": small})
+def told_tokens(text):
+    return len(re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^\w\s]", text))
+
+
+def test_entity_text_fits_its_budget(spark):
+    def parts(n, description, groups):
+        plain = [f"attribute{i}Name (string)" for i in range(n)]
+        return ("e%d" % n, ["Big (x) is an entity in the x layer of the catalog.", "It has no parent entity.", "Standard audit fields: 1 common system fields such as createdById.", None], plain, [f"{p}: {description}" for p in plain], n, groups)
+
+    named = [f"inheritedName{i}" for i in range(30)]
+    rows = [parts(60, "Some long description of this.", [("P (x)", named, named)]), parts(2, "Some long description of this.", []), parts(0, "", []), parts(9, "word " * 9, [("P (x)", named, named), ("Q (x)", named[:4], named[:4])])]
+    frame = spark.createDataFrame(rows, "entity_id string, fixed array<string>, plain array<string>, told array<string>, n_own int, groups array<struct<base:string,names:array<string>,useful:array<string>>>")
+    found = {r.entity_id: r.text for r in C.fitted(frame).collect()}
+
+    def shown(row, described, inherited, own):
+        _, fixed, plain, told, n, groups = row
+        items = [*told[: min(described, own)], *plain[min(described, own) : own]]
+        rest = f"; and {n - own} more" if n > own else ""
+        lines = [*fixed[:2], f"Own attributes ({n}): {'; '.join(items)}{rest}." if n else "Own attributes: none."]
+        if groups:
+            lines.append(f"Inherited attributes ({sum(len(g[1]) for g in groups)}): " + "; ".join(f"{len(g[1])} from {g[0]} ({', '.join(g[2][:inherited])}{f', +{len(g[1]) - inherited} more' if len(g[1]) > inherited else ''})" for g in groups) + ".")
+        return "\n".join([*lines, fixed[2]])
+
+    for row in rows:
+        n = row[4]
+        caps = [c for c in dict.fromkeys((n, 12, 8)) if c <= n]
+        wishes = [(d, i, c) for d in (4, 2, 0) for i in (8, 5, 3) for c in caps] + [(0, 3, min(5, n)), (0, 3, min(3, n))]
+        assert found[row[0]] == next(t for w in wishes if told_tokens(t := shown(row, *w)) <= C.BUDGET)
+    assert "attribute0Name (string): Some" in found["e2"] and "and 4 more" not in found["e2"]
 
 
 def test_text_functions(spark):
@@ -88,21 +112,37 @@ def test_mentions_and_routes(spark):
     assert r == {1: ("pair", "Product", "Lead"), 2: ("vector", None, None), 3: ("pair", "Sales Order", "Product"), 4: ("attribute", "ownerId", None), 5: ("vector", None, None)}
 
 
+ITEM = "question_id int, section long, ord string, text string, chunk_type string, source string, entity string, attribute string, is_audit boolean"
+
+
 def test_context_order_and_prompt(spark):
-    items = spark.createDataFrame([(1, 3, "0", "note", "note"), (1, 0, "e1", "edge", "relation")], "question_id int, section int, ord string, text string, source string")
-    found = spark.createDataFrame([(1, 1, "hit"), (2, 1, "other")], "question_id int, rank int, text string")
-    ctx = D.assembled(items, found)
-    assert [r.text for r in ctx.where("question_id = 1").orderBy("pos").collect()] == [D.HEADER, "edge", "note", D.SECOND_HEADER, "hit"]
-    prompts = {r.question_id: r.prompt for r in D.prompts(spark.createDataFrame([(2, "Q?"), (3, "R?")], "question_id int, question string"), ctx).collect()}
-    assert prompts == {2: "[1] (search) other\n\nQuestion: Q?", 3: D.EMPTY + "\n\nQuestion: R?"}
+    items = spark.createDataFrame([(1, 3, "0", "note", "note", "note", "A", None, None), (1, 0, "e1", "edge", "relationship", "direct_edge", "A", "x", False)], ITEM)
+    found = spark.createDataFrame([(1, 0, "000001", "hit", "passage", "vector_search", None, None, None), (2, 0, "000001", "other", "passage", "vector_search", None, None, None)], ITEM)
+    routed = spark.createDataFrame([(1, "pair", "A", "B"), (2, "vector", None, None)], "question_id int, route string, first string, second string")
+    ctx = D.assembled(items, found, routed)
+    assert [r.text for r in ctx.where("question_id = 1").orderBy("pos").collect()] == ["Facts about A and B from the graph:", "edge", "note", D.SECOND_HEADER, "hit"]
+    told = spark.createDataFrame([(3, "Beware.")], "question_id int, instruction string")
+    prompts = {r.question_id: (r.system, r.prompt) for r in D.prompts(spark.createDataFrame([(2, "Q?"), (3, "R?")], "question_id int, question string"), ctx, told).collect()}
+    assert prompts == {2: (D.SYSTEM, "[1] (passage) other\n\nQuestion: Q?"), 3: (D.SYSTEM + "\n\nBeware.", D.EMPTY + "\n\nQuestion: R?")}
+
+
+def test_pair_items_take_a_path_only_as_a_last_resort(spark):
+    routed = spark.createDataFrame([(1, "pair", "A", "B"), (2, "pair", "A", "C"), (3, "pair", "Lone", "B"), (4, "single", "A", None)], "question_id int, route string, first string, second string")
+    relations = spark.createDataFrame([(1, "e1")], "pair_id int, edge_id string")
+    near = spark.createDataFrame([(3, "b", "e2", 1), (4, "a", "e2", 1)], "pair_id int, side string, edge_id string, rank long")
+    notes = spark.createDataFrame([("Lone", "Lone has none.")], "name string, note string")
+    told = spark.createDataFrame([("e1", "A to B", "A", "x", False), ("e2", "C to B", "C", "y", True)], "edge_id string, text string, entity string, attribute string, is_audit boolean")
+    paths = spark.createDataFrame([(k, 2, "A -> C") for k in (1, 2, 3)], "pair_id int, hops long, label string")
+    found = sorted((r.question_id, r.section, r.source, r.text) for r in D.pair_items(routed, relations, near, notes, told, paths).collect())
+    assert found == [(1, 0, "direct_edge", "A to B"), (2, 4, "multi_hop_path", "There is no direct relationship, but a path of 2 hops: A -> C."), (3, 2, "near_miss", "C to B"), (3, 3, "note", "Lone has none.")]
 
 
 def test_search_ties_filters_and_repeats(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "chunk_id long, vector array<float>")
-    q = spark.createDataFrame([(9, [2.0, 0.0])], "query_id long, vector array<float>")
-    hits = V.top_k(q, c, 3, dimensions=2, block=2)
-    assert [(r.chunk_id, r["rank"]) for r in hits.orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3)]
-    texts = hits.join(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "chunk_id long, text string"), "chunk_id")
+    q = spark.createDataFrame([(9, [2.0, 0.0]), (8, [0.0, 1.0])], "query_id long, vector array<float>")
+    hits = V.top_k(q, c, 3, dimensions=2, at_once=1)
+    assert [(r.chunk_id, r["rank"]) for r in hits.where("query_id = 9").orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3)]
+    texts = hits.where("query_id = 9").join(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "chunk_id long, text string"), "chunk_id")
     blocked = spark.createDataFrame([], "query_id long, chunk_id long")
     assert [r.chunk_id for r in V.filtered(texts, blocked, 2).orderBy("rank").collect()] == [1, 3]
 

@@ -1,18 +1,19 @@
 """Queries against their SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cataloom.jobs import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["g7_degrees", "g9_find", "q1_pair_relations", "q3_near_misses", "q5_shortest_paths", "h5_resolved_attributes", "n1_import_closure", "n2_n3_resolved_names", "r3_merged", "g3_chosen_targets", "c1_token_estimates", "c7_relationship_chunks", "v3_top_k", "d2_routes", "e3_truncation", "e6_category_summary"]
+CHOSEN = sorted(registry.ORACLE_SQL)
 
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    show = lambda v: "none" if v is None or v != v else (f"{v:.6g}" if isinstance(v, float) else str(v))
+    show = lambda v: "none" if pd.isna(v) else (f"{v:.6g}" if isinstance(v, float) else str(v))
     return list(frame.columns), sorted(tuple(map(show, r)) for r in frame.itertuples(index=False, name=None))
 
 

@@ -85,7 +85,7 @@ def test_groups_expand_once_around_a_cycle(corpus):
 
 def test_inheritance_override_and_placeholder(corpus):
     flat = N.flattened(corpus["entities"], corpus["groups"])
-    own = N.expanded(flat, corpus["closures"], corpus["imports"], corpus["groups"]).select(F.concat("doc", F.lit("#"), "owner").alias("entity_id"), "ord", "name", "data_type", "fk_name", "fk_targets", "description")
+    own = N.expanded(flat, corpus["closures"], corpus["imports"], corpus["groups"]).select(F.concat("doc", F.lit("#"), "owner").alias("entity_id"), "ord", "home", "name", "data_type", "fk_name", "fk_targets", "description")
     parents = N.parents(corpus["entities"], corpus["closures"], corpus["imports"])
     chain = H.chains(parents)
     leaf = "app/Leaf.cdm.json#Leaf"
@@ -99,20 +99,20 @@ def test_inheritance_override_and_placeholder(corpus):
 
 
 def test_relationships(spark, corpus):
-    flat = N.flattened(corpus["entities"], corpus["groups"]).where("owner_kind = 'entity' and kind = 'attribute'")
-    direct = R.extracted(flat)
-    found = {(r.document, r.attribute): (r.fk_name, r.targets) for r in direct.collect()}
-    assert found == {("base/Thing.cdm.json", "regarding"): ("regardingId", ["Thing"]), ("app/Thing.cdm.json", "regarding"): ("id", ["Thing"]), ("app/Leaf.cdm.json", "many"): ("id", ["A", "B"])}
+    direct = R.extracted(N.fk_nodes(corpus["entities"]))
+    found = {(r.document, r.attribute): (r.fk_name, [t.entity for t in r.targets]) for r in direct.collect()}
+    assert found == {("base/Thing.cdm.json", "regarding"): ("regardingId", ["Thing"]), ("app/Thing.cdm.json", "regarding"): ("id", ["Thing"]), ("app/Leaf.cdm.json", "many"): ("id", ["A", "B"])} | {("app/Leaf.cdm.json", n): ("xId", [t]) for n, t in zip("abc", "ABA")}
     base = spark.createDataFrame([("app/Thing.cdm.json", "Thing", "regarding", "regardingId")], "document string, entity string, attribute string, base_fk string")
     named = {(r.document, r.attribute): (r.fk_name, r.fk_inferred) for r in R.canonical(direct, base).collect()}
     assert named["app/Thing.cdm.json", "regarding"] == ("regardingId", False) and named["app/Leaf.cdm.json", "many"] == ("manyId", True)
 
 
 def test_merge_and_seed_rule(spark):
-    a = spark.createDataFrame([("d", "e", "f", ["X"], ["t1"], ["s1"], True, "")], "document string, entity string, fk_name string, targets array<string>, traits array<string>, sources array<string>, fk_inferred boolean, attribute string")
-    b = spark.createDataFrame([("d", "e", "f", ["Y", "X"], None, ["s2"], False, "attr")], a.schema)
+    a = spark.createDataFrame([("d", "e", "f", [("X", "k")], ["t1"], ["s1"], True, "", None, "d")], f"document string, entity string, fk_name string, targets {R.TARGETS}, traits array<string>, sources array<string>, fk_inferred boolean, attribute string, inherited_from string, resolve_from string")
+    b = spark.createDataFrame([("d", "e", "f", [("Y", None), ("X", "k")], None, ["s2"], False, "attr", "base#B", "base")], a.schema)
     row = R.merged(a, b).first()
-    assert (row.targets, row.traits, row.sources, row.fk_inferred, row.attribute) == (["X", "Y"], ["t1"], ["s1", "s2"], False, "attr")
+    assert ([tuple(t) for t in row.targets], row.traits, row.sources, row.fk_inferred, row.attribute) == ([("X", "k"), ("Y", None)], ["t1"], ["s1", "s2"], False, "attr")
+    assert (row.inherited_from, row.resolve_from) == ("base#B", "d")
     wanted = spark.createDataFrame([("d", "Party", "lib#Party"), ("d", "m/Party", "lib#Party"), ("d", "Two", None)], "document string, target string, import_id string")
     seeds = spark.createDataFrame([("seed", "Party"), ("s1", "Two"), ("s2", "Two")], "doc string, name string")
     found = {r.target: (r.chosen_id, r.resolved_by) for r in R.chosen_targets(wanted, seeds).collect()}
@@ -126,3 +126,53 @@ def test_deep_chains_and_imports_are_followed_to_their_end(spark):
     imports = spark.createDataFrame([(f"d{i:02d}", 0, f"d{i + 1:02d}", None) for i in range(35)], "doc string, ord int, target_doc string, moniker string")
     found = N.closure(spark.createDataFrame([("d00",)], "doc string"), imports).collect()
     assert sorted((r["rank"], r.doc) for r in found) == [(i, f"d{i:02d}") for i in range(36)]
+
+
+def test_a_diamond_of_imports_has_one_row_a_document_and_round(spark):
+    rows = [(f"d{i:02d}{a}", k, f"d{i + 1:02d}{b}", None) for i in range(30) for a in "xy" for k, b in enumerate("xy")]
+    imports = spark.createDataFrame(rows, "doc string, ord int, target_doc string, moniker string")
+    found = {r.doc: r["rank"] for r in N.closure(spark.createDataFrame([("d00x",)], "doc string"), imports).collect()}
+    # Depth first: down the x side, then each y on the way back up.
+    assert len(found) == 61 and [d for d, _ in sorted(found.items(), key=lambda x: x[1])] == [f"d{i:02d}x" for i in range(31)] + [f"d{i:02d}y" for i in range(30, 0, -1)]
+
+
+def test_groups_nested_deeply_are_expanded(spark):
+    groups = [{"attributeGroupName": f"g{i}", "members": [{"name": f"a{i}", "dataType": "string"}, f"g{i + 1}"]} for i in range(20)]
+    doc = {"imports": [], "definitions": [*groups, {"entityName": "E", "hasAttributes": ["g0"]}]}
+    good, _ = S.parsed(spark.createDataFrame([("d.cdm.json", json.dumps(doc))], "path string, json string"))
+    entities, found = S.definitions(good)
+    imports = S.imports(good)
+    closures = N.closure(good.select(F.col("path").alias("doc")), imports)
+    assert N.expanded(N.flattened(entities, found), closures, imports, found).count() == 20
+
+
+def test_keys_at_any_depth_are_edges_and_hollow_ones_are_counted(spark):
+    inner = fk("inner", "T", "innerKey")
+    doc = {"entityName": "E", "hasAttributes": [{"name": "box", "holds": {"deep": [inner]}}, fk("ghost", {"entityName": "none", "hasAttributes": []}), {"name": "named", "entity": {"entityReference": "U", "appliedTraits": [{"traitReference": "is.identifiedBy", "arguments": ["U/(resolvedAttributes)/uId"]}]}, "resolutionGuidance": {"entityByReference": {}}}]}
+    nodes = N.fk_nodes(spark.createDataFrame([("d", "E", json.dumps(doc))], "doc string, name string, json string"))
+    assert [(r.attribute, r.fk_name, [tuple(t) for t in r.targets]) for r in R.extracted(nodes).collect()] == [("inner", "innerKey", [("T", None)]), ("named", "id", [("U", "uId")])]
+    assert [tuple(r) for r in R.skipped(nodes).collect()] == [("d", "E", 1)]
+
+
+def test_standard_fields_by_key_name_and_audit_keys(spark):
+    types = f"entity_id string, ord int, name string, data_type string, fk_name string, fk_targets {R.TARGETS}, description string"
+    own = spark.createDataFrame([("e", 0, "maker", "entity", "createdById", [("user", None)], None), ("e", 1, "owner", "entity", "ownerId", [("user", None)], None), ("e", 2, "bank", "entity", "bankId", [("Bank", None)], None)], types)
+    chain = spark.createDataFrame([("e", "e", 0)], "entity_id string, ancestor_id string, depth int")
+    standard = spark.createDataFrame([("e", "createdById")], "entity_id string, name string")
+    found = H.resolved(own, chain, standard)
+    assert {(r.name, r.origin, r.inlined) for r in found.collect()} == {("maker", "standard", True), ("owner", "own", False), ("bank", "own", False)}
+    assert [r.name for r in H.attribute_details(found).collect()] == ["bank"]
+
+
+def test_documents_that_look_versioned(spark):
+    names = ["Account.cdm.json", "Account.1.cdm.json", "Account.1.5.cdm.json", "Account.1.5.2.cdm.json", "_allImports.cdm.json", "_other.cdm.json", "x.manifest.cdm.json", "a.json"]
+    kept = S.entity_documents(spark.createDataFrame([(f"f/{n}",) for n in names], "path string")).collect()
+    assert {r.path for r in kept} == {"f/Account.cdm.json", "f/Account.1.cdm.json", "f/_other.cdm.json"}
+
+
+def test_an_index_is_opened_again_unless_the_model_changes(spark, tmp_path):
+    from cataloom.sources import index as I
+
+    rows = spark.createDataFrame([("a", "t", "text")], "chunk_id string, chunk_type string, text string")
+    built = [I.open_or_build(rows, str(tmp_path / "index"), m).built for m in ("one", "one", "two")]
+    assert built == [True, False, True] and I.open_or_build(rows, str(tmp_path / "index"), "two").rows.first().model == "two"
