@@ -253,22 +253,6 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-@dataclass(frozen=True)
-class Known:
-    """Ids of frequent words: sorted hashes, where the ids of each begin, and the ids."""
-
-    hashes: np.ndarray
-    begins: np.ndarray
-    ids: np.ndarray
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, is it there) of each hash."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
-
-
 def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """hash, ids (packed) of rows (word, ids)."""
     for batch in batches:
@@ -278,7 +262,7 @@ def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*names, np.zeros(0, np.uint64)]).view(np.int64)), packed.cast(pa.binary())], ["hash", "ids"])
 
 
-def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT) -> Known:
+def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT) -> K.IdTable:
     """The ids of at most ``size`` words, those found most often; each is folded once."""
     counts = texts.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = materialize(counts.where((F.col("n") > 1) & (F.octet_length("word") <= LONG)), "words")
@@ -293,13 +277,13 @@ def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FRE
     folded = _let(ranks.constants(), lambda c: F.transform(word_ids(F.col("word"), c, False), lambda i: i.cast("int")))
     found = materialize(spread.select("word", folded.alias("ids")).mapInArrow(hashed, "hash long, ids binary"), "folded-words").toArrow()
     if not found.num_rows:
-        return Known(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+        return K.no_ids(np.int32)
     hashes = found.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     packed = found.column("ids").take(pa.array(order)).combine_chunks()
     bounds = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, packed.offset * 4).astype(np.int64)
     flat = np.frombuffer(packed.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.int32)
-    return Known(hashes[order], (bounds - bounds[0]) // 4, flat)
+    return K.IdTable(hashes[order], (bounds - bounds[0]) // 4, flat)
 
 
 def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -308,7 +292,7 @@ def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat, np.int32))])
 
 
-def looked_up(texts: pa.Array, known: Known, pattern: str) -> tuple[pa.Array, pa.Array]:
+def looked_up(texts: pa.Array, known: K.IdTable, pattern: str) -> tuple[pa.Array, pa.Array]:
     """Packed ids of each text with -1, -2, ... for its words that aren't known, and those words; each distinct one once."""
     plain, plane, any_ = splitters(pattern)
     packed, rare = [], []
@@ -332,8 +316,8 @@ def looked_up(texts: pa.Array, known: Known, pattern: str) -> tuple[pa.Array, pa
         ends = letters[char_ends]
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         place, there = known.find(K.span_hash(K.prefix_hash(data, fold_case=False), starts, ends))
-        first = known.begins[place] if len(known.hashes) else place
-        count = np.where(there, known.begins[place + 1] - first, 1) if len(known.hashes) else np.ones(len(ends), np.int64)
+        first, count = known.spans(place)
+        count = np.where(there, count, 1)
         upto = np.cumsum(count)
         total = int(upto[-1]) if len(upto) else 0
         at = np.arange(total) + np.repeat(first - (upto - count), count)

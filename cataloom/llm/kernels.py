@@ -146,3 +146,40 @@ def window_hash(hashes: np.ndarray, size: int) -> np.ndarray:
         for j in range(size):
             out = out * BASE + hashes[j : j + n]
     return mix(out)
+
+
+class IdTable:
+    """Ids of words that are known by their hashes: sorted hashes, where the ids of each begin, and the ids."""
+
+    def __init__(self, hashes: np.ndarray, begins: np.ndarray, ids: np.ndarray):
+        self.hashes, self.begins, self.ids = hashes, begins, ids
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> IdTable:
+        """From hashes in any order, each once, with the ids one after the other."""
+        order = np.argsort(hashes)
+        own, size = np.concatenate([[0], np.cumsum(sizes)]), sizes[order]
+        begins = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        return cls(hashes[order], begins, ids[np.arange(begins[-1]) + np.repeat(own[order] - begins[:-1], size)])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, is it there) of each hash."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def spans(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids at some places begin, and how many they are."""
+        if not len(self.hashes):
+            return place, np.zeros(len(place), np.int64)
+        return self.begins[place], self.begins[place + 1] - self.begins[place]
+
+    def joined(self, other: IdTable) -> IdTable:
+        """Both tables' words; they have none in common."""
+        sizes = np.concatenate([np.diff(self.begins), np.diff(other.begins)])
+        return IdTable.of(np.concatenate([self.hashes, other.hashes]), sizes, np.concatenate([self.ids, other.ids]))
+
+
+def no_ids(kind: type) -> IdTable:
+    return IdTable(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, kind))

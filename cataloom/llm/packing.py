@@ -25,8 +25,8 @@ from cataloom.llm import kernels as K
 from cataloom.sources.shared import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker keeps in each of two generations, so memory is bounded.
-CACHED_WORDS = 250_000
+#: Words whose ids a worker keeps (some 25 bytes each) before it starts anew, and those that it collects before it sorts them in.
+CACHED_WORDS, RECENT = 2_000_000, 50_000
 #: Words that the tokenizer is asked for together.
 ASKED = 1000
 MARKS = rb"!\"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"
@@ -36,12 +36,17 @@ PROBES = ("Ab", "straße.", "ÉCOLE!?", "don't", "X1b\")", "İi,", "日本語。
 BROADCAST_ROWS = 2_000_000
 
 
-class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) by whitespace-free chunk; asks the tokenizer once per distinct word.
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in words], dtype=np.int64)])
+    return K.span_hash(K.prefix_hash(np.frombuffer(b"".join(words), np.uint8), fold_case=False), bounds[:-1], bounds[1:])
+
+
+class WordIds:
+    """Ids of whitespace-free chunks by their hashes; asks the tokenizer once per distinct word.
 
     Where the tokenizer lower-cases and splits letters from marks (tried on PROBES), a chunk has the ids of its lower-case
     form, and one that ends in marks behind a letter has those of its two parts; but for the tokenizer's own special tokens,
-    which it finds as they are written. When full, the words in use since the last time are kept.
+    which it finds as they are written. Hashes have 64 bits: of a million words, two share one with a probability of 3e-8.
     """
 
     def __init__(self, path: str):
@@ -52,14 +57,17 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(len(x.split()) != 1 or x.split()[0] != x for x in self.specials):
+        if any(x.split() != [x] for x in self.specials):
             raise ValueError("a special token with white space needs whole texts")
-        self.older: dict[bytes, bytes] = {}
+        self.known, self.recent = K.no_ids(np.uint32), K.no_ids(np.uint32)
         self.cuts = True
-        self.cuts = all(b"".join(map(self.asked, self.parts(x.encode()))) == self.asked(x.encode()) for x in PROBES)
+        probes = [x.encode() for x in PROBES]
+        self.cuts = [[i for y in self.parts(x) for i in self.asked([y])[0]] for x in probes] == self.asked(probes)
 
-    def asked(self, chunk: bytes) -> bytes:
-        return np.asarray(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+    def asked(self, chunks: list[bytes]) -> list[list[int]]:
+        """The tokenizer's ids of each chunk."""
+        runs = (chunks[at : at + ASKED] for at in range(0, len(chunks), ASKED))
+        return [x.ids for run in runs for x in self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in run], add_special_tokens=False)]
 
     def parts(self, chunk: bytes) -> list[bytes]:
         """What to ask for instead of a chunk."""
@@ -71,35 +79,45 @@ class WordIds(dict):
             return [body, low[len(body) :]]
         return [low]
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Makes sure of the ids of some chunks; new words are asked for together."""
-        missing = [x for x in chunks if x not in self]
-        for x in missing:
-            if x in self.older:
-                self[x] = self.older[x]
-        cut = {x: self.parts(x) for x in missing if x not in self}
-        new = list({y for parts in cut.values() for y in parts if y not in self and y not in self.older})
-        for at in range(0, len(new), ASKED):
-            asked = new[at : at + ASKED]
-            for y, found in zip(asked, self.tokenizer.encode_batch_fast([y.decode("utf-8") for y in asked], add_special_tokens=False)):
-                self[y] = np.asarray(found.ids, "<u4").tobytes()
-        for x, parts in cut.items():
-            self[x] = b"".join(self[y] if y in self else self.older[y] for y in parts)
-
-    def trim(self) -> None:
-        if len(self) > CACHED_WORDS:
-            self.older = dict(self)
-            self.clear()
-
-
-_caches: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """The worker's cache, kept from task to task."""
-    if path not in _caches:
-        _caches[path] = WordIds(path)
-    return _caches[path]
+    def learn(self, chunks: list[bytes]) -> None:
+        """Takes in chunks that aren't known, and their parts."""
+        cut = [self.parts(x) for x in chunks]
+        parts = list({y for own in cut for y in own})
+        names = hashes_of(parts)
+        ids: dict[bytes, list[int]] = {}
+        for table in (self.known, self.recent):
+            place, there = table.find(names)
+            begin, size = table.spans(place)
+            for i in np.flatnonzero(there):
+                ids[parts[i]] = table.ids[begin[i] : begin[i] + size[i]].tolist()
+        asked = [x for x in parts if x not in ids]
+        ids.update(zip(asked, self.asked(asked)))
+        found = {x: ids[x] for x in asked} | {x: [i for y in own for i in ids[y]] for x, own in zip(chunks, cut)}
+        new = K.IdTable.of(hashes_of(list(found)), np.array([len(x) for x in found.values()], np.int64), np.array([i for x in found.values() for i in x], np.uint32))
+        self.recent = self.recent.joined(new)
+        if len(self.recent.hashes) > RECENT:
+            self.known = self.recent if len(self.known.hashes) > CACHED_WORDS else self.known.joined(self.recent)
+            self.recent = K.no_ids(np.uint32)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a run of texts, one text after the other, and where each begins."""
+        starts, ends, first = K.word_spans(data, offsets)
+        hashes = K.span_hash(K.prefix_hash(data, fold_case=False), starts, ends)
+        place, there = self.known.find(hashes)
+        at, also = self.recent.find(hashes)
+        lost = np.flatnonzero(~there & ~also)
+        if len(lost):
+            pick = np.unique(hashes[lost], return_index=True)[1]
+            raw = data.tobytes()
+            self.learn([raw[starts[i] : ends[i]] for i in lost[pick]])
+            place, there = self.known.find(hashes)
+            at, also = self.recent.find(hashes)
+        begin, size = self.known.spans(place)
+        more, extra = self.recent.spans(at)
+        begin, size = np.where(there, begin, more + len(self.known.ids)), np.where(there, size, extra)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        both = np.concatenate([self.known.ids, self.recent.ids]) if len(self.recent.ids) else self.known.ids
+        return both[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)], upto[first]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -108,23 +126,20 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
     whitespace-separated chunks one after the other; each worker tokenizes a distinct chunk once.
     """
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_ids(tokenizer_path)
+        words = K.resident(f"words of {tokenizer_path}", lambda: WordIds(tokenizer_path))
+        end = np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple] = []
             doc_ids = batch.column("doc_id").to_pylist()
             for first, last, data, offsets in K.slices(batch.column("text"), 1 << 20):
-                raw = data.tobytes()
-                texts = [raw[a:b].split() for a, b in zip(offsets[:-1], offsets[1:])]
-                cache.learn(set().union(*texts))
-                for doc_id, words in zip(doc_ids[first:last], texts):
-                    ids = b"".join(map(cache.__getitem__, words)) + end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                cache.trim()
+                flat, bounds = words.ids(data, offsets)
+                for doc_id, a, b in zip(doc_ids[first:last], bounds[:-1].tolist(), bounds[1:].tolist()):
+                    ids = np.concatenate([flat[a:b], end]).astype("<u4")
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        out.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
