@@ -145,8 +145,8 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarr
 
 
 def set_tokens(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """set_id, tokens (binary, sorted) of the wanted sets: one more scan, thinned by a filter of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted))
+    """set_id, tokens (binary, sorted) of the wanted sets: one more scan, thinned by a filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.sized(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _new_sets(batches, words):
@@ -248,10 +248,11 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     """``docs`` without those that a document of smaller id represents: one of each class of near duplicates stays, as do all without shingles."""
     found = classes(docs, words, percent)
     gone = materialize(found.where("component_id != doc_id").select("doc_id").distinct(), "near-copies")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(gone))
-    flagged = docs.withColumn("__hit", F.col("doc_id").isNotNull() & bloom.hits(shared, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
-    kept = flagged.where("__hit").join(gone, "doc_id", "left_anti")
-    return flagged.where(~F.col("__hit")).select(docs.columns).unionByName(kept.select(docs.columns))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.sized(gone))
+    doc = F.col("doc_id").cast("long")
+    flagged = docs.select(F.struct("*").alias("row"), doc.alias("doc_id"), (doc.isNotNull() & bloom.hits(shared, F.coalesce(doc, F.lit(0)))).alias("hit"))
+    kept = flagged.where("hit").join(gone.hint("merge"), "doc_id", "left_anti")
+    return flagged.where(~F.col("hit")).select("row").unionByName(kept.select("row")).select("row.*")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.llm import bpe, fingerprint, html_extract, langid, line_dedup, ngram_join, packing, quality, sharding, suffix_dedup
+from cataloom.sources.shared import shared_dir
 from cataloom.sources.tables import table
 
 
@@ -34,8 +36,8 @@ def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into 40 shards, near equal in bytes."""
-    out = sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
+    """All documents into 40 shards, near equal in bytes; the map is stored as its first version."""
+    out = sharding.sharded(table(spark, sf_dir, "documents"), shards=40, map_path=f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "v_slot", "map_version")
 
 

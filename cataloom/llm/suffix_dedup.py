@@ -51,7 +51,6 @@ BATCH = 40_000
 PAD = 256
 FIRST = -(1 << 63)
 ROWS = "key long, ph long, doc long, pos long, lo short, hi short"
-REQUEST_BITS = 1 << 26
 
 
 def _part_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -293,7 +292,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(place_key(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))], ["place"])
 
-    shared = spark.sparkContext.broadcast(bloom.build(asked.mapInArrow(keys, "place long"), REQUEST_BITS))
+    shared = spark.sparkContext.broadcast(bloom.sized(asked.mapInArrow(keys, "place long")))
     sent = texts.mapInArrow(_send_pieces(shared), "key long, doc long, pos long, lo short, hi short, bytes binary")
     built = sent.repartition(parts, "key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_construct, ROWS)
     return met.where("lo < 0").unionByName(built).select("doc", F.col("pos").alias("start"), F.col("ph").alias("end"))
@@ -310,32 +309,33 @@ def gone_bytes(n: int, found: pa.Scalar) -> np.ndarray:
 def shortened(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes taken out of their texts; a character that loses a byte goes as a whole. Documents that lose nothing stay as they are."""
     ranges = materialize(repeated_ranges(docs), "repeated")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(ranges.select("doc").distinct()))
-    flagged = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))).withColumn("__hit", bloom.hits(shared, "__doc"))
-    by_doc = ranges.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end")).alias("__ranges"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.sized(ranges.select("doc").distinct()))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), "text")
+    flagged = rows.withColumn("hit", bloom.hits(shared, "doc"))
+    by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    kind = rows.schema["row"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = []
-            for text, found in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+            for text, found in zip(batch.column("text"), batch.column("ranges")):
                 if found.is_valid and text.is_valid:
                     raw = np.frombuffer(text.as_buffer(), np.uint8)
                     texts.append(raw[~gone_bytes(len(raw), found)].tobytes().decode("utf-8", "ignore"))
                 else:
                     texts.append(text.as_py())
-            columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    hit = flagged.where("__hit").join(by_doc, "__doc", "left").select(*docs.columns, "__ranges").mapInArrow(cut, docs.schema)
-    return flagged.where(~F.col("__hit")).select(docs.columns).unionByName(hit)
+    hit = flagged.where("hit").join(by_doc.hint("merge"), "doc", "left").select("row", "text", "ranges").mapInArrow(cut, f"row {kind}, text string")
+    both = flagged.where(~F.col("hit")).select("row", "text").unionByName(hit)
+    return both.select(*(F.col("text" if c == "text" else f"row.{c}").alias(c) for c in docs.columns))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     ranges = materialize(repeated_ranges(docs), "repeated")
     by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(ranges.select("doc").distinct()))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.sized(ranges.select("doc").distinct()))
     own = "doc long, null_id boolean, n_bytes long, sha string, raw binary"
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

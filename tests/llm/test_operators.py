@@ -555,3 +555,25 @@ def test_html_keeps_every_part_of_the_article():
     for page in (f"<body><div><p>{one}</p></div><div><p>{two}</p></div></body>", f"<main><article><p>{one}</p></article><section><p>{two}</p></section></main>", f"<div class='has-sidebar nav-open'><p>{one}</p><p>{two}</p></div>", f"<article class='post has-comments'><p>{one}</p><p>{two}</p></article>", f"<div class='widget'><p>{one}</p><p>{two}</p></div>"):
         assert html_extract.main_text(page) == one + "\n" + two
     assert html_extract.main_text(f"<body><div><p>{one}</p></div><div class='sidebar'><p>{two}</p></div></body>") == one
+
+
+def test_html_of_any_depth_takes_time_in_proportion():
+    import time
+
+    text = "A sentence, with a comma and a full stop."
+    for tag in ("div", "span", "ul", "b", "p", "li", "section"):
+        n = 60_000
+        began = time.time()
+        assert text in html_extract.main_text(f"<{tag}>" * n + f"<p>{text}</p>" + f"</{tag}>" * n)
+        assert html_extract.main_text(f"<{tag}>" * n + "</i>" * n + f"<p>{text}</p>") == text
+        assert time.time() - began < 20
+
+
+def test_html_ratios_decide_without_any_mark():
+    s = "A long sentence, with commas, and more of it. " * 5
+    links = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(30))
+    page = f"<body><div class=a><ul>{links}</ul></div><div class=b><h1>Title</h1><p>{s}</p><p>Short.</p><p>{s}</p></div><div class=c><span>Imprint</span></div></body>"
+    assert html_extract.main_text(page) == "\n".join(["Title", s.strip(), "Short.", s.strip()])
+    # A main element that holds little of it isn't the article.
+    page = f"<body><main><p>Ok.</p></main><div><p>{s}</p><p>{s}</p></div></body>"
+    assert html_extract.main_text(page) == "\n".join([s.strip(), s.strip()])
