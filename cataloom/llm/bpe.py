@@ -296,7 +296,7 @@ def looked_up(texts: pa.Array, known: K.IdTable, pattern: str) -> tuple[pa.Array
     """Packed ids of each text with -1, -2, ... for its words that aren't known, and those words; each distinct one once."""
     plain, plane, any_ = splitters(pattern)
     packed, rare = [], []
-    for _, _, data, offsets in K.slices(texts, 1 << 20):
+    for _, _, data, offsets in K.slices(texts, 1 << 18):
         raw, rows = data.tobytes(), len(offsets) - 1
         high = np.zeros(rows, np.uint8)
         full = np.flatnonzero(offsets[1:] > offsets[:-1])
@@ -358,27 +358,45 @@ def filled(packed: pa.Array, rare: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(upto[bounds].astype(np.int32)), pa.array(out, pa.int32()))
 
 
-def encoded(docs: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The ``keep`` columns of ``docs`` (all, unless told) with ids, the ids of the whole text."""
+class Decoder:
+    """Puts the binary pieces of ids together; an id outside the vocabulary has none."""
+
+    def __init__(self, ranks: Ranks):
+        self.pieces = [*ranks.tokens, b""]
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        outside = len(self.pieces) - 1
+        return b"".join(map(self.pieces.__getitem__, np.where((ids < 0) | (ids > outside), outside, ids).tolist()))
+
+
+def mapped(docs: DataFrame, ranks: Ranks, pattern: str, function: Callable[[pa.ListArray], list[pa.Array]], schema: str, size: int = FREQUENT, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (all, unless told) with what ``function`` makes of the texts' ids, where they are: columns of ``schema``."""
     known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs.select("text"), ranks, pattern, size))
-    columns = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    names = [x.split()[0] for x in schema.split(", ")]
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in names]
     rows = K.small_batches(docs).select(F.struct(*columns).alias("row"), F.col("text").alias("text"))
     row = rows.schema["row"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.drop_resident()
         for batch in batches:
             packed, rare = looked_up(batch.column("text"), known.value, pattern)
             yield pa.RecordBatch.from_arrays([batch.column("row"), packed.cast(pa.binary()), rare], ["row", "packed", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), filled(batch.column("packed"), batch.column("rare"))], ["row", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *function(filled(batch.column("packed"), batch.column("rare")))], ["row", *names])
 
     open_ = rows.mapInArrow(look_up, f"row {row}, packed binary, rare array<string>")
     folded = _let(ranks.constants(), lambda c: F.transform("rare", lambda w: F.transform(word_ids(w, c, ranks.monotone), lambda i: i.cast("int"))))
     none = F.array().cast("array<array<int>>")
-    whole = open_.select("row", "packed", F.when(F.size("rare") > 0, folded).otherwise(none).alias("rare")).mapInArrow(fill, f"row {row}, ids array<int>")
-    return whole.select(*(F.col("row")[c].alias(c) for c in columns), "ids")
+    whole = open_.select("row", "packed", F.when(F.size("rare") > 0, folded).otherwise(none).alias("rare")).mapInArrow(fill, f"row {row}, {schema}")
+    return whole.select(*(F.col("row")[c].alias(c) for c in columns), *names)
+
+
+def encoded(docs: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (all, unless told) with ids, the ids of the whole text."""
+    return mapped(docs, ranks, pattern, lambda ids: [ids], "ids array<int>", size, keep)
 
 
 def decoded(ids: Column, ranks: Ranks) -> Column:

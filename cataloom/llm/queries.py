@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +27,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.load(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    out = bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=("doc_id",))
-    text = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    decode, shown = bpe.Decoder(ranks), [b"%d" % i for i in range(len(ranks.tokens))]
+
+    def digests(ids: pa.ListArray) -> list[pa.Array]:
+        flat, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
+        own = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        told = [hashlib.sha256(b",".join(map(shown.__getitem__, x.tolist()))).hexdigest() for x in own]
+        return [pa.array(np.diff(bounds), pa.int64()), pa.array(told, pa.string()), pa.array([hashlib.sha256(decode(x)).hexdigest() for x in own], pa.string())]
+
+    return bpe.mapped(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep=("doc_id",))
 
 
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,10 +76,24 @@ def test_bpe_equals_the_library(spark, docs, none, texts, ranks):
     assert len(rows) == len(TEXTS) + 3
     for r in rows:
         t = texts[r.doc_id] or ""
-        assert r.ids == own.encode_ordinary(t) and bytes(r.raw) == t.encode()
+        assert r.ids == own.encode_ordinary(t) and bytes(r.raw) == t.encode() == bpe.Decoder(ranks)(np.array(r.ids, np.int64))
     assert bpe.encoded(none, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_query_digests(spark, tmp_path):
+    import tiktoken
+    from cataloom.llm import queries
+
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_tokens int, row string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {}
+    for i, t in enumerate(TEXTS):
+        ids = own.encode_ordinary(t or "")
+        want[i] = (len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode()))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_byte_bpe(spark, str(tmp_path)).collect()} == want
+
+
 def test_bpe_white_space_and_contractions(spark, ranks):
     import tiktoken
 
