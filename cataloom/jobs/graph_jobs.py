@@ -188,6 +188,18 @@ def q8_entity_details(spark, sf_dir):
     return H.entity_details(n, targets(spark, sf_dir), resolved(spark, sf_dir), H.chains(n))
 
 
+def q8_attribute_rows(spark, sf_dir):
+    return H.attribute_rows(A.nodes(spark, sf_dir), resolved(spark, sf_dir))
+
+
+def q8_relationship_rows(spark, sf_dir):
+    return H.relationship_rows(A.nodes(spark, sf_dir), targets(spark, sf_dir))
+
+
+def q9_attribute_holders(spark, sf_dir):
+    return H.attribute_holders(resolved(spark, sf_dir))
+
+
 def q9_attribute_details(spark, sf_dir):
     return H.attribute_details(resolved(spark, sf_dir)).withColumn("targets", F.array_join("targets", ","))
 
@@ -205,7 +217,7 @@ DETAILS = """details AS (SELECT name, string_agg(DISTINCT t, ',' ORDER BY t) AS
 
 QUERIES = {f.__name__: f for f in (
     g1_layers, g2_display_names, g6_edges, g7_degrees, g8_summary, g9_find, q1_pair_relations, q2_party_names, q3_near_misses, q4_infrastructure_notes, q5_shortest_paths, q6_within_hops, q7_path_labels,
-    h1_chains, h4_standard_fields, h5_resolved_attributes, h6_canonical_fk_names, h7_attribute_counts, q8_entity_details, q9_attribute_details, q10_attribute_tokens, q11_collisions,
+    h1_chains, h4_standard_fields, h5_resolved_attributes, h6_canonical_fk_names, h7_attribute_counts, q8_entity_details, q8_attribute_rows, q8_relationship_rows, q9_attribute_details, q9_attribute_holders, q10_attribute_tokens, q11_collisions,
 )}
 
 _W = "WITH RECURSIVE "
@@ -242,6 +254,11 @@ ORACLE_SQL = {
       SELECT n.entity_id, name||' ('||layer||')' AS display_name, coalesce(own, 0) AS own, coalesce(inherited, 0) AS inherited, coalesce(standard, 0) AS standard, coalesce(total, 0) AS total, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, coalesce(own_names, '') AS own_names, coalesce(inherited_names, '') AS inherited_names, coalesce(standard_names, '') AS standard_names, line.chain AS chain,
         coalesce((SELECT string_agg(m.layer, ',' ORDER BY m.layer) FROM nodes m WHERE m.name = n.name AND m.layer <> n.layer), '') AS other_layers
       FROM nodes n LEFT JOIN r USING (entity_id) LEFT JOIN line USING (entity_id) LEFT JOIN o USING (entity_id) LEFT JOIN i USING (entity_id)""",
+    "q8_attribute_rows": f"{_W}{RESOLVED} SELECT r.entity_id, pos, r.name, origin, CASE WHEN fk_name IS NOT NULL THEN 'reference to '||replace(fk_targets, ',', '/') ELSE data_type END AS label, fk_name, r.description, CASE WHEN origin <> 'own' THEN n.name||' ('||n.layer||')' END AS declared_by FROM resolved r JOIN nodes n ON n.entity_id = r.declared_in",
+    "q8_relationship_rows": f"""{_W}{NODES}, {TARGETS}, disp AS (SELECT entity_id, name||' ('||layer||')' AS shown FROM nodes), b AS (SELECT *, split_part(edge_id, '::', 2) AS fk_name FROM targets WHERE NOT is_audit)
+      SELECT from_id AS entity_id, 'outgoing' AS direction, edge_id, attribute, fk_name, bool_or(is_polymorphic) AS is_polymorphic, string_agg(DISTINCT shown, ', ' ORDER BY shown) AS others FROM b JOIN disp d ON d.entity_id = to_id GROUP BY edge_id, from_id, attribute, fk_name
+      UNION ALL SELECT DISTINCT to_id, 'incoming', edge_id, attribute, fk_name, is_polymorphic, shown FROM b JOIN disp d ON d.entity_id = from_id""",
+    "q9_attribute_holders": f"{_W}{RESOLVED} SELECT DISTINCT name, entity_id, CASE WHEN depth = 0 THEN 'declared' ELSE 'inherited' END AS held FROM resolved WHERE origin <> 'standard' AND fk_name IS NOT NULL AND fk_name NOT IN ('id', 'ownerId') AND fk_targets IS NOT NULL",
     "q9_attribute_details": f"{_W}{RESOLVED}, {DETAILS} SELECT * FROM details",
     "q10_attribute_tokens": f"{_W}{RESOLVED}, {DETAILS} SELECT name AS token, name FROM details UNION SELECT fk_name, name FROM details",
     "q11_collisions": f"{_W}{RESOLVED} SELECT name, count(DISTINCT fk_targets) AS n_sets FROM resolved WHERE fk_name IS NOT NULL AND fk_targets IS NOT NULL GROUP BY 1 HAVING count(DISTINCT fk_targets) > 1",

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 # Words that an unfinished sentence ends on.
 DANGLING = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "with", "by", "for", "is", "are", "from", "as", "that", "this", "these", "those", "its", "their")
-# Phrases that deny a relationship.
-NO_RELATIONSHIP = ("no direct relationship", "no relationship", "does not relate", "not related")
 CLOSING = ".!?)]}\"'|"
 
 

@@ -142,20 +142,39 @@ def collisions(resolved_attributes: DataFrame) -> DataFrame:
 
 
 def entity_details(nodes: DataFrame, edges_out: DataFrame, resolved_attributes: DataFrame, chain: DataFrame) -> DataFrame:
-    """One record per entity: counts, chain, attribute lists by origin, business relations both ways, other layers of its name."""
-    counts = attribute_counts(resolved_attributes)
-    lists = resolved_attributes.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "origin"))).alias("items"))
-    names = lambda kind: F.array_join(F.transform(F.filter("items", lambda x: x["origin"] == kind), lambda x: x["name"]), ",")
-    lists = lists.select("entity_id", *(names(k).alias(f"{k}_names") for k in ("own", "inherited", "standard")))
+    """One record per entity: counts, chain, attribute lists by origin, numbers of business relations both ways, other layers of its name."""
+    kinds = ("own", "inherited", "standard")
+    items = resolved_attributes.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "origin"))).alias("items"))
+    of = lambda kind: F.filter("items", lambda x: x["origin"] == kind)
+    names = lambda kind: F.array_join(F.transform(of(kind), lambda x: x["name"]), ",")
+    lists = items.select("entity_id", *(F.size(of(k)).alias(k) for k in kinds), F.size("items").alias("total"), *(names(k).alias(f"{k}_names") for k in kinds))
     line = chain.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor_id"))), lambda x: x["ancestor_id"]), ">").alias("chain"))
     business = edges_out.where(~F.col("is_audit"))
-    outgoing = business.groupBy(F.col("from_id").alias("entity_id")).agg(F.count_distinct("edge_id").alias("n_out"))
-    incoming = business.select(F.col("to_id").alias("entity_id"), "edge_id").distinct().groupBy("entity_id").agg(F.count("*").alias("n_in"))
+    ends = business.select(F.col("from_id").alias("entity_id"), "edge_id", F.lit(1).alias("o")).unionByName(business.select(F.col("to_id").alias("entity_id"), "edge_id", F.lit(0).alias("o"))).distinct()
+    degree = ends.groupBy("entity_id").agg(F.sum("o").alias("n_out"), F.sum(1 - F.col("o")).alias("n_in"))
     layers = nodes.groupBy("name").agg(F.array_sort(F.collect_set("layer")).alias("layers"))
-    out = nodes.join(counts, "entity_id", "left").join(lists, "entity_id", "left").join(line, "entity_id", "left").join(outgoing, "entity_id", "left").join(incoming, "entity_id", "left").join(layers, "name")
+    out = nodes.join(lists, "entity_id", "left").join(line, "entity_id", "left").join(degree, "entity_id", "left").join(layers, "name")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select(
-        "entity_id", "display_name", *(zero(c) for c in ("own", "inherited", "standard", "total", "n_out", "n_in")), *(blank(c) for c in ("own_names", "inherited_names", "standard_names", "chain")),
+        "entity_id", "display_name", *(zero(c) for c in (*kinds, "total", "n_out", "n_in")), *(blank(c) for c in (*(f"{k}_names" for k in kinds), "chain")),
         F.array_join(F.filter("layers", lambda x: x != F.col("layer")), ",").alias("other_layers"),
     )
+
+
+def attribute_rows(nodes: DataFrame, resolved_attributes: DataFrame) -> DataFrame:
+    """The attributes of entity records, a row each: type, key, description, and the name of the entity that declares it unless it is the own one."""
+    shown = nodes.select(F.col("entity_id").alias("declared_in"), F.col("display_name").alias("shown"))
+    rows = resolved_attributes.join(shown, "declared_in", "left")
+    return rows.select("entity_id", "pos", "name", "origin", type_label().alias("label"), "fk_name", "description", F.when(F.col("origin") != "own", F.coalesce("shown", "declared_in")).alias("declared_by"))
+
+
+def relationship_rows(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """The business relationships of entity records both ways, a row each, with the display names at the other end."""
+    shown = nodes.select("entity_id", "display_name")
+    business = targets.where(~F.col("is_audit"))
+    others = business.join(shown.withColumnRenamed("entity_id", "to_id"), "to_id", "left").groupBy("edge_id", F.col("from_id").alias("entity_id"), "attribute", "fk_name", "is_polymorphic")
+    out = others.agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("display_name", "to_name"))), ", ").alias("others")).withColumn("direction", F.lit("outgoing"))
+    back = business.select("edge_id", "from_id", F.col("to_id").alias("entity_id"), "attribute", "fk_name", "is_polymorphic").distinct()
+    back = back.join(shown.select(F.col("entity_id").alias("from_id"), F.col("display_name").alias("others")), "from_id").drop("from_id").withColumn("direction", F.lit("incoming"))
+    return out.unionByName(back).select("entity_id", "direction", "edge_id", "attribute", "fk_name", "is_polymorphic", "others")

@@ -156,3 +156,10 @@ def test_throttle(spark):
     at = pd.to_datetime(["2024-01-01 00:00", "2024-01-01 00:10", "2024-01-01 00:20", "2024-01-01 01:00", "2024-01-01 01:00:01"], format="mixed")
     log = spark.createDataFrame(pd.DataFrame({"event_id": range(5), "key": "k", "ts": at}))
     assert [r.admitted for r in throttle.admitted(log, 2).orderBy("event_id").collect()] == [True, True, False, False, True]
+
+
+def test_a_stream_admits_what_the_batch_admits(spark):
+    from cataloom.jobs import registry
+
+    stream, batch = (registry.QUERIES[q](spark, "/root/testdata/sf0.001").select("event_id", "admitted").collect() for q in ("t1_admission_stream", "t1_admission"))
+    assert sorted(map(tuple, stream)) == sorted(map(tuple, batch)) and len(stream) > 100
