@@ -6,8 +6,8 @@ the longer context are excluded. A text's exact code length under each language'
 
 A byte is coded in two steps: its class, of ``SYMBOLS``, in its context, and then the byte within its class by its share
 there. The most frequent bytes of the training sample have a class each (A-Z with a-z), all others share one. So the trees,
-blended down to their roots, are a table of code lengths that is indexed by the last ``ORDER`` + 1 classes, and scoring is two
-table lookups per byte. Lengths are kept in steps of 1 / ``UNIT`` bit.
+blended down to their roots, are rows of code lengths, one for each context of ``ORDER`` classes that the sample has, or else for
+the context that is one shorter, and scoring is a few lookups per byte. Lengths are kept in steps of 1 / ``UNIT`` bit.
 
 Training reads a bounded sample: at most about ``SAMPLE_DOCS`` documents of a language, chosen by a hash of doc_id.
 Everything that is predicted is read whole.
@@ -37,8 +37,8 @@ SYMBOLS = 1 << BITS
 SAMPLE_DOCS = 600
 #: Steps of a bit in which code lengths are kept.
 UNIT = 1024
-#: Languages whose tables a worker keeps at once (32 MB each), and bytes of text that it scores together if there are more.
-KEPT_TABLES = 4
+#: Languages whose tables a worker keeps at once (some 5 MB each), and bytes of text that it scores together if there are more.
+KEPT_TABLES = 24
 RUN_BYTES = 32 << 20
 #: Documents with a lower score are rejected.
 LEAST_SCORE = 0.5
@@ -92,7 +92,7 @@ def symbol_classes(counts: pd.DataFrame) -> np.ndarray:
 
 def byte_lengths(counts: pd.DataFrame, classes: np.ndarray, languages: list[str]) -> np.ndarray:
     """[byte, language] length of a byte within its class, in steps: its share of the class's bytes, half a count more each."""
-    out = np.zeros((256, len(languages)), np.int64)
+    out = np.zeros((256, len(languages)), np.int32)
     for j, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
         n = np.full(256, 0.5)
@@ -136,19 +136,21 @@ def _blended(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(seen, counts / np.maximum(total, 1) * (1 - escape), escape * unseen / np.maximum(unseen.sum(1, keepdims=True), 1e-30))
 
 
-def code_lengths(code: np.ndarray, n: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Steps of 1 / UNIT bit for every (context, symbol), flat, from the counts of one language (code ascending)."""
+def code_lengths(code: np.ndarray, n: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each longest context, [row, symbol] steps of 1 / UNIT bit) from the counts of one language.
+
+    A context that the sample doesn't have is coded as the one that is a symbol shorter, so it shares that one's row.
+    """
     below = np.full((1, SYMBOLS), 1.0 / SYMBOLS)
     for k in range(order):
         counts = np.bincount(code & ((1 << (BITS * (k + 1))) - 1), weights=n, minlength=1 << (BITS * (k + 1))).reshape(-1, SYMBOLS)
         below = _blended(counts, np.tile(below, (len(counts) // len(below), 1)))
-    # The longest contexts come in parts, by their first symbol.
-    out, part = np.empty(1 << (BITS * (order + 1)), np.uint16), below.size
-    cuts = np.searchsorted(code, np.arange(0, len(out) + 1, part))
-    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        whole = _blended(np.bincount(code[a:b] - i * part, weights=n[a:b], minlength=part).reshape(-1, SYMBOLS), below) if b > a else below
-        out[i * part : (i + 1) * part] = np.minimum(np.round(-UNIT * np.log2(np.maximum(whole, 1e-30))), 65535).ravel()
-    return out
+    context, where = np.unique(code >> BITS, return_inverse=True)
+    counts = np.bincount(where * SYMBOLS + (code & (SYMBOLS - 1)), weights=n, minlength=len(context) * SYMBOLS).reshape(-1, SYMBOLS)
+    whole = np.concatenate([below, _blended(counts, below[context & (len(below) - 1)])])
+    row = np.arange(1 << (BITS * order), dtype=np.int32) & np.int32(len(below) - 1)
+    row[context] = len(below) + np.arange(len(context))
+    return row, np.minimum(np.round(-UNIT * np.log2(np.maximum(whole, 1e-30))), 65535).astype(np.uint16)
 
 
 class Model:
@@ -161,36 +163,26 @@ class Model:
         self.within = byte_lengths(bytes_, classes, self.languages)
         self.key = uuid.uuid4().hex
 
-    def table(self) -> np.ndarray:
-        """[code, language] steps; kept for the tasks that the same worker runs next."""
-
-        def build() -> np.ndarray:
-            out = np.empty((1 << (BITS * (ORDER + 1)), len(self.languages)), np.uint16)
-            for j, (code, n) in enumerate(self.counts):
-                out[:, j] = code_lengths(code, n)
-            return out
-
-        return K.resident(self.key, build)
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The tables of all languages; kept for the tasks that the same worker runs next."""
+        return K.resident(self.key, lambda: [code_lengths(*x) for x in self.counts])
 
     def sums(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """[text, language] bits of the texts of each part that aren't empty; more than KEPT_TABLES languages come one after the other."""
 
-        def bits(table: np.ndarray, within: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-            starts = offsets[:-1][offsets[1:] > offsets[:-1]]
-            steps = np.add.reduceat(table[codes(data, offsets, self.classes)], starts, axis=0, dtype=np.int64)
-            inner = np.flatnonzero(within.any(axis=within.ndim - 1)[data] if within.ndim > 1 else within[data])
-            more = np.zeros((len(starts), *within.shape[1:]), np.int64)
-            if len(inner):
-                np.add.at(more, np.searchsorted(starts, inner, "right") - 1, within[data[inner]])
-            return (steps + more) / UNIT
-
-        if len(self.languages) <= KEPT_TABLES:
-            return [bits(self.table(), self.within, *part) for part in parts]
-        K.drop_resident()
+        def bits(table: tuple[np.ndarray, np.ndarray], within: np.ndarray, context: np.ndarray, symbol: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            row, steps = table
+            return np.add.reduceat(steps.ravel()[(row[context] << BITS) | symbol] + within[data], starts, dtype=np.int64) / UNIT
+
+        coded = ((codes(data, offsets, self.classes), data, offsets[:-1][offsets[1:] > offsets[:-1]]) for data, offsets in parts)
+        ready = [(code >> BITS, code & (SYMBOLS - 1), data, starts) for code, data, starts in coded]
         out = [[] for _ in parts]
-        for j, (code, n) in enumerate(self.counts):
-            table = code_lengths(code, n)
-            for columns, part in zip(out, parts):
+        kept = len(self.counts) <= KEPT_TABLES
+        if not kept:
+            K.drop_resident()
+        for j in range(len(self.counts)):
+            table = self.tables()[j] if kept else code_lengths(*self.counts[j])
+            for columns, part in zip(out, ready):
                 columns.append(bits(table, self.within[:, j], *part))
         return [np.column_stack(columns) for columns in out]
 
