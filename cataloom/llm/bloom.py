@@ -45,7 +45,9 @@ def build(keys: DataFrame, bits: int = BITS) -> np.ndarray:
             for chunk in np.unique(at // CHUNK):
                 mine = at // CHUNK == chunk
                 held.setdefault(int(chunk), np.zeros(CHUNK, np.int64))[at[mine] % CHUNK] |= word[mine]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([w.tobytes() for w in held.values()], pa.binary())], ["chunk", "words"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int64()), pa.array([w.tobytes() for w in held.values()], pa.binary())], ["chunk", "words"]
+        )
 
     words = keys.mapInArrow(fill, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
     # A few rows of 8 KB come back, as many as the filter has room for.

@@ -103,7 +103,10 @@ def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     for token, rank in ranks.items():
         parts = [token[i : i + 1] for i in range(len(token))]
         while len(parts) > 2:
-            best = min(((ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks), default=None)
+            best = min(
+                ((ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks),
+                default=None
+            )
             if best is None:
                 break
             i = best[1]
@@ -151,7 +154,9 @@ def _pair_rank(left: Column, right: Column, tables: Column) -> Column:
         return F.get(F.get(tables, F.lit(side)), slot)
 
     one, two = read(0), read(1)
-    return F.when(F.shiftright(one, 16) == key, one.bitwiseAND(F.lit(65535))).when(F.shiftright(two, 16) == key, two.bitwiseAND(F.lit(65535)))
+    return F.when(
+        F.shiftright(one, 16) == key, one.bitwiseAND(F.lit(65535))
+    ).when(F.shiftright(two, 16) == key, two.bitwiseAND(F.lit(65535)))
 
 
 #: Most words in the list of frequent ones, most bytes of such a word, and the count from which on counts are alike.
@@ -201,7 +206,12 @@ def fold(ids: Column, tables: Column) -> Column:
     padded = F.concat(F.array(none), ids, F.array(none))
 
     def start(own: Column) -> Column:
-        return F.struct(own.alias("ids"), F.transform(F.sequence(F.lit(0), F.size(own) - 2), lambda i: _pair_rank(F.get(own, i), F.get(own, i + 1), tables)).alias("ranks"))
+        return F.struct(
+            own.alias("ids"),
+            F.transform(
+                F.sequence(F.lit(0), F.size(own) - 2), lambda i: _pair_rank(F.get(own, i), F.get(own, i + 1), tables)
+            ).alias("ranks")
+        )
 
     def join(state: Column, least: Column) -> Column:
         own, ranks = state["ids"], state["ranks"]
@@ -209,12 +219,17 @@ def fold(ids: Column, tables: Column) -> Column:
         joined = F.struct(
             F.concat(F.slice(own, F.lit(1), at - 1), F.array(least), F.slice(own, at + 2, F.size(own))).alias("ids"),
             F.concat(
-                F.slice(ranks, F.lit(1), at - 2), F.array(_pair_rank(F.get(own, at - 2), least, tables), _pair_rank(least, F.get(own, at + 1), tables)), F.slice(ranks, at + 2, F.size(ranks))
+                F.slice(ranks, F.lit(1), at - 2), F.array(
+                    _pair_rank(F.get(own, at - 2), least, tables), _pair_rank(least, F.get(own, at + 1), tables)
+                ), F.slice(ranks, at + 2, F.size(ranks))
             ).alias("ranks"),
         )
         return F.when(least.isNull(), state).otherwise(joined)
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), _let(padded, start), lambda state, _: _let(F.array_min(state["ranks"]), lambda least: join(state, least)))
+    folded = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), _let(padded, start),
+        lambda state, _: _let(F.array_min(state["ranks"]), lambda least: join(state, least))
+    )
     return _let(folded, lambda state: F.slice(state["ids"], F.lit(2), F.size(state["ids"]) - 2))
 
 
@@ -227,11 +242,20 @@ def fold_long(ids: Column, tables: Column) -> Column:
         read = lambda s: F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 0x10000).cast("bigint"))
 
         def best(own: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), F.size(own) - 2), lambda i: F.struct(_pair_rank(F.get(own, i), F.get(own, i + 1), tables).alias("rank"), F.get(own, i).alias("l"), F.get(own, i + 1).alias("r")))
+            pairs = F.transform(
+                F.sequence(F.lit(0), F.size(own) - 2),
+                lambda i: F.struct(
+                    _pair_rank(F.get(own, i), F.get(own, i + 1), tables).alias("rank"), F.get(own, i).alias("l"),
+                    F.get(own, i + 1).alias("r")
+                )
+            )
             return F.when(F.size(own) > 1, F.array_min(F.filter(pairs, lambda p: p["rank"].isNotNull())))
 
         def step(state: Column, pair: Column) -> Column:
-            text = F.replace(state["s"], F.concat(F.get(chars, pair["l"].cast("int")), F.get(chars, pair["r"].cast("int"))), F.get(chars, pair["rank"].cast("int")))
+            text = F.replace(
+                state["s"], F.concat(F.get(chars, pair["l"].cast("int")), F.get(chars, pair["r"].cast("int"))),
+                F.get(chars, pair["rank"].cast("int"))
+            )
             return F.struct(F.when(pair.isNull(), state["s"]).otherwise(text).alias("s"), pair.isNull().alias("done"))
 
         state = F.struct(spell(ids).alias("s"), F.lit(False).alias("done"))
@@ -256,10 +280,15 @@ def words(text: Column, pattern: str) -> Column:
 def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """hash, ids (packed) of rows (word, ids)."""
     for batch in batches:
-        names = [K.span_hash(K.prefix_hash(data, fold_case=False), offsets[:-1], offsets[1:]) for _, _, data, offsets in K.slices(batch.column("word"))]
+        names = [
+            K.span_hash(K.prefix_hash(data, fold_case=False), offsets[:-1], offsets[1:]) for _, _, data,
+            offsets in K.slices(batch.column("word"))
+        ]
         ids = batch.column("ids")
         packed = _lists(ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*names, np.zeros(0, np.uint64)]).view(np.int64)), packed.cast(pa.binary())], ["hash", "ids"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([*names, np.zeros(0, np.uint64)]).view(np.int64)), packed.cast(pa.binary())], ["hash", "ids"]
+        )
 
 
 def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FREQUENT) -> K.IdTable:
@@ -273,7 +302,9 @@ def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FRE
         if taken > size:
             break
         least = row["n"]
-    spread = counts.where(F.col("n") >= least).select("word").repartition(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = counts.where(F.col("n") >= least).select("word").repartition(
+        4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    )
     folded = _let(ranks.constants(), lambda c: F.transform(word_ids(F.col("word"), c, False), lambda i: i.cast("int")))
     found = materialize(spread.select("word", folded.alias("ids")).mapInArrow(hashed, "hash long, ids binary"), "folded-words").toArrow()
     if not found.num_rows:
@@ -289,7 +320,10 @@ def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FRE
 def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Packed ids of rows that end where told."""
     offsets = np.concatenate([[0], ends]) * 4
-    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat, np.int32))])
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(ends),
+        [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat, np.int32))]
+    )
 
 
 def looked_up(texts: pa.Array, known: K.IdTable, pattern: str) -> tuple[pa.Array, pa.Array]:
@@ -369,7 +403,10 @@ class Decoder:
         return b"".join(map(self.pieces.__getitem__, np.where((ids < 0) | (ids > outside), outside, ids).tolist()))
 
 
-def mapped(docs: DataFrame, ranks: Ranks, pattern: str, function: Callable[[pa.ListArray], list[pa.Array]], schema: str, size: int = FREQUENT, keep: tuple[str, ...] | None = None) -> DataFrame:
+def mapped(
+    docs: DataFrame, ranks: Ranks, pattern: str, function: Callable[[pa.ListArray], list[pa.Array]], schema: str,
+    size: int = FREQUENT, keep: tuple[str, ...] | None = None
+) -> DataFrame:
     """The ``keep`` columns of ``docs`` (all, unless told) with what ``function`` makes of the texts' ids, where they are: columns of ``schema``."""
     known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs.select("text"), ranks, pattern, size))
     names = [x.split()[0] for x in schema.split(", ")]
@@ -385,12 +422,19 @@ def mapped(docs: DataFrame, ranks: Ranks, pattern: str, function: Callable[[pa.L
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *function(filled(batch.column("packed"), batch.column("rare")))], ["row", *names])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), *function(filled(batch.column("packed"), batch.column("rare")))], ["row", *names]
+            )
 
     open_ = rows.mapInArrow(look_up, f"row {row}, packed binary, rare array<string>")
-    folded = _let(ranks.constants(), lambda c: F.transform("rare", lambda w: F.transform(word_ids(w, c, ranks.monotone), lambda i: i.cast("int"))))
+    folded = _let(
+        ranks.constants(),
+        lambda c: F.transform("rare", lambda w: F.transform(word_ids(w, c, ranks.monotone), lambda i: i.cast("int")))
+    )
     none = F.array().cast("array<array<int>>")
-    whole = open_.select("row", "packed", F.when(F.size("rare") > 0, folded).otherwise(none).alias("rare")).mapInArrow(fill, f"row {row}, {schema}")
+    whole = open_.select(
+        "row", "packed", F.when(F.size("rare") > 0, folded).otherwise(none).alias("rare")
+    ).mapInArrow(fill, f"row {row}, {schema}")
     return whole.select(*(F.col("row")[c].alias(c) for c in columns), *names)
 
 

@@ -14,9 +14,13 @@ from cataloom.sources.shared import materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+        links.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
+    return both.where(F.col("v") > F.col("u")).join(least, "u").select(
+        F.col("m").alias("a"), F.col("v").alias("b")
+    ).where("a != b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -29,7 +33,10 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); the component is its smallest node. Self-links are ignored."""
-    links = materialize(links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a != b").distinct(), "links")
+    links = materialize(
+        links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a != b").distinct(),
+        "links"
+    )
     state = None
     for _ in range(max_rounds):
         links = materialize(_small_star(_large_star(links)), "links")

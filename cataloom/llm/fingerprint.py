@@ -110,7 +110,9 @@ def as_text(signature: np.ndarray) -> str:
 
 def _edges(docs: DataFrame, parts: int) -> list[int]:
     """Bounds of ranges of doc_id with about equally many documents."""
-    found = docs.select(F.col("_key").cast("double").alias("_key")).approxQuantile("_key", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    found = docs.select(F.col("_key").cast("double").alias("_key")).approxQuantile(
+        "_key", [i / parts for i in range(1, parts)], 0.2 / parts
+    ) if parts > 1 else []
     return sorted({int(x) for x in found})
 
 
@@ -122,14 +124,19 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // RANGE_ROWS)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text")
+    )
     edges = _edges(keyed, parts)
     part = F.size(F.filter(F.lit(edges).cast("array<long>") if edges else F.array().cast("array<long>"), lambda x: x <= F.col("_key")))
     rows = keyed.withColumn("_part", part)
     heads = sorted((r["_part"], r["_key"]) for r in rows.groupBy("_part").agg(F.min("_key").alias("_key")).collect())  # one row per range
     moved = [(heads[i - 1][0], heads[i][1]) for i in range(len(heads))]
     to_part = spark.createDataFrame(moved, "_to int, _head long")
-    copies = rows.join(F.broadcast(to_part), F.col("_key") == F.col("_head")).select(F.col("_to").alias("_part"), F.lit(1).alias("_kind"), "_key", "doc_id", "text")
+    copies = rows.join(F.broadcast(to_part), F.col("_key") == F.col("_head")).select(
+        F.col("_to").alias("_part"), F.lit(1).alias("_kind"), "_key", "doc_id", "text"
+    )
     both = rows.select("_part", F.lit(0).alias("_kind"), "_key", "doc_id", "text").unionByName(copies)
     # Each range is a partition of its own: by its number, not by a hash of it.
     return both.repartitionById(max(1, len(edges) + 1), F.col("_part")).sortWithinPartitions("_part", "_kind", "_key", "text")
@@ -156,7 +163,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     n = len(last)
                     edited = last[: n - n // 2] + text[: n // 2]
                     changed = sketch(edited)
-                    out.append((last_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(last_own), as_text(changed), likeness(last_own, changed), likeness(last_own, own)))
+                    out.append(
+                        (
+                            last_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(last_own),
+                            as_text(changed), likeness(last_own, changed), likeness(last_own, own)
+                        )
+                    )
                 held = None if kind else (part, doc_id, text, own)
             cols = list(zip(*out)) if out else [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())

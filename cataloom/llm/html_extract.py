@@ -36,7 +36,9 @@ BLOCK = HEADINGS | frozenset(
     "hr legend li main menu nav ol option p pre search section select summary table caption colgroup thead tbody tfoot tr td th ul".split()
 )
 #: Never content, with all they hold.
-SKIPPED = frozenset("head title nav footer aside form button select option textarea input label fieldset noscript iframe object svg canvas menu dialog audio video template search".split())
+SKIPPED = frozenset(
+    "head title nav footer aside form button select option textarea input label fieldset noscript iframe object svg canvas menu dialog audio video template search".split()
+)
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Whole classes or ids that mark an element as no content, unless it holds most of the page's text.
 SKIPPED_WORDS = frozenset(
@@ -214,7 +216,10 @@ def holder(page: Page, found: list[tuple[Element, str]], chosen: dict[int, float
     marked = [e for e in page.elements if e.tag in ("article", "main") and fit[e.order] >= MARKED * best]
     if marked:
         return min(marked, key=lambda e: (e.depth, e.order))
-    article = max((e for e in page.elements if fit[e.order] >= best and content[e.order] == content[0]), key=lambda e: (e.depth, -e.order), default=page.root)
+    article = max(
+        (e for e in page.elements if fit[e.order] >= best and content[e.order] == content[0]), key=lambda e: (e.depth, -e.order),
+        default=page.root
+    )
     if article.tag in HEADINGS or article.tag == "p":
         article = article.parent or article
     # A heading beside the holder belongs to it when nothing else is there.
@@ -252,7 +257,12 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [main_text(x or "") for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
+                [
+                    batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64())
+                ], ["page_id", "url", "text", "n_chars"]
             )
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, RESULT)
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"
+    ).mapInArrow(run, RESULT)

@@ -51,7 +51,9 @@ def is_held_out(doc_id: str = "doc_id"):
 
 def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """lang, text of a bounded sample, in each language, of labelled documents that aren't held out; empty texts don't count."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(is_held_out(), F.lit(True))).select("doc_id", "lang", "text")
+    labelled = docs.where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(is_held_out(), F.lit(True))
+    ).select("doc_id", "lang", "text")
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
     share = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("size"))
     chosen = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 20)) < F.floor(share * F.lit(1 << 20))
@@ -69,7 +71,9 @@ def byte_counts(sample: DataFrame) -> pd.DataFrame:
                     total[lang] = total.get(lang, 0) + np.bincount(data, minlength=256)
         for lang, n in total.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "byte", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "byte", "n"]
+            )
 
     return sample.mapInArrow(count, "lang string, byte int, n long").groupBy("lang", "byte").agg(F.sum("n").alias("n")).toPandas()
 
@@ -122,7 +126,10 @@ def context_counts(sample: DataFrame, classes: np.ndarray) -> pd.DataFrame:
             for lang, part in _by_language(batch):
                 found = [codes(d, o, classes) for _, _, d, o in K.slices(part)]
                 code, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(n, pa.int64())], ["lang", "code", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(n, pa.int64())],
+                    ["lang", "code", "n"]
+                )
 
     return sample.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
 
@@ -159,7 +166,10 @@ class Model:
     def __init__(self, classes: np.ndarray, counts: pd.DataFrame, bytes_: pd.DataFrame):
         self.classes = classes
         self.languages = sorted(counts["lang"].unique())
-        self.counts = [(g["code"].to_numpy(np.int32), g["n"].to_numpy(np.float64)) for _, g in counts.sort_values(["lang", "code"]).groupby("lang")]
+        self.counts = [
+            (g["code"].to_numpy(np.int32), g["n"].to_numpy(np.float64)) for _,
+            g in counts.sort_values(["lang", "code"]).groupby("lang")
+        ]
         self.within = byte_lengths(bytes_, classes, self.languages)
         self.key = uuid.uuid4().hex
 
@@ -170,7 +180,10 @@ class Model:
     def sums(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """[text, language] bits of the texts of each part that aren't empty; more than KEPT_TABLES languages come one after the other."""
 
-        def bits(table: tuple[np.ndarray, np.ndarray], within: np.ndarray, context: np.ndarray, symbol: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        def bits(
+            table: tuple[np.ndarray, np.ndarray], within: np.ndarray, context: np.ndarray, symbol: np.ndarray, data: np.ndarray,
+            starts: np.ndarray
+        ) -> np.ndarray:
             row, steps = table
             return np.add.reduceat(steps.ravel()[(row[context] << BITS) | symbol] + within[data], starts, dtype=np.int64) / UNIT
 
@@ -227,7 +240,10 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         model = shared.value
         languages = np.array([*model.languages, "und"], object)
         for run in _runs(batches, RUN_BYTES if len(model.languages) > KEPT_TABLES else 0):
-            parts = [(b, at, data, offsets) for b, batch in enumerate(run) for at, _, data, offsets in K.slices(batch.column("text")) if len(data)] if model.languages else []
+            parts = [
+                (b, at, data, offsets) for b, batch in enumerate(run) for at, _, data,
+                offsets in K.slices(batch.column("text")) if len(data)
+            ] if model.languages else []
             found = [(np.full(x.num_rows, len(languages) - 1), np.zeros(x.num_rows), np.zeros(x.num_rows)) for x in run]
             for (b, at, data, offsets), sums in zip(parts, model.sums([x[2:] for x in parts])):
                 best, sure, bits = found[b]
@@ -239,7 +255,9 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 share = 1 / np.exp2(np.maximum((low[:, None] - sums) * scale[:, None], -1000)).sum(1)
                 for i, row in enumerate(full):
                     span = data[offsets[row] : offsets[row + 1]]
-                    if _has_letter(span, span.tobytes() if len(span) < 4096 else b"") or (len(span) >= 4096 and _has_letter(span, span.tobytes())):
+                    if _has_letter(span, span.tobytes() if len(span) < 4096 else b"") or (
+                        len(span) >= 4096 and _has_letter(span, span.tobytes())
+                    ):
                         best[at + row], sure[at + row], bits[at + row] = winner[i], share[i], low[i] / size[i]
             for batch, (best, sure, bits) in zip(run, found):
                 yield pa.RecordBatch.from_arrays(
@@ -248,7 +266,12 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 )
 
     whole = K.small_batches(docs).select(*keep, *(() if "text" in keep else ("text",)))
-    schema = T.StructType([*(whole.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    schema = T.StructType(
+        [
+            *(whole.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+            T.StructField("bits_per_byte", T.DoubleType())
+        ]
+    )
     return whole.mapInArrow(score, schema)
 
 

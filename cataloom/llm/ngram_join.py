@@ -89,11 +89,16 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                 if name is not None and name not in seen:
                     seen.add(name)
                     parts.append(tokens)
-            token, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            token, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (
+                np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            )
             token, count = token[count >= 3].view(np.int64), count[count >= 3].astype(np.int64)
             rows, more = batch.num_rows, len(token)
             none = lambda k: pa.nulls(k, pa.int64())
-            columns = [[batch.column("doc_id"), none(more)], [pa.array(n, pa.int64()), none(more)], [pa.array(ids, pa.int64()), none(more)], [none(rows), pa.array(token)], [none(rows), pa.array(count)]]
+            columns = [
+                [batch.column("doc_id"), none(more)], [pa.array(n, pa.int64()), none(more)],
+                [pa.array(ids, pa.int64()), none(more)], [none(rows), pa.array(token)], [none(rows), pa.array(count)]
+            ]
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], ["doc_id", "n_shingles", "set_id", "token", "n"])
 
     return K.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
@@ -139,7 +144,10 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarr
                 names.append(np.full(keep, name))
                 sizes.append(np.full(keep, n))
             join = lambda x, kind: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64), pa.int64()).cast(kind)
-            yield pa.RecordBatch.from_arrays([join(tokens, pa.int64()), join(salts, pa.int32()), join(names, pa.int64()), join(sizes, pa.int32())], ["token", "salt", "set_id", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [join(tokens, pa.int64()), join(salts, pa.int32()), join(names, pa.int64()), join(sizes, pa.int32())],
+                ["token", "salt", "set_id", "n"]
+            )
 
     return docs.select("text").mapInArrow(run, "token long, salt int, set_id long, n int")
 
@@ -152,7 +160,9 @@ def set_tokens(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
         for sets in _new_sets(batches, words):
             names = np.array([x[0] for x in sets], np.int64)
             pick = np.flatnonzero(bloom.may_hold(shared.value, names))
-            yield pa.RecordBatch.from_arrays([pa.array(names[pick]), pa.array([sets[i][1].tobytes() for i in pick], pa.binary())], ["set_id", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[pick]), pa.array([sets[i][1].tobytes() for i in pick], pa.binary())], ["set_id", "tokens"]
+            )
 
     found = docs.select("text").mapInArrow(run, "set_id long, tokens binary")
     # Sets come once from each task that has them.
@@ -183,7 +193,9 @@ def least_overlap(n: str, m: str, percent: int):
     the global order, behind the end of one of the prefixes, where ceil(percent n / 100) - 1 shingles are left.
     """
     both = F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(100 + percent) - F.lit(1e-9))
-    behind = F.greatest(F.ceil(F.lit(percent) * F.col(n) / F.lit(100) - F.lit(1e-9)), F.ceil(F.lit(percent) * F.col(m) / F.lit(100) - F.lit(1e-9))) - 1
+    behind = F.greatest(
+        F.ceil(F.lit(percent) * F.col(n) / F.lit(100) - F.lit(1e-9)), F.ceil(F.lit(percent) * F.col(m) / F.lit(100) - F.lit(1e-9))
+    ) - 1
     return F.greatest(both - behind, F.lit(1))
 
 
@@ -206,7 +218,9 @@ def promising(pairs: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     left = postings.select(F.col("set_id").alias("a"), "token", F.col("n").alias("na"))
     right = postings.select(F.col("set_id").alias("b"), "token", F.col("n").alias("nb"))
     shared = pairs.join(left, "a").join(right, ["b", "token"]).where(_sizes_fit("na", "nb", percent))
-    return shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_overlap("na", "nb", percent)).select("a", "b")
+    return shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(
+        F.col("shared") >= least_overlap("na", "nb", percent)
+    ).select("a", "b")
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -219,15 +233,21 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = Window.partitionBy("token", "salt").orderBy("n", "set_id")
     dealt = prefixes(docs, words, percent, frequent).repartition(parts, "token", "salt").distinct().withColumn("_less", F.lag("n").over(place)).withColumn("_more", F.lead("n").over(place))
-    postings = dealt.where((F.col("salt") != 0) | (100 * F.col("_less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("_more")))
+    postings = dealt.where(
+        (F.col("salt") != 0) | (100 * F.col("_less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("_more"))
+    )
     postings = materialize(postings.select("token", "set_id", "n"), "postings")
 
     # Groups: the leader of a shingle is the most central set that has it, the one whose prefix is shared most.
     df = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     central = postings.join(df, "token").groupBy("set_id").agg((F.sum("df") / F.max("n")).alias("central"))
-    leaders = postings.join(central, "set_id").groupBy("token").agg(F.max(F.struct("central", "set_id")).alias("x")).select("token", F.col("x.set_id").alias("leader"))
+    leaders = postings.join(central, "set_id").groupBy("token").agg(
+        F.max(F.struct("central", "set_id")).alias("x")
+    ).select("token", F.col("x.set_id").alias("leader"))
     named = postings.join(leaders, "token").where("leader != set_id").groupBy("set_id", "leader").count()
-    best = named.withColumn("_r", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("count"), "leader"))).where(F.col("_r") <= LEADERS)
+    best = named.withColumn(
+        "_r", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("count"), "leader"))
+    ).where(F.col("_r") <= LEADERS)
     named_pairs = best.select(F.col("set_id").alias("a"), F.col("leader").alias("b"))
     stars = materialize(promising(named_pairs, postings, percent), "stars")
     near = materialize(linked(stars, set_tokens(docs, words, _ends(stars)), percent), "star-links")
@@ -238,10 +258,14 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     else:
         final = components(near.unionByName(linked(opened, set_tokens(docs, words, _ends(opened)), percent)))
     least = own.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    joined = least.join(final.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    joined = least.join(
+        final.select(F.col("node").alias("set_id"), "component"), "set_id", "left"
+    ).withColumn("component", F.coalesce("component", "set_id"))
     reps = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_set = joined.join(reps, "component").select("set_id", "component_id")
-    return own.join(by_set, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return own.join(by_set, "set_id", "left").select(
+        "doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -250,7 +274,10 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     gone = materialize(found.where("component_id != doc_id").select("doc_id").distinct(), "near-copies")
     shared = docs.sparkSession.sparkContext.broadcast(bloom.sized(gone))
     doc = F.col("doc_id").cast("long")
-    flagged = docs.select(F.struct("*").alias("row"), doc.alias("doc_id"), (doc.isNotNull() & bloom.hits(shared, F.coalesce(doc, F.lit(0)))).alias("hit"))
+    flagged = docs.select(
+        F.struct("*").alias("row"), doc.alias("doc_id"),
+        (doc.isNotNull() & bloom.hits(shared, F.coalesce(doc, F.lit(0)))).alias("hit")
+    )
     kept = flagged.where("hit").join(gone.hint("merge"), "doc_id", "left_anti")
     return flagged.where(~F.col("hit")).select("row").unionByName(kept.select("row")).select("row.*")
 
@@ -261,7 +288,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _between_groups(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different groups that may be linked, through the token-group matrix."""
-    at = postings.join(groups.select(F.col("node").alias("set_id"), F.col("component").alias("grp")), "set_id", "left").withColumn("grp", F.coalesce("grp", "set_id"))
+    at = postings.join(
+        groups.select(F.col("node").alias("set_id"), F.col("component").alias("grp")), "set_id", "left"
+    ).withColumn("grp", F.coalesce("grp", "set_id"))
     at = materialize(at.select("token", "set_id", "n", "grp"), "grouped-postings")
     matrix = at.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
     mixed = matrix.groupBy("token").count().where("count > 1").select("token")
@@ -269,10 +298,14 @@ def _between_groups(postings: DataFrame, groups: DataFrame, percent: int) -> Dat
     # The sets of the smaller group ask the larger one; a group's sizes are cut to those that fit the set's.
     rank = F.struct("size", "grp")
     asked = at.join(mixed, "token", "left_semi").join(extent, "grp").select("token", "set_id", "n", rank.alias("mine"))
-    other = matrix.join(mixed, "token", "left_semi").join(extent, "grp").select("token", "grp", "low", "high", "members", "least", "most", rank.alias("theirs"))
+    other = matrix.join(mixed, "token", "left_semi").join(extent, "grp").select(
+        "token", "grp", "low", "high", "members", "least", "most", rank.alias("theirs")
+    )
     fits = (F.col("mine") < F.col("theirs")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
     met = asked.join(other, "token").where(fits).select("set_id", "grp", "n", "least", "most", "token", "members")
-    met = met.withColumn("least", F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100).cast("int"))).withColumn("most", F.least("most", F.floor(F.lit(100) * F.col("n") / percent).cast("int")))
+    met = met.withColumn(
+        "least", F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100).cast("int"))
+    ).withColumn("most", F.least("most", F.floor(F.lit(100) * F.col("n") / percent).cast("int")))
     cell = Window.partitionBy("set_id", "grp")
     met = met.withColumn("bound", least_overlap_between("n", "least", "most", percent))
     met = met.withColumn("shared", F.count("*").over(cell)).withColumn("place", F.row_number().over(cell.orderBy("members", "token")))

@@ -93,7 +93,10 @@ class WordIds:
         asked = [x for x in parts if x not in ids]
         ids.update(zip(asked, self.asked(asked)))
         found = {x: ids[x] for x in asked} | {x: [i for y in own for i in ids[y]] for x, own in zip(chunks, cut)}
-        new = K.IdTable.of(hashes_of(list(found)), np.array([len(x) for x in found.values()], np.int64), np.array([i for x in found.values() for i in x], np.uint32))
+        new = K.IdTable.of(
+            hashes_of(list(found)), np.array([len(x) for x in found.values()], np.int64),
+            np.array([i for x in found.values() for i in x], np.uint32)
+        )
         self.recent = self.recent.joined(new)
         if len(self.recent.hashes) > RECENT:
             self.known = self.recent if len(self.known.hashes) > CACHED_WORDS else self.known.joined(self.recent)
@@ -142,7 +145,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
                         out.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+            )
 
     return K.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -212,10 +217,15 @@ def packed(pieces: DataFrame, capacity: int = 4096, salts: int = 256) -> DataFra
     places = placed(counts, rows)
     own = spark.createDataFrame(places, "length long, salt long, first long, number long, sequence long, offset long")
     # A (length, salt) pair is a hash bucket: even when one length holds a third of all rows.
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = salted.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    )
     inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("number"))
     joined = ranked.join(F.broadcast(own) if len(places) <= BROADCAST_ROWS else own, ["length", "salt"]).where(inside)
-    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    return joined.select(
+        "doc_id", "piece", "start", "length", "ids_crc32",
+        (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset"
+    )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -63,7 +63,17 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_ends = np.sort(np.concatenate([breaks, offsets[1:]]))
     line_owner = np.concatenate([np.searchsorted(offsets, breaks, "right") - 1, np.arange(rows)])
     line_owner = line_owner[np.argsort(np.concatenate([breaks, offsets[1:]]), kind="stable")]
-    line_starts = np.maximum(np.concatenate([[0], line_ends[:-1] + (line_ends[:-1] < len(data)) * (data[np.minimum(line_ends[:-1], max(len(data) - 1, 0))] == 10 if len(data) else 0)]), offsets[line_owner]) if len(line_ends) else line_ends
+    line_starts = np.maximum(
+        np.concatenate(
+            [
+                [0],
+                line_ends[:-1] + (line_ends[:-1] < len(data)) * (
+                    data[np.minimum(line_ends[:-1], max(len(data) - 1, 0))] == 10 if len(data) else 0
+                )
+            ]
+        ),
+        offsets[line_owner]
+    ) if len(line_ends) else line_ends
     words_before = np.searchsorted(starts, np.concatenate([line_starts, line_ends]), "left")
     has_word = words_before[len(line_starts) :] > words_before[: len(line_starts)]
     line_starts, line_ends, line_owner = line_starts[has_word], line_ends[has_word], line_owner[has_word]
@@ -95,7 +105,9 @@ def counted(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at, to, data, offsets in K.slices(batch.column("text")):
                 found = text_counts(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), *(pa.array(found[k].astype(np.int64)) for k in names[1:])], names)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, to - at), *(pa.array(found[k].astype(np.int64)) for k in names[1:])], names
+                )
 
     return K.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, COUNTS)
 
@@ -163,9 +175,14 @@ def certified_cutoffs(good: np.ndarray, bad: np.ndarray, alpha: float, error: fl
 
 def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], int]:
     """Certified cutoff of each stratum and rule."""
-    quality = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    quality = labels.where(
+        F.col("doc_id").isNotNull() & F.col("quality").isNotNull()
+    ).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = counts.where(~base_failed()).join(quality, "doc_id")
-    long = held.select(stratum().alias("stratum"), (F.col("quality") > 0).alias("good"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES))).alias("x"))
+    long = held.select(
+        stratum().alias("stratum"), (F.col("quality") > 0).alias("good"),
+        F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES))).alias("x")
+    )
     sums = long.groupBy("stratum", "x.rule", "x.step", "good").count().collect()  # strata x rules x grid x 2 rows at most
     strata = len(BANDS) + 1
     table = {(s, r): np.zeros((2, GRID + 1), np.int64) for s in range(strata) for r in RULES}
@@ -187,4 +204,6 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
         return out
 
     rejected = F.filter(F.array(*(F.when(step(r) > cutoff(r), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
-    return counts.withColumn("base_failed", base_failed()).withColumn("rejected_by", rejected).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    return counts.withColumn("base_failed", base_failed()).withColumn("rejected_by", rejected).withColumn(
+        "kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)
+    )

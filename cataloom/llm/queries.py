@@ -33,9 +33,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         flat, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
         own = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         told = [hashlib.sha256(b",".join(map(shown.__getitem__, x.tolist()))).hexdigest() for x in own]
-        return [pa.array(np.diff(bounds), pa.int64()), pa.array(told, pa.string()), pa.array([hashlib.sha256(decode(x)).hexdigest() for x in own], pa.string())]
+        return [
+            pa.array(np.diff(bounds), pa.int64()), pa.array(told, pa.string()),
+            pa.array([hashlib.sha256(decode(x)).hexdigest() for x in own], pa.string())
+        ]
 
-    return bpe.mapped(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep=("doc_id",))
+    return bpe.mapped(
+        table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests,
+        "n_tokens long, ids_sha256 string, decoded_sha256 string", keep=("doc_id",)
+    )
 
 
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,18 +53,26 @@ def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards, near equal in bytes; the map is stored as its first version."""
     out = sharding.sharded(table(spark, sf_dir, "documents"), shards=40, map_path=f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "v_slot", "map_version")
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "v_slot", "map_version"
+    )
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 5-word shingles, Jaccard similarity of 0.75 or more."""
-    return ngram_join.classes(table(spark, sf_dir, "documents"), words=5, percent=75).select("doc_id", "n_shingles", "component_id", "set_id")
+    return ngram_join.classes(
+        table(spark, sf_dir, "documents"), words=5, percent=75
+    ).select("doc_id", "n_shingles", "component_id", "set_id")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, with cutoffs certified on the labels."""
     out = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("rejected_by", ",").alias("rejected_by")
+    )
 
 
 def op6_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

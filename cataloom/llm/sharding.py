@@ -30,7 +30,9 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     raw = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
     return docs.select(
         "doc_id", (F.octet_length(raw).cast("long") + OVERHEAD).alias("size"), F.crc32(raw).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(slots)).cast("int").alias("v_slot"), F.pmod(F.xxhash64(F.lit(29), "text"), F.lit(PARTS)).cast("int").alias("part"),
+        F.pmod(
+            F.xxhash64(F.lit(17), "doc_id"), F.lit(slots)
+        ).cast("int").alias("v_slot"), F.pmod(F.xxhash64(F.lit(29), "text"), F.lit(PARTS)).cast("int").alias("part"),
     )
 
 
@@ -72,7 +74,9 @@ def rebalanced(current: pd.DataFrame, shards: int) -> pd.DataFrame:
 
 def store_map(spark: SparkSession, slot_map: pd.DataFrame, path: str) -> None:
     """Append a version to the stored maps."""
-    spark.createDataFrame(slot_map[[x.split()[0] for x in MAP_SCHEMA.split(", ")]], MAP_SCHEMA).write.mode("append").partitionBy("version").parquet(path)
+    spark.createDataFrame(
+        slot_map[[x.split()[0] for x in MAP_SCHEMA.split(", ")]], MAP_SCHEMA
+    ).write.mode("append").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -96,7 +100,9 @@ def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str
         store_map(spark, slot_map, map_path)
     placed = stats.merge(slot_map[["version", "v_slot", "shard"]], on="v_slot").sort_values(["shard", "v_slot", "part"])
     placed["base"] = placed.groupby("shard")["n"].cumsum() - placed["n"]
-    places = spark.createDataFrame(placed[["v_slot", "part", "version", "shard", "base"]], "v_slot int, part int, map_version int, shard int, base long")
+    places = spark.createDataFrame(
+        placed[["v_slot", "part", "version", "shard", "base"]], "v_slot int, part int, map_version int, shard int, base long"
+    )
     order = Window.partitionBy("v_slot", "part").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("_in", F.row_number().over(order) - 1)

@@ -126,7 +126,10 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def _rows(key, ph, doc, pos, lo, hi) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16())
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x)).cast(t) for x, t in zip((key, ph, doc, pos, lo, hi), kinds)], [x.split()[0] for x in ROWS.split(", ")])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.asarray(x)).cast(t) for x, t in zip((key, ph, doc, pos, lo, hi), kinds)],
+        [x.split()[0] for x in ROWS.split(", ")]
+    )
 
 
 def _ranges(doc, start, end) -> pa.RecordBatch:
@@ -163,7 +166,9 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
             whole = pa.Table.from_batches(held)
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             change = np.flatnonzero(keys[1:] != keys[:-1])
-            cut = n - batch.num_rows + int(change[-1]) + 1 if len(change) else (n - batch.num_rows if len(held) > 1 and held[-2].column("key")[-1].as_py() != keys[0] else 0)
+            cut = n - batch.num_rows + int(change[-1]) + 1 if len(change) else (
+                n - batch.num_rows if len(held) > 1 and held[-2].column("key")[-1].as_py() != keys[0] else 0
+            )
             if cut:
                 yield whole.slice(0, cut)
                 held = whole.slice(cut).combine_chunks().to_batches()
@@ -267,7 +272,11 @@ def _send_pieces(shared):
                 raw = data.tobytes() if len(pick) else b""
                 parts = [raw[x:y] for x, y in zip(s_lo[pick].tolist(), (s_hi[pick] + LENGTH).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ah[pick].view(np.int64)), pa.array(doc[pick]), pa.array(pos[pick]), pa.array((a - s_lo)[pick], pa.int16()), pa.array((a - s_hi)[pick], pa.int16()), pa.array(parts, pa.binary())], names
+                    [
+                        pa.array(ah[pick].view(np.int64)), pa.array(doc[pick]), pa.array(pos[pick]),
+                        pa.array((a - s_lo)[pick], pa.int16()), pa.array((a - s_hi)[pick], pa.int16()),
+                        pa.array(parts, pa.binary())
+                    ], names
                 )
 
     return run
@@ -290,7 +299,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(place_key(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))], ["place"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place_key(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))],
+                ["place"]
+            )
 
     shared = spark.sparkContext.broadcast(bloom.sized(asked.mapInArrow(keys, "place long")))
     sent = texts.mapInArrow(_send_pieces(shared), "key long, doc long, pos long, lo short, hi short, bytes binary")
@@ -344,7 +356,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             doc = batch.column("doc").to_numpy(zero_copy_only=False)
             hit = bloom.may_hold(shared.value, doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("null_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array([x if h else None for x, h in zip(raw, hit)], pa.binary())],
+                [
+                    batch.column("doc"), batch.column("null_id"), pa.array([len(x) for x in raw], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+                    pa.array([x if h else None for x, h in zip(raw, hit)], pa.binary())
+                ],
                 [x.split()[0] for x in own.split(", ")],
             )
 
@@ -367,5 +383,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in result.split(", ")])
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.col("doc_id").isNull().alias("null_id"), "text")
-    return texts.mapInArrow(sized, own).join(by_doc, "doc", "left").select("doc", "null_id", "n_bytes", "sha", "raw", "ranges").mapInArrow(cut, result)
+    texts = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.col("doc_id").isNull().alias("null_id"), "text"
+    )
+    return texts.mapInArrow(sized, own).join(by_doc, "doc", "left").select(
+        "doc", "null_id", "n_bytes", "sha", "raw", "ranges"
+    ).mapInArrow(cut, result)

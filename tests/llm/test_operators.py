@@ -69,9 +69,14 @@ def ranks():
 def test_bpe_equals_the_library(spark, docs, none, texts, ranks):
     import tiktoken
 
-    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    own = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={}
+    )
     assert ranks.monotone
-    out = bpe.encoded(docs, ranks, public_tokenizers.PATTERN, size=20).select("doc_id", "ids", bpe.decoded(F.col("ids"), ranks).alias("raw"), "token")
+    out = bpe.encoded(docs, ranks, public_tokenizers.PATTERN, size=20).select(
+        "doc_id", "ids", bpe.decoded(F.col("ids"), ranks).alias("raw"), "token"
+    )
     rows = out.collect()
     assert len(rows) == len(TEXTS) + 3
     for r in rows:
@@ -84,8 +89,13 @@ def test_bpe_query_digests(spark, tmp_path):
     import tiktoken
     from cataloom.llm import queries
 
-    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-    spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_tokens int, row string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={}
+    )
+    spark.createDataFrame(
+        [(i, t, 0, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_tokens int, row string"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = {}
     for i, t in enumerate(TEXTS):
@@ -97,8 +107,14 @@ def test_bpe_query_digests(spark, tmp_path):
 def test_bpe_white_space_and_contractions(spark, ranks):
     import tiktoken
 
-    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-    hard = ["I'll  they've  x\u0085y 　 'S it's\r\n\r\n  z ", "  lead", "trail  ", "12 345½ ²", "a\x01b\x1cc", "<|endoftext|>", prose(3, 1) * 40, "zq" * 200, "日本語 １２ ⅷ x² 𝟙𝟚 😀👍🏽 𐍈𐍉", "ÄÖ_ü'll\xa0\u2003x\u200b\u00ad"]
+    own = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={}
+    )
+    hard = [
+        "I'll  they've  x\u0085y 　 'S it's\r\n\r\n  z ", "  lead", "trail  ", "12 345½ ²", "a\x01b\x1cc", "<|endoftext|>",
+        prose(3, 1) * 40, "zq" * 200, "日本語 １２ ⅷ x² 𝟙𝟚 😀👍🏽 𐍈𐍉", "ÄÖ_ü'll\xa0\u2003x\u200b\u00ad"
+    ]
     out = bpe.encoded(spark.createDataFrame(list(enumerate(hard)), "doc_id int, text string"), ranks, public_tokenizers.PATTERN)
     assert {r.doc_id: r.ids for r in out.collect()} == {i: own.encode_ordinary(t) for i, t in enumerate(hard)}
     with pytest.raises(ValueError):
@@ -151,7 +167,10 @@ def test_line_dedup(spark, docs, none, texts):
 
 def test_fuzzy_lines_are_exactly_the_near_ones(spark):
     base = prose(1, 60)
-    variants = [base, base.replace(base.split()[3], "zz", 1), base + " extra", prose(2, 60), base.upper() + ".", " ".join(base.split()[:30]), "one two three four five", "one two three four fife", "one two three five"]
+    variants = [
+        base, base.replace(base.split()[3], "zz", 1), base + " extra", prose(2, 60), base.upper() + ".",
+        " ".join(base.split()[:30]), "one two three four five", "one two three four fife", "one two three five"
+    ]
     docs = spark.createDataFrame(list(enumerate(variants)), "doc_id long, text string")
     found = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
     assert found == brute_lines(dict(enumerate(variants)))
@@ -322,10 +341,22 @@ def test_fingerprint_sees_order_and_edits():
 
 
 PAGES = [
-    (1, "<html><body><nav><a href=x>Menu</a></nav><article><h1>T &amp; x</h1><p>First <b>bold</b>  text,\n here.<p>Second one. It is longer than the first one.</article><footer>&copy; me</footer>", "T & x\nFirst bold text, here.\nSecond one. It is longer than the first one."),
+    (
+        1,
+        "<html><body><nav><a href=x>Menu</a></nav><article><h1>T &amp; x</h1><p>First <b>bold</b>  text,\n here.<p>Second one. It is longer than the first one.</article><footer>&copy; me</footer>",
+        "T & x\nFirst bold text, here.\nSecond one. It is longer than the first one."
+    ),
     (2, None, ""), (3, "", ""), (4, "<html><body><nav>only</nav></body></html>", ""), (5, "plain text", "plain text"),
-    (6, "<body><div class='sidebar'><p>Side text that is rather long, with commas, and more.</p></div><main><p>Main text, with commas, and a full stop.</p><ul><li>One</li><li>Two</li></ul><form><p>Your name, please.</p></form><div class=comments><p>I like it, a lot, really.</p></div></main><p", "Main text, with commas, and a full stop.\nOne\nTwo"),
-    (7, "<div id=c><h2>Head</h2><div><p>Body text, with commas, and more of it.</p><p>Short.</p></div></div><script>var a='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> -->", "Head\nBody text, with commas, and more of it.\nShort."),
+    (
+        6,
+        "<body><div class='sidebar'><p>Side text that is rather long, with commas, and more.</p></div><main><p>Main text, with commas, and a full stop.</p><ul><li>One</li><li>Two</li></ul><form><p>Your name, please.</p></form><div class=comments><p>I like it, a lot, really.</p></div></main><p",
+        "Main text, with commas, and a full stop.\nOne\nTwo"
+    ),
+    (
+        7,
+        "<div id=c><h2>Head</h2><div><p>Body text, with commas, and more of it.</p><p>Short.</p></div></div><script>var a='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> -->",
+        "Head\nBody text, with commas, and more of it.\nShort."
+    ),
     (1, "<p>x", "x"),
 ]
 
@@ -357,7 +388,9 @@ def test_suffix_dedup(spark, docs, none, texts):
     for r in rows:
         raw, gone = np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8), want[r.doc_id]
         spans = int(np.diff(np.concatenate([[0], gone.astype(int)])).clip(0).sum())
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest())
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (
+            len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()
+        )
     short = {r.doc_id: r for r in suffix_dedup.shortened(docs).collect()}
     assert short[1].text == "" and short[0].text == PROSE and short[2].text is None and short[0].gone == "g"
     assert suffix_dedup.deduplicated(none).count() == 0
@@ -377,13 +410,20 @@ def test_suffix_dedup_around_edits(spark):
     want = removed(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
     found = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.deduplicated(docs).collect()}
-    assert found == {d: (int(g.sum()), hashlib.sha256(np.frombuffer(texts[d].encode(), np.uint8)[~g].tobytes()).hexdigest()) for d, g in want.items()}
+    assert found == {
+        d: (int(g.sum()), hashlib.sha256(np.frombuffer(texts[d].encode(), np.uint8)[~g].tobytes()).hexdigest()) for d,
+        g in want.items()
+    }
 
 
 def test_suffix_dedup_with_zero_bytes(spark):
     text = prose(41, 80)[:300]
     texts = {0: text, 1: "\0" + text[:120] + "XYZ", 2: text[200:] + "\0" * 130, 3: "\0" * 105}
-    found = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    found = {
+        r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.deduplicated(
+            spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        ).collect()
+    }
     assert found == {d: (int(g.sum()), int(np.diff(np.concatenate([[0], g.astype(int)])).clip(0).sum())) for d, g in removed(texts).items()}
 
 
@@ -449,7 +489,10 @@ def test_scores_are_code_lengths_of_bytes(spark):
 
 
 def test_code_lengths_are_those_of_a_distribution():
-    code, n = np.unique(langid.codes(np.frombuffer(PROSE.encode(), np.uint8), np.array([0, len(PROSE)]), (np.arange(256) % 64).astype(np.uint8)), return_counts=True)
+    code, n = np.unique(
+        langid.codes(np.frombuffer(PROSE.encode(), np.uint8), np.array([0, len(PROSE)]), (np.arange(256) % 64).astype(np.uint8)),
+        return_counts=True
+    )
     row, steps = langid.code_lengths(code, n)
     assert np.allclose((2.0 ** -(steps / langid.UNIT)).sum(1), 1, atol=1e-2) and row.max() == len(steps) - 1
 
@@ -516,9 +559,16 @@ def test_plan_is_best_fit_over_counts():
 
 
 def test_short_lines_go_only_as_exact_copies_and_digits_and_marks_count(spark):
-    lines = ["Short line", "Short line", "short line", "私は猫です。", "私は猫です。", "", " ", "", "---", "---", "12 34 56 78 90", "98 76 54 32 10", "12  34 56 78 90", "for i in a [ i ] + = 1", "for i in a [ i ] + = 1"]
-    found = line_dedup.deduplicated(spark.createDataFrame([(1, "\n".join(lines[:7])), (2, "\n".join(lines[7:]))], "doc_id long, text string")).collect()
-    assert {r.doc_id: r.text for r in found} == {1: "Short line\nshort line\n私は猫です。\n\n ", 2: "\n---\n12 34 56 78 90\n98 76 54 32 10\nfor i in a [ i ] + = 1"}
+    lines = [
+        "Short line", "Short line", "short line", "私は猫です。", "私は猫です。", "", " ", "", "---", "---", "12 34 56 78 90",
+        "98 76 54 32 10", "12  34 56 78 90", "for i in a [ i ] + = 1", "for i in a [ i ] + = 1"
+    ]
+    found = line_dedup.deduplicated(
+        spark.createDataFrame([(1, "\n".join(lines[:7])), (2, "\n".join(lines[7:]))], "doc_id long, text string")
+    ).collect()
+    assert {r.doc_id: r.text for r in found} == {
+        1: "Short line\nshort line\n私は猫です。\n\n ", 2: "\n---\n12 34 56 78 90\n98 76 54 32 10\nfor i in a [ i ] + = 1"
+    }
 
 
 def test_fuzzy_lines_of_every_length_are_found(spark):
@@ -542,14 +592,20 @@ def test_ngram_group_bound_holds_for_every_size(spark):
         n, m = spark.range(1, 181).select(F.col("id").alias("n")), spark.range(1, 242).select(F.col("id").alias("m"))
         pairs = n.join(m, ngram_join._sizes_fit("n", "m", percent)).select("n", "m", ngram_join.least_overlap("n", "m", percent).alias("x"))
         own = {(r.n, r.m): r.x for r in pairs.collect()}
-        ends = n.join(m.withColumnRenamed("m", "low"), ngram_join._sizes_fit("n", "low", percent)).join(m.withColumnRenamed("m", "high"), ngram_join._sizes_fit("n", "high", percent) & (F.col("low") <= F.col("high")))
-        for r in ends.where("n > 90 or n < 30").where("n % 3 = 1").select("*", ngram_join.least_overlap_between("n", "low", "high", percent).alias("x")).collect():
+        ends = n.join(m.withColumnRenamed("m", "low"), ngram_join._sizes_fit("n", "low", percent)).join(
+            m.withColumnRenamed("m", "high"), ngram_join._sizes_fit("n", "high", percent) & (F.col("low") <= F.col("high"))
+        )
+        for r in ends.where("n > 90 or n < 30").where("n % 3 = 1").select(
+            "*", ngram_join.least_overlap_between("n", "low", "high", percent).alias("x")
+        ).collect():
             assert 1 <= r.x <= min(own[r.n, k] for k in range(r.low, r.high + 1))
 
 
 def test_ngram_link_into_a_group_of_uneven_bounds(spark):
     # 10 common prefix shingles are enough for sizes 100 and 103, but 11 are needed at both ends of the group's sizes.
-    rows = [(t, 1, 100) for t in range(10)] + [(t, 2, 103) for t in range(10)] + [(t, s, n) for t in (50, 51) for s, n in ((2, 103), (3, 100), (4, 104))]
+    rows = [(t, 1, 100) for t in range(10)] + [(t, 2, 103) for t in range(10)] + [
+        (t, s, n) for t in (50, 51) for s, n in ((2, 103), (3, 100), (4, 104))
+    ]
     postings = spark.createDataFrame(rows, "token long, set_id long, n int")
     groups = spark.createDataFrame([(2, 2), (3, 2), (4, 2)], "node long, component long")
     assert {(r.a, r.b) for r in ngram_join._between_groups(postings, groups, 75).collect()} == {(1, 2)}
@@ -557,7 +613,13 @@ def test_ngram_link_into_a_group_of_uneven_bounds(spark):
 
 def test_language_id_learns_every_language(spark):
     letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzab", "cegi", "dfhj", "klqz", "muxy"]
-    rows = [(100 * k + i, " ".join("".join(np.random.default_rng(100 * k + i).choice(list(x), (12, 5))[j]) for j in range(12)), f"l{k:02d}") for k, x in enumerate(letters) for i in range(12 - k // 2)]
+    rows = [
+        (
+            100 * k + i, " ".join("".join(np.random.default_rng(100 * k + i).choice(list(x), (12, 5))[j]) for j in range(12)),
+            f"l{k:02d}"
+        ) for k,
+        x in enumerate(letters) for i in range(12 - k // 2)
+    ]
     out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     want = {i: lang for i, _, lang in rows}
     assert len(out) == len(rows) and all(r.lang_pred == want[r.doc_id] and 0 < r.score <= 1 for r in out)
@@ -566,7 +628,13 @@ def test_language_id_learns_every_language(spark):
 def test_html_keeps_every_part_of_the_article():
     s = "A long sentence, with commas, and more of it. "
     one, two = (s * 13).strip(), (s * 7).strip()
-    for page in (f"<body><div><p>{one}</p></div><div><p>{two}</p></div></body>", f"<main><article><p>{one}</p></article><section><p>{two}</p></section></main>", f"<div class='has-sidebar nav-open'><p>{one}</p><p>{two}</p></div>", f"<article class='post has-comments'><p>{one}</p><p>{two}</p></article>", f"<div class='widget'><p>{one}</p><p>{two}</p></div>"):
+    for page in (
+        f"<body><div><p>{one}</p></div><div><p>{two}</p></div></body>",
+        f"<main><article><p>{one}</p></article><section><p>{two}</p></section></main>",
+        f"<div class='has-sidebar nav-open'><p>{one}</p><p>{two}</p></div>",
+        f"<article class='post has-comments'><p>{one}</p><p>{two}</p></article>",
+        f"<div class='widget'><p>{one}</p><p>{two}</p></div>"
+    ):
         assert html_extract.main_text(page) == one + "\n" + two
     assert html_extract.main_text(f"<body><div><p>{one}</p></div><div class='sidebar'><p>{two}</p></div></body>") == one
 
