@@ -20,7 +20,10 @@ def joined(folder: Column, path: Column) -> Column:
     full = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, F.lit("/"), path))
     parts = F.filter(F.split(full, "/"), lambda x: (x != "") & (x != "."))
     none = F.array().cast("array<string>")
-    kept = F.aggregate(parts, none, lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    kept = F.aggregate(
+        parts, none,
+        lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    )
     return F.array_join(kept, "/")
 
 

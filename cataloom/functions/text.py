@@ -28,7 +28,9 @@ def humanized(word: Column) -> Column:
 
 def self_qualifier(attribute: Column, target: Column) -> Column:
     """What is left of an attribute name in front of its target's name."""
-    stripped = F.when((target != "") & F.endswith(attribute, target), F.substring(attribute, F.lit(1), F.length(attribute) - F.length(target))).otherwise(attribute)
+    stripped = F.when(
+        (target != "") & F.endswith(attribute, target), F.substring(attribute, F.lit(1), F.length(attribute) - F.length(target))
+    ).otherwise(attribute)
     return F.when(humanized(stripped) != "", humanized(stripped)).otherwise(humanized(attribute))
 
 
@@ -38,7 +40,9 @@ def article(word: Column) -> Column:
 
 def listed(items: Column, last: str) -> Column:
     """``x, y or z``."""
-    return F.when(F.size(items) == 1, F.element_at(items, 1)).otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), F.size(items) - 1), ", "), F.lit(f" {last} "), F.element_at(items, -1)))
+    return F.when(F.size(items) == 1, F.element_at(items, 1)).otherwise(
+        F.concat(F.array_join(F.slice(items, F.lit(1), F.size(items) - 1), ", "), F.lit(f" {last} "), F.element_at(items, -1))
+    )
 
 
 def representative(names: Column, limit: int) -> Column:

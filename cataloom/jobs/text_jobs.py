@@ -33,12 +33,19 @@ def c3_identifier_helpers(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     camel = F.concat(F.lower(F.substring_index("p_name", " ", 1)), F.initcap(F.substring_index("p_name", " ", -1)))
     target = F.initcap(F.substring_index("p_name", " ", -1))
-    return p.select("p_partkey", T.humanized(camel).alias("humanized"), T.self_qualifier(camel, target).alias("qualifier"), T.article(F.col("p_name")).alias("article"), T.listed(F.array("p_brand", "p_type", "p_name"), "or").alias("listed"))
+    return p.select(
+        "p_partkey", T.humanized(camel).alias("humanized"), T.self_qualifier(camel, target).alias("qualifier"),
+        T.article(F.col("p_name")).alias("article"), T.listed(F.array("p_brand", "p_type", "p_name"), "or").alias("listed")
+    )
 
 
 def c4_representative(spark, sf_dir):
-    r = J.resolved(spark, sf_dir).withColumn("shown", F.when(F.col("pos") % 3 == 0, F.concat("name", F.lit("Base"))).otherwise(F.col("name")))
-    names = r.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]).alias("names"))
+    r = J.resolved(spark, sf_dir).withColumn(
+        "shown", F.when(F.col("pos") % 3 == 0, F.concat("name", F.lit("Base"))).otherwise(F.col("name"))
+    )
+    names = r.groupBy("entity_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]).alias("names")
+    )
     return names.select("entity_id", F.array_join(T.representative(F.col("names"), 3), ",").alias("names"))
 
 
@@ -59,7 +66,12 @@ def _details(spark, sf_dir):
     """Attribute details with the layers that declare or inherit each, in place of thousands of single entities."""
     fks = H.business_keys(J.resolved(spark, sf_dir)).withColumn("layer", F.substring_index("entity_id", "#", 1))
     flat = fks.select("name", "layer", "depth", "fk_name", F.explode("fk_targets").alias("t"))
-    out = flat.groupBy("name").agg(F.array_sort(F.collect_set("t.entity")).alias("targets"), F.array_sort(F.collect_set(F.when(F.col("depth") == 0, F.col("layer")))).alias("declared_by"), F.array_sort(F.collect_set(F.when(F.col("depth") > 0, F.col("layer")))).alias("inherited_by"), F.min("fk_name").alias("fk_name"))
+    out = flat.groupBy("name").agg(
+        F.array_sort(F.collect_set("t.entity")).alias("targets"),
+        F.array_sort(F.collect_set(F.when(F.col("depth") == 0, F.col("layer")))).alias("declared_by"),
+        F.array_sort(F.collect_set(F.when(F.col("depth") > 0, F.col("layer")))).alias("inherited_by"),
+        F.min("fk_name").alias("fk_name")
+    )
     return out.withColumn("is_polymorphic", F.size("targets") > 1)
 
 
@@ -70,30 +82,44 @@ def c8_attribute_chunks(spark, sf_dir):
 def c6_within_budget(spark, sf_dir):
     """Does each entity's text keep to its budget, and how many lines has it?"""
     told = c6_entity_chunks(spark, sf_dir)
-    return told.select("chunk_id", (T.estimated_tokens(F.col("text")) <= C.BUDGET).alias("fits"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    return told.select(
+        "chunk_id", (T.estimated_tokens(F.col("text")) <= C.BUDGET).alias("fits"),
+        F.size(F.split("text", "\n")).cast("long").alias("n_lines")
+    )
 
 
 def _index(spark, sf_dir):
     """Chunks of all three kinds, without those of infrastructure entities."""
     n = A.nodes(spark, sf_dir)
-    entities = C.entity_chunks(n, J.resolved(spark, sf_dir), H.chains(n), J.targets(spark, sf_dir)).withColumn("name", F.concat(F.lit("entity/"), F.regexp_extract("chunk_id", "^entity:([a-z]+)#", 1)))
+    entities = C.entity_chunks(n, J.resolved(spark, sf_dir), H.chains(n), J.targets(spark, sf_dir)).withColumn(
+        "name", F.concat(F.lit("entity/"), F.regexp_extract("chunk_id", "^entity:([a-z]+)#", 1))
+    )
     rel = C.relationship_chunks(A.edges(spark, sf_dir), n).withColumn("name", F.regexp_extract("chunk_id", "^rel:([a-z]+)#", 1))
     attributes = C.attribute_chunks(_details(spark, sf_dir)).withColumn("name", F.lit("attribute"))
     return entities.unionByName(rel).unionByName(attributes).where(~F.col("name").isin("entity/region"))
 
 
 def c9_index_input(spark, sf_dir):
-    return _index(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"), F.sum(F.when(F.startswith("name", F.lit("entity/")), 0).otherwise(F.length("text"))).alias("chars"))
+    return _index(spark, sf_dir).groupBy("name").agg(
+        F.count("*").alias("n"),
+        F.sum(F.when(F.startswith("name", F.lit("entity/")), 0).otherwise(F.length("text"))).alias("chars")
+    )
 
 
 def c10_index_metadata(spark, sf_dir):
     entry = lambda k: F.coalesce(F.col("metadata")[k], F.lit(""))
-    return _index(spark, sf_dir).select("chunk_id", F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"), entry("targets").alias("targets"), entry("attribute_count").alias("counts"), entry("parent_id").alias("parent_id"))
+    return _index(spark, sf_dir).select(
+        "chunk_id", F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"), entry("targets").alias("targets"),
+        entry("attribute_count").alias("counts"), entry("parent_id").alias("parent_id")
+    )
 
 
 def v1_embeddings(spark, sf_dir):
     v = table(spark, sf_dir, "documents").select("doc_id", V.embed(F.col("text")).alias("vector"))
-    return v.select("doc_id", F.size("vector").cast("long").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    return v.select(
+        "doc_id", F.size("vector").cast("long").alias("dimensions"),
+        F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm")
+    )
 
 
 def v2_over_length(spark, sf_dir):
@@ -102,7 +128,10 @@ def v2_over_length(spark, sf_dir):
 
 def _hits(spark, sf_dir, k):
     e = table(spark, sf_dir, "embeddings")
-    return V.top_k(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), k)
+    return V.top_k(
+        e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
+        e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), k
+    )
 
 
 def v3_top_k(spark, sf_dir):
@@ -111,7 +140,9 @@ def v3_top_k(spark, sf_dir):
 
 def v4_filtered_search(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    hits = _hits(spark, sf_dir, 15).join(e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("c_label")), "chunk_id").withColumn("text", F.col("chunk_id").cast("string"))
+    hits = _hits(spark, sf_dir, 15).join(
+        e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("c_label")), "chunk_id"
+    ).withColumn("text", F.col("chunk_id").cast("string"))
     q = e.select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("q_label"))
     blocked = hits.join(q, "query_id").where("c_label = q_label").select("query_id", "chunk_id")
     return V.filtered(hits, blocked, 5).select("query_id", "chunk_id", "rank")
@@ -142,33 +173,47 @@ class Questions:
         self.singles = self.routed.where("route = 'single'")
 
     def pairs(self) -> DataFrame:
-        p = self.routed.where("route = 'pair'").select(F.col("question_id").alias("pair_id"), F.col("first").alias("name_a"), F.col("second").alias("name_b"))
+        p = self.routed.where("route = 'pair'").select(
+            F.col("question_id").alias("pair_id"), F.col("first").alias("name_a"), F.col("second").alias("name_b")
+        )
         found, near = (materialize(x, "pair-facts") for x in (G.relations(p, self.targets), G.near_misses(p, self.targets)))
         notes = G.infrastructure_notes(p.select(F.explode(F.array("name_a", "name_b")).alias("name")), self.nodes, self.targets)
         wanted = found.select("edge_id").unionByName(near.select("edge_id")).distinct()
         edges = A.edges(self.spark, self.sf_dir).join(wanted, "edge_id", "left_semi")
-        sentences = C.relationship_chunks(edges, self.nodes, audit=True).select(F.regexp_replace("chunk_id", "^rel:", "").alias("edge_id"), "text")
+        sentences = C.relationship_chunks(edges, self.nodes, audit=True).select(
+            F.regexp_replace("chunk_id", "^rel:", "").alias("edge_id"), "text"
+        )
         told = sentences.join(edges.select("edge_id", F.col("from_name").alias("entity"), "attribute", "is_audit"), "edge_id")
         lost = p.join(found.select("pair_id").unionByName(near.select("pair_id")).distinct(), "pair_id", "left_anti")
-        return D.pair_items(self.routed, found, near, notes, told, G.path_labels(G.shortest_paths(lost, self.nodes, self.targets), self.nodes))
+        return D.pair_items(
+            self.routed, found, near, notes, told, G.path_labels(G.shortest_paths(lost, self.nodes, self.targets), self.nodes)
+        )
 
     def owners(self) -> DataFrame:
         """question_id, name, entity_id of questions about one entity."""
         asked = self.singles.select(F.col("question_id").alias("request_id"), F.col("first").alias("wanted"))
-        return G.find(asked, self.nodes, A.LAYERS).select(F.col("request_id").alias("question_id"), F.col("wanted").alias("name"), "entity_id")
+        return G.find(asked, self.nodes, A.LAYERS).select(
+            F.col("request_id").alias("question_id"), F.col("wanted").alias("name"), "entity_id"
+        )
 
     def single(self) -> DataFrame:
         owners = materialize(self.owners(), "owners")
         mine = owners.select("entity_id").distinct()
         attributes = J.resolved(self.spark, self.sf_dir).join(mine, "entity_id", "left_semi")
-        touched = self.targets.join(mine.withColumnRenamed("entity_id", "from_id"), "from_id", "left_semi").unionByName(self.targets.join(mine.withColumnRenamed("entity_id", "to_id"), "to_id", "left_semi")).distinct()
+        touched = self.targets.join(mine.withColumnRenamed("entity_id", "from_id"), "from_id", "left_semi").unionByName(
+            self.targets.join(mine.withColumnRenamed("entity_id", "to_id"), "to_id", "left_semi")
+        ).distinct()
         whole = self.targets.join(touched.select("edge_id").distinct(), "edge_id", "left_semi")
         lines = D.entity_lines(self.nodes, attributes, H.chains(self.nodes), whole).join(mine, "entity_id", "left_semi")
         return D.single_items(owners, lines)
 
     def attribute(self) -> DataFrame:
-        asked = self.routed.where("route = 'attribute'").select("question_id", F.col("first").alias("token")).join(_tokens(self.spark, self.sf_dir), "token").select("question_id", "name").distinct()
-        texts = C.attribute_chunks(_details(self.spark, self.sf_dir)).select(F.regexp_replace("chunk_id", "^attribute:", "").alias("name"), "text")
+        asked = self.routed.where("route = 'attribute'").select(
+            "question_id", F.col("first").alias("token")
+        ).join(_tokens(self.spark, self.sf_dir), "token").select("question_id", "name").distinct()
+        texts = C.attribute_chunks(_details(self.spark, self.sf_dir)).select(
+            F.regexp_replace("chunk_id", "^attribute:", "").alias("name"), "text"
+        )
         return D.attribute_items(asked, texts)
 
     def structural(self) -> DataFrame:
@@ -178,12 +223,21 @@ class Questions:
         """question_id, rank, text: the nearest passages of each question. Vectors stand for questions by their number; questions about
         one entity get more, of which those of the question's own label are left out."""
         e = table(self.spark, self.sf_dir, "embeddings")
-        asked = self.routed.select("question_id", "route", (F.regexp_extract("question_id", r"(\d+)", 1).cast("long") % VECTORS).alias("vec_id"))
+        asked = self.routed.select(
+            "question_id", "route", (F.regexp_extract("question_id", r"(\d+)", 1).cast("long") % VECTORS).alias("vec_id")
+        )
         used = e.join(asked.select("vec_id").distinct(), "vec_id", "left_semi")
-        near = V.top_k(used.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), K + OVERFETCH)
-        texts = table(self.spark, self.sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), T.short(F.col("text"), 48).alias("text")).where("text != ''")
+        near = V.top_k(
+            used.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
+            e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), K + OVERFETCH
+        )
+        texts = table(self.spark, self.sf_dir, "documents").where("text is not null").select(
+            F.col("doc_id").alias("chunk_id"), T.short(F.col("text"), 48).alias("text")
+        ).where("text != ''")
         labels = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("c_label"))
-        hits = near.join(texts, "chunk_id").join(labels, "chunk_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
+        hits = near.join(texts, "chunk_id").join(labels, "chunk_id").join(
+            e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id"
+        )
         mine = asked.join(hits.withColumnRenamed("query_id", "vec_id"), "vec_id").where((F.col("route") == "single") | (F.col("rank") <= K))
         blocked = mine.where("route = 'single' and c_label = q_label").select("question_id", "chunk_id")
         free = V.filtered(mine.withColumnRenamed("question_id", "query_id"), blocked.withColumnRenamed("question_id", "query_id"), K)
@@ -242,11 +296,17 @@ PHRASES = ("la la", "der die", "the and", "que de", "in")
 
 def e1_phrases(spark, sf_dir):
     a = A.answers(spark, sf_dir)
-    return a.select("number", "run_ts", E.first_phrase(F.col("answer"), PHRASES).alias("phrase"), F.size(E.mentioned(F.col("answer"), PHRASES)).cast("long").alias("n_mentioned"))
+    return a.select(
+        "number", "run_ts", E.first_phrase(F.col("answer"), PHRASES).alias("phrase"),
+        F.size(E.mentioned(F.col("answer"), PHRASES)).cast("long").alias("n_mentioned")
+    )
 
 
 def e2_context_items(spark, sf_dir):
-    e = A.edges(spark, sf_dir).select(F.col("from_id").alias("question_id"), F.create_map(F.lit("attribute"), F.col("attribute"), F.lit("audit"), F.col("is_audit").cast("string")).alias("metadata"))
+    e = A.edges(spark, sf_dir).select(
+        F.col("from_id").alias("question_id"),
+        F.create_map(F.lit("attribute"), F.col("attribute"), F.lit("audit"), F.col("is_audit").cast("string")).alias("metadata")
+    )
     return E.has_item(e, {"attribute": "party", "audit": "false"})
 
 
@@ -259,7 +319,9 @@ def e4_ground_truth(spark, sf_dir):
     t, n = J.targets(spark, sf_dir), A.nodes(spark, sf_dir)
     referring = t.select(F.lit("referring").alias("kind"), F.col("to_id").alias("key"), F.col("from_name").alias("member"))
     layers = n.select(F.lit("layer").alias("kind"), F.col("layer").alias("key"), F.col("name").alias("member"))
-    keys = H.business_keys(J.resolved(spark, sf_dir)).select(F.lit("targets").alias("kind"), F.col("name").alias("key"), F.explode("fk_targets.entity").alias("member"))
+    keys = H.business_keys(J.resolved(spark, sf_dir)).select(
+        F.lit("targets").alias("kind"), F.col("name").alias("key"), F.explode("fk_targets.entity").alias("member")
+    )
     return referring.unionByName(layers).unionByName(keys).distinct()
 
 
@@ -277,7 +339,9 @@ def e6_category_summary(spark, sf_dir):
 
 
 def e7_timing_table(spark, sf_dir):
-    t = table(spark, sf_dir, "events").select(F.col("user_id").alias("number"), F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    t = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("number"), F.col("event_type").alias("stage"), F.col("value").alias("seconds")
+    )
     return E.timing_table(t, ("click", "view", "error", "signup"), ("click_view", "click", "view"))
 
 
@@ -290,15 +354,21 @@ def e8_missing_numbers(spark, sf_dir):
 
 
 def t1_admission(spark, sf_dir):
-    return throttle.admitted(table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), "ts"), limit=2, window_seconds=24 * 3600)
+    return throttle.admitted(
+        table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), "ts"), limit=2, window_seconds=24 * 3600
+    )
 
 
 def t1_admission_stream(spark, sf_dir):
     """The events as a stream, run to its end into a table."""
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    run = throttle.admitted_stream(events, limit=2, window_seconds=24 * 3600).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*").select(
+        "event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    run = throttle.admitted_stream(
+        events, limit=2, window_seconds=24 * 3600
+    ).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(throttle.OUTPUT).parquet(f"{place}/out")
 
@@ -320,54 +390,104 @@ def _list(items: str, word: str) -> str:
 
 
 _ATTRIBUTE_TEXT = f"""'The attribute `'||name||'` is a '||CASE WHEN len(targets) > 1 THEN 'polymorphic ' ELSE '' END||'reference ('||array_to_string(list_filter([CASE WHEN dec IS NOT NULL THEN 'declared on '||{_list('dec', 'and')} END, CASE WHEN inh IS NOT NULL THEN 'inherited by '||{_list('inh', 'and')} END], lambda x: x IS NOT NULL), '; ')||') that '||CASE WHEN len(targets) > 1 THEN 'can point to: '||{_list('targets', 'or')} ELSE 'points to '||targets[1] END||'.'"""
-_REL = """rel AS (SELECT t.edge_id, t.attribute, split_part(t.edge_id, '::', 2) AS fk_name, f.label AS frm, bool_or(t.is_polymorphic) AS poly, list(g.label ORDER BY CASE WHEN t.to_id LIKE 'customer%' THEN 0 ELSE 1 END) AS tos FROM targets t JOIN labels_ f ON f.entity_id = t.from_id JOIN labels_ g ON g.entity_id = t.to_id WHERE NOT t.is_audit GROUP BY 1, 2, 3, 4),
-reltext AS (SELECT 'rel:'||edge_id AS chunk_id, CASE WHEN poly THEN frm||' has a many-to-one polymorphic relationship via attribute '||attribute||' (foreign key '||fk_name||'): '||attribute||' can refer to '||array_to_string(tos, ' or ')||'. Each '||frm||' record refers to one record of one of these types. Reverse: an '||array_to_string(tos, ' or ')||' can be referred to by many '||frm||' records.'
+_REL = """rel AS (SELECT t.edge_id, t.attribute, split_part(t.edge_id, '::', 2) AS fk_name, f.label AS frm, bool_or(t.is_polymorphic) AS poly,
+  list(g.label ORDER BY CASE WHEN t.to_id LIKE 'customer%' THEN 0 ELSE 1 END) AS tos FROM targets t JOIN labels_ f ON f.entity_id = t.from_id
+  JOIN labels_ g ON g.entity_id = t.to_id WHERE NOT t.is_audit GROUP BY 1, 2, 3, 4),
+reltext AS (SELECT 'rel:'||edge_id AS chunk_id, CASE
+  WHEN poly THEN frm||' has a many-to-one polymorphic relationship via attribute '||attribute||' (foreign key '||fk_name||'): '||attribute||' can refer to '||array_to_string(tos, ' or ')||'. Each '||frm||' record refers to one record of one of these types. Reverse: an '||array_to_string(tos, ' or ')||' can be referred to by many '||frm||' records.'
   ELSE frm||' has a many-to-one relationship to '||tos[1]||': each '||frm||' refers to one '||tos[1]||', via attribute '||attribute||' (foreign key '||fk_name||'). Reverse: an '||tos[1]||' can have many '||frm||' records.' END AS text FROM rel)"""
-_QUESTIONS = J.PAIRS + """, questions AS (SELECT 'p'||pair_id AS question_id, 'How does '||name_a||' relate to '||name_b||'?' AS question FROM pairs UNION ALL SELECT 's'||c_custkey, 'Which nation facts does E'||c_custkey||' have?' FROM customer
-  UNION ALL SELECT 'a'||n_nationkey, 'What can the nationkey attribute point to?' FROM nation UNION ALL SELECT 'v'||conv_id||'_'||turn, text FROM conversations WHERE role = 'user'),
-qwords AS (SELECT question_id, lower(w[i]) AS word, i FROM (SELECT question_id, regexp_extract_all(question, '[\\pL\\pN_\\pM]+') AS w FROM questions), unnest(range(1, len(w) + 1)) AS r(i)),
-ment AS (SELECT question_id, name, row_number() OVER (PARTITION BY question_id ORDER BY min(i), name) AS rank FROM qwords JOIN (SELECT DISTINCT name FROM nodes) ON lower(name) = word GROUP BY question_id, name)"""
-_ROUTES = """tk AS (SELECT DISTINCT token FROM (SELECT name AS token FROM det UNION SELECT fk_name FROM det)), tm AS (SELECT question_id, count(DISTINCT token) AS m, arg_min(token, i) AS t1 FROM qwords JOIN tk ON lower(token) = word GROUP BY 1),
-routes AS (SELECT question_id, CASE WHEN n >= 2 THEN 'pair' WHEN n = 1 THEN 'single' WHEN m = 1 THEN 'attribute' ELSE 'vector' END AS route, CASE WHEN n >= 1 THEN e1 WHEN m = 1 THEN t1 END AS first, CASE WHEN n >= 2 THEN e2 END AS second
-  FROM questions LEFT JOIN (SELECT question_id, count(*) AS n, max(name) FILTER (rank = 1) AS e1, max(name) FILTER (rank = 2) AS e2 FROM ment GROUP BY 1) USING (question_id) LEFT JOIN tm USING (question_id))"""
+_QUESTIONS = J.PAIRS + """, questions AS (SELECT 'p'||pair_id AS question_id, 'How does '||name_a||' relate to '||name_b||'?' AS question FROM pairs
+  UNION ALL SELECT 's'||c_custkey, 'Which nation facts does E'||c_custkey||' have?' FROM customer
+  UNION ALL SELECT 'a'||n_nationkey, 'What can the nationkey attribute point to?' FROM nation UNION ALL SELECT 'v'||conv_id||'_'||turn, text
+  FROM conversations WHERE role = 'user'),
+qwords AS (SELECT question_id, lower(w[i]) AS word, i FROM (SELECT question_id, regexp_extract_all(question, '[\\pL\\pN_\\pM]+') AS w FROM questions),
+  unnest(range(1, len(w) + 1)) AS r(i)),
+ment AS (SELECT question_id, name, row_number() OVER (PARTITION BY question_id ORDER BY min(i), name) AS rank FROM qwords JOIN (SELECT DISTINCT name
+  FROM nodes) ON lower(name) = word GROUP BY question_id, name)"""
+_ROUTES = """tk AS (SELECT DISTINCT token FROM (SELECT name AS token FROM det UNION SELECT fk_name FROM det)), tm AS (SELECT question_id,
+  count(DISTINCT token) AS m, arg_min(token, i) AS t1 FROM qwords JOIN tk ON lower(token) = word GROUP BY 1),
+routes AS (SELECT question_id, CASE WHEN n >= 2 THEN 'pair' WHEN n = 1 THEN 'single' WHEN m = 1 THEN 'attribute' ELSE 'vector' END AS route, CASE
+  WHEN n >= 1 THEN e1 WHEN m = 1 THEN t1 END AS first, CASE WHEN n >= 2 THEN e2 END AS second
+  FROM questions LEFT JOIN (SELECT question_id, count(*) AS n, max(name) FILTER (rank = 1) AS e1, max(name) FILTER (rank = 2) AS e2 FROM ment
+  GROUP BY 1) USING (question_id) LEFT JOIN tm USING (question_id))"""
 _ITEM = "name||' ('||CASE WHEN fk_name IS NOT NULL THEN 'reference to '||replace(fk_targets, ',', '/') ELSE data_type END||')'||CASE WHEN description IS NOT NULL THEN ': '||description ELSE '' END"
-_LINES = f"""disp AS (SELECT entity_id, name||' ('||layer||')' AS shown FROM nodes), cn AS (SELECT n.entity_id, count(r.name) FILTER (origin = 'own') AS own, count(r.name) FILTER (origin = 'inherited') AS inh FROM nodes n LEFT JOIN resolved r USING (entity_id) GROUP BY 1),
-passed AS (SELECT r.*, d.shown AS base, min(pos) OVER (PARTITION BY r.entity_id, d.shown) AS first FROM resolved r JOIN disp d ON d.entity_id = r.declared_in WHERE origin = 'inherited'),
-links AS (SELECT from_id AS entity_id, 'out/'||edge_id AS pos, '- (outgoing) refers to '||string_agg(DISTINCT d.shown, ', ' ORDER BY d.shown)||' via attribute '||attribute||' (foreign key '||split_part(edge_id, '::', 2)||')'||CASE WHEN bool_or(is_polymorphic) THEN ' (polymorphic: any one of these)' ELSE '' END AS line FROM targets t JOIN disp d ON d.entity_id = t.to_id WHERE NOT is_audit GROUP BY edge_id, from_id, attribute
-  UNION ALL SELECT to_id, 'in/'||edge_id, '- (incoming) is referred to by '||any_value(d.shown)||' via attribute '||attribute||' (foreign key '||split_part(edge_id, '::', 2)||')'||CASE WHEN bool_or(is_polymorphic) THEN ' (polymorphic: any one of these)' ELSE '' END FROM targets t JOIN disp d ON d.entity_id = t.from_id WHERE NOT is_audit GROUP BY edge_id, to_id, attribute),
+_LINES = f"""disp AS (SELECT entity_id, name||' ('||layer||')' AS shown FROM nodes), cn AS (SELECT n.entity_id,
+  count(r.name) FILTER (origin = 'own') AS own, count(r.name) FILTER (origin = 'inherited') AS inh FROM nodes n LEFT JOIN resolved r USING (entity_id)
+  GROUP BY 1),
+passed AS (SELECT r.*, d.shown AS base, min(pos) OVER (PARTITION BY r.entity_id, d.shown) AS first FROM resolved r
+  JOIN disp d ON d.entity_id = r.declared_in WHERE origin = 'inherited'),
+links AS (SELECT from_id AS entity_id, 'out/'||edge_id AS pos, '- (outgoing) refers to '||string_agg(DISTINCT d.shown, ', '
+  ORDER BY d.shown)||' via attribute '||attribute||' (foreign key '||split_part(edge_id, '::', 2)||')'||CASE
+  WHEN bool_or(is_polymorphic) THEN ' (polymorphic: any one of these)' ELSE '' END AS line FROM targets t JOIN disp d ON d.entity_id = t.to_id
+  WHERE NOT is_audit GROUP BY edge_id, from_id, attribute
+  UNION ALL SELECT to_id, 'in/'||edge_id,
+  '- (incoming) is referred to by '||any_value(d.shown)||' via attribute '||attribute||' (foreign key '||split_part(edge_id, '::', 2)||')'||CASE
+  WHEN bool_or(is_polymorphic) THEN ' (polymorphic: any one of these)' ELSE '' END FROM targets t JOIN disp d ON d.entity_id = t.from_id
+  WHERE NOT is_audit GROUP BY edge_id, to_id, attribute),
 nl AS (SELECT n.entity_id, count(l.pos) AS n FROM nodes n LEFT JOIN links l USING (entity_id) GROUP BY 1),
-lines AS (SELECT entity_id, 0 AS section, '' AS pos, name||' ('||layer||'), a '||layer||'-layer entity.' AS line FROM nodes UNION ALL SELECT entity_id, 1, '', replace(entity_id, '#', ' ') FROM nodes
-  UNION ALL SELECT n.entity_id, 2, '', 'Note: '||n.name||' also exists in other layers: '||string_agg(d.shown, ', ' ORDER BY d.shown)||'.' FROM nodes n JOIN nodes m ON m.name = n.name AND m.entity_id <> n.entity_id JOIN disp d ON d.entity_id = m.entity_id GROUP BY n.entity_id, n.name
-  UNION ALL SELECT n.entity_id, 3, '', 'Full parent chain (immediate ancestor first): '||coalesce((SELECT string_agg(d.shown, ' -> ' ORDER BY c.depth) FROM chain c JOIN disp d ON d.entity_id = c.ancestor_id WHERE c.entity_id = n.entity_id AND c.depth > 0), '(none)')||'.' FROM nodes n
-  UNION ALL SELECT entity_id, 4, '', CASE WHEN own > 0 THEN 'Own attributes, full list ('||own||'):' ELSE 'Own attributes: none.' END FROM cn UNION ALL SELECT entity_id, 4, lpad(CAST(pos AS VARCHAR), 9, '0'), '- '||{_ITEM} FROM resolved WHERE origin = 'own'
-  UNION ALL SELECT entity_id, 5, '', CASE WHEN inh > 0 THEN 'Inherited attributes, full list by ancestor ('||inh||' total):' ELSE 'Inherited attributes: none.' END FROM cn UNION ALL SELECT entity_id, 5, lpad(CAST(first AS VARCHAR), 9, '0'), '- from '||base||' ('||count(*)||'):' FROM passed GROUP BY entity_id, base, first
+lines AS (SELECT entity_id, 0 AS section, '' AS pos, name||' ('||layer||'), a '||layer||'-layer entity.' AS line FROM nodes UNION ALL
+  SELECT entity_id, 1, '', replace(entity_id, '#', ' ') FROM nodes
+  UNION ALL SELECT n.entity_id, 2, '', 'Note: '||n.name||' also exists in other layers: '||string_agg(d.shown, ', ' ORDER BY d.shown)||'.'
+  FROM nodes n JOIN nodes m ON m.name = n.name AND m.entity_id <> n.entity_id JOIN disp d ON d.entity_id = m.entity_id GROUP BY n.entity_id, n.name
+  UNION ALL SELECT n.entity_id, 3, '', 'Full parent chain (immediate ancestor first): '||coalesce((SELECT string_agg(d.shown, ' -> ' ORDER BY c.depth)
+  FROM chain c JOIN disp d ON d.entity_id = c.ancestor_id WHERE c.entity_id = n.entity_id AND c.depth > 0), '(none)')||'.' FROM nodes n
+  UNION ALL SELECT entity_id, 4, '', CASE WHEN own > 0 THEN 'Own attributes, full list ('||own||'):' ELSE 'Own attributes: none.' END FROM cn
+  UNION ALL SELECT entity_id, 4, lpad(CAST(pos AS VARCHAR), 9, '0'), '- '||{_ITEM} FROM resolved WHERE origin = 'own'
+  UNION ALL SELECT entity_id, 5, '', CASE WHEN inh > 0 THEN 'Inherited attributes, full list by ancestor ('||inh||' total):'
+  ELSE 'Inherited attributes: none.' END FROM cn UNION ALL SELECT entity_id, 5, lpad(CAST(first AS VARCHAR), 9, '0'),
+  '- from '||base||' ('||count(*)||'):' FROM passed GROUP BY entity_id, base, first
   UNION ALL SELECT entity_id, 5, lpad(CAST(first AS VARCHAR), 9, '0')||'/'||lpad(CAST(pos AS VARCHAR), 9, '0'), '  - '||{_ITEM} FROM passed
-  UNION ALL SELECT entity_id, 6, '', 'Standard audit fields ('||count(*)||'): '||string_agg(name, ', ' ORDER BY pos)||'.' FROM resolved WHERE origin = 'standard' GROUP BY 1
-  UNION ALL SELECT entity_id, 7, '', CASE WHEN n > 0 THEN 'Relationships, non-audit, both directions ('||n||'):' ELSE 'Relationships: none.' END FROM nl UNION ALL SELECT entity_id, 7, pos, line FROM links)"""
+  UNION ALL SELECT entity_id, 6, '', 'Standard audit fields ('||count(*)||'): '||string_agg(name, ', ' ORDER BY pos)||'.' FROM resolved
+  WHERE origin = 'standard' GROUP BY 1
+  UNION ALL SELECT entity_id, 7, '', CASE WHEN n > 0 THEN 'Relationships, non-audit, both directions ('||n||'):' ELSE 'Relationships: none.' END
+  FROM nl UNION ALL SELECT entity_id, 7, pos, line FROM links)"""
 _PAIR_ITEMS = """pr AS (SELECT question_id AS pair_id, first AS name_a, second AS name_b FROM routes WHERE route = 'pair'),
-dir AS (SELECT DISTINCT pair_id, edge_id FROM pr JOIN targets ON (name_a = from_name AND name_b = to_name) OR (name_b = from_name AND name_a = to_name)),
-op AS (SELECT * FROM pr WHERE pair_id NOT IN (SELECT pair_id FROM dir)), party AS (SELECT DISTINCT to_name FROM targets WHERE is_polymorphic), bt AS (SELECT t.*, to_name IN (SELECT to_name FROM party) AS party FROM targets t WHERE NOT is_audit),
-ms AS (SELECT pair_id, 1 AS section, edge_id, attribute, name_b AS missing, to_name, party FROM op JOIN bt ON name_a = from_name UNION ALL SELECT pair_id, 2, b.edge_id, b.attribute, name_a, b.to_name, b.party FROM (SELECT DISTINCT pair_id, name_a, edge_id FROM op JOIN bt ON name_b = to_name) i JOIN bt b USING (edge_id)),
-mg AS (SELECT pair_id, section, edge_id, bool_or(contains(lower(attribute), lower(missing)) OR contains(lower(to_name), lower(missing))) AS lexical, bool_or(party) AS structural FROM ms GROUP BY 1, 2, 3),
-mr AS (SELECT *, row_number() OVER (PARTITION BY pair_id, section ORDER BY lexical DESC, structural DESC, edge_id) AS rank FROM mg WHERE lexical OR structural QUALIFY rank <= 5),
+dir AS (SELECT DISTINCT pair_id, edge_id FROM pr JOIN targets ON (name_a = from_name AND name_b = to_name) OR (name_b = from_name
+  AND name_a = to_name)),
+op AS (SELECT * FROM pr WHERE pair_id NOT IN (SELECT pair_id FROM dir)), party AS (SELECT DISTINCT to_name FROM targets WHERE is_polymorphic),
+  bt AS (SELECT t.*, to_name IN (SELECT to_name FROM party) AS party FROM targets t WHERE NOT is_audit),
+ms AS (SELECT pair_id, 1 AS section, edge_id, attribute, name_b AS missing, to_name, party FROM op JOIN bt ON name_a = from_name UNION ALL
+  SELECT pair_id, 2, b.edge_id, b.attribute, name_a, b.to_name, b.party FROM (SELECT DISTINCT pair_id, name_a, edge_id FROM op
+  JOIN bt ON name_b = to_name) i JOIN bt b USING (edge_id)),
+mg AS (SELECT pair_id, section, edge_id, bool_or(contains(lower(attribute), lower(missing)) OR contains(lower(to_name), lower(missing))) AS lexical,
+  bool_or(party) AS structural FROM ms GROUP BY 1, 2, 3),
+mr AS (SELECT *, row_number() OVER (PARTITION BY pair_id, section ORDER BY lexical DESC, structural DESC, edge_id) AS rank FROM mg WHERE lexical
+  OR structural QUALIFY rank <= 5),
 told AS (SELECT DISTINCT t.edge_id, x.text, t.from_name AS entity, t.attribute FROM targets t JOIN reltext x ON x.chunk_id = 'rel:'||t.edge_id),
-pair_items AS (SELECT pair_id AS question_id, 0 AS section, edge_id AS ord, text, 'relationship' AS chunk_type, 'direct_edge' AS source, entity, attribute, false AS is_audit FROM dir JOIN told USING (edge_id)
-  UNION ALL SELECT pair_id, section, lpad(CAST(rank AS VARCHAR), 3, '0'), text, 'relationship', 'near_miss', entity, attribute, false FROM mr JOIN told USING (edge_id))"""
+pair_items AS (SELECT pair_id AS question_id, 0 AS section, edge_id AS ord, text, 'relationship' AS chunk_type, 'direct_edge' AS source, entity,
+  attribute, false AS is_audit FROM dir JOIN told USING (edge_id)
+  UNION ALL SELECT pair_id, section, lpad(CAST(rank AS VARCHAR), 3, '0'), text, 'relationship', 'near_miss', entity, attribute, false FROM mr
+  JOIN told USING (edge_id))"""
 _PASSAGES = r"""vq AS (SELECT question_id, route, CAST(regexp_extract(question_id, '(\d+)', 1) AS BIGINT) % 500 AS vec_id FROM routes),
-vh AS (SELECT q.vec_id, c.vec_id AS chunk_id, q.label AS ql, c.label AS cl, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9), c.vec_id) AS r FROM embeddings q, embeddings c WHERE q.vec_id IN (SELECT vec_id FROM vq) QUALIFY r <= 15),
-sf AS (SELECT doc_id, regexp_extract(trim(text), '(?s)^(.*?[.!?])\s', 1) AS a, trim(text) AS t FROM documents WHERE text IS NOT NULL), sg AS (SELECT doc_id, CASE WHEN a = '' THEN t ELSE a END AS s FROM sf), sh AS (SELECT doc_id, s, left(s, 48) AS c FROM sg),
-passage AS (SELECT doc_id AS chunk_id, CASE WHEN length(s) <= 48 THEN s ELSE regexp_replace(CASE WHEN contains(c, ' ') THEN regexp_replace(c, '(?s) [^ ]*$', '') ELSE c END, '[,;:]+$', '')||'…' END AS text FROM sh WHERE s <> ''),
-vm AS (SELECT question_id, text, min(r) AS r FROM vq JOIN vh USING (vec_id) JOIN passage USING (chunk_id) WHERE CASE WHEN route = 'single' THEN ql <> cl ELSE r <= 5 END GROUP BY 1, 2),
-found AS (SELECT question_id, text, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank FROM vm QUALIFY rank <= 5)""".replace("\\\\", "\\")
+vh AS (SELECT q.vec_id, c.vec_id AS chunk_id, q.label AS ql, c.label AS cl, row_number() OVER (PARTITION BY q.vec_id
+  ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9), c.vec_id) AS r FROM embeddings q, embeddings c
+  WHERE q.vec_id IN (SELECT vec_id FROM vq) QUALIFY r <= 15),
+sf AS (SELECT doc_id, regexp_extract(trim(text), '(?s)^(.*?[.!?])\s', 1) AS a, trim(text) AS t FROM documents WHERE text IS NOT NULL),
+  sg AS (SELECT doc_id, CASE WHEN a = '' THEN t ELSE a END AS s FROM sf), sh AS (SELECT doc_id, s, left(s, 48) AS c FROM sg),
+passage AS (SELECT doc_id AS chunk_id, CASE WHEN length(s) <= 48 THEN s ELSE regexp_replace(CASE WHEN contains(c, ' ') THEN regexp_replace(c,
+  '(?s) [^ ]*$', '') ELSE c END, '[,;:]+$', '')||'…' END AS text FROM sh WHERE s <> ''),
+vm AS (SELECT question_id, text, min(r) AS r FROM vq JOIN vh USING (vec_id) JOIN passage USING (chunk_id) WHERE CASE
+  WHEN route = 'single' THEN ql <> cl ELSE r <= 5 END GROUP BY 1, 2),
+found AS (SELECT question_id, text, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank FROM vm QUALIFY rank <= 5)""".replace("\\\\",
+  "\\")
 _CONTEXT = J.RESOLVED + ", " + J.TARGETS + f""", {_LABELS}, {_REL}, {_DET}, {_QUESTIONS}, {_ROUTES}, {_LINES}, {_PAIR_ITEMS}, {_PASSAGES},
-own AS (SELECT question_id, r.first AS name, entity_id FROM routes r JOIN nodes n ON n.name = r.first WHERE route = 'single' QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY list_position(['orders','customer','supplier','part','nation','region'], layer), entity_id) = 1),
-texts AS (SELECT entity_id, string_agg(line, E'\\n' ORDER BY section, pos, line) AS text FROM lines WHERE entity_id IN (SELECT entity_id FROM own) GROUP BY 1),
-attribute_items AS (SELECT question_id, 0 AS section, '' AS ord, {_ATTRIBUTE_TEXT} AS text, 'attribute' AS chunk_type, 'attribute_lookup' AS source, CAST(NULL AS VARCHAR) AS entity, name AS attribute, CAST(NULL AS BOOLEAN) AS is_audit FROM (SELECT DISTINCT r.question_id, d.* FROM routes r JOIN det d ON r.first IN (d.name, d.fk_name) WHERE route = 'attribute')),
-structural AS (SELECT * FROM pair_items UNION ALL SELECT question_id, 0, '', text, 'entity_detail', 'entity_lookup', name, NULL, NULL FROM own JOIN texts USING (entity_id) UNION ALL SELECT * FROM attribute_items),
+own AS (SELECT question_id, r.first AS name, entity_id FROM routes r JOIN nodes n ON n.name = r.first WHERE route = 'single'
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY list_position(['orders','customer','supplier','part','nation','region'], layer),
+  entity_id) = 1),
+texts AS (SELECT entity_id, string_agg(line, E'\\n' ORDER BY section, pos, line) AS text FROM lines WHERE entity_id IN (SELECT entity_id FROM own)
+  GROUP BY 1),
+attribute_items AS (SELECT question_id, 0 AS section, '' AS ord, {_ATTRIBUTE_TEXT} AS text, 'attribute' AS chunk_type, 'attribute_lookup' AS source,
+  CAST(NULL AS VARCHAR) AS entity, name AS attribute, CAST(NULL AS BOOLEAN) AS is_audit FROM (SELECT DISTINCT r.question_id, d.* FROM routes r
+  JOIN det d ON r.first IN (d.name, d.fk_name) WHERE route = 'attribute')),
+structural AS (SELECT * FROM pair_items UNION ALL SELECT question_id, 0, '', text, 'entity_detail', 'entity_lookup', name, NULL, NULL FROM own
+  JOIN texts USING (entity_id) UNION ALL SELECT * FROM attribute_items),
 allitems AS (SELECT question_id, 1 AS part, section, ord, text, chunk_type, source, entity, attribute, is_audit FROM structural
   UNION ALL SELECT question_id, 3, 0, lpad(CAST(rank AS VARCHAR), 6, '0'), text, 'passage', 'vector_search', NULL, NULL, NULL FROM found
-  UNION ALL SELECT question_id, 0, 0, '', CASE route WHEN 'pair' THEN 'Facts about '||first||' and '||second||' from the graph:' WHEN 'single' THEN 'Full record of '||first||' from the graph:' ELSE 'Facts about the attribute '||first||' from the graph:' END, 'section_header', 'section_header', NULL, NULL, NULL FROM routes WHERE question_id IN (SELECT question_id FROM structural)
-  UNION ALL SELECT DISTINCT question_id, 2, 0, '', 'Further passages from search:', 'section_header', 'section_header', NULL, NULL, NULL FROM found WHERE question_id IN (SELECT question_id FROM structural)),
+  UNION ALL SELECT question_id, 0, 0, '', CASE route WHEN 'pair' THEN 'Facts about '||first||' and '||second||' from the graph:'
+  WHEN 'single' THEN 'Full record of '||first||' from the graph:' ELSE 'Facts about the attribute '||first||' from the graph:' END, 'section_header',
+  'section_header', NULL, NULL, NULL FROM routes WHERE question_id IN (SELECT question_id FROM structural)
+  UNION ALL SELECT DISTINCT question_id, 2, 0, '', 'Further passages from search:', 'section_header', 'section_header', NULL, NULL, NULL FROM found
+  WHERE question_id IN (SELECT question_id FROM structural)),
 context AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY part, section, ord, text) AS pos FROM allitems)"""
 _LAST = "last AS (SELECT conv_id AS number, 'cat'||conv_id % 9 AS category, text AS answer, conv_id % 4 = 3 AS manual, turn AS run_ts FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)"
 _CUT = "CASE WHEN coalesce(trim(answer, E' \\t\\n\\r'), '') = '' THEN 'empty' WHEN lower(list_extract(regexp_extract_all(core, '[A-Za-z'']+'), -1)) IN (" + ", ".join(f"'{w}'" for w in E.DANGLING) + ") THEN 'dangling' WHEN NOT contains('.!?)]}\"''|', right(core, 1)) THEN 'open' END"
@@ -375,20 +495,30 @@ _JUDGED = _LAST + f", judged AS (SELECT *, CASE WHEN NOT manual THEN ({_CUT}) IS
 
 ORACLE_SQL = {
     "c1_token_estimates": f"{_W}{_TOKENS} SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens FROM tok",
-    "c2_short_texts": r"""WITH f AS (SELECT doc_id, regexp_extract(trim(text), '(?s)^(.*?[.!?])\s', 1) AS a, trim(text) AS t FROM documents), g AS (SELECT doc_id, CASE WHEN a = '' THEN t ELSE a END AS s FROM f), h AS (SELECT doc_id, s, left(s, 48) AS c FROM g)
-      SELECT doc_id, CASE WHEN length(s) <= 48 THEN s ELSE regexp_replace(CASE WHEN contains(c, ' ') THEN regexp_replace(c, '(?s) [^ ]*$', '') ELSE c END, '[,;:]+$', '')||'…' END AS short FROM h""",
+    "c2_short_texts": r"""WITH f AS (SELECT doc_id, regexp_extract(trim(text), '(?s)^(.*?[.!?])\s', 1) AS a, trim(text) AS t FROM documents),
+    g AS (SELECT doc_id, CASE WHEN a = '' THEN t ELSE a END AS s FROM f), h AS (SELECT doc_id, s, left(s, 48) AS c FROM g)
+      SELECT doc_id, CASE WHEN length(s) <= 48 THEN s ELSE regexp_replace(CASE WHEN contains(c, ' ') THEN regexp_replace(c, '(?s) [^ ]*$', '')
+      ELSE c END, '[,;:]+$', '')||'…' END AS short FROM h""",
     "c3_identifier_helpers": "SELECT p_partkey, lower(split_part(p_name, ' ', 1)||' '||split_part(p_name, ' ', 2)) AS humanized, lower(split_part(p_name, ' ', 1)) AS qualifier, CASE WHEN left(lower(p_name), 1) IN ('a','e','i','o','u') THEN 'an' ELSE 'a' END AS article, p_brand||', '||p_type||' or '||p_name AS listed FROM part",
     "c4_representative": f"{_W}{J.RESOLVED}, u AS (SELECT entity_id, name, pos, pos % 3 = 0 AS shadow, min(CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id) AS lone FROM resolved), v AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS r FROM u WHERE NOT shadow OR lone = 1) SELECT entity_id, string_agg(name||CASE WHEN shadow THEN 'Base' ELSE '' END, ',' ORDER BY pos) AS names FROM v WHERE r <= 3 GROUP BY 1",
     "c5_labels": f"{_W}{J.NODES}, {_LABELS} SELECT entity_id, label FROM labels_",
     "c7_relationship_chunks": f"{_W}{J.NODES}, {J.TARGETS}, {_LABELS}, {_REL} SELECT * FROM reltext",
     "c8_attribute_chunks": f"{_W}{J.RESOLVED}, {_DET} SELECT 'attribute:'||name AS chunk_id, {_ATTRIBUTE_TEXT} AS text FROM det",
-    "c6_within_budget": f"""{_W}{J.RESOLVED}, {J.TARGETS} SELECT 'entity:'||entity_id AS chunk_id, true AS fits, 3 + count(*) FILTER (origin = 'inherited' AND r = 1) + count(*) FILTER (origin = 'standard' AND r = 1) + any_value(CASE WHEN entity_id IN (SELECT from_id FROM targets WHERE NOT is_audit) THEN 1 ELSE 0 END) AS n_lines
-      FROM nodes LEFT JOIN (SELECT entity_id, origin, row_number() OVER (PARTITION BY entity_id, origin) AS r FROM resolved) USING (entity_id) GROUP BY entity_id""",
+    "c6_within_budget": f"""{_W}{J.RESOLVED}, {J.TARGETS} SELECT 'entity:'||entity_id AS chunk_id, true AS fits,
+    3 + count(*) FILTER (origin = 'inherited' AND r = 1) + count(*) FILTER (origin = 'standard' AND r = 1) + any_value(CASE
+    WHEN entity_id IN (SELECT from_id FROM targets WHERE NOT is_audit) THEN 1 ELSE 0 END) AS n_lines
+      FROM nodes LEFT JOIN (SELECT entity_id, origin, row_number() OVER (PARTITION BY entity_id, origin) AS r FROM resolved) USING (entity_id)
+      GROUP BY entity_id""",
     "c9_index_input": f"{_W}{J.RESOLVED}, {J.TARGETS}, {_LABELS}, {_REL}, {_DET} SELECT name, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT split_part(substr(chunk_id, 5), '#', 1) AS name, text FROM reltext UNION ALL SELECT 'attribute', {_ATTRIBUTE_TEXT} FROM det UNION ALL SELECT 'entity/'||layer, '' FROM nodes WHERE layer <> 'region') GROUP BY 1",
-    "c10_index_metadata": f"""{_W}{J.RESOLVED}, {J.TARGETS}, {_DET}, cnt AS (SELECT entity_id, count(*) FILTER (origin = 'own') AS own, count(*) FILTER (origin = 'inherited') AS inherited, count(*) FILTER (origin = 'standard') AS standard, count(*) AS total FROM resolved GROUP BY 1)
-      SELECT 'rel:'||edge_id AS chunk_id, 'attribute,chunk_type,fk_name,from_id,is_audit,targets' AS keys, string_agg(to_id, ',' ORDER BY CASE WHEN to_id LIKE 'customer%' THEN 0 ELSE 1 END) AS targets, '' AS counts, '' AS parent_id FROM targets WHERE NOT is_audit GROUP BY 1
+    "c10_index_metadata": f"""{_W}{J.RESOLVED}, {J.TARGETS}, {_DET}, cnt AS (SELECT entity_id, count(*) FILTER (origin = 'own') AS own,
+    count(*) FILTER (origin = 'inherited') AS inherited, count(*) FILTER (origin = 'standard') AS standard, count(*) AS total FROM resolved
+    GROUP BY 1)
+      SELECT 'rel:'||edge_id AS chunk_id, 'attribute,chunk_type,fk_name,from_id,is_audit,targets' AS keys, string_agg(to_id, ',' ORDER BY CASE
+      WHEN to_id LIKE 'customer%' THEN 0 ELSE 1 END) AS targets, '' AS counts, '' AS parent_id FROM targets WHERE NOT is_audit GROUP BY 1
       UNION ALL SELECT 'attribute:'||name, 'attribute,chunk_type,fk_name,targets', array_to_string(targets, ','), '', '' FROM det
-      UNION ALL SELECT 'entity:'||entity_id, 'attribute_count,chunk_type,document,entity_id,layer,name'||CASE WHEN parent_id IS NOT NULL THEN ',parent_id' ELSE '' END, '', printf('{{"own":%d,"inherited":%d,"standard":%d,"total":%d}}', own, inherited, standard, total), coalesce(parent_id, '') FROM nodes JOIN cnt USING (entity_id) WHERE layer <> 'region'""",
+      UNION ALL SELECT 'entity:'||entity_id, 'attribute_count,chunk_type,document,entity_id,layer,name'||CASE
+      WHEN parent_id IS NOT NULL THEN ',parent_id' ELSE '' END, '', printf('{{"own":%d,"inherited":%d,"standard":%d,"total":%d}}', own, inherited,
+      standard, total), coalesce(parent_id, '') FROM nodes JOIN cnt USING (entity_id) WHERE layer <> 'region'""",
     "v1_embeddings": "SELECT doc_id, 64 AS dimensions, CASE WHEN regexp_matches(text, '\\S') THEN 1.0 ELSE 0.0 END AS norm FROM documents",
     "v2_over_length": f"{_W}{_TOKENS} SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens FROM tok WHERE n_tokens > 512",
     "v3_top_k": "SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9), c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5",
@@ -400,8 +530,10 @@ ORACLE_SQL = {
     "d5_attribute_context": f"{_W}{_CONTEXT} SELECT question_id, text, source, attribute FROM attribute_items",
     "d6_layer_collisions": f"{_W}{J.RESOLVED}, {_DET}, {_QUESTIONS}, {_ROUTES} SELECT question_id, 'nation' AS word, 'nation' AS layer FROM routes WHERE route = 'single' AND question_id LIKE 's%'",
     "d7_contexts": f"{_W}{_CONTEXT} SELECT question_id, pos, text, chunk_type, source FROM context",
-    "d8_prompts": f"""{_W}{_CONTEXT}, block AS (SELECT question_id, string_agg('['||pos||'] ('||chunk_type||') '||text, E'\\n\\n' ORDER BY pos) AS block FROM context GROUP BY 1)
-      SELECT question_id, '{D.SYSTEM.replace("'", "''")}'||CASE WHEN route = 'single' AND question_id LIKE 's%' THEN E'\\n\\nThe word "nation" may also mean the layer "nation"; name both readings and answer for each.' ELSE '' END AS system, coalesce(block, '{D.EMPTY}')||E'\\n\\nQuestion: '||question AS prompt
+    "d8_prompts": f"""{_W}{_CONTEXT}, block AS (SELECT question_id, string_agg('['||pos||'] ('||chunk_type||') '||text, E'\\n\\n'
+    ORDER BY pos) AS block FROM context GROUP BY 1)
+      SELECT question_id, '{D.SYSTEM.replace("'",
+      "''")}'||CASE WHEN route = 'single' AND question_id LIKE 's%' THEN E'\\n\\nThe word "nation" may also mean the layer "nation"; name both readings and answer for each.' ELSE '' END AS system, coalesce(block, '{D.EMPTY}')||E'\\n\\nQuestion: '||question AS prompt
       FROM questions JOIN routes USING (question_id) LEFT JOIN block USING (question_id)""",
     "d9_source_trace": f"{_W}{_CONTEXT} SELECT question_id, pos, entity, chunk_type, source, attribute, is_audit FROM context",
     "e1_phrases": "WITH a AS (SELECT conv_id AS number, turn AS run_ts, list_filter([" + ", ".join(f"'{p}'" for p in PHRASES) + "], lambda p: contains(lower(text), p)) AS hit FROM conversations WHERE role = 'assistant') SELECT number, run_ts, hit[1] AS phrase, CAST(len(hit) AS BIGINT) AS n_mentioned FROM a",

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that an unfinished sentence ends on.
-DANGLING = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "with", "by", "for", "is", "are", "from", "as", "that", "this", "these", "those", "its", "their")
+DANGLING = (
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "with", "by", "for", "is", "are", "from", "as", "that", "this",
+    "these", "those", "its", "their"
+)
 CLOSING = ".!?)]}\"'|"
 
 
@@ -29,7 +32,9 @@ def truncation(text: Column) -> Column:
     bare = F.regexp_replace(stripped, r"[*_`]+$", "")
     core = F.when(bare == "", stripped).otherwise(bare)
     last = F.lower(F.try_element_at(F.regexp_extract_all(core, F.lit(r"[A-Za-z']+"), F.lit(0)), F.lit(-1)))
-    return F.when(F.coalesce(stripped, F.lit("")) == "", "empty").when(last.isin(*DANGLING), "dangling").when(F.instr(F.lit(CLOSING), F.substring(core, -1, 1)) == 0, "open")
+    return F.when(F.coalesce(stripped, F.lit("")) == "", "empty").when(last.isin(*DANGLING), "dangling").when(
+        F.instr(F.lit(CLOSING), F.substring(core, -1, 1)) == 0, "open"
+    )
 
 
 def latest(results: DataFrame, key: str = "number", at: str = "run_ts") -> DataFrame:
@@ -39,7 +44,9 @@ def latest(results: DataFrame, key: str = "number", at: str = "run_ts") -> DataF
 
 def missing_numbers(results: DataFrame, key: str = "number") -> DataFrame:
     """Keys between the smallest and the largest one that have no result."""
-    span = results.agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias(key))
+    span = results.agg(
+        F.min(key).alias("a"), F.max(key).alias("b")
+    ).where("a is not null").select(F.explode(F.sequence("a", "b")).alias(key))
     return span.join(results.select(key).distinct(), key, "left_anti")
 
 
@@ -50,7 +57,10 @@ def verdicts(results: DataFrame, checks: Sequence[Column]) -> DataFrame:
 
 def category_summary(judged: DataFrame) -> DataFrame:
     """Per category and overall (category null): passed, failed, manual, total."""
-    return judged.rollup("category").agg(F.count_if(F.col("passed")).alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if("manual").alias("manual"), F.count("*").alias("total"))
+    return judged.rollup("category").agg(
+        F.count_if(F.col("passed")).alias("passed"), F.count_if(~F.col("passed")).alias("failed"),
+        F.count_if("manual").alias("manual"), F.count("*").alias("total")
+    )
 
 
 def timing_table(timings: DataFrame, stages: Sequence[str], derived: tuple[str, str, str] | None = None) -> DataFrame:

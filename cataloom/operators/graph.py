@@ -17,7 +17,9 @@ from cataloom.sources.shared import materialize
 
 def edge_targets(edges: DataFrame) -> DataFrame:
     """One row per edge and target: the form that joins use."""
-    return edges.select("edge_id", "from_id", "from_name", "attribute", "fk_name", "is_audit", "is_polymorphic", F.explode("targets").alias("t")).select(
+    return edges.select(
+        "edge_id", "from_id", "from_name", "attribute", "fk_name", "is_audit", "is_polymorphic", F.explode("targets").alias("t")
+    ).select(
         "edge_id", "from_id", "from_name", "attribute", "fk_name", "is_audit", "is_polymorphic", F.col("t.entity_id").alias("to_id"), F.col("t.name").alias("to_name")
     )
 
@@ -34,14 +36,19 @@ def display_names(nodes: DataFrame, folder: Column) -> DataFrame:
     """display_name: ``Name (layer)``, with ``: folder`` where two nodes would share it."""
     base = F.concat("name", F.lit(" ("), "layer", F.lit(")"))
     many = F.count("*").over(Window.partitionBy("name", "layer")) > 1
-    return nodes.withColumn("display_name", F.when(many, F.concat("name", F.lit(" ("), "layer", F.lit(": "), folder, F.lit(")"))).otherwise(base))
+    return nodes.withColumn(
+        "display_name", F.when(many, F.concat("name", F.lit(" ("), "layer", F.lit(": "), folder, F.lit(")"))).otherwise(base)
+    )
 
 
 def degrees(edges: DataFrame) -> DataFrame:
     """entity_id, n_out, n_in of business edges; an edge counts once per distinct target node."""
     business = edges.where(~F.col("is_audit"))
     out = business.select(F.col("from_id").alias("entity_id"), F.lit(1).alias("o"), F.lit(0).alias("i"))
-    into = business.select(F.explode(F.array_distinct(F.transform("targets", lambda t: t["entity_id"]))).alias("entity_id"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    into = business.select(
+        F.explode(F.array_distinct(F.transform("targets", lambda t: t["entity_id"]))).alias("entity_id"), F.lit(0).alias("o"),
+        F.lit(1).alias("i")
+    )
     return out.unionByName(into).groupBy("entity_id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
@@ -50,9 +57,18 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     layers = nodes.groupBy("layer").count().select(F.concat(F.lit("nodes:"), "layer").alias("metric"), F.col("count").alias("value"))
     total = nodes.agg(F.count("*").alias("value")).select(F.lit("nodes").alias("metric"), "value")
     known = nodes.select(F.col("entity_id").alias("to_id"))
-    kinds = edges.agg(F.count("*").alias("edges"), F.count_if("is_audit").alias("audit_edges"), F.count_if("is_polymorphic").alias("polymorphic_edges"))
-    kinds = kinds.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("edges", "audit_edges", "polymorphic_edges")))).alias("x")).select("x.*")
-    lost = edge_targets(edges).join(known, "to_id", "left_anti").agg(F.count("*").alias("value")).select(F.lit("unresolved_targets").alias("metric"), "value")
+    kinds = edges.agg(
+        F.count("*").alias("edges"), F.count_if("is_audit").alias("audit_edges"),
+        F.count_if("is_polymorphic").alias("polymorphic_edges")
+    )
+    kinds = kinds.select(
+        F.explode(
+            F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("edges", "audit_edges", "polymorphic_edges")))
+        ).alias("x")
+    ).select("x.*")
+    lost = edge_targets(edges).join(known, "to_id", "left_anti").agg(F.count("*").alias("value")).select(
+        F.lit("unresolved_targets").alias("metric"), "value"
+    )
     return layers.unionByName(total).unionByName(kinds).unionByName(lost)
 
 
@@ -70,8 +86,12 @@ def relations(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges between any node named A and any node named B, both ways, audit edges too."""
     columns = ("pair_id", "edge_id", "from_id", "to_id", "attribute", "is_audit")
     ends = targets.select("edge_id", "from_id", "to_id", "attribute", "is_audit", "from_name", "to_name")
-    there = pairs.join(ends, (F.col("name_a") == F.col("from_name")) & (F.col("name_b") == F.col("to_name"))).select(*columns, F.lit("out").alias("direction"))
-    back = pairs.join(ends, (F.col("name_b") == F.col("from_name")) & (F.col("name_a") == F.col("to_name"))).select(*columns, F.lit("in").alias("direction"))
+    there = pairs.join(
+        ends, (F.col("name_a") == F.col("from_name")) & (F.col("name_b") == F.col("to_name"))
+    ).select(*columns, F.lit("out").alias("direction"))
+    back = pairs.join(
+        ends, (F.col("name_b") == F.col("from_name")) & (F.col("name_a") == F.col("to_name"))
+    ).select(*columns, F.lit("in").alias("direction"))
     first = F.struct("direction", "from_id", "to_id", "attribute", "is_audit")
     return there.unionByName(back).groupBy("pair_id", "edge_id").agg(F.max(first).alias("x")).select("pair_id", "edge_id", "x.*")
 
@@ -92,11 +112,19 @@ def near_misses(pairs: DataFrame, targets: DataFrame, limit: int = 5) -> DataFra
     party = party_names(targets).withColumn("_party", F.lit(True))
     business = targets.where(~F.col("is_audit")).join(party, F.col("to_name") == F.col("name"), "left").drop("name")
     holds = lambda text, name: F.contains(F.lower(text), F.lower(name))
-    side_a = open_pairs.join(business, F.col("name_a") == F.col("from_name")).select("pair_id", F.lit("a").alias("side"), "edge_id", "attribute", F.col("name_b").alias("missing"), "to_name", "_party")
-    into_b = open_pairs.join(business.select(F.col("to_name").alias("hit"), "edge_id").distinct(), F.col("name_b") == F.col("hit")).select("pair_id", "name_a", "edge_id").distinct()
-    side_b = into_b.join(business, "edge_id").select("pair_id", F.lit("b").alias("side"), "edge_id", "attribute", F.col("name_a").alias("missing"), "to_name", "_party")
+    side_a = open_pairs.join(business, F.col("name_a") == F.col("from_name")).select(
+        "pair_id", F.lit("a").alias("side"), "edge_id", "attribute", F.col("name_b").alias("missing"), "to_name", "_party"
+    )
+    into_b = open_pairs.join(
+        business.select(F.col("to_name").alias("hit"), "edge_id").distinct(), F.col("name_b") == F.col("hit")
+    ).select("pair_id", "name_a", "edge_id").distinct()
+    side_b = into_b.join(business, "edge_id").select(
+        "pair_id", F.lit("b").alias("side"), "edge_id", "attribute", F.col("name_a").alias("missing"), "to_name", "_party"
+    )
     scored = side_a.unionByName(side_b).groupBy("pair_id", "side", "edge_id", "attribute").agg(
-        F.bool_or(holds(F.col("attribute"), F.col("missing")) | holds(F.col("to_name"), F.col("missing"))).alias("lexical"), F.bool_or(F.coalesce("_party", F.lit(False))).alias("structural")
+        F.bool_or(
+            holds(F.col("attribute"), F.col("missing")) | holds(F.col("to_name"), F.col("missing"))
+        ).alias("lexical"), F.bool_or(F.coalesce("_party", F.lit(False))).alias("structural")
     )
     order = Window.partitionBy("pair_id", "side").orderBy(F.desc("lexical"), F.desc("structural"), "edge_id")
     return scored.where("lexical or structural").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
@@ -108,8 +136,12 @@ def infrastructure_notes(names: DataFrame, nodes: DataFrame, targets: DataFrame)
     ends = out.unionByName(targets.select("edge_id", F.col("to_id").alias("entity_id"), "is_audit").distinct())
     counts = ends.groupBy("entity_id").agg(F.count_if(~F.col("is_audit")).alias("business"), F.count_if("is_audit").alias("audit"))
     known = names.select("name").distinct().join(nodes.select("name", "entity_id"), "name").join(counts, "entity_id", "left")
-    by_name = known.groupBy("name").agg(F.sum(F.coalesce("business", F.lit(0))).alias("business"), F.sum(F.coalesce("audit", F.lit(0))).alias("audit"))
-    note = F.when(F.col("audit") > 0, F.format_string("%s has no business relationships, only %d audit links.", "name", "audit")).otherwise(F.format_string("%s has no relationships at all.", "name"))
+    by_name = known.groupBy("name").agg(
+        F.sum(F.coalesce("business", F.lit(0))).alias("business"), F.sum(F.coalesce("audit", F.lit(0))).alias("audit")
+    )
+    note = F.when(
+        F.col("audit") > 0, F.format_string("%s has no business relationships, only %d audit links.", "name", "audit")
+    ).otherwise(F.format_string("%s has no relationships at all.", "name"))
     return by_name.where("business = 0").select("name", note.alias("note"))
 
 
@@ -137,12 +169,18 @@ def shortest_paths(pairs: DataFrame, nodes: DataFrame, targets: DataFrame, max_h
     """
     hop = "array<struct<edge_id:string,attribute:string,from_id:string,to_id:string>>"
     named = nodes.select("name", "entity_id")
-    ends = [pairs.join(named, F.col(c) == F.col("name")).select("pair_id", F.col("entity_id").alias("at")).distinct() for c in ("name_a", "name_b")]
+    ends = [
+        pairs.join(named, F.col(c) == F.col("name")).select(
+            "pair_id", F.col("entity_id").alias("at")
+        ).distinct() for c in ("name_a", "name_b")
+    ]
     none = F.lit(None).cast("string")
     sides = []
     for mine, other in (ends, ends[::-1]):
         start = mine.join(other.select("pair_id").distinct(), "pair_id", "left_semi")
-        sides.append([materialize(start.select("pair_id", "at", none.alias("edge_id"), none.alias("prev"), none.alias("attribute")), "frontier")])
+        sides.append(
+            [materialize(start.select("pair_id", "at", none.alias("edge_id"), none.alias("prev"), none.alias("attribute")), "frontier")]
+        )
     fronts = [side[0].select("pair_id", "at") for side in sides]
     seen = list(fronts)
     adjacency = materialize(neighbours(targets), "adjacency")
@@ -160,14 +198,22 @@ def shortest_paths(pairs: DataFrame, nodes: DataFrame, targets: DataFrame, max_h
         fronts = [front.join(meetings[-1].select("pair_id"), "pair_id", "left_anti") for front in fronts]
         if hops and sides[turn][-1].isEmpty():
             break
-    found = [_path(met, k, sides).select("pair_id", F.lit(k).alias("hops"), F.col("path").cast(hop).alias("path")) for k, met in enumerate(meetings)]
+    found = [
+        _path(met, k, sides).select("pair_id", F.lit(k).alias("hops"), F.col("path").cast(hop).alias("path")) for k,
+        met in enumerate(meetings)
+    ]
     whole = reduce(DataFrame.unionByName, found)
-    return pairs.select("pair_id").distinct().join(whole, "pair_id", "left").select("pair_id", F.col("hops").cast("long").alias("hops"), "path")
+    return pairs.select("pair_id").distinct().join(whole, "pair_id", "left").select(
+        "pair_id", F.col("hops").cast("long").alias("hops"), "path"
+    )
 
 
 def _path(met: DataFrame, hops: int, sides: list[list[DataFrame]]) -> DataFrame:
     """pair_id, path of the pairs that have met after so many hops."""
-    rows = met.select("pair_id", "meet", F.array().cast("array<struct<edge_id:string,attribute:string,from_id:string,to_id:string>>").alias("path"))
+    rows = met.select(
+        "pair_id", "meet",
+        F.array().cast("array<struct<edge_id:string,attribute:string,from_id:string,to_id:string>>").alias("path")
+    )
     for side, own in ((0, (hops + 1) // 2), (1, hops // 2)):
         rows = rows.withColumn("at", F.col("meet"))
         for k in range(own, 0, -1):
@@ -175,7 +221,10 @@ def _path(met: DataFrame, hops: int, sides: list[list[DataFrame]]) -> DataFrame:
             rows = rows.join(step, (rows["pair_id"] == step["pair_id"]) & (F.col("at") == F.col("_at"))).drop(step["pair_id"])
             ends = ("prev", "at") if side == 0 else ("at", "prev")
             one = F.array(F.struct("edge_id", "attribute", F.col(ends[0]).alias("from_id"), F.col(ends[1]).alias("to_id")))
-            rows = rows.select("pair_id", "meet", (F.concat(one, "path") if side == 0 else F.concat("path", one)).alias("path"), F.col("prev").alias("at"))
+            rows = rows.select(
+                "pair_id", "meet", (F.concat(one, "path") if side == 0 else F.concat("path", one)).alias("path"),
+                F.col("prev").alias("at")
+            )
     return rows
 
 
@@ -195,8 +244,14 @@ def path_labels(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """pair_id, hops, label: ``A -> B (via attribute) -> ...`` with display names."""
     hops = paths.where("hops > 0").select("pair_id", "hops", F.posexplode("path").alias("pos", "h"))
     shown = nodes.select("entity_id", "display_name")
-    a = hops.join(shown.withColumnRenamed("entity_id", "from_").withColumnRenamed("display_name", "from_label"), F.col("h.from_id") == F.col("from_"))
+    a = hops.join(
+        shown.withColumnRenamed("entity_id", "from_").withColumnRenamed("display_name", "from_label"),
+        F.col("h.from_id") == F.col("from_")
+    )
     b = a.join(shown.withColumnRenamed("entity_id", "to_").withColumnRenamed("display_name", "to_label"), F.col("h.to_id") == F.col("to_"))
     item = F.struct("pos", "from_label", F.concat(F.lit(" -> "), "to_label", F.lit(" (via "), "h.attribute", F.lit(")")).alias("text"))
     steps = b.groupBy("pair_id", "hops").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    return steps.select("pair_id", "hops", F.concat(F.element_at("s", 1)["from_label"], F.array_join(F.transform("s", lambda x: x["text"]), "")).alias("label"))
+    return steps.select(
+        "pair_id", "hops",
+        F.concat(F.element_at("s", 1)["from_label"], F.array_join(F.transform("s", lambda x: x["text"]), "")).alias("label")
+    )

@@ -40,8 +40,16 @@ def chains(nodes: DataFrame) -> DataFrame:
     level = nodes.select("entity_id", F.col("entity_id").alias("ancestor_id"), F.lit(0).alias("depth"), F.array("entity_id").alias("path"))
     out = level
     for depth in count(1):  # path ends every cycle
-        step = level.join(parents, F.col("ancestor_id") == F.col("child")).where(F.col("parent_id").isNotNull() & ~F.array_contains("path", F.col("parent_id")))
-        level = materialize(step.select("entity_id", F.col("parent_id").alias("ancestor_id"), F.lit(depth).alias("depth"), F.concat("path", F.array("parent_id")).alias("path")), "chain")
+        step = level.join(parents, F.col("ancestor_id") == F.col("child")).where(
+            F.col("parent_id").isNotNull() & ~F.array_contains("path", F.col("parent_id"))
+        )
+        level = materialize(
+            step.select(
+                "entity_id", F.col("parent_id").alias("ancestor_id"), F.lit(depth).alias("depth"),
+                F.concat("path", F.array("parent_id")).alias("path")
+            ),
+            "chain"
+        )
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -79,12 +87,16 @@ def resolved(attributes: DataFrame, chain: DataFrame, standard: DataFrame | None
     if standard is not None:
         # A standard name may be the attribute's, or the foreign key's as it is declared.
         named = lambda c, flag: standard.select("entity_id", F.col("name").alias(c), F.lit(True).alias(flag)).distinct()
-        out = out.join(named("name", "_by_name"), ["entity_id", "name"], "left").join(named("told_fk", "_by_fk"), ["entity_id", "told_fk"], "left")
+        out = out.join(named("name", "_by_name"), ["entity_id", "name"], "left").join(
+            named("told_fk", "_by_fk"), ["entity_id", "told_fk"], "left"
+        )
         out = out.withColumn("_std", F.coalesce("_by_name", "_by_fk", F.lit(False))).drop("_by_name", "_by_fk")
     else:
         out = out.withColumn("_std", F.lit(False))
     out = out.drop("told_fk")
-    out = out.withColumn("origin", F.when(from_standard | F.col("_std"), "standard").when(F.col("depth") == 0, "own").otherwise("inherited"))
+    out = out.withColumn(
+        "origin", F.when(from_standard | F.col("_std"), "standard").when(F.col("depth") == 0, "own").otherwise("inherited")
+    )
     out = out.withColumn("inlined", F.col("_std") & ~from_standard).drop("_std")
     position = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("depth"), "ord", "name"))
     return out.withColumn("pos", position.cast("long")).withColumnRenamed("ancestor_id", "declared_in")
@@ -105,7 +117,9 @@ def type_label() -> Column:
 def attribute_counts(resolved_attributes: DataFrame) -> DataFrame:
     """entity_id, own, inherited, standard, total."""
     kinds = ("own", "inherited", "standard")
-    return resolved_attributes.groupBy("entity_id").agg(*(F.count_if(F.col("origin") == k).alias(k) for k in kinds), F.count("*").alias("total"))
+    return resolved_attributes.groupBy("entity_id").agg(
+        *(F.count_if(F.col("origin") == k).alias(k) for k in kinds), F.count("*").alias("total")
+    )
 
 
 def business_keys(resolved_attributes: DataFrame, audit: Sequence[str] = AUDIT_NAMES) -> DataFrame:
@@ -118,7 +132,9 @@ def attribute_details(resolved_attributes: DataFrame, audit: Sequence[str] = AUD
     """Per FK attribute name over all entities: targets, how many declare and how many inherit it, FK name, polymorphic flag."""
     flat = business_keys(resolved_attributes, audit).select("name", "entity_id", "depth", "fk_name", F.explode("fk_targets").alias("t"))
     return flat.groupBy("name").agg(
-        F.array_sort(F.collect_set("t.entity")).alias("targets"), F.count_distinct(F.when(F.col("depth") == 0, F.col("entity_id"))).alias("n_declared_by"),
+        F.array_sort(F.collect_set("t.entity")).alias("targets"), F.count_distinct(
+            F.when(F.col("depth") == 0, F.col("entity_id"))
+        ).alias("n_declared_by"),
         F.count_distinct(F.when(F.col("depth") > 0, F.col("entity_id"))).alias("n_inherited_by"), F.min("fk_name").alias("fk_name"),
     ).withColumn("is_polymorphic", F.size("targets") > 1)
 
@@ -131,7 +147,9 @@ def attribute_holders(resolved_attributes: DataFrame, audit: Sequence[str] = AUD
 
 def attribute_tokens(details: DataFrame) -> DataFrame:
     """token, name: the plain name and the FK column name both lead to the attribute."""
-    return details.select(F.col("name").alias("token"), "name").unionByName(details.select(F.col("fk_name").alias("token"), "name")).distinct()
+    return details.select(F.col("name").alias("token"), "name").unionByName(
+        details.select(F.col("fk_name").alias("token"), "name")
+    ).distinct()
 
 
 def collisions(resolved_attributes: DataFrame) -> DataFrame:
@@ -147,17 +165,28 @@ def entity_details(nodes: DataFrame, edges_out: DataFrame, resolved_attributes:
     items = resolved_attributes.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "origin"))).alias("items"))
     of = lambda kind: F.filter("items", lambda x: x["origin"] == kind)
     names = lambda kind: F.array_join(F.transform(of(kind), lambda x: x["name"]), ",")
-    lists = items.select("entity_id", *(F.size(of(k)).alias(k) for k in kinds), F.size("items").alias("total"), *(names(k).alias(f"{k}_names") for k in kinds))
-    line = chain.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor_id"))), lambda x: x["ancestor_id"]), ">").alias("chain"))
+    lists = items.select(
+        "entity_id", *(F.size(of(k)).alias(k) for k in kinds), F.size("items").alias("total"),
+        *(names(k).alias(f"{k}_names") for k in kinds)
+    )
+    line = chain.groupBy("entity_id").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor_id"))), lambda x: x["ancestor_id"]), ">"
+        ).alias("chain")
+    )
     business = edges_out.where(~F.col("is_audit"))
-    ends = business.select(F.col("from_id").alias("entity_id"), "edge_id", F.lit(1).alias("o")).unionByName(business.select(F.col("to_id").alias("entity_id"), "edge_id", F.lit(0).alias("o"))).distinct()
+    ends = business.select(F.col("from_id").alias("entity_id"), "edge_id", F.lit(1).alias("o")).unionByName(
+        business.select(F.col("to_id").alias("entity_id"), "edge_id", F.lit(0).alias("o"))
+    ).distinct()
     degree = ends.groupBy("entity_id").agg(F.sum("o").alias("n_out"), F.sum(1 - F.col("o")).alias("n_in"))
     layers = nodes.groupBy("name").agg(F.array_sort(F.collect_set("layer")).alias("layers"))
     out = nodes.join(lists, "entity_id", "left").join(line, "entity_id", "left").join(degree, "entity_id", "left").join(layers, "name")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select(
-        "entity_id", "display_name", *(zero(c) for c in (*kinds, "total", "n_out", "n_in")), *(blank(c) for c in (*(f"{k}_names" for k in kinds), "chain")),
+        "entity_id", "display_name", *(zero(c) for c in (*kinds, "total", "n_out", "n_in")), *(
+            blank(c) for c in (*(f"{k}_names" for k in kinds), "chain")
+        ),
         F.array_join(F.filter("layers", lambda x: x != F.col("layer")), ",").alias("other_layers"),
     )
 
@@ -166,15 +195,24 @@ def attribute_rows(nodes: DataFrame, resolved_attributes: DataFrame) -> DataFram
     """The attributes of entity records, a row each: type, key, description, and the name of the entity that declares it unless it is the own one."""
     shown = nodes.select(F.col("entity_id").alias("declared_in"), F.col("display_name").alias("shown"))
     rows = resolved_attributes.join(shown, "declared_in", "left")
-    return rows.select("entity_id", "pos", "name", "origin", type_label().alias("label"), "fk_name", "description", F.when(F.col("origin") != "own", F.coalesce("shown", "declared_in")).alias("declared_by"))
+    return rows.select(
+        "entity_id", "pos", "name", "origin", type_label().alias("label"), "fk_name", "description",
+        F.when(F.col("origin") != "own", F.coalesce("shown", "declared_in")).alias("declared_by")
+    )
 
 
 def relationship_rows(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """The business relationships of entity records both ways, a row each, with the display names at the other end."""
     shown = nodes.select("entity_id", "display_name")
     business = targets.where(~F.col("is_audit"))
-    others = business.join(shown.withColumnRenamed("entity_id", "to_id"), "to_id", "left").groupBy("edge_id", F.col("from_id").alias("entity_id"), "attribute", "fk_name", "is_polymorphic")
-    out = others.agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("display_name", "to_name"))), ", ").alias("others")).withColumn("direction", F.lit("outgoing"))
+    others = business.join(shown.withColumnRenamed("entity_id", "to_id"), "to_id", "left").groupBy(
+        "edge_id", F.col("from_id").alias("entity_id"), "attribute", "fk_name", "is_polymorphic"
+    )
+    out = others.agg(
+        F.array_join(F.array_sort(F.collect_set(F.coalesce("display_name", "to_name"))), ", ").alias("others")
+    ).withColumn("direction", F.lit("outgoing"))
     back = business.select("edge_id", "from_id", F.col("to_id").alias("entity_id"), "attribute", "fk_name", "is_polymorphic").distinct()
-    back = back.join(shown.select(F.col("entity_id").alias("from_id"), F.col("display_name").alias("others")), "from_id").drop("from_id").withColumn("direction", F.lit("incoming"))
+    back = back.join(
+        shown.select(F.col("entity_id").alias("from_id"), F.col("display_name").alias("others")), "from_id"
+    ).drop("from_id").withColumn("direction", F.lit("incoming"))
     return out.unionByName(back).select("entity_id", "direction", "edge_id", "attribute", "fk_name", "is_polymorphic", "others")

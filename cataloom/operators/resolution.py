@@ -36,11 +36,21 @@ def closure(roots: DataFrame, imports: DataFrame) -> DataFrame:
     the one it comes back to, so it is never smaller, and the rounds end.
     """
     plain = imports.where("moniker is null").select(F.col("doc").alias("at"), "ord", F.col("target_doc").alias("next")).where("at != next")
-    best = frontier = materialize(roots.select(F.col("doc").alias("root")).distinct().select("root", F.col("root").alias("doc"), F.array().cast("array<int>").alias("path")), "closure")
+    best = frontier = materialize(
+        roots.select(F.col("doc").alias("root")).distinct().select(
+            "root", F.col("root").alias("doc"), F.array().cast("array<int>").alias("path")
+        ),
+        "closure"
+    )
     while True:
-        step = frontier.join(plain, F.col("doc") == F.col("at")).groupBy("root", F.col("next").alias("doc")).agg(F.min(F.concat("path", F.array("ord"))).alias("path"))
+        step = frontier.join(plain, F.col("doc") == F.col("at")).groupBy("root", F.col("next").alias("doc")).agg(
+            F.min(F.concat("path", F.array("ord"))).alias("path")
+        )
         known = best.select("root", "doc", F.col("path").alias("before"))
-        frontier = materialize(step.join(known, ["root", "doc"], "left").where(F.col("before").isNull() | (F.col("path") < F.col("before"))).drop("before"), "closure-step")
+        frontier = materialize(
+            step.join(known, ["root", "doc"], "left").where(F.col("before").isNull() | (F.col("path") < F.col("before"))).drop("before"),
+            "closure-step"
+        )
         if frontier.isEmpty():
             break
         best = materialize(best.join(frontier.select("root", "doc"), ["root", "doc"], "left_anti").unionByName(frontier), "closure")
@@ -55,14 +65,24 @@ def resolve(requests: DataFrame, closures: DataFrame, imports: DataFrame, defini
     the requesting documents and the targets of aliased imports.
     """
     wanted = requests.select("doc", "wanted").distinct()
-    aliased = wanted.where(F.contains("wanted", F.lit("/"))).select("doc", "wanted", F.substring_index("wanted", "/", 1).alias("moniker"), F.expr("substring(wanted, instr(wanted, '/') + 1)").alias("name"))
-    via = aliased.join(closures.select(F.col("root").alias("doc"), F.col("doc").alias("holder"), "rank"), "doc").join(imports.where("moniker is not null").select(F.col("doc").alias("holder"), "moniker", "ord", "target_doc"), ["holder", "moniker"])
+    aliased = wanted.where(F.contains("wanted", F.lit("/"))).select(
+        "doc", "wanted", F.substring_index("wanted", "/", 1).alias("moniker"),
+        F.expr("substring(wanted, instr(wanted, '/') + 1)").alias("name")
+    )
+    via = aliased.join(closures.select(F.col("root").alias("doc"), F.col("doc").alias("holder"), "rank"), "doc").join(
+        imports.where("moniker is not null").select(F.col("doc").alias("holder"), "moniker", "ord", "target_doc"),
+        ["holder", "moniker"]
+    )
     via = via.groupBy("doc", "wanted", "name").agg(F.min_by("target_doc", F.struct("rank", "ord")).alias("start"))
-    plain = wanted.where(~F.contains("wanted", F.lit("/"))).select("doc", "wanted", F.col("wanted").alias("name"), F.col("doc").alias("start"))
+    plain = wanted.where(~F.contains("wanted", F.lit("/"))).select(
+        "doc", "wanted", F.col("wanted").alias("name"), F.col("doc").alias("start")
+    )
     asked = plain.unionByName(via.select("doc", "wanted", "name", "start"))
     seen = asked.join(closures.select(F.col("root").alias("start"), F.col("doc").alias("found_doc"), "rank"), "start")
     hit = seen.join(definitions.select(F.col("doc").alias("found_doc"), "name").distinct(), ["found_doc", "name"])
-    first = hit.groupBy("doc", "wanted", "name").agg(F.min_by("found_doc", "rank").alias("found_doc")).withColumnRenamed("name", "found_name")
+    first = hit.groupBy("doc", "wanted", "name").agg(
+        F.min_by("found_doc", "rank").alias("found_doc")
+    ).withColumnRenamed("name", "found_name")
     return wanted.join(first, ["doc", "wanted"], "left")
 
 
@@ -145,7 +165,10 @@ def flattened(entities: DataFrame, groups: DataFrame) -> DataFrame:
     """Ordered member rows of entities and named groups: attributes, and references to named groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), TARGET, pa.bool_(), pa.list_(pa.string()))
+        kinds = (
+            pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(),
+            pa.string(), TARGET, pa.bool_(), pa.list_(pa.string())
+        )
         names = [x.split()[0] for x in FLAT.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
@@ -157,7 +180,9 @@ def flattened(entities: DataFrame, groups: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    both = entities.select("doc", F.lit("entity").alias("k"), "name", "json").unionByName(groups.select("doc", F.lit("group").alias("k"), "name", "json"))
+    both = entities.select("doc", F.lit("entity").alias("k"), "name", "json").unionByName(
+        groups.select("doc", F.lit("group").alias("k"), "name", "json")
+    )
     return both.mapInArrow(run, FLAT)
 
 
@@ -168,7 +193,9 @@ def fk_nodes(entities: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, names = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), TARGET, pa.bool_()), [x.split()[0] for x in NODES.split(", ")]
+        kinds, names = (
+            pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), TARGET, pa.bool_()
+        ), [x.split()[0] for x in NODES.split(", ")]
         for batch in batches:
             rows = []
             for doc, owner, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -187,14 +214,21 @@ def expanded(flat: DataFrame, closures: DataFrame, imports: DataFrame, groups: D
     columns = ("doc", "owner", "ord", "home", "name", "data_type", "description", "fk_name", "fk_targets", "is_fk", "group_path")
     references = flat.where("kind = 'group'").select("doc", F.col("name").alias("wanted"))
     found = materialize(resolve(references, closures, imports, groups).where("found_doc is not null"), "group-names")
-    members = flat.where("owner_kind = 'group'").select(F.col("doc").alias("found_doc"), F.col("owner").alias("found_name"), F.col("ord").alias("m_ord"), "kind", "name", "data_type", "description", "fk_name", "fk_targets", "is_fk", F.col("group_path").alias("m_path"))
+    members = flat.where("owner_kind = 'group'").select(
+        F.col("doc").alias("found_doc"), F.col("owner").alias("found_name"), F.col("ord").alias("m_ord"), "kind", "name",
+        "data_type", "description", "fk_name", "fk_targets", "is_fk", F.col("group_path").alias("m_path")
+    )
     own = flat.where("owner_kind = 'entity'").withColumn("home", F.col("doc")).withColumn("seen", F.array().cast("array<string>"))
     done = own.where("kind = 'attribute'").select(*columns)
     open_ = own.where("kind = 'group'").select("doc", "owner", "ord", "home", "seen", "group_path", F.col("name").alias("wanted"))
     while True:  # seen ends every cycle
-        hit = open_.join(found.withColumnRenamed("doc", "home"), ["home", "wanted"]).withColumn("id", F.concat("found_doc", F.lit("#"), "found_name")).where(~F.array_contains("seen", F.col("id")))
+        hit = open_.join(
+            found.withColumnRenamed("doc", "home"), ["home", "wanted"]
+        ).withColumn("id", F.concat("found_doc", F.lit("#"), "found_name")).where(~F.array_contains("seen", F.col("id")))
         inside = hit.join(members, ["found_doc", "found_name"]).select(
-            "doc", "owner", F.concat("ord", "m_ord").alias("ord"), F.col("found_doc").alias("home"), F.concat("seen", F.array("id")).alias("seen"), F.concat("group_path", F.array("found_name"), "m_path").alias("group_path"),
+            "doc", "owner", F.concat("ord", "m_ord").alias("ord"), F.col("found_doc").alias("home"), F.concat("seen", F.array("id")).alias("seen"), F.concat(
+                "group_path", F.array("found_name"), "m_path"
+            ).alias("group_path"),
             "kind", "name", "data_type", "description", "fk_name", "fk_targets", "is_fk",
         )
         inside = materialize(inside, "group-members")
@@ -210,4 +244,8 @@ def parents(entities: DataFrame, closures: DataFrame, imports: DataFrame) -> Dat
     asked = entities.where(F.col("extends").isNotNull() & (F.col("extends") != ROOT))
     found = resolve(asked.select("doc", F.col("extends").alias("wanted")), closures, imports, entities)
     joined = entities.join(found.withColumnRenamed("wanted", "extends"), ["doc", "extends"], "left")
-    return joined.select(F.concat("doc", F.lit("#"), "name").alias("entity_id"), F.concat("found_doc", F.lit("#"), "found_name").alias("parent_id"), F.when(F.col("extends") != ROOT, F.col("extends")).alias("wanted"))
+    return joined.select(
+        F.concat("doc", F.lit("#"), "name").alias("entity_id"),
+        F.concat("found_doc", F.lit("#"), "found_name").alias("parent_id"),
+        F.when(F.col("extends") != ROOT, F.col("extends")).alias("wanted")
+    )

@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from cataloom.sources.tables import table
 
 LAYERS = ("orders", "customer", "supplier", "part", "nation", "region")
-KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "nation": "n_nationkey", "region": "r_regionkey"}
-PARENTS = {"nation": ("region", "n_regionkey"), "customer": ("nation", "c_nationkey"), "supplier": ("nation", "s_nationkey"), "orders": ("customer", "o_custkey")}
+KEYS = {
+    "orders": "o_orderkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "nation": "n_nationkey",
+    "region": "r_regionkey"
+}
+PARENTS = {
+    "nation": ("region", "n_regionkey"), "customer": ("nation", "c_nationkey"), "supplier": ("nation", "s_nationkey"),
+    "orders": ("customer", "o_custkey")
+}
 FK_TARGETS = "array<struct<entity:string,attribute:string>>"
 
 
@@ -33,7 +39,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         parent = PARENTS.get(layer)
         one = table(spark, sf_dir, layer).select(
             _id(layer, F.col(key)).alias("entity_id"), F.lit(layer).alias("document"), _name(F.col(key), layer).alias("name"), F.lit(layer).alias("layer"),
-            F.concat(_name(F.col(key), layer), F.lit(f" ({layer})")).alias("display_name"), (_id(parent[0], F.col(parent[1])) if parent else F.lit(None).cast("string")).alias("parent_id"),
+            F.concat(_name(F.col(key), layer), F.lit(f" ({layer})")).alias("display_name"), (
+                _id(parent[0], F.col(parent[1])) if parent else F.lit(None).cast("string")
+            ).alias("parent_id"),
             F.concat(F.lit(layer + " "), F.col(key).cast("string")).alias("description"),
         )
         out = one if out is None else out.unionByName(one)
@@ -57,15 +65,26 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: table(spark, sf_dir, name)
     orders, lines = read("orders"), read("lineitem")
     one = lambda layer, key: F.array(_target(layer, F.col(key)))
-    urgent = orders.where("o_orderpriority = '1-URGENT'").join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("low")), "o_orderkey")
+    urgent = orders.where("o_orderpriority = '1-URGENT'").join(
+        lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("low")), "o_orderkey"
+    )
     parts = [
         _edge(read("nation"), "nation", "n_nationkey", "region", F.lit("regionkey"), one("region", "n_regionkey"), True),
         _edge(read("customer"), "customer", "c_custkey", "nation", F.lit("nationkey"), one("nation", "c_nationkey"), True),
         _edge(read("supplier"), "supplier", "s_suppkey", "nation", F.lit("nationkey"), one("nation", "s_nationkey"), True),
         _edge(orders, "orders", "o_orderkey", "customer", F.lit("custkey"), one("customer", "o_custkey"), False),
-        _edge(lines.select("l_orderkey", "l_partkey").distinct(), "orders", "l_orderkey", "part", F.concat(F.lit("partkey_"), F.col("l_partkey").cast("string")), one("part", "l_partkey"), False),
-        _edge(lines.select("l_orderkey", "l_suppkey").distinct(), "orders", "l_orderkey", "supplier", F.concat(F.lit("suppkey_"), F.col("l_suppkey").cast("string")), one("supplier", "l_suppkey"), False),
-        _edge(urgent, "orders", "o_orderkey", "party", F.lit("partykey"), F.array(_target("customer", F.col("o_custkey")), _target("supplier", F.col("low"))), False),
+        _edge(
+            lines.select("l_orderkey", "l_partkey").distinct(), "orders", "l_orderkey", "part",
+            F.concat(F.lit("partkey_"), F.col("l_partkey").cast("string")), one("part", "l_partkey"), False
+        ),
+        _edge(
+            lines.select("l_orderkey", "l_suppkey").distinct(), "orders", "l_orderkey", "supplier",
+            F.concat(F.lit("suppkey_"), F.col("l_suppkey").cast("string")), one("supplier", "l_suppkey"), False
+        ),
+        _edge(
+            urgent, "orders", "o_orderkey", "party", F.lit("partykey"),
+            F.array(_target("customer", F.col("o_custkey")), _target("supplier", F.col("low"))), False
+        ),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -79,23 +98,41 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def attr(ord_: int, name: str, kind: str, fk: str | None = None, targets: tuple = (), description: Column = none) -> Column:
         to = F.array(*(F.struct(F.lit(t).alias("entity"), F.lit(t + "Id").alias("attribute")) for t in targets)) if targets else F.lit(None)
-        return F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("name"), F.lit(kind).alias("data_type"), F.lit(fk).cast("string").alias("fk_name"), to.cast(FK_TARGETS).alias("fk_targets"), description.alias("description"))
+        return F.struct(
+            F.lit(ord_).alias("ord"), F.lit(name).alias("name"), F.lit(kind).alias("data_type"),
+            F.lit(fk).cast("string").alias("fk_name"), to.cast(FK_TARGETS).alias("fk_targets"), description.alias("description")
+        )
 
     def own(layer: str, items: list[tuple[Column | None, Column]]) -> DataFrame:
         cols = F.array(*(F.when(cond, item) if cond is not None else item for cond, item in items))
-        rows = table(spark, sf_dir, layer).select(_id(layer, F.col(KEYS[layer])).alias("entity_id"), F.explode(F.filter(cols, lambda x: x.isNotNull())).alias("a"))
+        rows = table(spark, sf_dir, layer).select(
+            _id(layer, F.col(KEYS[layer])).alias("entity_id"), F.explode(F.filter(cols, lambda x: x.isNotNull())).alias("a")
+        )
         return rows.select("entity_id", "a.*")
 
     created = attr(5, "createdBy", "entity", "createdById", ("user",), F.lit("Who made the record. Filled once."))
     parts = [
-        own("orders", [(None, attr(0, "key", "integer")), (None, attr(1, "status", "string")), (None, attr(2, "totalprice", "decimal")), (None, attr(3, "customer", "entity", "custkey", ("customer",))),
+        own("orders", [(None, attr(0, "key", "integer")), (None, attr(1, "status", "string")), (None, attr(2, "totalprice", "decimal")), (
+            None, attr(3, "customer", "entity", "custkey", ("customer",))
+        ),
                        (F.col("o_orderpriority") == "1-URGENT", attr(4, "nation", "entity", "id", ("nation", "customer")))]),
-        own("customer", [(None, attr(0, "key", "integer")), (None, attr(1, "name", "string", description=F.col("c_name"))), (None, attr(2, "acctbal", "decimal")), (None, attr(3, "segment", "string")),
-                         (None, attr(4, "nation", "entity", "nationkey", ("nation",), F.lit("Home of the customer, as told. May change."))), (F.col("c_mktsegment") == "BUILDING", created)]),
+        own("customer", [(None, attr(0, "key", "integer")), (
+            None, attr(1, "name", "string", description=F.col("c_name"))
+        ), (None, attr(2, "acctbal", "decimal")), (None, attr(3, "segment", "string")),
+                         (
+                             None,
+                             attr(4, "nation", "entity", "nationkey", ("nation",), F.lit("Home of the customer, as told. May change."))
+                         ), (F.col("c_mktsegment") == "BUILDING", created)]),
         # A standard field by its foreign key alone, and an audit field that no standard entity gives.
         own("supplier", [(None, attr(0, "key", "integer")), (None, attr(1, "maker", "entity", "createdById", ("user",)))]),
         own("part", [(None, attr(0, "key", "integer")), (None, attr(1, "owner", "entity", "ownerId", ("user",)))]),
-        own("nation", [(None, attr(0, "key", "integer")), (None, attr(1, "name", "string", description=F.col("n_name"))), (None, attr(2, "region", "entity", "regionkey", ("region",)))]),
+        own(
+            "nation",
+            [
+                (None, attr(0, "key", "integer")), (None, attr(1, "name", "string", description=F.col("n_name"))),
+                (None, attr(2, "region", "entity", "regionkey", ("region",)))
+            ]
+        ),
         own("region", [(None, attr(0, "regionname", "string", description=F.col("r_name"))), (None, created)]),
     ]
     out = parts[0]
@@ -107,22 +144,43 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, name_a, name_b: orders and their customers, and orders with an unknown name."""
     o = table(spark, sf_dir, "orders")
-    known = o.where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("pair_id"), _name(F.col("o_orderkey")).alias("name_a"), _name(F.col("o_custkey")).alias("name_b"))
-    return known.unionByName(o.where("o_orderkey % 100 = 1").select(F.col("o_orderkey").alias("pair_id"), _name(F.col("o_orderkey")).alias("name_a"), F.lit("Enone").alias("name_b")))
+    known = o.where("o_orderkey % 100 = 0").select(
+        F.col("o_orderkey").alias("pair_id"), _name(F.col("o_orderkey")).alias("name_a"),
+        _name(F.col("o_custkey")).alias("name_b")
+    )
+    return known.unionByName(
+        o.where("o_orderkey % 100 = 1").select(
+            F.col("o_orderkey").alias("pair_id"), _name(F.col("o_orderkey")).alias("name_a"), F.lit("Enone").alias("name_b")
+        )
+    )
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, question: about pairs, single entities, an attribute, and free text."""
-    p = pairs(spark, sf_dir).select(F.concat(F.lit("p"), F.col("pair_id").cast("string")).alias("question_id"), F.concat(F.lit("How does "), "name_a", F.lit(" relate to "), "name_b", F.lit("?")).alias("question"))
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("question_id"), F.concat(F.lit("Which nation facts does "), _name(F.col("c_custkey")), F.lit(" have?")).alias("question"))
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("a"), F.col("n_nationkey").cast("string")).alias("question_id"), F.lit("What can the nationkey attribute point to?").alias("question"))
-    t = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat(F.lit("v"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("question_id"), F.col("text").alias("question"))
+    p = pairs(spark, sf_dir).select(
+        F.concat(F.lit("p"), F.col("pair_id").cast("string")).alias("question_id"),
+        F.concat(F.lit("How does "), "name_a", F.lit(" relate to "), "name_b", F.lit("?")).alias("question")
+    )
+    c = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("question_id"),
+        F.concat(F.lit("Which nation facts does "), _name(F.col("c_custkey")), F.lit(" have?")).alias("question")
+    )
+    n = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("a"), F.col("n_nationkey").cast("string")).alias("question_id"),
+        F.lit("What can the nationkey attribute point to?").alias("question")
+    )
+    t = table(spark, sf_dir, "conversations").where("role = 'user'").select(
+        F.concat(F.lit("v"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("question_id"),
+        F.col("text").alias("question")
+    )
     return p.unionByName(c).unionByName(n).unionByName(t)
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """number, category, question, answer, manual, run_ts: assistant turns as runs of an evaluation."""
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
-        F.col("conv_id").alias("number"), F.concat(F.lit("cat"), (F.col("conv_id") % 9).cast("string")).alias("category"), F.concat(F.lit("Question "), F.col("conv_id").cast("string")).alias("question"),
+        F.col("conv_id").alias("number"), F.concat(
+            F.lit("cat"), (F.col("conv_id") % 9).cast("string")
+        ).alias("category"), F.concat(F.lit("Question "), F.col("conv_id").cast("string")).alias("question"),
         F.col("text").alias("answer"), (F.col("conv_id") % 4 == 3).alias("manual"), F.col("turn").alias("run_ts"),
     )

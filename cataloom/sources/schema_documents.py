@@ -14,7 +14,10 @@ SHAPE = "imports array<struct<corpusPath:string,moniker:string>>, definitions ar
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     """(path, json) of all files below a folder; paths are relative to it."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_replace("_metadata.file_path", "^.*?" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"), F.col("value").alias("json"))
+    return files.select(
+        F.regexp_replace("_metadata.file_path", "^.*?" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"),
+        F.col("value").alias("json")
+    )
 
 
 def parsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +33,10 @@ def entity_documents(docs: DataFrame) -> DataFrame:
 def imports(good: DataFrame) -> DataFrame:
     """doc, ord, target_doc, moniker, in the order of declaration."""
     rows = good.select("path", F.posexplode("doc.imports").alias("ord", "i"))
-    return rows.select(F.col("path").alias("doc"), "ord", joined(dirname(F.col("path")), F.col("i.corpusPath")).alias("target_doc"), F.col("i.moniker").alias("moniker"))
+    return rows.select(
+        F.col("path").alias("doc"), "ord", joined(dirname(F.col("path")), F.col("i.corpusPath")).alias("target_doc"),
+        F.col("i.moniker").alias("moniker")
+    )
 
 
 def definitions(good: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +45,10 @@ def definitions(good: DataFrame) -> tuple[DataFrame, DataFrame]:
     field = lambda p: F.get_json_object("json", p)
     entity = rows.withColumn("name", field("$.entityName")).where("name is not null")
     entity = entity.groupBy("doc", "name").agg(F.max_by("json", "ord").alias("json"))
-    extends = F.coalesce(F.when(~F.startswith(field("$.extendsEntity"), F.lit("{")), field("$.extendsEntity")), field("$.extendsEntity.entityReference"))
+    extends = F.coalesce(
+        F.when(~F.startswith(field("$.extendsEntity"), F.lit("{")), field("$.extendsEntity")),
+        field("$.extendsEntity.entityReference")
+    )
     group = rows.withColumn("name", field("$.attributeGroupName")).where("name is not null").groupBy("doc", "name").agg(F.max_by("json", "ord").alias("json"))
     return entity.select("doc", "name", extends.alias("extends"), field("$.description").alias("description"), "json"), group
 
@@ -50,8 +59,12 @@ def manifest_relationships(good: DataFrame) -> DataFrame:
     last = lambda c: F.substring_index(c, "/", -1)
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
     return rows.select(
-        joined(dirname(F.col("path")), folder(F.col("r.fromEntity"))).alias("document"), last("r.fromEntity").alias("entity"), F.col("r.fromEntityAttribute").alias("fk"),
-        joined(dirname(F.col("path")), folder(F.col("r.toEntity"))).alias("target_doc"), last("r.toEntity").alias("target_entity"), F.col("r.toEntityAttribute").alias("target_attribute"),
+        joined(
+            dirname(F.col("path")), folder(F.col("r.fromEntity"))
+        ).alias("document"), last("r.fromEntity").alias("entity"), F.col("r.fromEntityAttribute").alias("fk"),
+        joined(
+            dirname(F.col("path")), folder(F.col("r.toEntity"))
+        ).alias("target_doc"), last("r.toEntity").alias("target_entity"), F.col("r.toEntityAttribute").alias("target_attribute"),
         F.coalesce("r.exhibitsTraits", F.array().cast("array<string>")).alias("traits"),
     )
 
@@ -67,10 +80,14 @@ AUDIT = ("createdById",)
 
 def _fk(name: str, fk: str, target: str | Column, identifier: Column | None = None) -> Column:
     reference = F.lit(target) if isinstance(target, str) else target
-    traits = [] if identifier is None else [F.array(F.struct(F.lit("is.identifiedBy").alias("traitReference"), F.array(identifier).alias("arguments"))).alias("appliedTraits")]
+    traits = [] if identifier is None else [
+        F.array(F.struct(F.lit("is.identifiedBy").alias("traitReference"), F.array(identifier).alias("arguments"))).alias("appliedTraits")
+    ]
     return F.struct(
         F.lit(name).alias("name"), F.struct(reference.alias("entityReference"), *traits).alias("entity"),
-        F.struct(F.struct(F.struct(F.lit(fk).alias("name")).alias("foreignKeyAttribute")).alias("entityByReference")).alias("resolutionGuidance"),
+        F.struct(
+            F.struct(F.struct(F.lit(fk).alias("name")).alias("foreignKeyAttribute")).alias("entityByReference")
+        ).alias("resolutionGuidance"),
     )
 
 
@@ -93,7 +110,9 @@ def from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = part.select("p_type").distinct().select("p_type", (F.row_number().over(Window.orderBy("p_type")) - 1).alias("i"))  # a handful of types
     number = F.regexp_extract("p_brand", r"(\d+)", 1)
     text = lambda *cols: F.to_json(F.struct(*cols))
-    imp = lambda path, moniker=None: F.struct(path.alias("corpusPath"), (F.lit(None).cast("string") if moniker is None else moniker).alias("moniker"))
+    imp = lambda path, moniker=None: F.struct(
+        path.alias("corpusPath"), (F.lit(None).cast("string") if moniker is None else moniker).alias("moniker")
+    )
     name = F.concat(F.lit("T"), F.col("i").cast("string"))
     size = '{"name":"size","dataType":"integer"}'
 
@@ -105,31 +124,65 @@ def from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit('{"imports":'), F.to_json(imports_), F.lit(',"definitions":['), F.concat_ws(",", *defs), F.lit("]}"))
 
     std, t0 = imp(F.lit("/std.cdm.json")), imp(F.lit("/types/T0.cdm.json"))
-    type_docs = types.select(F.concat(F.lit("types/"), name, F.lit(".cdm.json")).alias("path"), document(F.when(F.col("i") == 0, F.array(std)).otherwise(F.array(std, t0)), entity(name, F.lit("CdsStandard"), F.lit(size), F.to_json(_fk("regarding", "regardingId", "T0")), F.lit(BOX), F.lit(GHOST), F.lit('"lostGroup"'))).alias("json"))
-    hub = types.groupBy().agg(F.array_sort(F.collect_list(imp(F.concat(F.lit("/types/"), name, F.lit(".cdm.json")), F.concat(F.lit("base_"), name)))).alias("all"))
+    type_docs = types.select(
+        F.concat(F.lit("types/"), name, F.lit(".cdm.json")).alias("path"),
+        document(
+            F.when(F.col("i") == 0, F.array(std)).otherwise(F.array(std, t0)),
+            entity(
+                name, F.lit("CdsStandard"), F.lit(size), F.to_json(_fk("regarding", "regardingId", "T0")), F.lit(BOX),
+                F.lit(GHOST), F.lit('"lostGroup"')
+            )
+        ).alias("json")
+    )
+    hub = types.groupBy().agg(
+        F.array_sort(F.collect_list(imp(F.concat(F.lit("/types/"), name, F.lit(".cdm.json")), F.concat(F.lit("base_"), name)))).alias("all")
+    )
     hub = hub.select(F.lit("brands/_allImports.cdm.json").alias("path"), document(F.concat(F.array(std), "all")).alias("json"))
     brands = part.groupBy(number.alias("b")).agg(F.min("p_type").alias("p_type")).join(types, "p_type")
     inline = '{"name":"regarding","entity":{"entityReference":{"entityName":"either","hasAttributes":[{"name":"a","entity":{"entityReference":"T0"}},{"name":"b","entity":{"entityReference":"T1"}}]}},"resolutionGuidance":{"entityByReference":{}}}'
     brand_name = F.concat(F.lit("B"), "b")
-    brand_docs = brands.select(F.concat(F.lit("brands/"), brand_name, F.lit(".cdm.json")).alias("path"), document(F.array(imp(F.lit("_allImports.cdm.json")), t0), entity(brand_name, F.concat(F.lit("base_"), name, F.lit("/"), name), F.lit('{"name":"retail","dataType":{"dataTypeReference":"decimal"}}'), F.lit(inline))).alias("json"))
+    brand_docs = brands.select(
+        F.concat(F.lit("brands/"), brand_name, F.lit(".cdm.json")).alias("path"),
+        document(
+            F.array(imp(F.lit("_allImports.cdm.json")), t0),
+            entity(
+                brand_name, F.concat(F.lit("base_"), name, F.lit("/"), name),
+                F.lit('{"name":"retail","dataType":{"dataTypeReference":"decimal"}}'), F.lit(inline)
+            )
+        ).alias("json")
+    )
     key, brand = F.col("p_partkey").cast("string"), F.concat(F.lit("B"), number)
     target = F.concat(F.lit("T"), (F.col("p_size") % 6).cast("string"))
     part_json = document(
         F.array(imp(F.concat(F.lit("/brands/"), brand, F.lit(".cdm.json"))), std),
-        entity(F.concat(F.lit("P"), key), brand, F.lit('{"name":"size","dataType":"integer","description":"Own size."}'), F.to_json(_fk("alt", "altId", target, F.concat(target, F.lit("/(resolvedAttributes)/typeId")))), F.when(F.col("p_partkey") % 10 == 0, F.to_json(_fk("createdBy", "createdById", "User")))),
+        entity(
+            F.concat(F.lit("P"), key), brand, F.lit('{"name":"size","dataType":"integer","description":"Own size."}'),
+            F.to_json(_fk("alt", "altId", target, F.concat(target, F.lit("/(resolvedAttributes)/typeId")))),
+            F.when(F.col("p_partkey") % 10 == 0, F.to_json(_fk("createdBy", "createdById", "User")))
+        ),
     )
     part_docs = part.select(F.concat(F.lit("parts/P"), key, F.lit(".cdm.json")).alias("path"), part_json.alias("json"))
-    versioned = part.where("p_partkey % 50 = 0").select(F.concat(F.lit("parts/P"), key, F.lit(".1.0.cdm.json")).alias("path"), part_json.alias("json"))
-    bad = part.where("p_partkey % 500 = 0").select(F.concat(F.lit("bad/"), key, F.lit(".cdm.json")).alias("path"), F.lit('{"imports": [').alias("json"))
+    versioned = part.where("p_partkey % 50 = 0").select(
+        F.concat(F.lit("parts/P"), key, F.lit(".1.0.cdm.json")).alias("path"), part_json.alias("json")
+    )
+    bad = part.where("p_partkey % 500 = 0").select(
+        F.concat(F.lit("bad/"), key, F.lit(".cdm.json")).alias("path"), F.lit('{"imports": [').alias("json")
+    )
     relation = F.struct(
-        F.concat(F.lit("P"), key, F.lit(".cdm.json/P"), key).alias("fromEntity"), F.lit("altId").alias("fromEntityAttribute"), F.concat(F.lit("/types/"), target, F.lit(".cdm.json/"), target).alias("toEntity"),
+        F.concat(F.lit("P"), key, F.lit(".cdm.json/P"), key).alias("fromEntity"), F.lit("altId").alias("fromEntityAttribute"), F.concat(
+            F.lit("/types/"), target, F.lit(".cdm.json/"), target
+        ).alias("toEntity"),
         F.lit("typeId").alias("toEntityAttribute"), F.array(F.lit("means.relation")).alias("exhibitsTraits"),
     )
     # Not versioned, whatever it looks like; and not a hub of imports.
-    notes = part.where("p_partkey % 100 = 0").select(F.concat(F.lit("notes/N"), key, F.lit(".1.cdm.json")).alias("path"), F.lit(EMPTY).alias("json"))
+    notes = part.where("p_partkey % 100 = 0").select(
+        F.concat(F.lit("notes/N"), key, F.lit(".1.cdm.json")).alias("path"), F.lit(EMPTY).alias("json")
+    )
     notes = notes.unionByName(spark.range(1).select(F.lit("notes/_shared.cdm.json").alias("path"), F.lit(EMPTY).alias("json")))
     manifests = part.where("p_partkey % 3 = 0").groupBy(brand.alias("b")).agg(F.collect_list(relation).alias("relationships"))
-    manifests = manifests.select(F.concat(F.lit("parts/"), "b", F.lit(".manifest.cdm.json")).alias("path"), text("relationships").alias("json"))
+    manifests = manifests.select(
+        F.concat(F.lit("parts/"), "b", F.lit(".manifest.cdm.json")).alias("path"), text("relationships").alias("json")
+    )
     standard = spark.range(1).select(F.lit("std.cdm.json").alias("path"), F.lit(STANDARD).alias("json"))
     out = standard
     for d in (type_docs, hub, brand_docs, part_docs, versioned, bad, notes, manifests):

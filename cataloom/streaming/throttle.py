@@ -45,7 +45,9 @@ def admitted(log: DataFrame, limit: int, window_seconds: int = 3600) -> DataFram
                 flags += _decide(_seconds(part["ts"]), held, limit, window_seconds)
             yield batch.assign(admitted=flags)
 
-    ordered = log.select("event_id", F.col("key").cast("string").alias("key"), "ts").repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    ordered = log.select(
+        "event_id", F.col("key").cast("string").alias("key"), "ts"
+    ).repartition("key").sortWithinPartitions("key", "ts", "event_id")
     return ordered.mapInPandas(run, OUTPUT)
 
 

@@ -22,23 +22,57 @@ CORPUS = {
         {"attributeGroupName": "stamps", "members": [{"name": "createdOn", "dataType": "dateTime"}, "audit"]},
         {"entityName": "CdsStandard", "extendsEntity": "CdmEntity", "hasAttributes": [{"attributeGroupReference": "audit"}]},
     ]},
-    "base/Thing.cdm.json": {"imports": [{"corpusPath": "/std.cdm.json"}], "definitions": [{"entityName": "Thing", "extendsEntity": "CdsStandard", "hasAttributes": [{"name": "label", "dataType": "string"}, fk("regarding", "Thing", "regardingId")]}]},
+    "base/Thing.cdm.json": {
+        "imports": [{"corpusPath": "/std.cdm.json"}],
+        "definitions": [
+            {
+                "entityName": "Thing", "extendsEntity": "CdsStandard",
+                "hasAttributes": [{"name": "label", "dataType": "string"}, fk("regarding", "Thing", "regardingId")]
+            }
+        ]
+    },
     "hub.cdm.json": {"imports": [{"corpusPath": "base/Thing.cdm.json", "moniker": "base_Thing"}], "definitions": []},
-    "app/Thing.cdm.json": {"imports": [{"corpusPath": "../hub.cdm.json"}, {"corpusPath": "/std.cdm.json"}], "definitions": [{"entityName": "Thing", "extendsEntity": {"entityReference": "base_Thing/Thing"}, "hasAttributes": [fk("regarding", "Thing", None)]}]},
+    "app/Thing.cdm.json": {
+        "imports": [{"corpusPath": "../hub.cdm.json"}, {"corpusPath": "/std.cdm.json"}],
+        "definitions": [
+            {
+                "entityName": "Thing", "extendsEntity": {"entityReference": "base_Thing/Thing"},
+                "hasAttributes": [fk("regarding", "Thing", None)]
+            }
+        ]
+    },
     "app/Leaf.cdm.json": {"imports": [{"corpusPath": "Thing.cdm.json"}, {"corpusPath": "Leaf.cdm.json"}], "definitions": [
         {"entityName": "Leaf", "hasAttributes": []},
-        {"entityName": "Leaf", "extendsEntity": "Thing", "hasAttributes": [{"name": "label", "dataType": "string"}, {"name": "createdBy", "dataType": "string"}, {"name": "many", "entity": {"entityReference": {"entityName": "any", "hasAttributes": [fk("a", "A"), fk("b", "B"), fk("c", "A")]}}, "resolutionGuidance": {"entityByReference": {}}}, {"name": "plain", "entity": {"entityReference": "A"}}]},
-        {"entityName": "Orphan", "extendsEntity": "Nowhere", "hasAttributes": [{"name": "x", "dataType": {"dataTypeReference": "integer"}}]}, {"other": 1},
+        {
+            "entityName": "Leaf", "extendsEntity": "Thing",
+            "hasAttributes": [
+                {"name": "label", "dataType": "string"}, {"name": "createdBy", "dataType": "string"},
+                {
+                    "name": "many",
+                    "entity": {"entityReference": {"entityName": "any", "hasAttributes": [fk("a", "A"), fk("b", "B"), fk("c", "A")]}},
+                    "resolutionGuidance": {"entityByReference": {}}
+                },
+                {"name": "plain", "entity": {"entityReference": "A"}}
+            ]
+        },
+        {
+            "entityName": "Orphan", "extendsEntity": "Nowhere",
+            "hasAttributes": [{"name": "x", "dataType": {"dataTypeReference": "integer"}}]
+        }, {"other": 1},
     ]},
     "app/Leaf.1.5.cdm.json": {"imports": [], "definitions": []},
     "app/_allImports.cdm.json": {"imports": [], "definitions": []},
-    "app/m.manifest.cdm.json": {"relationships": [{"fromEntity": "Leaf.cdm.json/Leaf", "fromEntityAttribute": "labelId", "toEntity": "/base/Thing.cdm.json/Thing"}]},
+    "app/m.manifest.cdm.json": {
+        "relationships": [{"fromEntity": "Leaf.cdm.json/Leaf", "fromEntityAttribute": "labelId", "toEntity": "/base/Thing.cdm.json/Thing"}]
+    },
 }
 
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    rows = [(k, json.dumps(v)) for k, v in CORPUS.items()] + [("bad.cdm.json", '{"imports": ['), ("list.cdm.json", "[1]"), ("empty.cdm.json", "")]
+    rows = [(k, json.dumps(v)) for k, v in CORPUS.items()] + [
+        ("bad.cdm.json", '{"imports": ['), ("list.cdm.json", "[1]"), ("empty.cdm.json", "")
+    ]
     good, bad = S.parsed(spark.createDataFrame(rows, "path string, json string"))
     entities, groups = S.definitions(good)
     imports = S.imports(good)
@@ -57,8 +91,12 @@ def test_reading_a_tree(spark, tmp_path):
 
 
 def test_entity_documents_and_seeds(corpus):
-    assert {r.path for r in S.entity_documents(corpus["good"]).collect()} == {"std.cdm.json", "base/Thing.cdm.json", "hub.cdm.json", "app/Thing.cdm.json", "app/Leaf.cdm.json"}
-    assert {(r.doc, r.name) for r in S.seeds(corpus["entities"], "app").collect()} == {("app/Thing.cdm.json", "Thing"), ("app/Leaf.cdm.json", "Leaf"), ("app/Leaf.cdm.json", "Orphan")}
+    assert {r.path for r in S.entity_documents(corpus["good"]).collect()} == {
+        "std.cdm.json", "base/Thing.cdm.json", "hub.cdm.json", "app/Thing.cdm.json", "app/Leaf.cdm.json"
+    }
+    assert {(r.doc, r.name) for r in S.seeds(corpus["entities"], "app").collect()} == {
+        ("app/Thing.cdm.json", "Thing"), ("app/Leaf.cdm.json", "Leaf"), ("app/Leaf.cdm.json", "Orphan")
+    }
 
 
 def test_manifest_paths(corpus):
@@ -72,9 +110,19 @@ def test_closure_is_depth_first_and_ends_on_cycles(corpus):
 
 
 def test_names_and_monikers(spark, corpus):
-    asked = spark.createDataFrame([("app/Leaf.cdm.json", "Thing"), ("app/Leaf.cdm.json", "base_Thing/Thing"), ("app/Leaf.cdm.json", "None"), ("base/Thing.cdm.json", "Thing"), ("app/Leaf.cdm.json", "nope/Thing")], "doc string, wanted string")
+    asked = spark.createDataFrame(
+        [
+            ("app/Leaf.cdm.json", "Thing"), ("app/Leaf.cdm.json", "base_Thing/Thing"), ("app/Leaf.cdm.json", "None"),
+            ("base/Thing.cdm.json", "Thing"), ("app/Leaf.cdm.json", "nope/Thing")
+        ],
+        "doc string, wanted string"
+    )
     found = {(r.doc, r.wanted): r.found_doc for r in N.resolve(asked, corpus["closures"], corpus["imports"], corpus["entities"]).collect()}
-    assert found == {("app/Leaf.cdm.json", "Thing"): "app/Thing.cdm.json", ("app/Leaf.cdm.json", "base_Thing/Thing"): "base/Thing.cdm.json", ("app/Leaf.cdm.json", "None"): None, ("base/Thing.cdm.json", "Thing"): "base/Thing.cdm.json", ("app/Leaf.cdm.json", "nope/Thing"): None}
+    assert found == {
+        ("app/Leaf.cdm.json", "Thing"): "app/Thing.cdm.json", ("app/Leaf.cdm.json", "base_Thing/Thing"): "base/Thing.cdm.json",
+        ("app/Leaf.cdm.json", "None"): None, ("base/Thing.cdm.json", "Thing"): "base/Thing.cdm.json",
+        ("app/Leaf.cdm.json", "nope/Thing"): None
+    }
 
 
 def test_groups_expand_once_around_a_cycle(corpus):
@@ -85,15 +133,25 @@ def test_groups_expand_once_around_a_cycle(corpus):
 
 def test_inheritance_override_and_placeholder(corpus):
     flat = N.flattened(corpus["entities"], corpus["groups"])
-    own = N.expanded(flat, corpus["closures"], corpus["imports"], corpus["groups"]).select(F.concat("doc", F.lit("#"), "owner").alias("entity_id"), "ord", "home", "name", "data_type", "fk_name", "fk_targets", "description")
+    own = N.expanded(flat, corpus["closures"], corpus["imports"], corpus["groups"]).select(
+        F.concat("doc", F.lit("#"), "owner").alias("entity_id"), "ord", "home", "name", "data_type", "fk_name", "fk_targets",
+        "description"
+    )
     parents = N.parents(corpus["entities"], corpus["closures"], corpus["imports"])
     chain = H.chains(parents)
     leaf = "app/Leaf.cdm.json#Leaf"
-    assert [r.ancestor_id for r in chain.where(F.col("entity_id") == leaf).orderBy("depth").collect()] == [leaf, "app/Thing.cdm.json#Thing", "base/Thing.cdm.json#Thing", "std.cdm.json#CdsStandard"]
+    assert [
+        r.ancestor_id for r in chain.where(F.col("entity_id") == leaf).orderBy("depth").collect()
+    ] == [leaf, "app/Thing.cdm.json#Thing", "base/Thing.cdm.json#Thing", "std.cdm.json#CdsStandard"]
     std = F.col("ancestor_id") == "std.cdm.json#CdsStandard"
-    standard = chain.where(std).select("entity_id").withColumn("name", F.explode(F.array(*map(F.lit, ("createdBy", "createdOn", "createdById")))))
+    standard = chain.where(std).select("entity_id").withColumn(
+        "name", F.explode(F.array(*map(F.lit, ("createdBy", "createdOn", "createdById"))))
+    )
     found = H.resolved(own, chain, standard, std).where(F.col("entity_id") == leaf).orderBy("pos").collect()
-    assert [(r.name, r.origin, r.inlined) for r in found] == [("createdOn", "standard", False), ("regarding", "inherited", False), ("label", "own", False), ("createdBy", "standard", True), ("many", "own", False), ("plain", "own", False)]
+    assert [(r.name, r.origin, r.inlined) for r in found] == [
+        ("createdOn", "standard", False), ("regarding", "inherited", False), ("label", "own", False),
+        ("createdBy", "standard", True), ("many", "own", False), ("plain", "own", False)
+    ]
     assert next(r for r in found if r.name == "regarding").fk_name == "regardingId"
     assert [r.wanted for r in parents.where("parent_id is null and wanted is not null").collect()] == ["Nowhere"]
 
@@ -101,19 +159,33 @@ def test_inheritance_override_and_placeholder(corpus):
 def test_relationships(spark, corpus):
     direct = R.extracted(N.fk_nodes(corpus["entities"]))
     found = {(r.document, r.attribute): (r.fk_name, [t.entity for t in r.targets]) for r in direct.collect()}
-    assert found == {("base/Thing.cdm.json", "regarding"): ("regardingId", ["Thing"]), ("app/Thing.cdm.json", "regarding"): ("id", ["Thing"]), ("app/Leaf.cdm.json", "many"): ("id", ["A", "B"])} | {("app/Leaf.cdm.json", n): ("xId", [t]) for n, t in zip("abc", "ABA")}
-    base = spark.createDataFrame([("app/Thing.cdm.json", "Thing", "regarding", "regardingId")], "document string, entity string, attribute string, base_fk string")
+    assert found == {
+        ("base/Thing.cdm.json", "regarding"): ("regardingId", ["Thing"]), ("app/Thing.cdm.json", "regarding"): ("id", ["Thing"]),
+        ("app/Leaf.cdm.json", "many"): ("id", ["A", "B"])
+    } | {("app/Leaf.cdm.json", n): ("xId", [t]) for n, t in zip("abc", "ABA")}
+    base = spark.createDataFrame(
+        [("app/Thing.cdm.json", "Thing", "regarding", "regardingId")],
+        "document string, entity string, attribute string, base_fk string"
+    )
     named = {(r.document, r.attribute): (r.fk_name, r.fk_inferred) for r in R.canonical(direct, base).collect()}
     assert named["app/Thing.cdm.json", "regarding"] == ("regardingId", False) and named["app/Leaf.cdm.json", "many"] == ("manyId", True)
 
 
 def test_merge_and_seed_rule(spark):
-    a = spark.createDataFrame([("d", "e", "f", [("X", "k")], ["t1"], ["s1"], True, "", None, "d")], f"document string, entity string, fk_name string, targets {R.TARGETS}, traits array<string>, sources array<string>, fk_inferred boolean, attribute string, inherited_from string, resolve_from string")
+    a = spark.createDataFrame(
+        [("d", "e", "f", [("X", "k")], ["t1"], ["s1"], True, "", None, "d")],
+        f"document string, entity string, fk_name string, targets {R.TARGETS}, traits array<string>, sources array<string>, fk_inferred boolean, attribute string, inherited_from string, resolve_from string"
+    )
     b = spark.createDataFrame([("d", "e", "f", [("Y", None), ("X", "k")], None, ["s2"], False, "attr", "base#B", "base")], a.schema)
     row = R.merged(a, b).first()
-    assert ([tuple(t) for t in row.targets], row.traits, row.sources, row.fk_inferred, row.attribute) == ([("X", "k"), ("Y", None)], ["t1"], ["s1", "s2"], False, "attr")
+    assert (
+        [tuple(t) for t in row.targets], row.traits, row.sources, row.fk_inferred, row.attribute
+    ) == ([("X", "k"), ("Y", None)], ["t1"], ["s1", "s2"], False, "attr")
     assert (row.inherited_from, row.resolve_from) == ("base#B", "d")
-    wanted = spark.createDataFrame([("d", "Party", "lib#Party"), ("d", "m/Party", "lib#Party"), ("d", "Two", None)], "document string, target string, import_id string")
+    wanted = spark.createDataFrame(
+        [("d", "Party", "lib#Party"), ("d", "m/Party", "lib#Party"), ("d", "Two", None)],
+        "document string, target string, import_id string"
+    )
     seeds = spark.createDataFrame([("seed", "Party"), ("s1", "Two"), ("s2", "Two")], "doc string, name string")
     found = {r.target: (r.chosen_id, r.resolved_by) for r in R.chosen_targets(wanted, seeds).collect()}
     assert found == {"Party": ("seed#Party", "seed_layer"), "m/Party": ("lib#Party", "import_order"), "Two": (None, None)}
@@ -121,9 +193,13 @@ def test_merge_and_seed_rule(spark):
 
 
 def test_deep_chains_and_imports_are_followed_to_their_end(spark):
-    nodes = spark.createDataFrame([(f"e{i:02d}", f"e{i + 1:02d}" if i < 35 else None) for i in range(36)], "entity_id string, parent_id string")
+    nodes = spark.createDataFrame(
+        [(f"e{i:02d}", f"e{i + 1:02d}" if i < 35 else None) for i in range(36)], "entity_id string, parent_id string"
+    )
     assert H.chains(nodes).where("entity_id = 'e00'").count() == 36
-    imports = spark.createDataFrame([(f"d{i:02d}", 0, f"d{i + 1:02d}", None) for i in range(35)], "doc string, ord int, target_doc string, moniker string")
+    imports = spark.createDataFrame(
+        [(f"d{i:02d}", 0, f"d{i + 1:02d}", None) for i in range(35)], "doc string, ord int, target_doc string, moniker string"
+    )
     found = N.closure(spark.createDataFrame([("d00",)], "doc string"), imports).collect()
     assert sorted((r["rank"], r.doc) for r in found) == [(i, f"d{i:02d}") for i in range(36)]
 
@@ -133,7 +209,9 @@ def test_a_diamond_of_imports_has_one_row_a_document_and_round(spark):
     imports = spark.createDataFrame(rows, "doc string, ord int, target_doc string, moniker string")
     found = {r.doc: r["rank"] for r in N.closure(spark.createDataFrame([("d00x",)], "doc string"), imports).collect()}
     # Depth first: down the x side, then each y on the way back up.
-    assert len(found) == 61 and [d for d, _ in sorted(found.items(), key=lambda x: x[1])] == [f"d{i:02d}x" for i in range(31)] + [f"d{i:02d}y" for i in range(30, 0, -1)]
+    assert len(found) == 61 and [
+        d for d, _ in sorted(found.items(), key=lambda x: x[1])
+    ] == [f"d{i:02d}x" for i in range(31)] + [f"d{i:02d}y" for i in range(30, 0, -1)]
 
 
 def test_groups_nested_deeply_are_expanded(spark):
@@ -148,24 +226,51 @@ def test_groups_nested_deeply_are_expanded(spark):
 
 def test_keys_at_any_depth_are_edges_and_hollow_ones_are_counted(spark):
     inner = fk("inner", "T", "innerKey")
-    doc = {"entityName": "E", "hasAttributes": [{"name": "box", "holds": {"deep": [inner]}}, fk("ghost", {"entityName": "none", "hasAttributes": []}), {"name": "named", "entity": {"entityReference": "U", "appliedTraits": [{"traitReference": "is.identifiedBy", "arguments": ["U/(resolvedAttributes)/uId"]}]}, "resolutionGuidance": {"entityByReference": {}}}]}
+    doc = {
+        "entityName": "E",
+        "hasAttributes": [
+            {"name": "box", "holds": {"deep": [inner]}}, fk("ghost", {"entityName": "none", "hasAttributes": []}),
+            {
+                "name": "named",
+                "entity": {
+                    "entityReference": "U",
+                    "appliedTraits": [{"traitReference": "is.identifiedBy", "arguments": ["U/(resolvedAttributes)/uId"]}]
+                },
+                "resolutionGuidance": {"entityByReference": {}}
+            }
+        ]
+    }
     nodes = N.fk_nodes(spark.createDataFrame([("d", "E", json.dumps(doc))], "doc string, name string, json string"))
-    assert [(r.attribute, r.fk_name, [tuple(t) for t in r.targets]) for r in R.extracted(nodes).collect()] == [("inner", "innerKey", [("T", None)]), ("named", "id", [("U", "uId")])]
+    assert [
+        (r.attribute, r.fk_name, [tuple(t) for t in r.targets]) for r in R.extracted(nodes).collect()
+    ] == [("inner", "innerKey", [("T", None)]), ("named", "id", [("U", "uId")])]
     assert [tuple(r) for r in R.skipped(nodes).collect()] == [("d", "E", 1)]
 
 
 def test_standard_fields_by_key_name_and_audit_keys(spark):
     types = f"entity_id string, ord int, name string, data_type string, fk_name string, fk_targets {R.TARGETS}, description string"
-    own = spark.createDataFrame([("e", 0, "maker", "entity", "createdById", [("user", None)], None), ("e", 1, "owner", "entity", "ownerId", [("user", None)], None), ("e", 2, "bank", "entity", "bankId", [("Bank", None)], None)], types)
+    own = spark.createDataFrame(
+        [
+            ("e", 0, "maker", "entity", "createdById", [("user", None)], None),
+            ("e", 1, "owner", "entity", "ownerId", [("user", None)], None),
+            ("e", 2, "bank", "entity", "bankId", [("Bank", None)], None)
+        ],
+        types
+    )
     chain = spark.createDataFrame([("e", "e", 0)], "entity_id string, ancestor_id string, depth int")
     standard = spark.createDataFrame([("e", "createdById")], "entity_id string, name string")
     found = H.resolved(own, chain, standard)
-    assert {(r.name, r.origin, r.inlined) for r in found.collect()} == {("maker", "standard", True), ("owner", "own", False), ("bank", "own", False)}
+    assert {(r.name, r.origin, r.inlined) for r in found.collect()} == {
+        ("maker", "standard", True), ("owner", "own", False), ("bank", "own", False)
+    }
     assert [r.name for r in H.attribute_details(found).collect()] == ["bank"]
 
 
 def test_documents_that_look_versioned(spark):
-    names = ["Account.cdm.json", "Account.1.cdm.json", "Account.1.5.cdm.json", "Account.1.5.2.cdm.json", "_allImports.cdm.json", "_other.cdm.json", "x.manifest.cdm.json", "a.json"]
+    names = [
+        "Account.cdm.json", "Account.1.cdm.json", "Account.1.5.cdm.json", "Account.1.5.2.cdm.json", "_allImports.cdm.json",
+        "_other.cdm.json", "x.manifest.cdm.json", "a.json"
+    ]
     kept = S.entity_documents(spark.createDataFrame([(f"f/{n}",) for n in names], "path string")).collect()
     assert {r.path for r in kept} == {"f/Account.cdm.json", "f/Account.1.cdm.json", "f/_other.cdm.json"}
 
