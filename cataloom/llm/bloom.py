@@ -6,6 +6,8 @@ become too full lets rows pass, which the join behind it drops.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +25,14 @@ def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (a & K.U(bits - 1)).astype(np.int64), ((a >> K.U(32)) & K.U(bits - 1)).astype(np.int64)
 
 
-def build(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bitmap (uint8, packed) of the single long column of ``keys``."""
+def build(keys: DataFrame, bits: int = BITS, key_of: Callable = lambda column: column) -> np.ndarray:
+    """Bitmap (uint8, packed) of the keys that ``key_of`` makes of the long columns of ``keys``."""
 
     def fill(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = np.concatenate(_slots(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            at = np.concatenate(_slots(key_of(*(x.to_numpy(zero_copy_only=False) for x in batch.columns)), bits))
             at.sort()
             first = np.flatnonzero(np.concatenate([[True], at[1:] >> 6 != at[:-1] >> 6])) if len(at) else at
             word = np.bitwise_or.reduceat(K.U(1) << (at & 63).astype(np.uint64), first) if len(at) else at.astype(np.uint64)
@@ -58,13 +60,16 @@ def build(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     return out[: bits // 64].view(np.uint8)
 
 
-def sized(keys: DataFrame, most_bits: int = 1 << 28) -> np.ndarray:
-    """A filter with some 12 bits a key, 1 to 32 MB: right for some twenty million keys. Beyond that it passes more and more, and the join behind it deals rows by key."""
+def sized(keys: DataFrame, most_bits: int = 1 << 28, key_of: Callable = lambda column: column) -> np.ndarray:
+    """A filter with some 12 bits a key, 1 to 32 MB: right for some twenty million keys.
+
+    Beyond that it passes more and more, and the join behind it deals rows by key.
+    """
     bits = BITS
     wanted = 12 * keys.count()
     while bits < min(wanted, most_bits):
         bits *= 2
-    return build(keys, bits)
+    return build(keys, bits, key_of)
 
 
 def hits(bitmap, key: str):

@@ -50,7 +50,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of rows that go to Python at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(docs: DataFrame) -> DataFrame:
@@ -65,14 +65,21 @@ _resident: dict[str, object] = {}
 def resident(key: str, build):
     """A large table that a worker keeps for its next tasks; a worker holds one at a time, the newest."""
     if key not in _resident:
-        _resident.clear()
+        drop_resident()
         _resident[key] = build()
     return _resident[key]
 
 
 def drop_resident() -> None:
-    """Free what :func:`resident` keeps, before work that needs the memory."""
+    """Free what :func:`resident` keeps, and give freed memory back, before work that needs it."""
+    import ctypes
+
     _resident.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps it for later
 
 
 def slices(column: pa.Array, max_bytes: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

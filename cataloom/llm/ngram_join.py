@@ -79,6 +79,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.drop_resident()
         seen: set[int] = set()
         for batch in batches:
             n, ids, parts = [], [], []

@@ -139,6 +139,7 @@ def _ranges(doc, start, end) -> pa.RecordBatch:
 
 
 def _first_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    K.drop_resident()
     for batch in batches:
         doc, a, s_lo, s_hi, ah, ph = _batch_pieces(batch)
         order = np.lexsort((a, doc, ph))
@@ -297,14 +298,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     met = materialize(firsts.mapInArrow(_by_anchor, ROWS), "passages")
     asked = met.where("lo >= 0").select("doc", "pos")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place_key(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))],
-                ["place"]
-            )
-
-    shared = spark.sparkContext.broadcast(bloom.sized(asked.mapInArrow(keys, "place long")))
+    shared = spark.sparkContext.broadcast(bloom.sized(asked, key_of=place_key))
     sent = texts.mapInArrow(_send_pieces(shared), "key long, doc long, pos long, lo short, hi short, bytes binary")
     built = sent.repartition(parts, "key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_construct, ROWS)
     return met.where("lo < 0").unionByName(built).select("doc", F.col("pos").alias("start"), F.col("ph").alias("end"))
