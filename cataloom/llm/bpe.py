@@ -3,7 +3,7 @@
 A text is split by the tokenizer's pattern. A word's bytes become their ids, and a fold joins, again and again, the
 neighbouring pair of lowest rank (the leftmost of equal ones). The rank map is a pair of literal arrays: each token of
 the vocabulary is joined last from exactly one pair of tokens, so that (left id, right id) -> id has one entry per token,
-placed in one of two slots that the key names. Looking up a pair costs two array reads, without any hash map.
+at the place that the left id's shift and the right id add up to. Looking up a pair costs two array reads, without any hash map.
 
 Distinct words are counted over all documents. Those above a count, which a histogram of the counts sets so that there are
 ``FREQUENT`` of them at most, are folded once, and every worker gets their ids as sorted arrays. A document takes the ids of
@@ -116,47 +116,54 @@ def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-SLOT_BITS = 16
-FACTORS = (1742577425, 1348023823)
-SHIFTS = (19, 21)
+#: Bits of an id, and an entry that no pair has.
+ID_BITS, EMPTY = 16, 1 << 40
 
 
-def _slot(key: int, side: int) -> int:
-    return (key * FACTORS[side] >> SHIFTS[side]) & ((1 << SLOT_BITS) - 1)
+def rank_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
+    """(shift of each left id, entries): the pair (left, right) stands at shift + right, as left * 65536 + id.
 
-
-def slot_tables(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
-    """Two tables in which each pair stands in its slot of one: (left * 65536 + right) * 65536 + id, or -1."""
-    tables = ([-1] * (1 << SLOT_BITS), [-1] * (1 << SLOT_BITS))
+    Each left id's row of rights is laid over the others at the first place where it meets none of their entries.
+    """
+    rows: dict[int, dict[int, int]] = {}
     for (left, right), rank in pairs.items():
-        entry, side = ((left << 16 | right) << 16) | rank, 0
-        for _ in range(2000):
-            at = _slot(entry >> 16, side)
-            entry, tables[side][at] = tables[side][at], entry
-            if entry < 0:
+        rows.setdefault(left, {})[right] = rank
+    taken = np.zeros(1 << 24, bool)
+    shifts, last = np.zeros(1 << 16, np.int64), 0
+    # Where rows of a size began to fit is full for later ones of that size.
+    full = [0] * 9
+    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        rights = np.fromiter(row, np.int64)
+        begin = full[min(len(row), 8)]
+        while True:
+            tried = np.arange(begin, begin + 4096)
+            free = np.flatnonzero(~taken[tried[:, None] + rights].any(axis=1))
+            if len(free):
                 break
-            side = 1 - side
-        else:
-            raise ValueError("the slots don't hold this vocabulary; raise SLOT_BITS")
-    return tables
+            begin += 4096
+        full[min(len(row), 8)] = begin
+        shifts[left] = tried[free[0]]
+        taken[shifts[left] + rights] = True
+        last = max(last, int((shifts[left] + rights).max()))
+    entries = np.full(last + 1, EMPTY, np.int64)
+    for (left, right), rank in pairs.items():
+        entries[shifts[left] + right] = left << ID_BITS | rank
+    return shifts.tolist(), entries.tolist()
 
 
-def _literal(values: list) -> Column:
-    """An array of longs that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _literal(values: list, kind: str = "int") -> Column:
+    """An array that the optimizer folds into one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _pair_rank(left: Column, right: Column, tables: Column) -> Column:
-    key = left * F.lit(65536) + right
+    """The id of a pair; null or beyond all ids if it has none, as the entry of another left id keeps some bits above them."""
+    entry = F.get(tables["entries"], F.get(tables["shifts"], left) + right)
+    return entry.bitwiseXOR(F.shiftleft(left.cast("bigint"), ID_BITS))
 
-    def read(side: int) -> Column:
-        slot = F.shiftright(key * F.lit(FACTORS[side]), SHIFTS[side]).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
-        return F.get(F.get(tables, F.lit(side)), slot)
 
-    one, two = read(0), read(1)
-    return F.when(
-        F.shiftright(one, 16) == key, one.bitwiseAND(F.lit(65535))
-    ).when(F.shiftright(two, 16) == key, two.bitwiseAND(F.lit(65535)))
+def _joins(least: Column) -> Column:
+    return F.coalesce(least < F.lit(1 << ID_BITS), F.lit(False))
 
 
 #: Most words in the list of frequent ones, most bytes of such a word, and the count from which on counts are alike.
@@ -183,7 +190,8 @@ class Ranks:
 
     def constants(self) -> Column:
         """The rank map and the ids of single bytes, to be bound once per expression."""
-        return F.struct(F.array(*map(_literal, self.tables)).alias("tables"), _literal(self.byte_ids).alias("bytes"))
+        shifts, entries = _literal(self.tables[0]), _literal(self.tables[1], "bigint")
+        return F.struct(F.struct(shifts.alias("shifts"), entries.alias("entries")).alias("tables"), _literal(self.byte_ids).alias("bytes"))
 
 
 def load(path: str) -> Ranks:
@@ -193,7 +201,7 @@ def load(path: str) -> Ranks:
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    return Ranks(tokens, [ranks[bytes([i])] for i in range(256)], slot_tables(pairs), all(rank > max(pair) for pair, rank in pairs.items()))
+    return Ranks(tokens, [ranks[bytes([i])] for i in range(256)], rank_table(pairs), all(rank > max(pair) for pair, rank in pairs.items()))
 
 
 def _byte_ids(word: Column, constants: Column) -> Column:
@@ -202,7 +210,7 @@ def _byte_ids(word: Column, constants: Column) -> Column:
 
 def fold(ids: Column, tables: Column) -> Column:
     """Joins pairs by rank until none is left: one round less than there are ids. The state holds the pairs' ranks, of which a join changes two."""
-    none = F.lit(-1).cast("bigint")
+    none = F.lit(-1)
     padded = F.concat(F.array(none), ids, F.array(none))
 
     def start(own: Column) -> Column:
@@ -217,14 +225,14 @@ def fold(ids: Column, tables: Column) -> Column:
         own, ranks = state["ids"], state["ranks"]
         at = F.array_position(ranks, least).cast("int")
         joined = F.struct(
-            F.concat(F.slice(own, F.lit(1), at - 1), F.array(least), F.slice(own, at + 2, F.size(own))).alias("ids"),
+            F.concat(F.slice(own, F.lit(1), at - 1), F.array(least.cast("int")), F.slice(own, at + 2, F.size(own))).alias("ids"),
             F.concat(
                 F.slice(ranks, F.lit(1), at - 2), F.array(
-                    _pair_rank(F.get(own, at - 2), least, tables), _pair_rank(least, F.get(own, at + 1), tables)
+                    _pair_rank(F.get(own, at - 2), least.cast("int"), tables), _pair_rank(least.cast("int"), F.get(own, at + 1), tables)
                 ), F.slice(ranks, at + 2, F.size(ranks))
             ).alias("ranks"),
         )
-        return F.when(least.isNull(), state).otherwise(joined)
+        return F.when(_joins(least), joined).otherwise(state)
 
     folded = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), _let(padded, start),
@@ -238,8 +246,8 @@ def fold_long(ids: Column, tables: Column) -> Column:
     letters = F.split(F.lit(",".join(chr(0x10000 + i) for i in range(65536))), ",")
 
     def run(chars: Column) -> Column:
-        spell = lambda x: F.array_join(F.transform(x, lambda i: F.get(chars, i.cast("int"))), "")
-        read = lambda s: F.transform(F.split(s, ""), lambda c: (F.ascii(c) - 0x10000).cast("bigint"))
+        spell = lambda x: F.array_join(F.transform(x, lambda i: F.get(chars, i)), "")
+        read = lambda s: F.transform(F.split(s, ""), lambda c: F.ascii(c) - 0x10000)
 
         def best(own: Column) -> Column:
             pairs = F.transform(
@@ -249,11 +257,11 @@ def fold_long(ids: Column, tables: Column) -> Column:
                     F.get(own, i + 1).alias("r")
                 )
             )
-            return F.when(F.size(own) > 1, F.array_min(F.filter(pairs, lambda p: p["rank"].isNotNull())))
+            return F.when(F.size(own) > 1, F.array_min(F.filter(pairs, lambda p: _joins(p["rank"]))))
 
         def step(state: Column, pair: Column) -> Column:
             text = F.replace(
-                state["s"], F.concat(F.get(chars, pair["l"].cast("int")), F.get(chars, pair["r"].cast("int"))),
+                state["s"], F.concat(F.get(chars, pair["l"]), F.get(chars, pair["r"])),
                 F.get(chars, pair["rank"].cast("int"))
             )
             return F.struct(F.when(pair.isNull(), state["s"]).otherwise(text).alias("s"), pair.isNull().alias("done"))
@@ -303,9 +311,9 @@ def frequent_words(texts: DataFrame, ranks: Ranks, pattern: str, size: int = FRE
             break
         least = row["n"]
     spread = counts.where(F.col("n") >= least).select("word").repartition(
-        4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     )
-    folded = _let(ranks.constants(), lambda c: F.transform(word_ids(F.col("word"), c, False), lambda i: i.cast("int")))
+    folded = _let(ranks.constants(), lambda c: word_ids(F.col("word"), c, False))
     found = materialize(spread.select("word", folded.alias("ids")).mapInArrow(hashed, "hash long, ids binary"), "folded-words").toArrow()
     if not found.num_rows:
         return K.no_ids(np.int32)
@@ -429,7 +437,7 @@ def mapped(
     open_ = rows.mapInArrow(look_up, f"row {row}, packed binary, rare array<string>")
     folded = _let(
         ranks.constants(),
-        lambda c: F.transform("rare", lambda w: F.transform(word_ids(w, c, ranks.monotone), lambda i: i.cast("int")))
+        lambda c: F.transform("rare", lambda w: word_ids(w, c, ranks.monotone))
     )
     none = F.array().cast("array<array<int>>")
     whole = open_.select(
