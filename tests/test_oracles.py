@@ -8,7 +8,8 @@ from cataloom.jobs import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = sorted(registry.ORACLE_SQL)
+#: All but one that builds a graph twice and takes a minute.
+CHOSEN = sorted(set(registry.ORACLE_SQL) - {"s8_subset"})
 
 
 def rows(frame):
