@@ -12,6 +12,8 @@ table gives an empty plan; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,15 +29,18 @@ from cataloom.sources.shared import materialize
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker keeps (some 25 bytes each) before it starts anew, and those that it collects before it sorts them in.
 CACHED_WORDS, RECENT = 2_000_000, 50_000
-#: Words that the tokenizer is asked for together.
-ASKED = 1000
 MARKS = rb"!\"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"
 #: Chunks on which the shortcuts of :class:`WordIds` are tried when a tokenizer is loaded.
-PROBES = ("Ab", "straße.", "ÉCOLE!?", "don't", "X1b\")", "İi,", "日本語。.", "it's...", "ΣΑΣ;", "ﬁN-")
+PROBES = ("Ab", "abc", "straßenbahn", "éàüñ", "日本語", "thhasted", "straße.", "ÉCOLE!?", "don't", "X1b\")", "İi,", "日本語。.", "it's...", "ΣΑΣ;", "ﬁN-")
 #: Rows of a plan that may be broadcast; it has no more than lengths x (salts + ranges).
 BROADCAST_ROWS = 2_000_000
 
 
+#: The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next free one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
+
+
 def hashes_of(words: list[bytes]) -> np.ndarray:
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in words], dtype=np.int64)])
     return K.span_hash(K.prefix_hash(np.frombuffer(b"".join(words), np.uint8), fold_case=False), bounds[:-1], bounds[1:])
@@ -56,23 +61,33 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(x.split() != [x] for x in self.specials):
+        self.model = self.tokenizer.model
+        specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(x.split() != [x] for x in specials):
             raise ValueError("a special token with white space needs whole texts")
+        self.special = re.compile(b"|".join(map(re.escape, specials)) or b"(?!)")
         self.known, self.recent = K.no_ids(np.uint32), K.no_ids(np.uint32)
-        self.cuts = True
+        self.cuts = False
         probes = [x.encode() for x in PROBES]
-        self.cuts = [[i for y in self.parts(x) for i in self.asked([y])[0]] for x in probes] == self.asked(probes)
+        whole = self.asked(probes)
+        self.cuts = True
+        self.cuts = [[i for y in self.parts(x) for i in self.asked([y])[0]] for x in probes] == whole
 
     def asked(self, chunks: list[bytes]) -> list[list[int]]:
-        """The tokenizer's ids of each chunk."""
-        runs = (chunks[at : at + ASKED] for at in range(0, len(chunks), ASKED))
-        return [x.ids for run in runs for x in self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in run], add_special_tokens=False)]
+        """The tokenizer's ids of each chunk. Lower-case letters alone are one word as they are, so its model is asked at once."""
+        out = []
+        for chunk in chunks:
+            text = chunk.decode("utf-8")
+            if self.cuts and text.isalpha() and text.islower() and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                out.append([t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return out
 
     def parts(self, chunk: bytes) -> list[bytes]:
         """What to ask for instead of a chunk."""
         low = chunk.lower()
-        if not self.cuts or any(x in low for x in self.specials):
+        if not self.cuts or self.special.search(low):
             return [chunk]
         body = low.rstrip(MARKS)
         if body and len(body) < len(low) and body.decode("utf-8")[-1].isalpha():
@@ -107,17 +122,20 @@ class WordIds:
         starts, ends, first = K.word_spans(data, offsets)
         hashes = K.span_hash(K.prefix_hash(data, fold_case=False), starts, ends)
         place, there = self.known.find(hashes)
-        at, also = self.recent.find(hashes)
-        lost = np.flatnonzero(~there & ~also)
-        if len(lost):
+        left = np.flatnonzero(~there)
+        at, also = self.recent.find(hashes[left])
+        if not also.all():
+            lost = left[~also]
             pick = np.unique(hashes[lost], return_index=True)[1]
-            raw = data.tobytes()
+            raw, before = data.tobytes(), self.known
             self.learn([raw[starts[i] : ends[i]] for i in lost[pick]])
-            place, there = self.known.find(hashes)
-            at, also = self.recent.find(hashes)
+            if self.known is not before:
+                place, there = self.known.find(hashes)
+                left = np.flatnonzero(~there)
+            at, _ = self.recent.find(hashes[left])
         begin, size = self.known.spans(place)
         more, extra = self.recent.spans(at)
-        begin, size = np.where(there, begin, more + len(self.known.ids)), np.where(there, size, extra)
+        begin[left], size[left] = more + len(self.known.ids), extra
         upto = np.concatenate([[0], np.cumsum(size)])
         both = np.concatenate([self.known.ids, self.recent.ids]) if len(self.recent.ids) else self.known.ids
         return both[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)], upto[first]
