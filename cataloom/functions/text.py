@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECES = r"(?U)[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^\w\s]"
@@ -49,3 +52,27 @@ def representative(names: Column, limit: int) -> Column:
     """The first names that aren't ``*Base`` or ``*_display``; all kinds if there are no others."""
     useful = F.filter(names, lambda n: ~(F.endswith(n, F.lit("Base")) | F.endswith(n, F.lit("_display"))))
     return F.slice(F.when(F.size(useful) > 0, useful).otherwise(names), 1, limit)
+
+
+def model_tokens(text: Column, tokenizer: str, batch: int = 256) -> Column:
+    """Tokens of a text by a tokenizer's file, without special tokens; null for a null text. The tokenizer works on whole texts, ``batch`` at a time."""
+
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(tokenizer)
+        model.no_truncation()
+        for texts in series:
+            known = texts[texts.notna()]
+            counts = []
+            for i in range(0, len(known), batch):
+                counts += map(len, model.encode_batch(known.iloc[i : i + batch].tolist(), add_special_tokens=False))
+            yield pd.Series(counts, known.index, "Int64").reindex(texts.index)
+
+    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "long")(text)
+
+
+def over_length(rows: DataFrame, limit: int, count: Callable[[Column], Column] = estimated_tokens, text: str = "text") -> DataFrame:
+    """Rows whose text is longer than a model takes, with n_tokens: reported instead of cut in silence. ``count`` is the estimate, or a tokenizer's own count."""
+    return rows.withColumn("n_tokens", count(F.col(text))).where(F.col("n_tokens") > limit)

@@ -153,8 +153,20 @@ def targets_text(c: str = "targets"):
 
 
 def s1_documents(spark, sf_dir):
-    c = Catalog.of(spark, sf_dir)
-    return c.good.select("path", F.lit(True).alias("ok")).unionByName(c.bad.select("path", F.lit(False).alias("ok")))
+    """The corpus written as a tree of files and read again, with what is wrong with those that are no documents."""
+    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    S.write_tree(S.from_parts(spark, sf_dir), folder)
+    return S.read_tree(spark, folder).select("path", F.col("reason").isNull().alias("ok"), "reason")
+
+
+def s1_document_refresh(spark, sf_dir):
+    """The tree read, and read again after the brands' documents have come: only they are read then."""
+    place, docs = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", S.from_parts(spark, sf_dir)
+    late = F.startswith("path", F.lit("brands/"))
+    for part in (docs.where(~late), docs.where(late)):
+        S.write_tree(part, f"{place}/tree")
+        files = S.refreshed(spark, f"{place}/tree", f"{place}/documents")
+    return files.select("path", "reason", "read_in")
 
 
 def s2_entity_documents(spark, sf_dir):
@@ -413,13 +425,14 @@ _NODES = """ti AS (SELECT DISTINCT i FROM br JOIN used USING (b) UNION SELECT 0
 _W = "WITH "
 
 QUERIES = {f.__name__: f for f in (
-    s1_documents, s2_entity_documents, s3_imports, s4_definitions, s5_manifest_relationships, s6_seeds, s7_index_rebuild, s8_subset, n1_import_closure, n2_n3_resolved_names, n4_unresolved,
+    s1_documents, s1_document_refresh, s2_entity_documents, s3_imports, s4_definitions, s5_manifest_relationships, s6_seeds, s7_index_rebuild, s8_subset, n1_import_closure, n2_n3_resolved_names, n4_unresolved,
     h2_expanded_groups, h3_projected_attributes, r1_extracted, r1_skipped, r2_audit_share, r3_merged, r4_canonical, r5_derived, r6_polymorphic, g3_chosen_targets, g4_deviations, g5_node_set, g6_document_edges,
     g6_unresolved_targets, g8_document_summary, c7_document_chunks,
 )}
 
 ORACLE_SQL = {
-    "s1_documents": f"{_W}{BASE}, {_DOCS} SELECT * FROM docs",
+    "s1_documents": f"{_W}{BASE}, {_DOCS} SELECT *, CASE WHEN NOT ok THEN 'not JSON' END AS reason FROM docs",
+    "s1_document_refresh": f"{_W}{BASE}, {_DOCS} SELECT path, CASE WHEN NOT ok THEN 'not JSON' END AS reason, CAST(CASE WHEN path LIKE 'brands/%' THEN 1 ELSE 0 END AS BIGINT) AS read_in FROM docs",
     "s2_entity_documents": f"{_W}{BASE}, {_DOCS} SELECT path FROM docs WHERE path NOT LIKE '%.1.0.cdm.json' AND path NOT LIKE '%.manifest.%' AND path NOT LIKE '%/_allImports.cdm.json'",
     "s3_imports": f"""{_W}{BASE} SELECT 'types/T'||i||'.cdm.json' AS doc, 0 AS ord, 'std.cdm.json' AS target_doc, CAST(NULL AS VARCHAR) AS moniker
     FROM ty UNION ALL SELECT 'types/T'||i||'.cdm.json', 1, 'types/T0.cdm.json', NULL FROM ty WHERE i > 0

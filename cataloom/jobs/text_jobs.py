@@ -16,7 +16,8 @@ from cataloom.operators import inheritance as H
 from cataloom.operators import routing as D
 from cataloom.operators import vectors as V
 from cataloom.sources import adapters as A
-from cataloom.sources.shared import materialize, shared_dir, written_once
+from cataloom.sources import index as I
+from cataloom.sources.shared import fingerprint, materialize, shared_dir, written_once
 from cataloom.sources.tables import table
 from cataloom.streaming import throttle
 
@@ -123,7 +124,15 @@ def v1_embeddings(spark, sf_dir):
 
 
 def v2_over_length(spark, sf_dir):
-    return c1_token_estimates(spark, sf_dir).where("n_tokens > 512")
+    return T.over_length(table(spark, sf_dir, "documents"), 512).select("doc_id", "n_tokens")
+
+
+def v2_model_lengths(spark, sf_dir):
+    """The same by a tokenizer's own count."""
+    import public_tokenizers
+
+    own = lambda text: T.model_tokens(text, public_tokenizers.path("word_bpe_49k.json"))
+    return T.over_length(table(spark, sf_dir, "documents"), 512, own).select("doc_id", "n_tokens")
 
 
 def _hits(spark, sf_dir, k):
@@ -139,13 +148,44 @@ def v3_top_k(spark, sf_dir):
 
 
 def v4_filtered_search(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    hits = _hits(spark, sf_dir, 15).join(
-        e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("c_label")), "chunk_id"
-    ).withColumn("text", F.col("chunk_id").cast("string"))
-    q = e.select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("q_label"))
-    blocked = hits.join(q, "query_id").where("c_label = q_label").select("query_id", "chunk_id")
-    return V.filtered(hits, blocked, 5).select("query_id", "chunk_id", "rank")
+    """Vectors of other labels than the query's own, from 15 fetched."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    hits = _hits(spark, sf_dir, 15).join(labels.toDF("chunk_id", "c_label"), "chunk_id").join(labels.toDF("query_id", "q_label"), "query_id")
+    free = hits.where("c_label != q_label").withColumn("text", F.col("chunk_id").cast("string"))
+    return V.selected(free, 5).select("query_id", "chunk_id", "rank")
+
+
+#: The model whose vectors the index holds, and hits of a question.
+MODEL, K = "hashing-64", 5
+
+
+def stored_index(spark, sf_dir) -> DataFrame:
+    """chunk_id, chunk_type, text, metadata, vector of all chunks, in the shared folder: built by the first who asks, and anew for another model or other tables."""
+    place = f"{shared_dir(spark)}/chunk-index-{spark.sparkContext.applicationId}-{fingerprint(spark, sf_dir)}"
+    rows = _index(spark, sf_dir).select(
+        "chunk_id", F.col("metadata")["chunk_type"].alias("chunk_type"), "text", "metadata", V.embed(F.col("text")).alias("vector")
+    )
+    return I.open_or_build(rows, place, MODEL).rows
+
+
+def question_vectors(questions: DataFrame) -> DataFrame:
+    """query_id, vector, with the prefix that questions get."""
+    return questions.select(F.col("question_id").alias("query_id"), V.embed(F.col("question"), is_query=True).alias("vector"))
+
+
+def v3_question_hits(spark, sf_dir):
+    """The nearest chunks of every question, in the stored index."""
+    asked = question_vectors(A.questions(spark, sf_dir))
+    return V.top_k(asked, stored_index(spark, sf_dir), K).select(F.col("query_id").alias("question_id"), "chunk_id", "rank")
+
+
+def v4_other_layers(spark, sf_dir):
+    """The nearest chunks of questions about one entity, without those of entities of its name in other layers."""
+    q = Questions(spark, sf_dir)
+    meant = q.meant()
+    asked = question_vectors(q.questions).join(meant.select("query_id"), "query_id", "left_semi")
+    hits = V.filtered(asked, stored_index(spark, sf_dir), K, lambda rows: D.other_layers(rows, meant))
+    return hits.select(F.col("query_id").alias("question_id"), "chunk_id", "rank")
 
 
 def _tokens(spark, sf_dir):
@@ -219,43 +259,40 @@ class Questions:
     def structural(self) -> DataFrame:
         return materialize(self.pairs().unionByName(self.single()).unionByName(self.attribute()), "structural")
 
-    def passages(self) -> DataFrame:
-        """question_id, rank, text: the nearest passages of each question. Vectors stand for questions by their number; questions about
-        one entity get more, of which those of the question's own label are left out."""
-        e = table(self.spark, self.sf_dir, "embeddings")
-        asked = self.routed.select(
-            "question_id", "route", (F.regexp_extract("question_id", r"(\d+)", 1).cast("long") % VECTORS).alias("vec_id")
-        )
-        used = e.join(asked.select("vec_id").distinct(), "vec_id", "left_semi")
-        near = V.top_k(
-            used.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
-            e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), K + OVERFETCH
-        )
-        texts = table(self.spark, self.sf_dir, "documents").where("text is not null").select(
-            F.col("doc_id").alias("chunk_id"), T.short(F.col("text"), 48).alias("text")
-        ).where("text != ''")
-        labels = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("c_label"))
-        hits = near.join(texts, "chunk_id").join(labels, "chunk_id").join(
-            e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id"
-        )
-        mine = asked.join(hits.withColumnRenamed("query_id", "vec_id"), "vec_id").where((F.col("route") == "single") | (F.col("rank") <= K))
-        blocked = mine.where("route = 'single' and c_label = q_label").select("question_id", "chunk_id")
-        free = V.filtered(mine.withColumnRenamed("question_id", "query_id"), blocked.withColumnRenamed("question_id", "query_id"), K)
-        return free.select(F.col("query_id").alias("question_id"), "rank", "text")
+    def meant(self) -> DataFrame:
+        """query_id, name, layer of the entity that a question about one entity means."""
+        found = self.owners().join(self.nodes.select("entity_id", "layer"), "entity_id")
+        return materialize(found.select(F.col("question_id").alias("query_id"), "name", "layer"), "meant")
+
+    def passages(self, structural: DataFrame) -> DataFrame:
+        """The nearest chunks of each question that its structural items don't hold already; questions about one entity fetch more, as they leave out other layers'."""
+        index, meant = stored_index(self.spark, self.sf_dir), self.meant()
+        asked = materialize(question_vectors(self.questions), "question-vectors")
+        about = asked.join(meant.select("query_id"), "query_id", "left_semi")
+        single = V.filtered(about, index, K, lambda rows: D.unseen(D.other_layers(rows, meant), structural))
+        near = materialize(V.top_k(asked.join(about.select("query_id"), "query_id", "left_anti"), index, K), "near")
+        rest = V.selected(D.unseen(near.join(index.drop("vector"), "chunk_id"), structural), K)
+        return D.search_items(single.unionByName(rest.select(single.columns)), self.nodes)
 
     def contexts(self) -> DataFrame:
         structural = self.structural()
-        return D.assembled(structural, materialize(D.search_items(self.passages(), structural), "passages"), self.routed)
-
-
-#: Passages of a context, further ones to choose from where some are left out, and vectors that stand for questions.
-K, OVERFETCH, VECTORS = 5, 10, 500
+        return D.assembled(structural, materialize(self.passages(structural), "passages"), self.routed)
 
 
 def d1_mentions(spark, sf_dir):
     return _mentions(spark, sf_dir)
 
 
+def d1_phrases(spark, sf_dir):
+    """Names of several words, many of which begin alike, in questions about parts."""
+    p = table(spark, sf_dir, "part")
+    asked = p.select(
+        F.col("p_partkey").alias("question_id"), F.concat(F.lit("Is "), F.upper("p_name"), F.lit(", a "), "p_type", F.lit(" of "), "p_brand", F.lit(", sold?")).alias("question")
+    )
+    few = p.where("p_partkey % 3 = 0").select(F.col("p_name").alias("name"))
+    return D.mentions(asked, few.unionByName(p.select(F.col("p_type").alias("name"))).unionByName(p.select(F.col("p_brand").alias("name"))).distinct())
+
+
 def d2_routes(spark, sf_dir):
     return _routes(spark, sf_dir)
 
@@ -346,7 +383,11 @@ def e7_timing_table(spark, sf_dir):
 
 
 def e8_latest_results(spark, sf_dir):
-    return E.latest(A.answers(spark, sf_dir)).select("number", "run_ts", F.length("answer").alias("n"))
+    """Three runs put into the store, one after the other, and the store read."""
+    place, answers = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}", A.answers(spark, sf_dir)
+    for run in (1, 0, 2):
+        E.upserted(answers.where(F.col("run_ts") % 3 == run), place)
+    return E.stored(spark, place).select("number", "run_ts", F.length("answer").alias("n"))
 
 
 def e8_missing_numbers(spark, sf_dir):
@@ -374,8 +415,8 @@ def t1_admission_stream(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    c1_token_estimates, c2_short_texts, c3_identifier_helpers, c4_representative, c5_labels, c6_entity_chunks, c6_within_budget, c7_relationship_chunks, c8_attribute_chunks, c9_index_input, c10_index_metadata, v1_embeddings, v2_over_length, v3_top_k, v4_filtered_search,
-    d1_mentions, d2_routes, d3_pair_context, d4_entity_lines, d5_attribute_context, d6_layer_collisions, d7_contexts, d8_prompts, d9_source_trace, e1_phrases, e2_context_items, e3_truncation, e4_ground_truth, e5_verdicts, e6_category_summary, e7_timing_table,
+    c1_token_estimates, c2_short_texts, c3_identifier_helpers, c4_representative, c5_labels, c6_entity_chunks, c6_within_budget, c7_relationship_chunks, c8_attribute_chunks, c9_index_input, c10_index_metadata, v1_embeddings, v2_over_length, v3_top_k, v3_question_hits, v4_filtered_search, v4_other_layers,
+    v2_model_lengths, d1_mentions, d1_phrases, d2_routes, d3_pair_context, d4_entity_lines, d5_attribute_context, d6_layer_collisions, d7_contexts, d8_prompts, d9_source_trace, e1_phrases, e2_context_items, e3_truncation, e4_ground_truth, e5_verdicts, e6_category_summary, e7_timing_table,
     e8_latest_results, e8_missing_numbers, t1_admission, t1_admission_stream,
 )}
 
@@ -429,8 +470,9 @@ lines AS (SELECT entity_id, 0 AS section, '' AS pos, name||' ('||layer||'), a '|
   SELECT entity_id, 1, '', replace(entity_id, '#', ' ') FROM nodes
   UNION ALL SELECT n.entity_id, 2, '', 'Note: '||n.name||' also exists in other layers: '||string_agg(d.shown, ', ' ORDER BY d.shown)||'.'
   FROM nodes n JOIN nodes m ON m.name = n.name AND m.entity_id <> n.entity_id JOIN disp d ON d.entity_id = m.entity_id GROUP BY n.entity_id, n.name
-  UNION ALL SELECT n.entity_id, 3, '', 'Full parent chain (immediate ancestor first): '||coalesce((SELECT string_agg(d.shown, ' -> ' ORDER BY c.depth)
-  FROM chain c JOIN disp d ON d.entity_id = c.ancestor_id WHERE c.entity_id = n.entity_id AND c.depth > 0), '(none)')||'.' FROM nodes n
+  UNION ALL SELECT n.entity_id, 3, '', 'Full parent chain (immediate ancestor first): '||coalesce(up.line, '(none)')||'.' FROM nodes n LEFT
+  JOIN (SELECT c.entity_id, string_agg(d.shown, ' -> ' ORDER BY c.depth) AS line FROM chain c JOIN disp d ON d.entity_id = c.ancestor_id
+  WHERE c.depth > 0 GROUP BY 1) up USING (entity_id)
   UNION ALL SELECT entity_id, 4, '', CASE WHEN own > 0 THEN 'Own attributes, full list ('||own||'):' ELSE 'Own attributes: none.' END FROM cn
   UNION ALL SELECT entity_id, 4, lpad(CAST(pos AS VARCHAR), 9, '0'), '- '||{_ITEM} FROM resolved WHERE origin = 'own'
   UNION ALL SELECT entity_id, 5, '', CASE WHEN inh > 0 THEN 'Inherited attributes, full list by ancestor ('||inh||' total):'
@@ -458,22 +500,65 @@ pair_items AS (SELECT pair_id AS question_id, 0 AS section, edge_id AS ord, text
   attribute, false AS is_audit FROM dir JOIN told USING (edge_id)
   UNION ALL SELECT pair_id, section, lpad(CAST(rank AS VARCHAR), 3, '0'), text, 'relationship', 'near_miss', entity, attribute, false FROM mr
   JOIN told USING (edge_id))"""
-_PASSAGES = r"""vq AS (SELECT question_id, route, CAST(regexp_extract(question_id, '(\d+)', 1) AS BIGINT) % 500 AS vec_id FROM routes),
-vh AS (SELECT q.vec_id, c.vec_id AS chunk_id, q.label AS ql, c.label AS cl, row_number() OVER (PARTITION BY q.vec_id
-  ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9), c.vec_id) AS r FROM embeddings q, embeddings c
-  WHERE q.vec_id IN (SELECT vec_id FROM vq) QUALIFY r <= 15),
-sf AS (SELECT doc_id, regexp_extract(trim(text), '(?s)^(.*?[.!?])\s', 1) AS a, trim(text) AS t FROM documents WHERE text IS NOT NULL),
-  sg AS (SELECT doc_id, CASE WHEN a = '' THEN t ELSE a END AS s FROM sf), sh AS (SELECT doc_id, s, left(s, 48) AS c FROM sg),
-passage AS (SELECT doc_id AS chunk_id, CASE WHEN length(s) <= 48 THEN s ELSE regexp_replace(CASE WHEN contains(c, ' ') THEN regexp_replace(c,
-  '(?s) [^ ]*$', '') ELSE c END, '[,;:]+$', '')||'…' END AS text FROM sh WHERE s <> ''),
-vm AS (SELECT question_id, text, min(r) AS r FROM vq JOIN vh USING (vec_id) JOIN passage USING (chunk_id) WHERE CASE
-  WHEN route = 'single' THEN ql <> cl ELSE r <= 5 END GROUP BY 1, 2),
-found AS (SELECT question_id, text, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank FROM vm QUALIFY rank <= 5)""".replace("\\\\",
-  "\\")
-_CONTEXT = J.RESOLVED + ", " + J.TARGETS + f""", {_LABELS}, {_REL}, {_DET}, {_QUESTIONS}, {_ROUTES}, {_LINES}, {_PAIR_ITEMS}, {_PASSAGES},
-own AS (SELECT question_id, r.first AS name, entity_id FROM routes r JOIN nodes n ON n.name = r.first WHERE route = 'single'
+_BRIEF = "CASE WHEN contains(description, '. ') THEN split_part(description, '. ', 1)||'.' ELSE description END"
+_ENTITY_TEXT = f"""eown AS (SELECT entity_id, count(*) AS n, string_agg(CASE WHEN r <= 4 THEN told ELSE plain END, '; ' ORDER BY pos) AS line
+  FROM (SELECT entity_id, pos, name||' ('||CASE WHEN fk_name IS NOT NULL THEN 'reference to '||replace(fk_targets, ',', '/') ELSE data_type END||')' AS plain,
+  plain||coalesce(': '||{_BRIEF}, '') AS told, row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS r FROM resolved WHERE origin = 'own') GROUP BY 1),
+epass AS (SELECT entity_id, sum(n) AS n, string_agg(n||' from '||base||' ('||names||CASE WHEN n > 8 THEN ', +'||(n - 8)||' more' ELSE '' END||')', '; '
+  ORDER BY first) AS line FROM (SELECT entity_id, base, count(*) AS n, min(pos) AS first, string_agg(name, ', ' ORDER BY pos) FILTER (r <= 8) AS names
+  FROM (SELECT r.entity_id, r.name, pos, d.name||' ('||d.layer||')' AS base, row_number() OVER (PARTITION BY r.entity_id, declared_in ORDER BY pos) AS r
+  FROM resolved r JOIN nodes d ON d.entity_id = r.declared_in WHERE origin = 'inherited') GROUP BY 1, 2) GROUP BY 1),
+estd AS (SELECT entity_id, count(*) AS n, string_agg(field, ', ' ORDER BY pos) FILTER (r <= 4) AS line FROM (SELECT entity_id, pos, CASE
+  WHEN fk_name IS NOT NULL AND fk_name <> 'id' THEN fk_name ELSE name END AS field, row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS r
+  FROM resolved WHERE origin = 'standard') GROUP BY 1),
+erel AS (SELECT entity_id, count(*) AS n, string_agg(label, ', ' ORDER BY r) FILTER (r <= 12) AS line FROM (SELECT from_id AS entity_id, label,
+  row_number() OVER (PARTITION BY from_id ORDER BY min(edge_id), label) AS r FROM targets t JOIN labels_ l ON l.entity_id = t.to_id WHERE NOT is_audit
+  GROUP BY from_id, label) GROUP BY 1),
+eup AS (SELECT c.entity_id, string_agg(n.name||' ('||n.layer||')', ' → ' ORDER BY depth) AS line FROM chain c JOIN nodes n ON n.entity_id = c.ancestor_id
+  WHERE depth > 0 GROUP BY 1),
+etext AS (SELECT 'entity:'||n.entity_id AS chunk_id, n.name, n.layer, concat_ws(E'\\n', n.name||' ('||layer||') is an entity in the '||layer||
+  ' layer of the catalog. '||replace(n.entity_id, '#', ' '), coalesce('Parent chain: '||eup.line||'.', 'It has no parent entity.'),
+  coalesce('Own attributes ('||eown.n||'): '||eown.line||'.', 'Own attributes: none.'), 'Inherited attributes ('||epass.n||'): '||epass.line||'.',
+  'Standard audit fields: '||estd.n||' common system fields such as '||estd.line||'.',
+  'Related entities: '||erel.line||CASE WHEN erel.n > 12 THEN ', and '||(erel.n - 12)||' more' ELSE '' END||'.') AS text FROM nodes n LEFT
+  JOIN eup USING (entity_id) LEFT JOIN eown USING (entity_id) LEFT JOIN epass USING (entity_id) LEFT JOIN estd USING (entity_id) LEFT
+  JOIN erel USING (entity_id))"""
+
+
+def _vectors(name: str, rows: str, key: str, text: str) -> str:
+    """SQL of the hashing model: ``name`` with id and u of the rows."""
+    sums = ", ".join(f"CAST(coalesce(sum(s) FILTER (d = {i}), 0) AS FLOAT)" for i in range(V.DIMENSIONS))
+    return f"""{name}w AS (SELECT {key} AS id, h % {V.DIMENSIONS} AS d, CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END AS s FROM (SELECT {key},
+  CAST('0x'||left(md5(w), 8) AS BIGINT) AS h FROM (SELECT {key}, unnest(string_split_regex(lower({text}), '\\s+')) AS w FROM {rows}) WHERE w <> '')),
+{name}n AS (SELECT id, [{sums}] AS v FROM {name}w GROUP BY 1),
+{name} AS (SELECT id, CAST(list_transform(v, lambda x: CAST(x / CAST(sqrt(CAST(list_inner_product(v, v) AS DOUBLE)) AS FLOAT) AS DOUBLE)) AS DOUBLE[{V.DIMENSIONS}]) AS u
+  FROM {name}n)"""
+
+
+_SEARCH = f"""{_ENTITY_TEXT}, idx AS (SELECT chunk_id, 'entity' AS chunk_type, text, name, layer, name AS owner, CAST(NULL AS VARCHAR) AS attribute FROM etext
+  WHERE layer <> 'region' UNION ALL SELECT x.chunk_id, 'relationship', x.text, NULL, NULL, f.name, r.attribute FROM reltext x
+  JOIN rel r ON x.chunk_id = 'rel:'||r.edge_id JOIN nodes f ON f.entity_id = split_part(r.edge_id, '::', 1)
+  UNION ALL SELECT 'attribute:'||name, 'attribute', {_ATTRIBUTE_TEXT}, NULL, NULL, NULL, name FROM det),
+{_vectors('cv', 'idx', 'chunk_id', 'text')},
+asked AS (SELECT question_id, '{V.PREFIX}'||question AS t FROM questions), {_vectors('qv', 'asked', 'question_id', 't')},
+best AS (SELECT q.id, min(row(CAST(round(array_cosine_distance(q.u, c.u) * 1e9) AS BIGINT), c.id), {K + V.OVERFETCH}) AS m FROM qv q, cv c GROUP BY 1),
+near AS (SELECT id AS question_id, m[i][2] AS chunk_id, i AS r FROM best, unnest(range(1, len(m) + 1)) AS u(i)),
+own AS (SELECT question_id, r.first AS name, entity_id, layer FROM routes r JOIN nodes n ON n.name = r.first WHERE route = 'single'
   QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY list_position(['orders','customer','supplier','part','nation','region'], layer),
-  entity_id) = 1),
+  entity_id) = 1)"""
+_COLLISIONS = r"""spelt AS (SELECT question_id, w[i] AS word, i FROM (SELECT question_id, regexp_extract_all(question, '[\pL\pN_\pM]+') AS w FROM questions),
+  unnest(range(1, len(w) + 1)) AS r(i)),
+collisions AS (SELECT question_id, arg_min(word, row(depth, i)) AS word, arg_min(layer, row(depth, i)) AS layer FROM (SELECT r.question_id, n.entity_id
+  FROM routes r JOIN nodes n ON n.name = r.first WHERE route = 'single' QUALIFY row_number() OVER (PARTITION BY r.question_id
+  ORDER BY list_position(['orders','customer','supplier','part','nation','region'], layer), n.entity_id) = 1) o JOIN chain c USING (entity_id)
+  JOIN nodes a ON a.entity_id = c.ancestor_id JOIN spelt USING (question_id) WHERE depth > 0 AND lower(word) = lower(a.layer) AND length(word) > 2 GROUP BY 1)"""
+_RETRIEVAL = f"{J.RESOLVED}, {J.TARGETS}, {_LABELS}, {_REL}, {_DET}, {_QUESTIONS}, {_ROUTES}, {_SEARCH}"
+_FOUND = f"""vm AS (SELECT n.question_id, i.text, min(r) AS r, arg_min(i.chunk_type, r) AS chunk_type, arg_min(i.owner, r) AS owner,
+  arg_min(i.attribute, r) AS attribute FROM near n JOIN idx i USING (chunk_id) LEFT JOIN own o USING (question_id)
+  WHERE (r <= {K} OR o.name IS NOT NULL) AND NOT coalesce(i.chunk_type = 'entity' AND i.name = o.name AND i.layer <> o.layer, false)
+  AND NOT EXISTS (FROM structural s WHERE s.question_id = n.question_id AND s.text = i.text) GROUP BY 1, 2),
+found AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank FROM vm QUALIFY rank <= {K})"""
+_CONTEXT = f"""{_RETRIEVAL}, {_LINES}, {_PAIR_ITEMS},
 texts AS (SELECT entity_id, string_agg(line, E'\\n' ORDER BY section, pos, line) AS text FROM lines WHERE entity_id IN (SELECT entity_id FROM own)
   GROUP BY 1),
 attribute_items AS (SELECT question_id, 0 AS section, '' AS ord, {_ATTRIBUTE_TEXT} AS text, 'attribute' AS chunk_type, 'attribute_lookup' AS source,
@@ -481,8 +566,9 @@ attribute_items AS (SELECT question_id, 0 AS section, '' AS ord, {_ATTRIBUTE_TEX
   JOIN det d ON r.first IN (d.name, d.fk_name) WHERE route = 'attribute')),
 structural AS (SELECT * FROM pair_items UNION ALL SELECT question_id, 0, '', text, 'entity_detail', 'entity_lookup', name, NULL, NULL FROM own
   JOIN texts USING (entity_id) UNION ALL SELECT * FROM attribute_items),
+{_FOUND},
 allitems AS (SELECT question_id, 1 AS part, section, ord, text, chunk_type, source, entity, attribute, is_audit FROM structural
-  UNION ALL SELECT question_id, 3, 0, lpad(CAST(rank AS VARCHAR), 6, '0'), text, 'passage', 'vector_search', NULL, NULL, NULL FROM found
+  UNION ALL SELECT question_id, 3, 0, lpad(CAST(rank AS VARCHAR), 6, '0'), text, chunk_type, 'vector_search', owner, attribute, NULL FROM found
   UNION ALL SELECT question_id, 0, 0, '', CASE route WHEN 'pair' THEN 'Facts about '||first||' and '||second||' from the graph:'
   WHEN 'single' THEN 'Full record of '||first||' from the graph:' ELSE 'Facts about the attribute '||first||' from the graph:' END, 'section_header',
   'section_header', NULL, NULL, NULL FROM routes WHERE question_id IN (SELECT question_id FROM structural)
@@ -493,6 +579,13 @@ _LAST = "last AS (SELECT conv_id AS number, 'cat'||conv_id % 9 AS category, text
 _CUT = "CASE WHEN coalesce(trim(answer, E' \\t\\n\\r'), '') = '' THEN 'empty' WHEN lower(list_extract(regexp_extract_all(core, '[A-Za-z'']+'), -1)) IN (" + ", ".join(f"'{w}'" for w in E.DANGLING) + ") THEN 'dangling' WHEN NOT contains('.!?)]}\"''|', right(core, 1)) THEN 'open' END"
 _JUDGED = _LAST + f", judged AS (SELECT *, CASE WHEN NOT manual THEN ({_CUT}) IS NULL AND length(answer) > 200 END AS passed FROM (SELECT *, regexp_replace(rtrim(answer, E' \\t\\n\\r'), '[*_`]+$', '') AS core FROM last))"
 
+#: A request after the other of each key, with the times of those admitted before.
+_ADMITTED = """WITH RECURSIVE e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT event_id, key, ts, r, true AS admitted, [ts] AS held FROM e WHERE r = 1
+  UNION ALL SELECT event_id, key, ts, r, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END
+  FROM (SELECT e.*, list_filter(w.held, lambda h: e.ts - h <= INTERVAL 24 HOURS) AS live FROM w JOIN e ON e.key = w.key AND e.r = w.r + 1))
+SELECT event_id, key, ts, admitted FROM w"""
+
 ORACLE_SQL = {
     "c1_token_estimates": f"{_W}{_TOKENS} SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens FROM tok",
     "c2_short_texts": r"""WITH f AS (SELECT doc_id, regexp_extract(trim(text), '(?s)^(.*?[.!?])\s', 1) AS a, trim(text) AS t FROM documents),
@@ -502,6 +595,11 @@ ORACLE_SQL = {
     "c3_identifier_helpers": "SELECT p_partkey, lower(split_part(p_name, ' ', 1)||' '||split_part(p_name, ' ', 2)) AS humanized, lower(split_part(p_name, ' ', 1)) AS qualifier, CASE WHEN left(lower(p_name), 1) IN ('a','e','i','o','u') THEN 'an' ELSE 'a' END AS article, p_brand||', '||p_type||' or '||p_name AS listed FROM part",
     "c4_representative": f"{_W}{J.RESOLVED}, u AS (SELECT entity_id, name, pos, pos % 3 = 0 AS shadow, min(CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id) AS lone FROM resolved), v AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS r FROM u WHERE NOT shadow OR lone = 1) SELECT entity_id, string_agg(name||CASE WHEN shadow THEN 'Base' ELSE '' END, ',' ORDER BY pos) AS names FROM v WHERE r <= 3 GROUP BY 1",
     "c5_labels": f"{_W}{J.NODES}, {_LABELS} SELECT entity_id, label FROM labels_",
+    "c6_entity_chunks": f"{_W}{J.RESOLVED}, {J.TARGETS}, {_LABELS}, {_ENTITY_TEXT} SELECT chunk_id, text FROM etext",
+    "v3_question_hits": f"{_W}{_RETRIEVAL} SELECT question_id, chunk_id, r AS rank FROM near WHERE r <= {K}",
+    "v4_other_layers": f"""{_W}{_RETRIEVAL} SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank FROM near
+    JOIN idx i USING (chunk_id) JOIN own o USING (question_id) WHERE NOT (i.chunk_type = 'entity' AND i.name = o.name AND i.layer <> o.layer)
+      QUALIFY rank <= {K}""",
     "c7_relationship_chunks": f"{_W}{J.NODES}, {J.TARGETS}, {_LABELS}, {_REL} SELECT * FROM reltext",
     "c8_attribute_chunks": f"{_W}{J.RESOLVED}, {_DET} SELECT 'attribute:'||name AS chunk_id, {_ATTRIBUTE_TEXT} AS text FROM det",
     "c6_within_budget": f"""{_W}{J.RESOLVED}, {J.TARGETS} SELECT 'entity:'||entity_id AS chunk_id, true AS fits,
@@ -528,13 +626,14 @@ ORACLE_SQL = {
     "d3_pair_context": f"{_W}{_CONTEXT} SELECT question_id, section, ord, text, chunk_type, source, entity, attribute FROM pair_items",
     "d4_entity_lines": f"{_W}{J.RESOLVED}, {J.TARGETS}, {_LINES} SELECT entity_id, section, pos, line FROM lines",
     "d5_attribute_context": f"{_W}{_CONTEXT} SELECT question_id, text, source, attribute FROM attribute_items",
-    "d6_layer_collisions": f"{_W}{J.RESOLVED}, {_DET}, {_QUESTIONS}, {_ROUTES} SELECT question_id, 'nation' AS word, 'nation' AS layer FROM routes WHERE route = 'single' AND question_id LIKE 's%'",
+    "d6_layer_collisions": f"{_W}{J.RESOLVED}, {_DET}, {_QUESTIONS}, {_ROUTES}, {_COLLISIONS} SELECT * FROM collisions",
     "d7_contexts": f"{_W}{_CONTEXT} SELECT question_id, pos, text, chunk_type, source FROM context",
-    "d8_prompts": f"""{_W}{_CONTEXT}, block AS (SELECT question_id, string_agg('['||pos||'] ('||chunk_type||') '||text, E'\\n\\n'
+    "d8_prompts": f"""{_W}{_CONTEXT}, {_COLLISIONS}, block AS (SELECT question_id, string_agg('['||pos||'] ('||chunk_type||') '||text, E'\\n\\n'
     ORDER BY pos) AS block FROM context GROUP BY 1)
       SELECT question_id, '{D.SYSTEM.replace("'",
-      "''")}'||CASE WHEN route = 'single' AND question_id LIKE 's%' THEN E'\\n\\nThe word "nation" may also mean the layer "nation"; name both readings and answer for each.' ELSE '' END AS system, coalesce(block, '{D.EMPTY}')||E'\\n\\nQuestion: '||question AS prompt
-      FROM questions JOIN routes USING (question_id) LEFT JOIN block USING (question_id)""",
+      "''")}'||coalesce(E'\\n\\nThe word "'||word||'" may also mean the layer "'||layer||'"; name both readings and answer for each.', '') AS system,
+      coalesce(block, '{D.EMPTY}')||E'\\n\\nQuestion: '||question AS prompt
+      FROM questions JOIN routes USING (question_id) LEFT JOIN block USING (question_id) LEFT JOIN collisions USING (question_id)""",
     "d9_source_trace": f"{_W}{_CONTEXT} SELECT question_id, pos, entity, chunk_type, source, attribute, is_audit FROM context",
     "e1_phrases": "WITH a AS (SELECT conv_id AS number, turn AS run_ts, list_filter([" + ", ".join(f"'{p}'" for p in PHRASES) + "], lambda p: contains(lower(text), p)) AS hit FROM conversations WHERE role = 'assistant') SELECT number, run_ts, hit[1] AS phrase, CAST(len(hit) AS BIGINT) AS n_mentioned FROM a",
     "e2_context_items": f"{_W}{J.TARGETS} SELECT from_id AS question_id, bool_or(attribute = 'party' AND NOT is_audit) AS found FROM targets GROUP BY 1",
@@ -544,5 +643,13 @@ ORACLE_SQL = {
     "e6_category_summary": f"{_W}{_JUDGED} SELECT category, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, count(*) FILTER (manual) AS manual, count(*) AS total FROM judged GROUP BY ROLLUP (category)",
     "e7_timing_table": "WITH p AS (SELECT user_id AS number, round(sum(value) FILTER (event_type = 'click'), 6) AS click, round(sum(value) FILTER (event_type = 'view'), 6) AS \"view\", round(sum(value) FILTER (event_type = 'error'), 6) AS error, round(sum(value) FILTER (event_type = 'signup'), 6) AS signup FROM events GROUP BY 1) SELECT *, round(click + \"view\", 6) AS click_view, round(coalesce(click, 0) + coalesce(\"view\", 0) + coalesce(error, 0) + coalesce(signup, 0), 6) AS total FROM p",
     "e8_latest_results": f"{_W}{_LAST} SELECT number, run_ts, length(answer) AS n FROM last",
+    "d1_phrases": """WITH q AS (SELECT p_partkey AS question_id, lower('Is '||p_name||', a '||p_type||' of '||p_brand||', sold?') AS t FROM part),
+    n AS (SELECT p_name AS name FROM part WHERE p_partkey % 3 = 0 UNION SELECT p_type FROM part UNION SELECT p_brand FROM part),
+    apart AS (SELECT question_id, t, ' '||regexp_replace(t, '([^\\pL\\pN_])', ' \\1 ', 'g')||' ' AS x FROM q),
+    m AS (SELECT question_id, name, strpos(t, lower(name)) AS place FROM apart JOIN (SELECT name, ' '||regexp_replace(lower(name), '([^\\pL\\pN_])',
+      ' \\1 ', 'g')||' ' AS y FROM n) ON contains(x, y))
+      SELECT question_id, name, row_number() OVER (PARTITION BY question_id ORDER BY place, name) AS rank FROM m""",
+    "t1_admission": _ADMITTED,
+    "t1_admission_stream": _ADMITTED,
     "e8_missing_numbers": "WITH a AS (SELECT DISTINCT conv_id AS n FROM conversations WHERE role = 'assistant' AND conv_id % 7 <> 3) SELECT number FROM (SELECT unnest(range(min(n), max(n) + 1)) AS number FROM a) WHERE number NOT IN (SELECT n FROM a)",
 }

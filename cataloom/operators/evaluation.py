@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cataloom.sources import versions
+
 # Words that an unfinished sentence ends on.
 DANGLING = (
     "the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "with", "by", "for", "is", "are", "from", "as", "that", "this",
@@ -42,12 +44,44 @@ def latest(results: DataFrame, key: str = "number", at: str = "run_ts") -> DataF
     return results.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where("_r = 1").drop("_r")
 
 
-def missing_numbers(results: DataFrame, key: str = "number") -> DataFrame:
-    """Keys between the smallest and the largest one that have no result."""
-    span = results.agg(
-        F.min(key).alias("a"), F.max(key).alias("b")
-    ).where("a is not null").select(F.explode(F.sequence("a", "b")).alias(key))
-    return span.join(results.select(key).distinct(), key, "left_anti")
+def upserted(run: DataFrame, place: str, key: str = "number", at: str = "run_ts") -> DataFrame:
+    """The stored results with those of a run, the newest of each key: written as the store's next version, so a run that fails leaves the results before it."""
+    spark = run.sparkSession
+    before = versions.current(spark, place)
+    every = run if before is None else before.rows(spark).select(run.columns).unionByName(run)
+    return versions.publish(latest(every, key, at), place).rows(spark)
+
+
+def stored(spark: SparkSession, place: str) -> DataFrame | None:
+    """The results stored at a place, if there are any."""
+    found = versions.current(spark, place)
+    return found.rows(spark) if found else None
+
+
+def missing_numbers(results: DataFrame, key: str = "number", pieces: int = 64) -> DataFrame:
+    """Keys between the smallest and the largest one that have no result.
+
+    Gaps are found between neighbours, which are looked up within pieces of the range of keys, so sparse keys cost no more than what is missing.
+    """
+    spark = results.sparkSession
+    low, high = results.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return results.select(key).where("false")
+    width = (high - low) // pieces + 1
+    ends = spark.range(pieces).select((F.lit(low) + F.col("id") * width).alias("a")).where(F.col("a") <= high)
+    # The first key of each piece is there, missing or not, so that no gap reaches over a piece's end.
+    marked = results.select(F.col(key).cast("long").alias("a"), F.lit(True).alias("there")).distinct()
+    marked = marked.unionByName(ends.withColumn("there", F.lit(False))).groupBy("a").agg(F.bool_or("there").alias("there"))
+    piece = F.floor((F.col("a") - low) / width)
+    after = F.lead("a").over(Window.partitionBy(piece).orderBy("a"))
+    end = F.coalesce(after, F.least(F.lit(low) + (piece + 1) * width, F.lit(high + 1)))
+    begin = F.when(F.col("there"), F.col("a") + 1).otherwise(F.col("a"))
+    spans = marked.select(begin.alias("a"), (end - 1).alias("b")).where("a <= b")
+    # Long gaps are cut, so that no row makes more than a million.
+    cut = spans.select("a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / (1 << 20)))).alias("n"))
+    start = F.col("a") + F.col("n") * (1 << 20)
+    found = cut.select(F.explode(F.sequence(start, F.least("b", start + ((1 << 20) - 1)))).alias(key))
+    return found.select(F.col(key).cast(results.schema[key].dataType).alias(key))
 
 
 def verdicts(results: DataFrame, checks: Sequence[Column]) -> DataFrame:

@@ -2,28 +2,122 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.paths import dirname, is_entity_document, joined
+from cataloom.sources import versions
+from cataloom.sources.shared import materialize
 from cataloom.sources.tables import table
 
 SHAPE = "imports array<struct<corpusPath:string,moniker:string>>, definitions array<string>, relationships array<struct<fromEntity:string,fromEntityAttribute:string,toEntity:string,toEntityAttribute:string,exhibitsTraits:array<string>>>"
 
 
+def _store(folder: str):
+    """The file system that a folder is in, and the folder's path there. Spark's own readers leave out names that begin with an underscore, as hubs of imports do."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder))
+    return store, root.rstrip("/")
+
+
+def write_tree(docs: DataFrame, folder: str) -> int:
+    """Write each (path, json) as a file below a shared folder, in tasks; a file appears whole or not at all, and a task run again writes the same. The number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("json").to_pylist()):
+                place, part = f"{root}/{path}", f"{root}/{path}.{uuid.uuid4().hex}{PART}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(part) as out:
+                    out.write(text.encode())
+                store.move(part, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return docs.select("path", "json").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+#: Ending of a file that isn't written yet.
+PART = ".part"
+LISTING = "path string, size long, modified long"
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """path (below the folder), size, modified (nanoseconds) of all files. The folder's own entries are listed here, what is below each of them in tasks."""
+    from pyarrow import fs
+
+    store, root = _store(folder)
+    entries = [(x.path[len(root) + 1 :], x.type == fs.FileType.Directory) for x in store.get_file_info(fs.FileSelector(root))]
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        for batch in batches:
+            for path, is_folder in zip(batch.column("path").to_pylist(), batch.column("is_folder").to_pylist()):
+                here = store.get_file_info(fs.FileSelector(f"{root}/{path}", recursive=True) if is_folder else [f"{root}/{path}"])
+                files = [x for x in here if x.type == fs.FileType.File and not x.path.endswith(PART)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.path[len(root) + 1 :] for x in files], pa.string()), pa.array([x.size for x in files], pa.int64()), pa.array([x.mtime_ns for x in files], pa.int64())],
+                    ["path", "size", "modified"]
+                )
+
+    return spark.createDataFrame(entries, "path string, is_folder boolean").repartition("path").mapInArrow(below, LISTING)
+
+
+def loaded(files: DataFrame, folder: str) -> DataFrame:
+    """path, size, modified, json, reason of listed files; reason says why a file is no document, else null. A file that can't be read doesn't stop the others."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                text, reason = None, None
+                try:
+                    with store.open_input_stream(f"{root}/{path}") as file:
+                        text = file.read().decode()
+                except OSError:
+                    reason = "unreadable"
+                except UnicodeDecodeError:
+                    reason = "not UTF-8"
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("path", "size", "modified")), pa.array([text]).cast(pa.string()), pa.array([reason]).cast(pa.string())], ["path", "size", "modified", "json", "reason"])
+
+    rows = files.repartition(F.xxhash64("path")).mapInArrow(read, LISTING + ", json string, reason string")
+    wrong = F.when(F.trim("json") == "", "empty").when(F.try_parse_json("json").isNull(), "not JSON").when(~F.rlike("json", F.lit(r"^\s*\{")), "not an object")
+    return rows.withColumn("reason", F.coalesce("reason", wrong))
+
+
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, json) of all files below a folder; paths are relative to it."""
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder)
-    return files.select(
-        F.regexp_replace("_metadata.file_path", "^.*?" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"),
-        F.col("value").alias("json")
-    )
+    """(path, json, reason) of all files below a folder; paths are relative to it."""
+    return loaded(listed(spark, folder), folder).select("path", "json", "reason")
+
+
+def refreshed(spark: SparkSession, folder: str, place: str) -> DataFrame:
+    """path, size, modified, json, reason, read_in of the files below a folder, kept as a versioned table at ``place``.
+
+    Files that the version before has as they are now aren't read again; read_in is the version in which a file was read. A run that fails leaves the version before.
+    """
+    before = versions.current(spark, place)
+    files = materialize(listed(spark, folder), "listing")
+    number = before.number + 1 if before else 0
+    if before is None:
+        kept, new = None, files
+    else:
+        known = before.rows(spark)
+        kept, new = known.join(files, ["path", "size", "modified"], "left_semi"), files.join(known, ["path", "size", "modified"], "left_anti")
+    rows = loaded(new, folder).withColumn("read_in", F.lit(number).cast("long"))
+    rows = rows if kept is None else kept.select(rows.columns).unionByName(rows)
+    return versions.publish(rows, place).rows(spark, rows.schema)
 
 
 def parsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, doc) of the documents that are JSON objects, and the quarantine (path) of those that aren't."""
     checked = docs.withColumn("_ok", F.try_parse_json("json").isNotNull() & F.rlike("json", F.lit(r"^\s*\{")))
-    return checked.where("_ok").select("path", F.from_json("json", SHAPE).alias("doc")), checked.where(~F.col("_ok")).select("path")
+    return checked.where("_ok").select("path", F.from_json("json", SHAPE).alias("doc")), checked.where(~F.coalesce("_ok", F.lit(False))).select("path")
 
 
 def entity_documents(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +41,20 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """Names the state of a folder's files: it changes when one is written anew. Reads their names, lengths and times alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+    state = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("s")).first()
+    return f"{state['n']}_{state['s']}"
+
+
+_written: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
 def written_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from the tables of a folder, which several queries of a session use: written by the first of them."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table derived from the tables of a folder, which several queries of a session use: written by the first of them, and anew when the
+    folder's files have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir), name)
     if key not in _written:
         _written[key] = materialize(build(), name)
     return _written[key]

@@ -229,8 +229,7 @@ def test_search_ties_filters_and_repeats(spark):
     hits = V.top_k(q, c, 3, dimensions=2, at_once=1)
     assert [(r.chunk_id, r["rank"]) for r in hits.where("query_id = 9").orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3)]
     texts = hits.where("query_id = 9").join(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "chunk_id long, text string"), "chunk_id")
-    blocked = spark.createDataFrame([], "query_id long, chunk_id long")
-    assert [r.chunk_id for r in V.filtered(texts, blocked, 2).orderBy("rank").collect()] == [1, 3]
+    assert [r.chunk_id for r in V.selected(texts, 2).orderBy("rank").collect()] == [1, 3]
 
 
 def test_truncation(spark):
