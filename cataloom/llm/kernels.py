@@ -1,12 +1,16 @@
 """Numpy kernels over Arrow text columns: words, lines and hashes of whole batches without a Python loop per word.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D. Hashes are 64-bit polynomials over random
-byte codes, mixed afterwards; equal words have equal hashes, and different ones collide with probability near 2**-64.
+A word is a maximal run of bytes other than space and 0x09-0x0D. Hashes of short spans are 64-bit polynomials over random
+byte codes, mixed afterwards. Modulo a power of two, certain pairs of long strings of two letters (those of Thue and Morse, from some
+1,000 letters on) have one polynomial whatever the codes are, so spans of LONG bytes and more are hashed by BLAKE2b instead. Equal spans have
+equal hashes; shorter ones that differ collide as random ones do, but for such strings, where half of the bits still differ.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -101,21 +105,39 @@ def slices(column: pa.Array, max_bytes: int = 1 << 17) -> Iterator[tuple[int, in
         at = to
 
 
-def prefix_hash(data: np.ndarray, fold_case: bool) -> np.ndarray:
+#: Spans of so many bytes are hashed by BLAKE2b.
+LONG = 256
+
+
+@dataclass(frozen=True)
+class Sums:
+    """Running sums of a text's polynomial, and the text."""
+
+    values: np.ndarray
+    data: np.ndarray
+    fold_case: bool
+
+
+def prefix_hash(data: np.ndarray, fold_case: bool) -> Sums:
     """Running sums that :func:`span_hash` takes differences of."""
     up, _ = powers(len(data))
     codes = CODES[LOWER[data]] if fold_case else CODES[data]
     out = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(codes * up[: len(data)], out=out[1:])
-    return out
+    return Sums(out, data, fold_case)
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each span [start, end)."""
-    _, down = powers(len(sums))
+    values, size = sums.values, ends - starts
+    _, down = powers(len(values))
     with np.errstate(over="ignore"):
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        out = mix((values[ends] - values[starts]) * down[starts] + size.astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(size >= LONG):
+        own = sums.data[starts[i] : ends[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((LOWER[own] if sums.fold_case else own).tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,6 @@ table gives an empty plan; extra columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +28,8 @@ from cataloom.sources.shared import materialize
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker keeps (some 25 bytes each) before it starts anew, and those that it collects before it sorts them in.
 CACHED_WORDS, RECENT = 2_000_000, 50_000
+#: Letters that have been in Unicode for long.
+OLD_LETTERS = re.compile("[a-z\u00aa-\u024f\u0370-\u0527\u0531-\u0587\u05d0-\u05ea\u0620-\u064a\u0904-\u0939\u0e01-\u0e30\u1e00-\u1fff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 MARKS = rb"!\"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"
 #: Chunks on which the shortcuts of :class:`WordIds` are tried when a tokenizer is loaded.
 PROBES = ("Ab", "abc", "straßenbahn", "éàüñ", "日本語", "thhasted", "straße.", "ÉCOLE!?", "don't", "X1b\")", "İi,", "日本語。.", "it's...", "ΣΑΣ;", "ﬁN-")
@@ -51,7 +52,8 @@ class WordIds:
 
     Where the tokenizer lower-cases and splits letters from marks (tried on PROBES), a chunk has the ids of its lower-case
     form, and one that ends in marks behind a letter has those of its two parts; but for the tokenizer's own special tokens,
-    which it finds as they are written. Hashes have 64 bits: of a million words, two share one with a probability of 3e-8.
+    which it finds as they are written. Letters that its normaliser would change are left to it, with the marks behind them: what they
+    become may end in a mark of its own. Hashes have 64 bits: of a million words, two share one with a probability of 3e-8.
     """
 
     def __init__(self, path: str):
@@ -61,7 +63,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(x.split() != [x] for x in specials):
             raise ValueError("a special token with white space needs whole texts")
@@ -78,20 +80,26 @@ class WordIds:
         out = []
         for chunk in chunks:
             text = chunk.decode("utf-8")
-            if self.cuts and text.isalpha() and text.islower() and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            if self.cuts and text.isalpha() and text.islower() and self.normal(text):
                 out.append([t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))])
             else:
                 out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return out
 
+    def normal(self, text: str) -> bool:
+        """Does the tokenizer's normaliser leave a text, lower case but for letters outside ASCII, as it is? Letters added to Unicode of late, which it may not know, don't count."""
+        return text.isascii() or text == self.normalizer.normalize_str(text) and bool(OLD_LETTERS.fullmatch(text[-1]))
+
     def parts(self, chunk: bytes) -> list[bytes]:
         """What to ask for instead of a chunk."""
         low = chunk.lower()
         if not self.cuts or self.special.search(low):
             return [chunk]
         body = low.rstrip(MARKS)
-        if body and len(body) < len(low) and body.decode("utf-8")[-1].isalpha():
-            return [body, low[len(body) :]]
+        if body and len(body) < len(low):
+            text = body.decode("utf-8")
+            if text[-1].isalpha() and self.normal(text):
+                return [body, low[len(body) :]]
         return [low]
 
     def learn(self, chunks: list[bytes]) -> None:

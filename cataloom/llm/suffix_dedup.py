@@ -60,7 +60,7 @@ def _part_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     sums = K.prefix_hash(data, fold_case=False)
     _, down = K.powers(n)
     with np.errstate(over="ignore"):
-        grams = K.mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+        grams = K.mix((sums.values[GRAM:] - sums.values[:-GRAM]) * down[: n - GRAM + 1])
     low = K.U((1 << POSITION_BITS) - 1)
     least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     width = 1

@@ -201,7 +201,68 @@ def test_edit_scripts_are_never_shorter_than_the_distance():
             y.insert(int(at), prose(900 + int(at), 1))
         x, y = " ".join(x), " ".join(y)
         exact = levenshtein(x, y)
-        assert edits.distance(x, y) == exact <= edits.script(x, y, 10**6) <= exact + 8
+        assert edits.distance(x, y) == exact <= edits.script(x, y, 10**6)
+        assert edits.within(x, y, exact) and not edits.within(x, y, exact - 1) and edits.least_edits(x, y) <= exact
+
+
+def test_similar_is_what_the_distance_says():
+    rng, seen = np.random.default_rng(8), Counter()
+    for k in range(1500):
+        x = prose(int(rng.integers(30)), int(rng.integers(20, 40))).split()
+        y = list(x)
+        for _ in range(int(rng.integers(0, 9))):
+            i, j = rng.integers(len(y)), rng.integers(len(y))
+            if k % 3 == 0:
+                y[i], y[j] = y[j], y[i]  # words that change places
+            elif k % 3 == 1:
+                y[i] = y[i][: len(y[i]) // 2] + "z" + y[i][len(y[i]) // 2 :]
+            else:
+                y.insert(int(j), y.pop(int(i)))
+        x, y = " ".join(x), " ".join(y)
+        most = max(len(x), len(y)) // 5
+        # A test of its own: two rows of the table.
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            before, row = row, [i]
+            for j, d in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+        near = row[-1] <= most
+        assert edits.similar(x, y, 80) == near, (x, y)
+        seen[near] += 1
+    assert min(seen[True], seen[False]) > 100
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_long_words_of_two_letters_are_told_apart(spark):
+    one, other = thue_morse(2048), thue_morse(2048, True)
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    names = packing.K.span_hash(packing.K.prefix_hash(data, False), np.array([0, 2048]), np.array([2048, 4096]))
+    assert names[0] != names[1]
+    docs = spark.createDataFrame([(0, one), (1, other), (2, f"{one} {other}"), (3, one.upper())], "doc_id long, text string")
+    assert [r.component_id for r in ngram_join.classes(docs).orderBy("doc_id").collect()] == [0, 1, 2, 0]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    ids = {r.doc_id: r.ids_crc32 for r in packing.tokenized_pieces(docs, path).collect()}
+    for r in docs.collect():
+        want = Tokenizer.from_file(path).encode(r.text, add_special_tokens=False).ids + [1]
+        assert ids[r.doc_id] == zlib.crc32(np.array(want, "<u4").tobytes())
+    texts = {r.doc_id: r.text for r in line_dedup.deduplicated(docs.where("doc_id < 2")).collect()}
+    assert texts == {0: one, 1: other}
+
+
+def test_word_ids_equal_the_library_on_all_kinds_of_letters():
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(2)
+    kinds = list("abXYéÉİıßſΣςσñÑ日本ー..,!'\"-—…ǅﬁअ़क़") + ["\u0301", "\u0307", "\u0958", "\u09dc"]
+    texts = ["".join(rng.choice(kinds, rng.integers(1, 9))) for _ in range(20000)] + ["DEĞERİ.", "SEVGİ,", "İ!"]
+    texts += [form % chr(c) for form in ("a%s.", "%s!") for c in range(0x21, 0x3100) if not chr(c).isspace()]
+    texts = [t for t in texts if t.split() == [t]]
+    got = [[i for part in words.parts(t.encode()) for i in words.asked([part])[0]] for t in texts]
+    assert got == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_sharding(spark, docs, none, texts, tmp_path):
