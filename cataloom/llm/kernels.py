@@ -106,7 +106,7 @@ def slices(column: pa.Array, max_bytes: int = 1 << 17) -> Iterator[tuple[int, in
 
 
 #: Spans of so many bytes are hashed by BLAKE2b.
-LONG = 256
+LONG = 512
 
 
 @dataclass(frozen=True)
