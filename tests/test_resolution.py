@@ -87,7 +87,7 @@ def test_malformed_documents_go_to_quarantine(corpus):
 def test_reading_a_tree(spark, tmp_path):
     (tmp_path / "tree" / "a").mkdir(parents=True)
     (tmp_path / "tree" / "a" / "x.cdm.json").write_text('{"imports":\n []}')
-    assert [tuple(r) for r in S.read_tree(spark, str(tmp_path / "tree")).collect()] == [("a/x.cdm.json", '{"imports":\n []}')]
+    assert [tuple(r) for r in S.read_tree(spark, str(tmp_path / "tree")).collect()] == [("a/x.cdm.json", '{"imports":\n []}', None)]
 
 
 def test_entity_documents_and_seeds(corpus):
