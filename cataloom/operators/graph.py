@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,12 +153,72 @@ def neighbours(targets: DataFrame) -> DataFrame:
     return there.unionByName(business.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "edge_id", "attribute"))
 
 
-def _widened(frontier: DataFrame, adjacency: DataFrame, seen: DataFrame) -> DataFrame:
-    """The nodes one hop further that a side hasn't seen: pair_id, at, edge_id, attribute, prev (its smallest way back)."""
+#: Rows of either side that a cell of a split node takes. A node is split when its expansion makes more rows than the square of this.
+CELL = 1000
+#: Nodes that a hop splits at most, so that their list can be broadcast.
+MOST_SPLIT = 100_000
+
+
+class Adjacency(NamedTuple):
+    """Written edges (src, dst, ...), how many each node has (src, degree), and how many any node has at most."""
+
+    edges: DataFrame
+    fan_out: DataFrame
+    most: int
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> Adjacency:
+        edges = materialize(edges, "adjacency")
+        fan_out = materialize(edges.groupBy("src").agg(F.count("*").alias("degree")), "fan-out")
+        return cls(edges, fan_out, fan_out.agg(F.max("degree")).first()[0] or 0)
+
+
+def split(frontier: DataFrame, n_rows: int, key: str, adjacency: Adjacency) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an expansion with the columns row_cell and edge_cell, on which (with at = src) they are to be joined.
+
+    What each node's expansion will make is counted first. A node that makes more than CELL**2 rows, and more than its share of
+    1/MOST_SPLIT of the hop (so that there are fewer than MOST_SPLIT such nodes), has its frontier rows dealt into row cells by
+    ``key`` and its edges into edge cells; each row goes once to every cell of the other side. All other nodes are one cell.
+    ``n_rows``: how many rows the frontier has at most; few rows and low degrees make no hub, and nothing is counted then.
+    """
+    one = F.lit(0).cast("long")
+    whole = tuple(side.withColumn("row_cell", one).withColumn("edge_cell", one) for side in (frontier, adjacency.edges))
+    if n_rows * adjacency.most <= CELL**2:
+        return whole
+    work = frontier.groupBy("at").agg(F.count("*").alias("n_rows")).join(adjacency.fan_out, F.col("at") == F.col("src")).select(
+        "at", "n_rows", "degree", (F.col("n_rows").cast("double") * F.col("degree")).alias("made")
+    )
+    total = work.agg(F.sum("made").alias("all"), F.max("made").alias("most")).first()
+    least = max(CELL**2, (total["all"] or 0) / MOST_SPLIT)
+    if (total["most"] or 0) <= least:
+        return whole
+    cells = lambda c: F.ceil(F.col(c) / CELL).cast("long")
+    heavy = F.broadcast(work.where(F.col("made") > least).select("at", cells("n_rows").alias("_rows"), cells("degree").alias("_edges")))
+    one_of = lambda n, *c: F.coalesce(F.pmod(F.xxhash64(*c), n), F.lit(0).cast("long"))
+    each_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1).cast("long")) - 1))
+    rows = frontier.join(heavy, "at", "left").withColumn("row_cell", one_of("_rows", key)).withColumn("edge_cell", each_of(F.col("_edges")))
+    edges = adjacency.edges.join(heavy.withColumnRenamed("at", "src"), "src", "left").withColumn(
+        "edge_cell", one_of("_edges", *(c for c in adjacency.edges.columns if c != "src"))
+    ).withColumn("row_cell", each_of(F.col("_rows")))
+    return rows.drop("_rows", "_edges"), edges.drop("_rows", "_edges")
+
+
+def expanded(frontier: DataFrame, n_rows: int, key: str, adjacency: Adjacency) -> DataFrame:
+    """The frontier joined with the edges of its nodes, in cells: a hub with many edges, or one that many frontiers reach, has many tasks."""
+    rows, edges = split(frontier, n_rows, key, adjacency)
+    on = (F.col("at") == F.col("src")) & (rows["row_cell"] == edges["row_cell"]) & (rows["edge_cell"] == edges["edge_cell"])
+    return rows.join(edges, on).drop(rows["row_cell"], rows["edge_cell"], edges["row_cell"], edges["edge_cell"])
+
+
+def _widened(frontier: DataFrame, n_rows: int, adjacency: Adjacency, seen: list[DataFrame]) -> DataFrame:
+    """The nodes one hop further that a side hasn't seen: pair_id, at, edge_id, attribute, prev (its smallest way back).
+
+    Edges go both ways, so a neighbour of the latest hop that has been seen is of that hop or the one before it.
+    """
     way = F.struct("edge_id", F.col("at").alias("prev"), "attribute")
-    step = frontier.join(adjacency, F.col("at") == F.col("src")).groupBy("pair_id", F.col("dst").alias("next")).agg(F.min(way).alias("w"))
+    step = expanded(frontier, n_rows, "pair_id", adjacency).groupBy("pair_id", F.col("dst").alias("next")).agg(F.min(way).alias("w"))
     fresh = step.select("pair_id", F.col("next").alias("at"), "w.edge_id", "w.prev", "w.attribute")
-    return materialize(fresh.join(seen, ["pair_id", "at"], "left_anti"), "frontier")
+    return materialize(fresh.join(reduce(DataFrame.unionByName, seen[-2:]), ["pair_id", "at"], "left_anti"), "frontier")
 
 
 def shortest_paths(pairs: DataFrame, nodes: DataFrame, targets: DataFrame, max_hops: int = 4) -> DataFrame:
@@ -182,21 +243,23 @@ def shortest_paths(pairs: DataFrame, nodes: DataFrame, targets: DataFrame, max_h
             [materialize(start.select("pair_id", "at", none.alias("edge_id"), none.alias("prev"), none.alias("attribute")), "frontier")]
         )
     fronts = [side[0].select("pair_id", "at") for side in sides]
-    seen = list(fronts)
-    adjacency = materialize(neighbours(targets), "adjacency")
+    seen = [[front] for front in fronts]
+    adjacency = Adjacency.of(neighbours(targets))
+    n_rows = [side[0].count() for side in sides]
     meetings: list[DataFrame] = []
     for hops in range(max_hops + 1):
         turn = (hops + 1) % 2
         if hops:
-            wider = _widened(fronts[turn], adjacency, seen[turn])
+            wider = _widened(fronts[turn], n_rows[turn], adjacency, seen[turn])
+            n_rows[turn] = wider.count()
             sides[turn].append(wider)
             fronts[turn] = wider.select("pair_id", "at")
-            seen[turn] = seen[turn].unionByName(fronts[turn])
+            seen[turn].append(fronts[turn])
         # What a side has just reached and the other one has seen is in the other's latest hop: else they would have met before.
         met = fronts[0].join(fronts[1], ["pair_id", "at"]).groupBy("pair_id").agg(F.min("at").alias("meet"))
         meetings.append(materialize(met, "met"))
         fronts = [front.join(meetings[-1].select("pair_id"), "pair_id", "left_anti") for front in fronts]
-        if hops and sides[turn][-1].isEmpty():
+        if hops and not n_rows[turn]:
             break
     found = [
         _path(met, k, sides).select("pair_id", F.lit(k).alias("hops"), F.col("path").cast(hop).alias("path")) for k,
@@ -230,14 +293,16 @@ def _path(met: DataFrame, hops: int, sides: list[list[DataFrame]]) -> DataFrame:
 
 def within_hops(sources: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
     """source, entity_id, hops: every node within so many undirected business hops, at its smallest distance."""
-    adjacency = neighbours(targets).select("src", "dst").distinct()
-    reached = sources.select("source", F.col("source").alias("entity_id"), F.lit(0).cast("long").alias("hops"))
-    frontier = reached
+    adjacency = Adjacency.of(neighbours(targets).select("src", "dst").distinct())
+    rounds = [sources.select("source", F.col("source").alias("entity_id"), F.lit(0).cast("long").alias("hops"))]
     for k in range(1, hops + 1):
-        step = frontier.join(adjacency, F.col("entity_id") == F.col("src")).select("source", F.col("dst").alias("entity_id")).distinct()
-        frontier = materialize(step.join(reached, ["source", "entity_id"], "left_anti").withColumn("hops", F.lit(k).cast("long")), "hop")
-        reached = reached.unionByName(frontier)
-    return reached
+        frontier = rounds[-1].select("source", F.col("entity_id").alias("at"))
+        step = expanded(frontier, rounds[-1].count(), "source", adjacency).select("source", F.col("dst").alias("entity_id")).distinct()
+        # Edges go both ways: what has been seen of the neighbours is of the last two rounds.
+        before = reduce(DataFrame.unionByName, [r.select("source", "entity_id") for r in rounds[-2:]])
+        fresh = step.join(before, ["source", "entity_id"], "left_anti")
+        rounds.append(materialize(fresh.withColumn("hops", F.lit(k).cast("long")), "hop"))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def path_labels(paths: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -56,6 +56,65 @@ def test_paths(spark, graph):
     ).first().label == "A (x) -> B (x) (via toB) -> D (x) (via any)"
 
 
+@pytest.fixture
+def hub(spark):
+    """A hub of 300 spokes, each with a leaf of its own; every tenth spoke also leads on to the next one."""
+    nodes = ["hub"] + [f"{kind}{i}" for kind in "sl" for i in range(300)]
+    ways = [(f"s{i}", "hub") for i in range(300)] + [(f"l{i}", f"s{i}") for i in range(300)] + [(f"s{i}", f"s{i + 1}") for i in range(0, 300, 10)]
+    named = spark.createDataFrame([(n, n, "x", n, None) for n in nodes], "entity_id string, name string, layer string, display_name string, parent_id string")
+    edges = [(f"{a}::{b}", a, a, "way", "wayId", [(b, b)], False, False) for a, b in ways]
+    return named, G.edge_targets(spark.createDataFrame(edges, EDGE)), ways
+
+
+def hops_of(ways, start):
+    """Distances from a node by breadth-first search."""
+    near = {}
+    for a, b in ways:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    far, queue = {start: 0}, [start]
+    for at in queue:
+        for n in near[at]:
+            if n not in far:
+                far[n] = far[at] + 1
+                queue.append(n)
+    return far
+
+
+def test_hubs_are_split_and_give_the_same_paths(spark, hub, monkeypatch):
+    nodes, targets, ways = hub
+    asked = [(f"l{i}", f"l{(7 * i + 3) % 300}") for i in range(60)] + [("l0", "l1"), ("s0", "s1"), ("hub", "l5")]
+    p = pairs(spark, *asked)
+    sources = spark.createDataFrame([(f"s{i}",) for i in range(40)], "source string")
+    found = []
+    for cell in (10**6, 12):
+        monkeypatch.setattr(G, "CELL", cell)
+        paths = {r.pair_id: (r.hops, r.path) for r in G.shortest_paths(p, nodes, targets).collect()}
+        within = {(r.source, r.entity_id): r.hops for r in G.within_hops(sources, targets, 2).collect()}
+        found.append((paths, within))
+    assert found[0] == found[1]
+    paths, within = found[1]
+    assert {k: x[0] for k, x in paths.items()} == {i: hops_of(ways, a).get(b) for i, (a, b) in enumerate(asked)}
+    assert within == {(f"s{i}", n): far for i in range(40) for n, far in hops_of(ways, f"s{i}").items() if far <= 2}
+
+
+def test_no_cell_of_a_hub_holds_much_more_than_its_share(spark, hub, monkeypatch):
+    monkeypatch.setattr(G, "CELL", 20)
+    adjacency = G.Adjacency.of(G.neighbours(hub[1]))
+    frontier = spark.range(500).select(F.col("id").alias("pair_id"), F.when(F.col("id") < 400, "hub").otherwise("s1").alias("at"))
+    rows, edges = G.split(frontier, 500, "pair_id", adjacency)
+    on = ["at", "row_cell", "edge_cell"]
+    sizes = rows.groupBy(on).count().toPandas(), edges.withColumnRenamed("src", "at").groupBy(on).count().toPandas()
+    for side, n_cells in zip(sizes, (20 * 15, 20 * 15)):
+        side = side[side["at"] == "hub"]
+        assert len(side) == n_cells and side["count"].max() <= 3 * 20
+    assert len(sizes[0][sizes[0]["at"] == "s1"]) == 1  # 100 rows of 3 edges make 300, less than 20**2
+    joined = G.expanded(frontier, 500, "pair_id", adjacency).select("pair_id", "dst", "edge_id")
+    plain = frontier.join(adjacency.edges, F.col("at") == F.col("src")).select("pair_id", "dst", "edge_id")
+    assert joined.columns == ["pair_id", "dst", "edge_id"]
+    assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+
+
 def test_relations_notes_and_misses(spark, graph):
     nodes, edges, targets = graph
     assert [r.edge_id for r in G.relations(pairs(spark, ("B", "A"), ("A", "D")), targets).collect()] == ["a::toBId"]
