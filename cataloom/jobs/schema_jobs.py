@@ -53,14 +53,14 @@ class Catalog:
         return self._kept("flat", lambda: N.flattened(self.entities, self.groups))
 
     def expanded(self) -> DataFrame:
-        return self._kept("expanded", lambda: N.expanded(self.flat(), self.closures, self.imports, self.groups))
+        return self._kept("expanded", lambda: N.expanded(self.flat(), self.imports, self.groups))
 
     def parents(self) -> DataFrame:
-        return self._kept("parents", lambda: N.parents(self.entities, self.closures, self.imports))
+        return self._kept("parents", lambda: N.parents(self.entities, self.imports))
 
     def resolve(self, requests: DataFrame) -> DataFrame:
         """doc, wanted, id: the entities that names mean in documents, null where nothing defines them."""
-        found = N.resolve(requests, self.closures, self.imports, self.entities)
+        found = N.resolve(requests, self.imports, self.entities)
         return found.select("doc", "wanted", F.concat("found_doc", F.lit("#"), "found_name").alias("id"))
 
     def resolved(self) -> DataFrame:
@@ -227,15 +227,15 @@ def _requests(c: Catalog) -> DataFrame:
 def n2_n3_resolved_names(spark, sf_dir):
     c = Catalog.of(spark, sf_dir)
     return N.resolve(
-        _requests(c), c.closures, c.imports, c.entities
+        _requests(c), c.imports, c.entities
     ).where("found_doc is not null").select("doc", "wanted", "found_doc", "found_name")
 
 
 def n4_unresolved(spark, sf_dir):
     """Names of parents, targets and groups that nothing defines where they are written."""
     c = Catalog.of(spark, sf_dir)
-    names = N.resolve(_requests(c), c.closures, c.imports, c.entities)
-    groups = N.resolve(c.flat().where("kind = 'group'").select("doc", F.col("name").alias("wanted")), c.closures, c.imports, c.groups)
+    names = N.resolve(_requests(c), c.imports, c.entities)
+    groups = N.resolve(c.flat().where("kind = 'group'").select("doc", F.col("name").alias("wanted")), c.imports, c.groups)
     return names.unionByName(groups).where("found_doc is null").select("doc", "wanted").distinct()
 
 

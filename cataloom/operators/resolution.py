@@ -26,6 +26,19 @@ FLAT = (
 NODES = f"document string, entity string, ord int, attribute string, fk_name string, targets {TARGETS}, skipped boolean"
 TARGET = pa.list_(pa.struct([("entity", pa.string()), ("attribute", pa.string())]))
 IDENTIFIER = "is.identifiedBy"
+#: Documents of more imports are looked into once for all who ask.
+HUB = 1000
+
+
+def _edges(imports: DataFrame) -> DataFrame:
+    """at, ord, next: unaliased imports of other documents; of several imports of one document the first."""
+    plain = imports.where(F.col("moniker").isNull() & (F.col("doc") != F.col("target_doc")))
+    return plain.groupBy(F.col("doc").alias("at"), F.col("target_doc").alias("next")).agg(F.min("ord").alias("ord"))
+
+
+def _smallest(rounds: DataFrame, *keys: str) -> DataFrame:
+    """The smallest path of each key over the rounds so far; rounds are kept as they were written, and none is rewritten."""
+    return rounds.groupBy(*keys).agg(F.min("path").alias("before"))
 
 
 def closure(roots: DataFrame, imports: DataFrame) -> DataFrame:
@@ -35,8 +48,8 @@ def closure(roots: DataFrame, imports: DataFrame) -> DataFrame:
     whose smallest path got smaller, so that a round has one row per (root, doc) at most; a path round a cycle is longer than
     the one it comes back to, so it is never smaller, and the rounds end.
     """
-    plain = imports.where("moniker is null").select(F.col("doc").alias("at"), "ord", F.col("target_doc").alias("next")).where("at != next")
-    best = frontier = materialize(
+    plain = _edges(imports)
+    rounds = frontier = materialize(
         roots.select(F.col("doc").alias("root")).distinct().select(
             "root", F.col("root").alias("doc"), F.array().cast("array<int>").alias("path")
         ),
@@ -46,44 +59,110 @@ def closure(roots: DataFrame, imports: DataFrame) -> DataFrame:
         step = frontier.join(plain, F.col("doc") == F.col("at")).groupBy("root", F.col("next").alias("doc")).agg(
             F.min(F.concat("path", F.array("ord"))).alias("path")
         )
-        known = best.select("root", "doc", F.col("path").alias("before"))
+        known = _smallest(rounds, "root", "doc")
         frontier = materialize(
             step.join(known, ["root", "doc"], "left").where(F.col("before").isNull() | (F.col("path") < F.col("before"))).drop("before"),
             "closure-step"
         )
         if frontier.isEmpty():
             break
-        best = materialize(best.join(frontier.select("root", "doc"), ["root", "doc"], "left_anti").unionByName(frontier), "closure")
-    return best.select("root", "doc", (F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1).cast("long").alias("rank"))
+        rounds = rounds.unionByName(frontier)
+    best = _smallest(rounds, "root", "doc")
+    return best.select("root", "doc", (F.row_number().over(Window.partitionBy("root").orderBy("before")) - 1).cast("long").alias("rank"))
+
+
+def _hub_answers(plain: DataFrame, hubs: DataFrame, holders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(at of the shared hubs; at, key, found): the first holder of each key behind each hub, whoever asks.
+
+    What a hub finds is the same for all who come to it only if it doesn't lie on a cycle: else the walk may have come through
+    documents that the hub would visit itself. Hubs on cycles are searched like other documents.
+    """
+    behind = materialize(closure(hubs.select(F.col("at").alias("doc")), plain.select(
+        F.col("at").alias("doc"), "ord", F.col("next").alias("target_doc"), F.lit(None).cast("string").alias("moniker")
+    )), "hub-closures")
+    back = behind.join(plain, (F.col("doc") == F.col("at")) & (F.col("root") == F.col("next"))).select(F.col("root").alias("hub"))
+    shared = materialize(hubs.select("at").join(back, F.col("at") == F.col("hub"), "left_anti"), "hubs")
+    answers = behind.join(shared, F.col("root") == F.col("at"), "left_semi").join(holders, "doc").groupBy(F.col("root").alias("at"), "key").agg(
+        F.min_by("doc", "rank").alias("found")
+    )
+    return shared, materialize(answers, "hub-answers")
+
+
+def first_holders(asked: DataFrame, imports: DataFrame, holders: DataFrame, hub: int = HUB) -> DataFrame:
+    """start, key, found: the first document that holds the key on the depth-first walk from a document over unaliased imports.
+
+    asked has (start, key), holders (doc, key). Keys that nothing holds and keys that the start holds itself are settled without
+    a walk. The others walk on together, a round per import, a row per (start, key, document) at most: a walk ends where the key
+    is held, and what lies after a holder that was found already, in the walk's order, is left. Documents of more than ``hub``
+    imports aren't walked into by each who asks: what lies behind them is listed once, and all who come there read its answers.
+    Missing starts or keys have no row.
+    """
+    plain = materialize(_edges(imports), "import-edges")
+    asked = asked.select("start", "key").where("start is not null and key is not null").distinct()
+    holders = materialize(holders.select("doc", "key").distinct().join(asked, "key", "left_semi"), "holders")
+    here = holders.select(F.col("doc").alias("at"), "key", F.col("doc").alias("found"))
+    begun = materialize(
+        asked.join(holders.select("key").distinct(), "key").join(here.withColumnRenamed("at", "start"), ["start", "key"], "left").select(
+            "start", "key", F.col("start").alias("at"), F.array().cast("array<int>").alias("path"), "found"
+        ), "names"
+    )
+    large = materialize(plain.groupBy("at").count().where(F.col("count") > hub).select("at"), "large-documents")
+    # A hub that asks for a name itself reads its own answer like the others.
+    shared, answers = (large, here) if large.isEmpty() else _hub_answers(plain, large, holders)
+    has_hubs = not shared.isEmpty()
+    if has_hubs:
+        here = here.join(shared, "at", "left_anti").unionByName(answers)
+    found = rounds = None
+    step = begun.drop("found") if has_hubs else begun
+    while True:
+        if "found" not in step.columns:
+            step = step.join(here, ["at", "key"], "left")
+            if has_hubs:
+                step = step.join(shared.withColumn("closed", F.lit(True)), "at", "left").where("found is not null or closed is null").drop("closed")
+            step = materialize(step, "names-step")
+        hits = step.where("found is not null").select("start", "key", "path", "found")
+        found = hits if found is None else found.unionByName(hits)
+        rounds = step.drop("found") if rounds is None else rounds.unionByName(step.drop("found"))
+        open_ = step.where("found is null").drop("found")
+        if open_.isEmpty():
+            break
+        first = found.groupBy("start", "key").agg(F.min("path").alias("until"))
+        step = open_.join(plain, "at").groupBy("start", "key", F.col("next").alias("at")).agg(
+            F.min(F.concat("path", F.array("ord"))).alias("path")
+        )
+        step = step.join(first, ["start", "key"], "left").where("until is null or path < until").drop("until")
+        step = step.join(_smallest(rounds, "start", "key", "at"), ["start", "key", "at"], "left").where("before is null or path < before").drop("before")
+    return found.groupBy("start", "key").agg(F.min_by("found", "path").alias("found"))
 
 
-def resolve(requests: DataFrame, closures: DataFrame, imports: DataFrame, definitions: DataFrame) -> DataFrame:
+def resolve(requests: DataFrame, imports: DataFrame, definitions: DataFrame, hub: int = HUB) -> DataFrame:
     """(doc, wanted) -> found_doc, found_name; null where nothing defines the name.
 
-    ``Name`` is looked up in the document, then in its closure in order. ``moniker/Name`` first finds the document behind
-    the first such moniker of the closure, and then looks only there and in what that imports. The closures must cover
-    the requesting documents and the targets of aliased imports.
+    ``Name`` is looked up in the document, then in what it imports, in order. ``moniker/Name`` first finds the document behind
+    the first such moniker that is seen from there, and then looks only there and in what that imports. Names are searched for
+    on demand: no table of all visible documents is made.
     """
-    wanted = requests.select("doc", "wanted").distinct()
+    wanted = materialize(requests.select("doc", "wanted").distinct(), "wanted")
     aliased = wanted.where(F.contains("wanted", F.lit("/"))).select(
         "doc", "wanted", F.substring_index("wanted", "/", 1).alias("moniker"),
         F.expr("substring(wanted, instr(wanted, '/') + 1)").alias("name")
     )
-    via = aliased.join(closures.select(F.col("root").alias("doc"), F.col("doc").alias("holder"), "rank"), "doc").join(
-        imports.where("moniker is not null").select(F.col("doc").alias("holder"), "moniker", "ord", "target_doc"),
-        ["holder", "moniker"]
-    )
-    via = via.groupBy("doc", "wanted", "name").agg(F.min_by("target_doc", F.struct("rank", "ord")).alias("start"))
-    plain = wanted.where(~F.contains("wanted", F.lit("/"))).select(
+    asked = wanted.where(~F.contains("wanted", F.lit("/"))).select(
         "doc", "wanted", F.col("wanted").alias("name"), F.col("doc").alias("start")
     )
-    asked = plain.unionByName(via.select("doc", "wanted", "name", "start"))
-    seen = asked.join(closures.select(F.col("root").alias("start"), F.col("doc").alias("found_doc"), "rank"), "start")
-    hit = seen.join(definitions.select(F.col("doc").alias("found_doc"), "name").distinct(), ["found_doc", "name"])
-    first = hit.groupBy("doc", "wanted", "name").agg(
-        F.min_by("found_doc", "rank").alias("found_doc")
-    ).withColumnRenamed("name", "found_name")
-    return wanted.join(first, ["doc", "wanted"], "left")
+    if not aliased.isEmpty():
+        named = imports.where("moniker is not null").groupBy(F.col("doc").alias("holder"), "moniker").agg(F.min_by("target_doc", "ord").alias("start"))
+        via = first_holders(
+            aliased.select(F.col("doc").alias("start"), F.col("moniker").alias("key")), imports,
+            named.select(F.col("holder").alias("doc"), F.col("moniker").alias("key")), hub
+        ).select(F.col("start").alias("doc"), F.col("key").alias("moniker"), F.col("found").alias("holder"))
+        asked = asked.unionByName(aliased.join(via, ["doc", "moniker"]).join(named, ["holder", "moniker"]).select("doc", "wanted", "name", "start"))
+    asked = materialize(asked, "asked")
+    first = first_holders(
+        asked.select("start", F.col("name").alias("key")), imports, definitions.select("doc", F.col("name").alias("key")), hub
+    ).select("start", F.col("key").alias("name"), F.col("found").alias("found_doc"))
+    hit = asked.join(first, ["start", "name"]).select("doc", "wanted", "found_doc", F.col("name").alias("found_name"))
+    return wanted.join(hit, ["doc", "wanted"], "left")
 
 
 def _identifier(entity: dict) -> str | None:
@@ -206,14 +285,14 @@ def fk_nodes(entities: DataFrame) -> DataFrame:
     return entities.select("doc", "name", "json").mapInArrow(run, NODES)
 
 
-def expanded(flat: DataFrame, closures: DataFrame, imports: DataFrame, groups: DataFrame) -> DataFrame:
+def expanded(flat: DataFrame, imports: DataFrame, groups: DataFrame) -> DataFrame:
     """Attributes of entities (home: the document in which they are written) with named groups put in, transitively; a group that is met again on its own path is skipped.
 
     Each group's members are joined in where it is referred to; the ordinal paths keep the order of declaration.
     """
     columns = ("doc", "owner", "ord", "home", "name", "data_type", "description", "fk_name", "fk_targets", "is_fk", "group_path")
     references = flat.where("kind = 'group'").select("doc", F.col("name").alias("wanted"))
-    found = materialize(resolve(references, closures, imports, groups).where("found_doc is not null"), "group-names")
+    found = materialize(resolve(references, imports, groups).where("found_doc is not null"), "group-names")
     members = flat.where("owner_kind = 'group'").select(
         F.col("doc").alias("found_doc"), F.col("owner").alias("found_name"), F.col("ord").alias("m_ord"), "kind", "name",
         "data_type", "description", "fk_name", "fk_targets", "is_fk", F.col("group_path").alias("m_path")
@@ -239,10 +318,10 @@ def expanded(flat: DataFrame, closures: DataFrame, imports: DataFrame, groups: D
     return done
 
 
-def parents(entities: DataFrame, closures: DataFrame, imports: DataFrame) -> DataFrame:
+def parents(entities: DataFrame, imports: DataFrame) -> DataFrame:
     """entity_id, parent_id, wanted: the resolved parent; null for the built-in root and for names that nothing defines."""
     asked = entities.where(F.col("extends").isNotNull() & (F.col("extends") != ROOT))
-    found = resolve(asked.select("doc", F.col("extends").alias("wanted")), closures, imports, entities)
+    found = resolve(asked.select("doc", F.col("extends").alias("wanted")), imports, entities)
     joined = entities.join(found.withColumnRenamed("wanted", "extends"), ["doc", "extends"], "left")
     return joined.select(
         F.concat("doc", F.lit("#"), "name").alias("entity_id"),

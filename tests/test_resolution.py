@@ -1,6 +1,7 @@
 """Small corpora of schema documents."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def test_names_and_monikers(spark, corpus):
         ],
         "doc string, wanted string"
     )
-    found = {(r.doc, r.wanted): r.found_doc for r in N.resolve(asked, corpus["closures"], corpus["imports"], corpus["entities"]).collect()}
+    found = {(r.doc, r.wanted): r.found_doc for r in N.resolve(asked, corpus["imports"], corpus["entities"]).collect()}
     assert found == {
         ("app/Leaf.cdm.json", "Thing"): "app/Thing.cdm.json", ("app/Leaf.cdm.json", "base_Thing/Thing"): "base/Thing.cdm.json",
         ("app/Leaf.cdm.json", "None"): None, ("base/Thing.cdm.json", "Thing"): "base/Thing.cdm.json",
@@ -126,18 +127,18 @@ def test_names_and_monikers(spark, corpus):
 
 
 def test_groups_expand_once_around_a_cycle(corpus):
-    e = N.expanded(N.flattened(corpus["entities"], corpus["groups"]), corpus["closures"], corpus["imports"], corpus["groups"])
+    e = N.expanded(N.flattened(corpus["entities"], corpus["groups"]), corpus["imports"], corpus["groups"])
     found = {r.name: r.group_path for r in e.where("owner = 'CdsStandard'").collect()}
     assert found == {"createdBy": ["audit"], "createdOn": ["audit", "stamps"]}
 
 
 def test_inheritance_override_and_placeholder(corpus):
     flat = N.flattened(corpus["entities"], corpus["groups"])
-    own = N.expanded(flat, corpus["closures"], corpus["imports"], corpus["groups"]).select(
+    own = N.expanded(flat, corpus["imports"], corpus["groups"]).select(
         F.concat("doc", F.lit("#"), "owner").alias("entity_id"), "ord", "home", "name", "data_type", "fk_name", "fk_targets",
         "description"
     )
-    parents = N.parents(corpus["entities"], corpus["closures"], corpus["imports"])
+    parents = N.parents(corpus["entities"], corpus["imports"])
     chain = H.chains(parents)
     leaf = "app/Leaf.cdm.json#Leaf"
     assert [
@@ -214,14 +215,87 @@ def test_a_diamond_of_imports_has_one_row_a_document_and_round(spark):
     ] == [f"d{i:02d}x" for i in range(31)] + [f"d{i:02d}y" for i in range(30, 0, -1)]
 
 
+def first_by_walk(start, key, edges, held):
+    """The first holder of a key that a recursive depth-first walk comes to."""
+    seen, stack = set(), [start]
+    while stack:
+        doc = stack.pop()
+        if doc in seen:
+            continue
+        seen.add(doc)
+        if (doc, key) in held:
+            return doc
+        stack.extend(b for _, b in sorted(edges.get(doc, []), reverse=True))
+    return None
+
+
+@pytest.mark.parametrize("hub", [2, 4, 1000])
+def test_names_searched_on_demand_are_those_of_a_walk(spark, hub):
+    """Random imports with cycles, repeated imports and documents that import themselves, and hubs on and off cycles."""
+    rng = random.Random(hub)
+    docs = [f"d{i:02d}" for i in range(40)]
+    edges = {}
+    for i, doc in enumerate(docs):
+        # Half of the imports go to later documents alone, so that some hubs lie on no cycle.
+        pool = docs[i:] if i % 2 else docs
+        edges[doc] = [(k, rng.choice(pool)) for k in range(rng.choice([0, 1, 2, 3, 6]))]
+    held = {(rng.choice(docs), f"k{rng.randrange(12)}") for _ in range(25)}
+    asked = [(d, f"k{k}") for d in docs for k in range(13)] + [("absent", "k1"), ("d00", None), (None, "k1")]
+    imports = [(a, k, b, None) for a, out in edges.items() for k, b in out] + [("d00", 99, None, None), ("d01", 99, "d02", "alias")]
+    found = N.first_holders(
+        spark.createDataFrame(asked + asked[:5], "start string, key string"),
+        spark.createDataFrame(imports, "doc string, ord int, target_doc string, moniker string"),
+        spark.createDataFrame(sorted(held), "doc string, key string"), hub
+    ).collect()
+    got = {(r.start, r.key): r.found for r in found}
+    assert len(found) == len(got)
+    wanted = {(d, k): first_by_walk(d, k, edges, held) for d, k in asked if d and k}
+    assert got == {x: y for x, y in wanted.items() if y is not None}
+
+
+def test_no_names_asked_and_no_imports(spark):
+    imports = spark.createDataFrame([], "doc string, ord int, target_doc string, moniker string")
+    asked = spark.createDataFrame([("a", "X"), ("b", "X"), ("b", "m/X")], "doc string, wanted string")
+    definitions = spark.createDataFrame([("a", "X"), ("a", "X")], "doc string, name string")
+    assert sorted((r.doc, r.wanted, r.found_doc) for r in N.resolve(asked, imports, definitions).collect()) == [
+        ("a", "X", "a"), ("b", "X", None), ("b", "m/X", None)
+    ]
+    assert N.resolve(asked.limit(0), imports, definitions).count() == 0
+
+
+def test_a_hub_of_many_imports_asked_by_many_stays_linear(spark, tmp_path):
+    """n documents import a hub of n imports, and each asks for another name: no step makes a row for each pair of the two."""
+    n = 3000
+    ids = spark.range(n).select(F.col("id").cast("int").alias("i"))
+    imports = ids.select(F.concat(F.lit("ask"), "i").alias("doc"), F.lit(0).alias("ord"), F.lit("hub").alias("target_doc")).unionByName(
+        ids.select(F.lit("hub").alias("doc"), F.col("i").alias("ord"), F.concat(F.lit("leaf"), "i").alias("target_doc"))
+    ).withColumn("moniker", F.lit(None).cast("string"))
+    asked = ids.select(F.concat(F.lit("ask"), "i").alias("doc"), F.concat(F.lit("N"), "i").alias("wanted"))
+    definitions = ids.select(F.concat(F.lit("leaf"), "i").alias("doc"), F.concat(F.lit("N"), "i").alias("name"))
+    made = []
+    whole = N.materialize
+
+    def counted(df, name, *by):
+        out = whole(df, name, *by)
+        made.append(out.count())
+        return out
+
+    N.materialize = counted
+    try:
+        rows = N.resolve(asked, imports, definitions).collect()
+    finally:
+        N.materialize = whole
+    assert len(rows) == n and all(r.found_doc == "leaf" + r.wanted[1:] for r in rows)
+    assert max(made) <= 2 * n + 2
+
+
 def test_groups_nested_deeply_are_expanded(spark):
     groups = [{"attributeGroupName": f"g{i}", "members": [{"name": f"a{i}", "dataType": "string"}, f"g{i + 1}"]} for i in range(20)]
     doc = {"imports": [], "definitions": [*groups, {"entityName": "E", "hasAttributes": ["g0"]}]}
     good, _ = S.parsed(spark.createDataFrame([("d.cdm.json", json.dumps(doc))], "path string, json string"))
     entities, found = S.definitions(good)
     imports = S.imports(good)
-    closures = N.closure(good.select(F.col("path").alias("doc")), imports)
-    assert N.expanded(N.flattened(entities, found), closures, imports, found).count() == 20
+    assert N.expanded(N.flattened(entities, found), imports, found).count() == 20
 
 
 def test_keys_at_any_depth_are_edges_and_hollow_ones_are_counted(spark):
