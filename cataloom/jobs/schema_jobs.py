@@ -31,7 +31,6 @@ class Catalog:
         self.good, self.bad = S.parsed(docs)
         self._tables: dict[str, DataFrame] = {}
         self.live = self._kept("documents", lambda: self.good.where(is_live_document(F.col("path"))))
-        self.imports = S.imports(self.live)
         self.entities, self.groups = S.definitions(self.live)
 
     @classmethod
@@ -45,6 +44,10 @@ class Catalog:
             self._tables[name] = materialize(build(), name)
         return self._tables[name]
 
+    @property
+    def imports(self) -> DataFrame:
+        return self._kept("imports", lambda: S.imports(self.live))
+
     @property
     def closures(self) -> DataFrame:
         return self._kept("closures", lambda: N.closure(self.live.select(F.col("path").alias("doc")), self.imports))

@@ -88,6 +88,13 @@ def _hub_answers(plain: DataFrame, hubs: DataFrame, holders: DataFrame) -> tuple
     return shared, materialize(answers, "hub-answers")
 
 
+def _graph(imports: DataFrame, hub: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of unaliased imports, and the documents of more than ``hub`` of them, if there are any."""
+    plain = materialize(_edges(imports), "import-edges")
+    large = plain.groupBy("at").count().where(F.col("count") > hub).select("at")
+    return plain, None if large.isEmpty() else materialize(large, "large-documents")
+
+
 def first_holders(asked: DataFrame, imports: DataFrame, holders: DataFrame, hub: int = HUB) -> DataFrame:
     """start, key, found: the first document that holds the key on the depth-first walk from a document over unaliased imports.
 
@@ -97,29 +104,25 @@ def first_holders(asked: DataFrame, imports: DataFrame, holders: DataFrame, hub:
     imports aren't walked into by each who asks: what lies behind them is listed once, and all who come there read its answers.
     Missing starts or keys have no row.
     """
-    plain = materialize(_edges(imports), "import-edges")
+    return _first_holders(asked, *_graph(imports, hub), holders)
+
+
+def _first_holders(asked: DataFrame, plain: DataFrame, large: DataFrame | None, holders: DataFrame) -> DataFrame:
     asked = asked.select("start", "key").where("start is not null and key is not null").distinct()
     holders = materialize(holders.select("doc", "key").distinct().join(asked, "key", "left_semi"), "holders")
     here = holders.select(F.col("doc").alias("at"), "key", F.col("doc").alias("found"))
-    begun = materialize(
-        asked.join(holders.select("key").distinct(), "key").join(here.withColumnRenamed("at", "start"), ["start", "key"], "left").select(
-            "start", "key", F.col("start").alias("at"), F.array().cast("array<int>").alias("path"), "found"
-        ), "names"
-    )
-    large = materialize(plain.groupBy("at").count().where(F.col("count") > hub).select("at"), "large-documents")
-    # A hub that asks for a name itself reads its own answer like the others.
-    shared, answers = (large, here) if large.isEmpty() else _hub_answers(plain, large, holders)
-    has_hubs = not shared.isEmpty()
-    if has_hubs:
+    shared = None
+    if large is not None:
+        # A hub that asks for a name itself reads its own answer like the others.
+        shared, answers = _hub_answers(plain, large, holders)
         here = here.join(shared, "at", "left_anti").unionByName(answers)
+    step = asked.join(holders.select("key").distinct(), "key").select("start", "key", F.col("start").alias("at"), F.array().cast("array<int>").alias("path"))
     found = rounds = None
-    step = begun.drop("found") if has_hubs else begun
     while True:
-        if "found" not in step.columns:
-            step = step.join(here, ["at", "key"], "left")
-            if has_hubs:
-                step = step.join(shared.withColumn("closed", F.lit(True)), "at", "left").where("found is not null or closed is null").drop("closed")
-            step = materialize(step, "names-step")
+        step = step.join(here, ["at", "key"], "left")
+        if shared is not None:
+            step = step.join(shared.withColumn("closed", F.lit(True)), "at", "left").where("found is not null or closed is null").drop("closed")
+        step = materialize(step, "names-step")
         hits = step.where("found is not null").select("start", "key", "path", "found")
         found = hits if found is None else found.unionByName(hits)
         rounds = step.drop("found") if rounds is None else rounds.unionByName(step.drop("found"))
@@ -150,16 +153,18 @@ def resolve(requests: DataFrame, imports: DataFrame, definitions: DataFrame, hub
     asked = wanted.where(~F.contains("wanted", F.lit("/"))).select(
         "doc", "wanted", F.col("wanted").alias("name"), F.col("doc").alias("start")
     )
+    graph = _graph(imports, hub)
     if not aliased.isEmpty():
         named = imports.where("moniker is not null").groupBy(F.col("doc").alias("holder"), "moniker").agg(F.min_by("target_doc", "ord").alias("start"))
-        via = first_holders(
-            aliased.select(F.col("doc").alias("start"), F.col("moniker").alias("key")), imports,
-            named.select(F.col("holder").alias("doc"), F.col("moniker").alias("key")), hub
+        via = _first_holders(
+            aliased.select(F.col("doc").alias("start"), F.col("moniker").alias("key")), *graph,
+            named.select(F.col("holder").alias("doc"), F.col("moniker").alias("key"))
         ).select(F.col("start").alias("doc"), F.col("key").alias("moniker"), F.col("found").alias("holder"))
-        asked = asked.unionByName(aliased.join(via, ["doc", "moniker"]).join(named, ["holder", "moniker"]).select("doc", "wanted", "name", "start"))
-    asked = materialize(asked, "asked")
-    first = first_holders(
-        asked.select("start", F.col("name").alias("key")), imports, definitions.select("doc", F.col("name").alias("key")), hub
+        asked = materialize(
+            asked.unionByName(aliased.join(via, ["doc", "moniker"]).join(named, ["holder", "moniker"]).select("doc", "wanted", "name", "start")), "asked"
+        )
+    first = _first_holders(
+        asked.select("start", F.col("name").alias("key")), *graph, definitions.select("doc", F.col("name").alias("key"))
     ).select("start", F.col("key").alias("name"), F.col("found").alias("found_doc"))
     hit = asked.join(first, ["start", "name"]).select("doc", "wanted", "found_doc", F.col("name").alias("found_name"))
     return wanted.join(hit, ["doc", "wanted"], "left")
