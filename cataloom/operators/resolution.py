@@ -130,11 +130,13 @@ def _first_holders(asked: DataFrame, plain: DataFrame, large: DataFrame | None,
         if open_.isEmpty():
             break
         first = found.groupBy("start", "key").agg(F.min("path").alias("until"))
-        step = open_.join(plain, "at").groupBy("start", "key", F.col("next").alias("at")).agg(
-            F.min(F.concat("path", F.array("ord"))).alias("path")
-        )
-        step = step.join(first, ["start", "key"], "left").where("until is null or path < until").drop("until")
-        step = step.join(_smallest(rounds, "start", "key", "at"), ["start", "key", "at"], "left").where("before is null or path < before").drop("before")
+        further = open_.join(plain, "at").select("start", "key", F.col("next").alias("at"), F.concat("path", F.array("ord")).alias("path"))
+        further = further.join(first, ["start", "key"], "left").where("until is null or path < until").drop("until")
+        # One grouping finds the smallest path of this round and of those before.
+        both = further.withColumn("new", F.lit(True)).unionByName(rounds.withColumn("new", F.lit(False)))
+        step = both.groupBy("start", "key", "at").agg(
+            F.min(F.when(F.col("new"), F.col("path"))).alias("path"), F.min(F.when(~F.col("new"), F.col("path"))).alias("before")
+        ).where("path is not null and (before is null or path < before)").drop("before")
     return found.groupBy("start", "key").agg(F.min_by("found", "path").alias("found"))
 
 
