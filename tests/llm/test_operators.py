@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -720,3 +721,44 @@ def test_html_ratios_decide_without_any_mark():
     # A main element that holds little of it isn't the article.
     page = f"<body><main><p>Ok.</p></main><div><p>{s}</p><p>{s}</p></div></body>"
     assert html_extract.main_text(page) == "\n".join([s.strip(), s.strip()])
+
+
+def test_line_groups_hold_every_link_of_a_block(spark):
+    """Lines of one passage: many are near a leader whose edits are too many, and similar to others that left the bucket with it."""
+    passage, rows = prose(91, 14).split(), []
+    for k in range(150):
+        own, other = passage.copy(), prose(7000 + k, 40).split()
+        for i in range(3 + k % 3):
+            own[(5 * k + 3 * i) % len(own)] = other[i]
+        rows.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    found = line_dedup.occurrences(docs)
+    lines = {r.doc: (r.text_id, np.array([r.sim]).view(np.uint64), set(r["keys"])) for r in found.collect()}
+    union = Union()
+    for i, (x, sim_x, keys_x) in lines.items():
+        for j, (y, sim_y, keys_y) in lines.items():
+            if i < j and keys_x & keys_y and line_dedup.apart(sim_x, sim_y)[0] < 64 and edits.similar(rows[i], rows[j], line_dedup.PERCENT):
+                union.join(i, j)
+    want = {i for i in lines if union.find(i) == i}
+    got = {r.doc_id for r in line_dedup.deduplicated(docs).where("n_lines_removed = 0").collect()}
+    assert got == want and 1 < len(want) < len(rows)
+
+
+def test_cells_of_a_block_hold_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CELL", 3)
+    test_line_groups_hold_every_link_of_a_block(spark)
+
+
+def test_edits_of_many_pairs_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(edits, "FEW", 2)
+    some, x, y = random.Random(5), [], []
+    for k in range(600):
+        text = "".join(some.choice(("ab", "abcdefgh ", "\u6f22\u5b57b", "\U0001d538a")[k % 4]) for _ in range(some.choice((0, 1, 63, 64, 65, 130, 400))))
+        other = list(text)
+        for _ in range(some.randrange(max(2, len(text) // 3))):
+            at = some.randrange(len(other) + 1)
+            other[at : at + some.randrange(2)] = some.choice(["", "z", "yz"])
+        x.append(text)
+        y.append("".join(other))
+    want = [edits.distance(a, b) <= edits.most_edits(a, b, 80) for a, b in zip(x, y)]
+    assert edits.all_similar(x, y, 80).tolist() == want and 100 < sum(want) < 590
