@@ -124,6 +124,7 @@ class WordIds:
         if len(self.recent.hashes) > RECENT:
             self.known = self.recent if len(self.known.hashes) > CACHED_WORDS else self.known.joined(self.recent)
             self.recent = K.no_ids(np.uint32)
+            K.trim()
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of texts, one text after the other, and where each begins."""
@@ -145,8 +146,13 @@ class WordIds:
         more, extra = self.recent.spans(at)
         begin[left], size[left] = more + len(self.known.ids), extra
         upto = np.concatenate([[0], np.cumsum(size)])
-        both = np.concatenate([self.known.ids, self.recent.ids]) if len(self.recent.ids) else self.known.ids
-        return both[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)], upto[first]
+        at = np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)
+        if not len(self.recent.ids):
+            return self.known.ids[at], upto[first]
+        # Both tables one after the other would be a copy of the known one for each run of texts.
+        out, late = np.empty(len(at), np.uint32), at >= len(self.known.ids)
+        out[~late], out[late] = self.known.ids[at[~late]], self.recent.ids[at[late] - len(self.known.ids)]
+        return out, upto[first]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -162,7 +168,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
         for batch in batches:
             out: list[tuple] = []
             doc_ids = batch.column("doc_id").to_pylist()
-            for first, last, data, offsets in K.slices(batch.column("text"), 1 << 20):
+            for first, last, data, offsets in K.slices(batch.column("text"), 1 << 18):
                 flat, bounds = words.ids(data, offsets)
                 for doc_id, a, b in zip(doc_ids[first:last], bounds[:-1].tolist(), bounds[1:].tolist()):
                     ids = np.concatenate([flat[a:b], end]).astype("<u4")

@@ -762,3 +762,20 @@ def test_edits_of_many_pairs_are_those_of_each(monkeypatch):
         y.append("".join(other))
     want = [edits.distance(a, b) <= edits.most_edits(a, b, 80) for a, b in zip(x, y)]
     assert edits.all_similar(x, y, 80).tolist() == want and 100 < sum(want) < 590
+
+
+def test_joining_word_tables_takes_little_more_than_the_tables():
+    import tracemalloc
+
+    from cataloom.llm import kernels as K
+
+    sizes, hashes = np.full(200_000, 16), np.random.default_rng(3).permutation(200_001).astype(np.uint64)
+    one = K.IdTable.of(hashes[:-1], sizes, np.repeat(hashes[:-1], 16).astype(np.uint32))
+    other = K.IdTable.of(hashes[-1:], np.array([1]), hashes[-1:].astype(np.uint32))
+    tracemalloc.start()
+    both = one.joined(other)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    begin, size = both.spans(np.arange(len(both.hashes)))
+    assert (both.ids == np.repeat(both.hashes, size)).all() and begin[-1] + size[-1] == len(both.ids)
+    assert peak < 5 * both.ids.nbytes
