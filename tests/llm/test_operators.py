@@ -723,8 +723,8 @@ def test_html_ratios_decide_without_any_mark():
     assert html_extract.main_text(page) == "\n".join([s.strip(), s.strip()])
 
 
-def test_line_groups_hold_every_link_of_a_block(spark):
-    """Lines of one passage: many are near a leader whose edits are too many, and similar to others that left the bucket with it."""
+def lines_of_a_passage(spark):
+    """Documents of a line each, and the ids of those that stay: many are near a leader whose edits are too many, and similar to others that left the bucket with it."""
     passage, rows = prose(91, 14).split(), []
     for k in range(150):
         own, other = passage.copy(), prose(7000 + k, 40).split()
@@ -739,9 +739,20 @@ def test_line_groups_hold_every_link_of_a_block(spark):
         for j, (y, sim_y, keys_y) in lines.items():
             if i < j and keys_x & keys_y and line_dedup.apart(sim_x, sim_y)[0] < 64 and edits.similar(rows[i], rows[j], line_dedup.PERCENT):
                 union.join(i, j)
-    want = {i for i in lines if union.find(i) == i}
+    return docs.withColumn("n_chars", F.length("text")), {i for i in lines if union.find(i) == i}
+
+
+def test_line_groups_hold_every_link_of_a_block(spark):
+    docs, want = lines_of_a_passage(spark)
     got = {r.doc_id for r in line_dedup.deduplicated(docs).where("n_lines_removed = 0").collect()}
-    assert got == want and 1 < len(want) < len(rows)
+    assert got == want and 1 < len(want) < docs.count()
+
+
+def test_the_pipeline_loses_no_link_of_a_block(spark):
+    import corpus_pipeline
+
+    docs, want = lines_of_a_passage(spark)
+    assert {r.doc_id for r in corpus_pipeline.fuzzy_line_dedup(spark, docs, "").collect()} == want
 
 
 def test_cells_of_a_block_hold_every_pair(spark, monkeypatch):
