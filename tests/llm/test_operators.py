@@ -790,3 +790,44 @@ def test_joining_word_tables_takes_little_more_than_the_tables():
     begin, size = both.spans(np.arange(len(both.hashes)))
     assert (both.ids == np.repeat(both.hashes, size)).all() and begin[-1] + size[-1] == len(both.ids)
     assert peak < 5 * both.ids.nbytes
+
+
+def test_few_pairs_of_a_passage_are_compared(spark):
+    """Lines that share a run of words and differ too much for a link: their letters tell, before their texts are fetched. No link is lost."""
+    docs, _ = lines_of_a_passage(spark)
+    short = [f"{prose(300 + k, 5)} one run of words {prose(600 + k, 6)}" for k in range(120)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + k, x) for k, x in enumerate(short)], "doc_id long, text string"))
+    found = line_dedup.occurrences(docs)
+    lines = {r.text_id: (r.doc, np.array([r.sim]).view(np.uint64), set(r["keys"])) for r in found.collect()}
+    texts, near, links = {r.doc_id: r.text for r in docs.collect()}, set(), set()
+    for x, (i, sim_x, keys_x) in lines.items():
+        for y, (j, sim_y, keys_y) in lines.items():
+            if x < y and keys_x & keys_y and line_dedup.apart(sim_x, sim_y)[0] < 64:
+                near.add((x, y))
+                if edits.similar(texts[i].lower(), texts[j].lower(), line_dedup.PERCENT):
+                    links.add((x, y))
+    none = spark.createDataFrame([], "a long, b long")
+    _, shared = line_dedup.candidates(found)
+    got = {tuple(r) for r in line_dedup.left_pairs(found, shared, none.toDF("node", "component"), none).collect()}
+    assert links <= got < near and links
+
+
+def test_letters_never_deny_a_link():
+    some, texts = random.Random(8), []
+    for k in range(300):
+        words = ["".join(some.choice("abcXYZ09.,äд漢\U0001d538") for _ in range(some.randrange(1, 9))) for _ in range(some.randrange(5, 60))]
+        other = list("  ".join(words))
+        for _ in range(some.randrange(len(other) // 5 + 2)):
+            at = some.randrange(len(other))
+            other[at : at + some.randrange(2)] = some.choice(["", "z", "yß", " "])
+        texts += [" ".join(words) + " \t", " " + "".join(other)]
+    texts += [" ".join(["e" * 30] * 40), " ".join(["e" * 30] * 33), " ".join(["ab"] * 40_000), " ".join(["ab"] * 30_000)]
+    raw = [x.encode() for x in texts]
+    lines = line_dedup.Lines(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    counts = line_dedup.letter_counts(lines, np.arange(len(texts)))
+    lower = [" ".join(re.split(r"[ \t]+", re.sub("[A-Z]", lambda m: m[0].lower(), x).strip(" \t"))) for x in texts]
+    assert [int(n) for n in counts[:, -2:].copy().view("<u2").ravel()] == [min(len(x), 65535) for x in lower]
+    may = line_dedup.few_edits(counts[::2], counts[1::2])
+    for i in np.flatnonzero(~may):
+        assert edits.distance(lower[2 * i], lower[2 * i + 1]) > edits.most_edits(lower[2 * i], lower[2 * i + 1], line_dedup.PERCENT)
+    assert 20 < may.sum() and not line_dedup.few_edits(counts[:1], counts[2:3])[0]
