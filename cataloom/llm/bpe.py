@@ -209,36 +209,32 @@ def _byte_ids(word: Column, constants: Column) -> Column:
 
 
 def fold(ids: Column, tables: Column) -> Column:
-    """Joins pairs by rank until none is left: one round less than there are ids. The state holds the pairs' ranks, of which a join changes two."""
-    none = F.lit(-1)
-    padded = F.concat(F.array(none), ids, F.array(none))
-
-    def start(own: Column) -> Column:
-        return F.struct(
-            own.alias("ids"),
-            F.transform(
-                F.sequence(F.lit(0), F.size(own) - 2), lambda i: _pair_rank(F.get(own, i), F.get(own, i + 1), tables)
-            ).alias("ranks")
+    """Joins pairs by rank until none is left: one round less than there are ids. An entry of the state is an id, and above it the rank of its pair with the next
+    one. A rank has one pair, so entries of equal ranks are equal, and the first place of the least entry is that of the leftmost pair to join."""
+    start, none = F.lit(1 << 40), F.lit(1 << ID_BITS)
+    id_of = lambda entry: entry.bitwiseAND((1 << ID_BITS) - 1).cast("int")
+
+    def entry(left: Column, right: Column) -> Column:
+        rank = _let(_pair_rank(left, right, tables), lambda r: F.when(_joins(r), r).otherwise(none))
+        return F.shiftleft(rank, ID_BITS).bitwiseOR(left.cast("bigint"))
+
+    def join(state: Column, at: Column, least: Column) -> Column:
+        before, own = F.get(state, at - 2), F.shiftright(least, ID_BITS).cast("int")
+        return F.concat(
+            F.slice(state, F.lit(1), at - 2),
+            F.array(F.when(before == start, before).otherwise(entry(id_of(before), own)), entry(own, id_of(F.get(state, at + 1)))),
+            F.slice(state, at + 2, F.size(state))
         )
 
-    def join(state: Column, least: Column) -> Column:
-        own, ranks = state["ids"], state["ranks"]
-        at = F.array_position(ranks, least).cast("int")
-        joined = F.struct(
-            F.concat(F.slice(own, F.lit(1), at - 1), F.array(least.cast("int")), F.slice(own, at + 2, F.size(own))).alias("ids"),
-            F.concat(
-                F.slice(ranks, F.lit(1), at - 2), F.array(
-                    _pair_rank(F.get(own, at - 2), least.cast("int"), tables), _pair_rank(least.cast("int"), F.get(own, at + 1), tables)
-                ), F.slice(ranks, at + 2, F.size(ranks))
-            ).alias("ranks"),
-        )
-        return F.when(_joins(least), joined).otherwise(state)
+    def turn(state: Column, least: Column) -> Column:
+        joined = _let(F.array_position(state, least).cast("int"), lambda at: join(state, at, least))
+        return F.when(least < F.shiftleft(none.cast("bigint"), ID_BITS), joined).otherwise(state)
 
+    entries = _let(ids, lambda own: F.concat(F.array(start), F.transform(own, lambda x, i: entry(x, F.get(own, i + 1)))))
     folded = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), _let(padded, start),
-        lambda state, _: _let(F.array_min(state["ranks"]), lambda least: join(state, least))
+        F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), entries, lambda state, _: _let(F.array_min(state), lambda least: turn(state, least))
     )
-    return _let(folded, lambda state: F.slice(state["ids"], F.lit(2), F.size(state["ids"]) - 2))
+    return _let(folded, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state)), id_of))
 
 
 def fold_long(ids: Column, tables: Column) -> Column:
