@@ -831,3 +831,49 @@ def test_letters_never_deny_a_link():
     for i in np.flatnonzero(~may):
         assert edits.distance(lower[2 * i], lower[2 * i + 1]) > edits.most_edits(lower[2 * i], lower[2 * i + 1], line_dedup.PERCENT)
     assert 20 < may.sum() and not line_dedup.few_edits(counts[:1], counts[2:3])[0]
+
+
+def test_cells_give_the_links_that_join_groups_and_not_their_pairs(spark):
+    docs, want = lines_of_a_passage(spark)
+    found = line_dedup.occurrences(docs)
+    none = spark.createDataFrame([], "a long, b long")
+    _, shared = line_dedup.candidates(found)
+    lines = line_dedup.block_lines(found, shared)
+    texts = line_dedup.line_texts(docs, lines.select("text_id"))
+    got = line_dedup.left_pairs(lines, shared, none.toDF("node", "component"), none, texts).collect()
+    pairs = line_dedup.left_pairs(found, shared, none.toDF("node", "component"), none).count()
+    text, doc = {r.text_id: r.text for r in texts.collect()}, {r.text_id: r.doc for r in found.collect()}
+    union = Union()
+    for a, b in got:
+        assert edits.similar(text[a], text[b], line_dedup.PERCENT)
+        union.join(doc[a], doc[b])
+    assert {i for i in doc.values() if union.find(i) == i} == want
+    # A task gives less than a row for each of its lines; four tasks run.
+    assert 0 < len(got) < 4 * len(doc) and len(got) < pairs / 2
+
+
+def test_cells_are_whole_wherever_batches_are_cut():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(np.repeat([3, 5, 6, 9], [4, 1, 7, 2])), pa.array(np.arange(14))], ["cell", "row"])
+    for size in (1, 2, 3, 4, 5, 13, 14):
+        out = list(line_dedup.whole_cells(iter([rows.slice(0, 0), *(rows.slice(i, size) for i in range(0, 14, size))])))
+        cells = [set(x.column("cell").to_pylist()) for x in out]
+        assert [r for x in out for r in x.column("row").to_pylist()] == list(range(14))
+        assert sum(map(len, cells)) == len(set().union(*cells)) == 4
+
+
+def test_edits_of_far_pairs_and_of_many_letters(monkeypatch):
+    some, x, y = random.Random(6), [], []
+    for k in range(400):
+        letters = "ab \u6f22" if k % 2 else "".join(map(chr, range(0x4E00, 0x4E00 + 500)))
+        text = "".join(some.choice(letters) for _ in range(some.randrange(60, 700)))
+        at = some.randrange(len(text))
+        far = "".join(some.choice(letters) for _ in range(at))
+        x.append(text)
+        y.append(far + text[at:] if k % 4 < 2 else text[:at // 4] + far[: at // 5] + text[at // 2 :])
+    want = [edits.distance(a, b) <= edits.most_edits(a, b, 80) for a, b in zip(x, y)]
+    monkeypatch.setattr(edits, "FEW", 2)
+    assert edits.all_similar(x, y, 80).tolist() == want and 20 < sum(want) < 380
+    monkeypatch.setattr(edits, "DENSE", 0)
+    assert edits.all_similar(x, y, 80).tolist() == want
