@@ -877,3 +877,20 @@ def test_edits_of_far_pairs_and_of_many_letters(monkeypatch):
     assert edits.all_similar(x, y, 80).tolist() == want and 20 < sum(want) < 380
     monkeypatch.setattr(edits, "DENSE", 0)
     assert edits.all_similar(x, y, 80).tolist() == want
+
+
+def test_lines_found_once_and_in_no_group_are_not_joined(spark, monkeypatch):
+    rows = [f"{prose(8000 + k, 12)}\n{prose(9000 + k, 12)}" for k in range(200)]
+    rows += [rows[3].split("\n")[0], rows[5].replace(rows[5].split()[2], "zz", 1)]
+    docs, made = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), {}
+    write = line_dedup.materialize
+
+    def written(df, name, *more):
+        made[name] = write(df, name, *more)
+        return made[name]
+
+    monkeypatch.setattr(line_dedup, "materialize", written)
+    gone = {r.doc: sorted(r.gone) for r in line_dedup.removed_lines(docs).collect()}
+    assert gone == {200: [0], 201: [0, 1]}
+    # Three groups of two lines; the others are as many as the filter lets pass.
+    assert made["lines"].count() == 403 and 6 <= made["line-places"].count() < 12
