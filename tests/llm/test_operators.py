@@ -894,3 +894,47 @@ def test_lines_found_once_and_in_no_group_are_not_joined(spark, monkeypatch):
     assert gone == {200: [0], 201: [0, 1]}
     # Three groups of two lines; the others are as many as the filter lets pass.
     assert made["lines"].count() == 403 and 6 <= made["line-places"].count() < 12
+
+
+def test_leaders_of_small_buckets_take_close_lines_alone(spark):
+    """Pairs that aren't close are seldom links, and the cells compare them: they aren't compared twice."""
+    docs, _ = lines_of_a_passage(spark)
+    copies = [(1000 + k, f"{prose(40 + k % 5, 30)}{'.' * (k // 5 + 1)} {k}") for k in range(20)]
+    found = line_dedup.occurrences(docs.select("doc_id", "text").union(spark.createDataFrame(copies, "doc_id long, text string")))
+    sim = {r.text_id: np.array([r.sim]).view(np.uint64) for r in found.collect()}
+    bits = [line_dedup.apart(sim[a], sim[b])[0] for a, b in line_dedup.candidates(found)[0].collect()]
+    assert bits and max(bits) <= line_dedup.CLOSE
+
+
+def test_leaders_of_large_buckets_take_near_lines():
+    """Thousands of lines that differ in numbers are near and not close: each goes with two leaders at most, so pairs stay in proportion to the lines."""
+    n, some = 4 * line_dedup.FEW_LINES, np.random.default_rng(4)
+    sim = np.full(n, (1 << 62) + 64, np.uint64)
+    for _ in range(6):
+        sim ^= np.uint64(1) << some.integers(8, 64, n).astype(np.uint64)
+    a, b, left = line_dedup.led(np.zeros(n, np.int64), np.arange(n), sim.view(np.int64))
+    assert (line_dedup.apart(sim[a], sim[b]) < 64).all() and n / 2 < len(set(b.tolist())) and len(a) <= line_dedup.LEADERS * n and len(left[0]) < n / 2
+
+
+def test_runs_of_pairs_are_few(monkeypatch):
+    """Pairs of one task, of many lengths: each run of them costs the same calls for every letter, so there are few of them."""
+    some, runs = random.Random(12), []
+    x = ["".join(some.choice("abcdefgh ") for _ in range(int(30 * 1.0045**k))) for k in range(800)]
+    y = ["z" + "".join(some.choice("abcdefgh ") if some.random() < 0.1 else c for c in t) + "z" for t in x]
+    of = edits._distances
+    monkeypatch.setattr(edits, "_distances", lambda a, b, most: runs.append(len(a)) or of(a, b, most))
+    got = edits.all_similar(x, y, 80)
+    assert len(runs) < 9 and sum(runs) > 700 and got[::40].tolist() == [edits.similar(a, b, 80) for a, b in zip(x[::40], y[::40])]
+
+
+def test_a_filter_is_packed_by_its_tasks(spark):
+    from cataloom.llm import bloom
+
+    keys = np.random.default_rng(9).integers(-(1 << 63), 1 << 63, 5000)
+    table = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(5)
+    want = np.zeros(bloom.BITS, bool)
+    for at in bloom._slots(keys, bloom.BITS):
+        want[at] = True
+    got = bloom.build(table, bloom.BITS)
+    assert (np.unpackbits(got, bitorder="little").view(bool) == want).all() and bloom.may_hold(got, keys).all()
+    assert not bloom.build(table.where("key is null")).any()
