@@ -5,11 +5,13 @@ import os
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cataloom.functions import text as T
+from cataloom.jobs import registry
 from cataloom.operators import evaluation as E
 from cataloom.operators import routing as D
 from cataloom.operators import vectors as V
@@ -100,6 +102,20 @@ def test_tables_derived_once_follow_their_files(spark, tmp_path):
     assert seen == [3, 3, 5]
 
 
+def test_every_text_with_a_word_has_a_unit_vector(spark, tmp_path):
+    words = ["w%d" % i for i in range(1000)]
+    sums = {w: V.hashing_model([w])[0] for w in words}
+    a, b = next((a, b) for a in words for b in words if not (sums[a] + sums[b]).any())
+    texts = [f"{a} {b}", f"{b}\n{a} {a}\t{b}", "\u00a0", "\x0b", "word", "", " \t\n", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = {i: (n, float(x)) for i, n, x in con.execute(registry.ORACLE_SQL["v1_embeddings"]).fetchall()}
+    got = {r["doc_id"]: (r["dimensions"], r["norm"]) for r in registry.QUERIES["v1_embeddings"](spark, str(tmp_path)).collect()}
+    assert got == wanted and [got[i][1] for i in range(8)] == [1, 1, 1, 1, 1, 0, 0, 0]
+
+
 def test_nearest_with_names_of_any_type_and_many_ties(spark):
     rng = np.random.default_rng(1)
     kinds = rng.integers(-1, 2, (9, 4)).astype(float)
