@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from cataloom.operators import inheritance as H
 from cataloom.operators import relationships as R
 from cataloom.operators import resolution as N
+from cataloom.sources import adapters as A
 from cataloom.sources import schema_documents as S
+from cataloom.sources import shared
 
 
 def fk(name, target, column="xId"):
@@ -356,3 +358,55 @@ def test_an_index_is_opened_again_unless_the_model_changes(spark, tmp_path):
     rows = spark.createDataFrame([("a", "t", "text")], "chunk_id string, chunk_type string, text string")
     built = [I.open_or_build(rows, str(tmp_path / "index"), m).built for m in ("one", "one", "two")]
     assert built == [True, False, True] and I.open_or_build(rows, str(tmp_path / "index"), "two").rows.first().model == "two"
+
+
+@pytest.mark.parametrize("cycles", [False, True])
+def test_attributes_taken_over_from_parents_are_those_of_whole_chains(spark, cycles):
+    draw = random.Random(7)
+    names = [f"e{i:02d}" for i in range(60)]
+    parent = {n: (draw.choice(names[:i]) if i and draw.random() < 0.9 else None) for i, n in enumerate(names)}
+    parent |= {"e55": "lost"} | ({"e03": "e09", "e09": "e03", "e01": "e01", "e20": "e09"} if cycles else {})
+    rows = {
+        n: [
+            (k, draw.choice("abcdef"), "entity", draw.choice([None, "id", "realId", "fId"]), [("T", None)], draw.choice([None, f"of {n} {k}"]))
+            for k in range(draw.randint(0, 4))
+        ] for n in names
+    }
+    own = f"array<struct<ord:int,name:string,data_type:string,fk_name:string,fk_targets:{R.TARGETS},description:string>>"
+    nodes = spark.createDataFrame([(n, parent[n], rows[n]) for n in names], f"entity_id string, parent_id string, own {own}")
+    walked = {}
+    for n in names:
+        walked[n], up = [n], parent[n]
+        while up and up not in walked[n]:
+            walked[n].append(up)
+            up = parent.get(up)
+    chain = H.chains(nodes)
+    assert sorted(map(tuple, chain.collect())) == sorted((n, a, d) for n in names for d, a in enumerate(walked[n]))
+    some = spark.createDataFrame([("e55",), ("e20",), ("e59",)], "entity_id string")
+    assert sorted(map(tuple, H.chains(nodes, some).collect())) == sorted((n, a, d) for n in ("e55", "e20", "e59") for d, a in enumerate(walked[n]))
+    is_standard = lambda c: c.isin("e00", "e02")
+    above = chain.where(is_standard(F.col("ancestor_id")))
+    flat = nodes.select("entity_id", F.inline("own"))
+    offered = flat.select(F.col("entity_id").alias("ancestor_id"), F.explode(F.array_compact(F.array("name", "fk_name"))).alias("name"))
+    wanted = H.resolved(flat, chain, above.join(offered, "ancestor_id").select("entity_id", "name").distinct(), is_standard(F.col("ancestor_id")))
+    found = H.inherited(nodes, is_standard)
+    assert sorted(map(str, found.select(wanted.columns).collect())) == sorted(map(str, wanted.collect())) and wanted.count() > 200
+
+
+def test_attributes_are_written_once_and_chains_not_at_all(spark, monkeypatch):
+    written = {}
+    write = shared.materialize
+
+    def counted(rows, name, *by):
+        out = write(rows, name, *by)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(H, "materialize", counted)
+    nodes = A.declaring_nodes(spark, "/root/testdata/sf0.001")
+    found = H.inherited(nodes, lambda c: F.startswith(c, F.lit("region#")))
+    assert found.count() > 9 * nodes.count() > 9000
+    # What is written on the way are parents: customers, nations, regions.
+    assert sum(written.values()) <= 2 * nodes.where("not startswith(entity_id, 'orders#')").count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 6 and "Window" not in plan
