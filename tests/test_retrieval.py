@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cataloom.functions import text as T
-from cataloom.jobs import registry
+from cataloom.jobs import graph_jobs, registry
 from cataloom.operators import evaluation as E
 from cataloom.operators import routing as D
 from cataloom.operators import vectors as V
@@ -134,6 +134,31 @@ def test_nearest_with_names_of_any_type_and_many_ties(spark):
         assert got[name] == [(c, round(d, 6)) for d, c in near]
 
 
+def test_queries_of_one_vector_are_searched_once(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    stored = draw.integers(-2, 3, (5000, 4)).astype(float)
+    asked = np.repeat(draw.integers(-2, 3, (40, 4)).astype(float), 25, axis=0)
+    rows = lambda vectors, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], f"{name} long, vector array<float>")
+    sent = []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(len(x[0])) or broadcast(x))
+    found = V.top_k(rows(asked, "query_id"), rows(stored, "chunk_id"), 7, 4).orderBy("query_id", "rank").collect()
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    far = np.rint((1 - unit(asked) @ unit(stored).T) * 1e9)
+    nearest = np.argsort(far, axis=1, kind="stable")[:, :7]
+    assert [r.chunk_id for r in found] == nearest.ravel().tolist()
+    assert sum(sent) == len(np.unique(asked, axis=0)) <= 40
+
+
+def test_contexts_of_attributes_and_layers_need_no_edges(spark, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("edges are read")
+
+    monkeypatch.setattr(graph_jobs, "targets", unwanted)
+    for name in ("d5_attribute_context", "d6_layer_collisions"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
 def test_search_fetches_more_for_those_that_run_short(spark):
     index = spark.createDataFrame([(f"c{i:02d}", [1.0, i / 100], f"text {i // 2}", {"n": str(i)}) for i in range(60)], "chunk_id string, vector array<float>, text string, metadata map<string,string>")
     asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.6])], "query_id string, vector array<float>")
